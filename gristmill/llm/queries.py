@@ -7,6 +7,8 @@ import importlib
 #: query -> module, and whether the module has ORACLE.
 _WHERE = {
     "op3_host_rules": ("host_quality", True),
+    "op5_range_shards": ("range_shards", False),
+    "op8_pivot_search": ("pivot_search", True),
 }
 
 
