@@ -9,6 +9,7 @@ _WHERE = {
     "op3_host_rules": ("host_quality", True),
     "op5_range_shards": ("range_shards", False),
     "op8_pivot_search": ("pivot_search", True),
+    "op9_superminhash": ("superminhash", True),
 }
 
 
