@@ -10,6 +10,7 @@ _WHERE = {
     "op5_range_shards": ("range_shards", False),
     "op8_pivot_search": ("pivot_search", True),
     "op9_superminhash": ("superminhash", True),
+    "op10_byte_bpe": ("byte_bpe", False),
 }
 
 
