@@ -8,6 +8,7 @@ import importlib
 _WHERE = {
     "op3_host_rules": ("host_quality", True),
     "op5_range_shards": ("range_shards", False),
+    "op7_disclosure": ("disclosure", False),
     "op8_pivot_search": ("pivot_search", True),
     "op9_superminhash": ("superminhash", True),
     "op10_byte_bpe": ("byte_bpe", False),
