@@ -6,10 +6,12 @@ first round that leaves all its registers under the next round's ranks: a few ro
 equal sets are one class from the start. Bands of registers give buckets of class representatives; links inside the
 buckets are confirmed on the full shingle sets, and union-find by min-label passes with pointer jumping groups them.
 
-Pairs inside a bucket are not all compared. Each member is first compared with its likeliest bucket centre; members that
-then bear one label need no further pair, as nothing more can be learned from it; only pairs of different labels are
-compared, all of them, in the last round. So no link is lost that two bands support: with 32 bands of 4 a pair at 80 %
-shares fewer than two with a chance under 1e-6.
+Pairs inside a bucket are not all compared. Each member is first compared with the centre of its buckets that the most
+others meet, its reference, then with the likeliest centre of another label; members that bear one label need no further
+pair, as nothing more can be learned from it. Of the pairs of different labels that two bands support, a common reference
+rules most out: without a shared element outside of it, two sets cannot be closer than the farther is to the reference.
+All the others are confirmed. So no link is lost that two bands support: with 32 bands of 4, a pair at 80 % shares fewer
+than two with a chance of about 1e-6.
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing; fewer words than a
 shingle has give the whole sequence as one shingle; rows with a null id are alone (component null, kept); rows equal in
@@ -30,6 +32,8 @@ from ._text import flat, mix, slices, windows, word_hashes
 
 _LOW32 = np.uint64(0xFFFFFFFF)
 _FULL = np.uint64(2**63)
+_BIT_WORDS = 8
+_BITS = [f"w{k}" for k in range(_BIT_WORDS)]
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,21 +155,29 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, elements binary")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Adds `linked` to pairs (a, b): 100 * intersection >= percent * union, on the full sets."""
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For pairs (a, b), on the full sets: common, linked (100 * intersection >= percent * union), and a's elements
+    outside b, with a bit map of them."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("of_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("of_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("of_a"), batch.column("of_b")):
+            common, linked, outside, bits = [], [], [], np.zeros((batch.num_rows, _BIT_WORDS), np.uint64)
+            for k, (x, y) in enumerate(zip(batch.column("of_a"), batch.column("of_b"))):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= percent * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                rest = x[y[at] != x]
+                n = len(x) - len(rest)
+                common.append(n)
+                linked.append(100 * n >= percent * (len(x) + len(y) - n))
+                outside.append(rest.view(np.int64))
+                spot = rest % np.uint64(64 * _BIT_WORDS)
+                np.bitwise_or.at(bits[k], (spot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (spot & np.uint64(63)))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, outside)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *outside])))
+            words = [pa.array(bits[:, w].view(np.int64)) for w in range(_BIT_WORDS)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(linked, pa.bool_()), lists, *words], ["a", "b", "common", "linked", "outside", *_BITS])
 
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long, linked boolean")
+    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long, common long, linked boolean, outside array<long>, " + ", ".join(f"{w} long" for w in _BITS))
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -183,7 +195,7 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bands: int = 32, band_rows: int = 4, star_rounds: int = 4) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, bands: int = 32, band_rows: int = 4) -> DataFrame:
     """id_col, n_shingles, component_id and kept of each document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "superminhash")
@@ -192,51 +204,62 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle
     print_of = ["n", "f1", "f2"]
     same = scratch.keep(signed.where("n > 0 and id is not null").groupBy(*print_of).agg(F.min("id").alias("rep")), "same")
 
-    posts = signed.join(same, print_of).where("id = rep").select("id", "n", F.explode("bands").alias("band"))
-    shared = posts.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("band")
+    reps = scratch.keep(signed.join(same, print_of).where("id = rep").select("id", "n", "bands").dropDuplicates(["id"]), "reps")
+    posts = reps.select("id", "n", F.explode("bands").alias("band"))
+    shared = posts.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     posts = scratch.keep(posts.join(shared, "band"), "posts")
-    needed = posts.groupBy("id").agg(F.count(F.lit(1)).alias("bands")).where("bands > 1").select("id")
-    sets = scratch.keep(_sets(source.join(needed, "id", "left_semi"), shingle).dropDuplicates(["id"]), "sets")
-
-    labels, checked, edges = None, None, None
+    of_doc = scratch.keep(posts.groupBy("id").agg(F.count(F.lit(1)).alias("bands"), F.sum("members").alias("fame")).where("bands > 1"), "of_doc")
+    sets = scratch.keep(_sets(source.join(of_doc.select("id"), "id", "left_semi"), shingle).dropDuplicates(["id"]), "sets")
+
+    # Each document against the best known member of its buckets, which stays its reference.
+    famed = scratch.keep(posts.select("id", "n", "band").join(of_doc.select("id", "fame"), "id"), "famed")
+    centres = famed.groupBy("band").agg(F.max(F.struct("fame", F.negate("id").alias("o"))).alias("c")).select("band", F.negate("c.o").alias("other"), F.col("c.fame").alias("other_fame"))
+    tried = famed.join(centres, "band").groupBy("id", "other").agg(F.count(F.lit(1)).alias("bands"), F.first("other_fame").alias("fame")).where("bands > 1")
+    tried = tried.groupBy("id").agg(F.max(F.struct("fame", "bands", F.negate("other").alias("o"))).alias("m")).select(F.col("id").alias("a"), F.negate("m.o").alias("b"))
+    first = scratch.keep(_compared(tried, sets, percent), "referred")
+    edges = scratch.keep(first.where("linked and a <> b").select("a", "b"), "links")
+    labels = components(scratch, edges)
+
+    def marked(columns: list[str]) -> DataFrame:
+        """Posts with their labels, of the buckets in which more than one label is left."""
+        known = famed.join(labels.select(F.col("id").alias("_id"), F.col("label").alias("_label")), F.col("id") == F.col("_id"), "left").select("id", "n", "band", "fame", F.coalesce("_label", "id").alias("label"))
+        open_ = known.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band")
+        return known.join(open_, "band").select(*columns)
+
+    # Those of other labels than their likeliest centre, against it.
+    posts = scratch.keep(marked(["id", "n", "band", "fame", "label"]), "marked")
+    centres = posts.groupBy("band").agg(F.max(F.struct("fame", F.negate("id").alias("o"), "n", "label")).alias("c"))
+    centres = centres.select("band", F.negate("c.o").alias("other"), F.col("c.n").alias("other_n"), F.col("c.label").alias("other_label"))
     alike = (100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")) & (F.col("label") != F.col("other_label"))
-    for turn in range(star_rounds + 1):
-        if labels is None:
-            marked = posts.withColumn("label", F.col("id"))
-        else:
-            marked = posts.join(labels.select(F.col("id").alias("_id"), F.col("label").alias("_label")), F.col("id") == F.col("_id"), "left").select("id", "n", "band", F.coalesce("_label", "id").alias("label"))
-        last = turn == star_rounds
-        if turn:
-            by = marked.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
-            open_pairs, rows = by.agg(F.sum(F.col("c") * F.col("c") - F.col("cc")), F.sum("c")).first()
-            if not open_pairs:
-                break
-            last |= open_pairs <= 4 * rows
-        if last:
-            other = marked.select("band", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
-            pairs = marked.join(other, "band").where(alike & (F.col("id") < F.col("other")))
-        else:
-            order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-            centres = marked.groupBy("band").agg(F.min(F.struct(order.alias("o"), "id", "n", "label")).alias("c"))
-            centres = centres.select("band", F.col("c.id").alias("other"), F.col("c.n").alias("other_n"), F.col("c.label").alias("other_label"))
-            pairs = marked.join(centres, "band").where(alike)
-        pairs = pairs.groupBy("id", "other").agg(F.count(F.lit(1)).alias("bands")).where("bands > 1")
-        if not last:
-            pairs = pairs.groupBy("id").agg(F.max(F.struct("bands", F.negate("other").alias("o"))).alias("m")).select("id", F.negate("m.o").alias("other"))
-        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked, ["a", "b"], "left_anti")
-        found = scratch.keep(_confirmed(pairs, sets, percent), "confirmed")
-        checked = found.select("a", "b") if checked is None else checked.union(found.select("a", "b"))
-        links = found.where("linked").select("a", "b")
-        edges = links if edges is None else edges.union(links)
-        labels = components(scratch, edges)
-        if last:
-            break
+    pairs = posts.join(centres, "band").where(alike).groupBy("id", "other").agg(F.count(F.lit(1)).alias("bands")).where("bands > 1")
+    pairs = pairs.join(first.select(F.col("a").alias("id"), F.col("b").alias("other")), ["id", "other"], "left_anti")
+    pairs = pairs.groupBy("id").agg(F.max(F.struct("bands", F.negate("other").alias("o"))).alias("m")).select(F.col("id").alias("a"), F.negate("m.o").alias("b"))
+    second = scratch.keep(_compared(pairs, sets, percent).select("a", "b", "linked"), "seconds")
+    edges = scratch.keep(edges.union(second.where("linked").select("a", "b")), "links")
+    labels = components(scratch, edges)
+
+    # All pairs of different labels that their common reference does not rule out: what two sets share lies in the
+    # reference, at most the lesser of their shares in it, or is shared outside of it.
+    refer = first.select(F.col("a").alias("id"), F.col("b").alias("ref"), "common", "outside", *_BITS)
+    posts = scratch.keep(marked(["id", "n", "band", "label"]).join(refer, "id"), "marked")
+    other = posts.select("band", *[F.col(c).alias(f"other_{c}") for c in ("id", "n", "label", "ref", "common", "outside", *_BITS)])
+    hits = sum((F.bit_count(F.col(w).bitwiseAND(F.col(f"other_{w}"))) for w in _BITS[1:]), F.bit_count(F.col(_BITS[0]).bitwiseAND(F.col(f"other_{_BITS[0]}"))))
+
+    def lost(prefix: str):
+        """Elements outside that share their bit with another."""
+        return F.size(f"{prefix}outside") - sum((F.bit_count(f"{prefix}{w}") for w in _BITS[1:]), F.bit_count(f"{prefix}{_BITS[0]}"))
+
+    def reach(beyond):
+        most = F.least("common", "other_common") + beyond
+        return 100 * most >= percent * (F.col("n") + F.col("other_n") - most)
+
+    open_ = (F.col("ref") != F.col("other_ref")) | (reach(hits + F.least(lost(""), lost("other_"))) & reach(F.size(F.array_intersect("outside", "other_outside"))))
+    pairs = posts.join(other, "band").where(alike & (F.col("id") < F.col("other_id")) & open_)
+    pairs = pairs.groupBy(F.col("id").alias("a"), F.col("other_id").alias("b")).agg(F.count(F.lit(1)).alias("bands")).where("bands > 1").select("a", "b")
+    third = _compared(pairs, sets, percent).where("linked").select("a", "b")
+    labels = components(scratch, scratch.keep(edges.union(third), "links"))
 
     named = signed.select("id", *print_of).join(same, print_of, "left")
-    if labels is None:
-        labels = spark.createDataFrame([], "id long, label long")
     named = named.join(labels.select(F.col("id").alias("_id"), "label"), F.col("rep") == F.col("_id"), "left")
     label = F.when(F.col("id").isNotNull(), F.coalesce("label", "rep", "id"))
     return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), label.alias("component_id"), F.coalesce(F.col("id") == label, F.lit(True)).alias("kept"))
