@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from ._stage import fresh
 
 LONG_WORD = 512
-WORDS_KEPT, CHUNKS_KEPT, WORDS_AT_ONCE = 500_000, 150_000, 20_000
+WORDS_KEPT, UNITS_KEPT, WORDS_AT_ONCE = 350_000, 350_000, 20_000
 _SHIFT = 1 << 40
 
 _CONTRACT = f"""
@@ -42,12 +43,43 @@ WITH RECURSIVE t(step, w, p, id, next_id) AS (
             lag(t.p) OVER (PARTITION BY t.w ORDER BY t.p) AS before, pick % {_SHIFT} AS spot
      FROM t JOIN best USING (w))
    SELECT step, w, p, id, lead(id) OVER (PARTITION BY w ORDER BY p) FROM joined WHERE before IS NULL OR before <> spot))
-SELECT w, list(t.id ORDER BY p) AS ids, string_agg(v.hex, '' ORDER BY p) AS body
-FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step) JOIN vocabulary v ON v.id = t.id GROUP BY w
+SELECT w, list(t.id ORDER BY p) AS ids FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step) GROUP BY w
 """
 _DECODE = "SELECT w, string_agg(v.hex, '' ORDER BY p) AS body FROM start JOIN vocabulary v USING (id) GROUP BY w"
 
 
+class Kept:
+    """A table of at most 2 * most entries: the entries used since the last turn, and those of the turn before."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def turn(self) -> None:
+        if len(self.new) > self.most:
+            self.new, self.old = {}, self.new
+
+    def missing(self, keys) -> list:
+        """The keys that are not kept; the others count as used."""
+        out, new, old = [], self.new, self.old
+        for k in keys:
+            if k not in new:
+                if k in old:
+                    new[k] = old[k]
+                else:
+                    out.append(k)
+        return out
+
+
+def take_ranges(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """values[start : start + length] of each range, end to end."""
+    total = int(lengths.sum())
+    if not total:
+        return values[:0]
+    at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+    at += np.arange(total)
+    return values[at]
+
+
 class Codec:
     """Encodes and decodes by the rank file's content and the split pattern."""
 
@@ -64,10 +96,10 @@ class Codec:
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         self._table("merges", l=pa.array([x[0] for x in pairs], pa.int32()), r=pa.array([x[1] for x in pairs], pa.int32()), id=pa.array([x[2] for x in pairs], pa.int64()))
         self._table("vocabulary", id=pa.array(list(self.tokens), pa.int32()), hex=pa.array([t.hex() for t in self.tokens.values()]))
-        self.words: dict[str, tuple[bytes, bytes, bytes]] = {}
-        self.ids: dict[str, bytes] = {}
-        self.text: dict[str, bytes] = {}
-        self.body: dict[str, bytes] = {}
+        self.words, self.units = Kept(WORDS_KEPT), Kept(UNITS_KEPT)
+        decimals = [f"{i} ".encode() for i in range(max(self.tokens) + 1)]
+        self.decimal, self.decimal_length = np.frombuffer(b"".join(decimals), np.uint8), np.array([len(d) for d in decimals])
+        self.decimal_start = np.cumsum(self.decimal_length) - self.decimal_length
 
     def _table(self, name: str, **columns) -> None:
         self.con.register("incoming", pa.table(columns))
@@ -95,16 +127,12 @@ class Codec:
                 found = self._rows(_CONTRACT, ids, np.array([len(bodies[k]) for k in part]))
                 lists = found["ids"].combine_chunks()
                 flat, ends = lists.flatten().to_numpy().astype("<i4"), np.cumsum(lists.value_lengths().to_numpy())
-                for w, end, before, body in zip(found["w"].to_pylist(), ends, [0, *ends], found["body"].to_pylist()):
-                    self._put(new[part[w]], flat[before:end], bytes.fromhex(body))
+                packed, ends = flat.tobytes(), (4 * ends).tolist()
+                self.words.new.update((new[part[w]], packed[a:b]) for w, a, b in zip(found["w"].to_pylist(), [0, *ends], ends))
                 size, a = 0, e + 1
         for k, b in enumerate(bodies):
             if len(b) > LONG_WORD:
-                ids = self._heap(b)
-                self._put(new[k], ids, b"".join(self.tokens[i] for i in ids))
-
-    def _put(self, word: str, ids, body: bytes) -> None:
-        self.words[word] = np.asarray(ids, "<i4").tobytes(), " ".join(map(str, ids)).encode(), body
+                self.words.new[new[k]] = np.array(self._heap(b), "<i4").tobytes()
 
     def _heap(self, body: bytes) -> list[int]:
         n = len(body)
@@ -132,39 +160,58 @@ class Codec:
                 offer(before[a])
         return [self.ranks[part[a]] for a in range(n) if live[a]]
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes, bytes]]:
-        """For each text: its ids as little-endian 32-bit integers, as decimals joined by spaces, and their bytes.
-
-        Where no white space stands before a space, a space always begins a piece, so the text between spaces can be
-        looked up as one; other texts are looked up piece by piece."""
-        if len(self.words) > WORDS_KEPT:
-            self.words.clear()
-        if len(self.ids) > CHUNKS_KEPT:
-            self.ids.clear(), self.text.clear(), self.body.clear()
-        cut, chunks, wanted = [], set(), set()
-        for t in texts:
-            if self.unsafe(t) or not t:
-                cut.append((self.find(t), []))
-            else:
-                head, *rest = t.split(" ")
-                cut.append((self.find(head), rest))
-                chunks.update(rest)
-            wanted.update(cut[-1][0])
-        parts = {c: self.find(" " + c) for c in chunks.difference(self.ids)}
-        for p in parts.values():
-            wanted.update(p)
-        self.learn(list(wanted.difference(self.words)))
-        words = self.words
-        for c, p in parts.items():
-            found = [words[w] for w in p]
-            self.ids[c], self.text[c], self.body[c] = b"".join([x[0] for x in found]), b" ".join([x[1] for x in found]), b"".join([x[2] for x in found])
-        for head, rest in cut:
-            first = [words[w] for w in head]
-            yield (
-                b"".join([*[x[0] for x in first], *map(self.ids.__getitem__, rest)]),
-                b" ".join([*[x[1] for x in first], *map(self.text.__getitem__, rest)]),
-                b"".join([*[x[2] for x in first], *map(self.body.__getitem__, rest)]),
-            )
+    def _units(self, new: list[str]) -> None:
+        """Encodes and decodes text between spaces: the count of its ids, the ids and their bytes, in one value."""
+        parts = [self.find(u[1:]) if u[:1] == "\0" else self.find(" " + u) for u in new]
+        self.learn(self.words.missing({w for p in parts for w in p}))
+        words = self.words.new
+        ids = [b"".join([words[w] for w in p]) for p in parts]
+        for u, i, body in zip(new, ids, self.decode([np.frombuffer(i, "<i4") for i in ids])):
+            self.units.new[u] = len(i).to_bytes(4, "little") + i + body
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the texts and each text's offset in them; the same of the decoded bytes.
+
+        Where no white space stands before a space, a space always begins a piece, so text is looked up from space to
+        space; other texts are looked up piece by piece."""
+        self.words.turn(), self.units.turn()
+        odd = {k: t for k, t in enumerate(texts.to_pylist()) if "\0" in t or self.unsafe(t)}
+        if odd:
+            texts = pc.if_else(pa.array([k in odd for k in range(len(texts))]), "", texts)
+        lists = pc.split_pattern(pc.binary_join_element_wise("\0", texts, ""), " ")
+        coded = lists.flatten().dictionary_encode()
+        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self._units(self.units.missing(names))
+        values = [self.units.new[u] for u in names]
+        data, length = np.frombuffer(b"".join(values), np.uint8), np.array([len(v) for v in values])
+        start = np.cumsum(length) - length
+        size = take_ranges(data, start, np.full(len(start), 4)).view("<u4").astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+
+        def gather(first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            upto = np.concatenate([[0], np.cumsum(many[codes])])
+            return take_ranges(data, first[codes], many[codes]), upto[ends]
+
+        ids, id_at = gather(start + 4, size)
+        body, body_at = gather(start + 4 + size, length - 4 - size)
+        ids, id_at = ids.view("<i4"), id_at // 4
+        if odd:
+            ids, body = np.split(ids, id_at[1:-1]), np.split(body, body_at[1:-1])
+            for k, t in odd.items():
+                pieces = self.find(t)
+                self.learn(self.words.missing(set(pieces)))
+                ids[k] = np.frombuffer(b"".join([self.words.new[w] for w in pieces]), "<i4")
+                body[k] = np.frombuffer(self.decode([ids[k]])[0], np.uint8)
+            id_at, body_at = (np.cumsum([0, *map(len, x)]) for x in (ids, body))
+            ids, body = np.concatenate(ids), np.concatenate(body)
+        return ids, id_at, body, body_at
+
+    def decimals(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """Each text's ids in decimal, joined by spaces."""
+        many = self.decimal_length[ids]
+        data = take_ranges(self.decimal, self.decimal_start[ids], many).tobytes()
+        ends = np.concatenate([[0], np.cumsum(many)])[at].tolist()
+        return [data[a : max(a, b - 1)] for a, b in zip(ends, ends[1:])]
 
     def decode(self, rows: list[np.ndarray]) -> list[bytes]:
         """The bytes of each row of ids, by ordered aggregation."""
@@ -195,7 +242,7 @@ def _read(path: str | None, pattern: str | None) -> tuple[bytes, str]:
         return f.read(), pattern or public_tokenizers.PATTERN
 
 
-def _parts(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     from ._text import slices
 
     return slices(batch, column, most)
@@ -216,12 +263,13 @@ def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, i
         codec = _codec(shared.value, pattern)
         for batch in batches:
             for part in _parts(batch, body):
-                found = list(codec.encode(part.column(body).to_pylist()))
-                columns = [pa.array([len(i) // 4 for i, _, _ in found], pa.int64())]
+                i, i_at, b, b_at = codec.encode(part.column(body))
+                columns = [pa.array(np.diff(i_at))]
                 if ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(i) // 4 for i, _, _ in found)]), pa.int32()), pa.array(np.frombuffer(b"".join(i for i, _, _ in found), "<i4"))))
+                    columns.append(pa.ListArray.from_arrays(pa.array(i_at, pa.int32()), pa.array(i)))
                 if digests:
-                    columns += [pa.array([hashlib.sha256(x[k]).hexdigest() for x in found]) for k in (1, 2)]
+                    columns.append(pa.array([hashlib.sha256(d).hexdigest() for d in codec.decimals(i, i_at)]))
+                    columns.append(pa.array([hashlib.sha256(b[x:y]).hexdigest() for x, y in zip(b_at, b_at[1:])]))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], schema=None, names=schema.names)
 
     return source.mapInArrow(run, schema)
