@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,7 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
+        free(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def path(self, name: str) -> str:
@@ -52,6 +54,12 @@ class Scratch:
             _remove(self.spark, f)
 
 
+def free(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps: it does so when the driver collects their handles."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     where = jvm.org.apache.hadoop.fs.Path(path)
