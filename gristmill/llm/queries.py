@@ -7,7 +7,9 @@ import importlib
 #: query -> module, and whether the module has ORACLE.
 _WHERE = {
     "op3_host_rules": ("host_quality", True),
+    "op4_line_dedup": ("line_dedup", True),
     "op5_range_shards": ("range_shards", False),
+    "op6_poisson_mix": ("poisson_mix", True),
     "op7_disclosure": ("disclosure", False),
     "op8_pivot_search": ("pivot_search", True),
     "op9_superminhash": ("superminhash", True),
@@ -22,8 +24,14 @@ def _call(name: str, module: str):
     return run
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {name: _call(name, module) for name, (module, _) in _WHERE.items()}
+    return {name: _call(name, module) for name, (module, _) in _WHERE.items()} | {"pipeline": _pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
