@@ -149,35 +149,27 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 h, offsets = shingle_sets(part.column("text"), size)
-                body = pa.array([h[a:b].tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("id"), body], ["id", "elements"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists], ["id", "elements"])
 
-    return docs.mapInArrow(run, "id long, elements binary")
+    return docs.mapInArrow(run, "id long, elements array<long>")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """For pairs (a, b), on the full sets: common, linked (100 * intersection >= percent * union), and a's elements
     outside b, with a bit map of them."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("of_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("of_b")), "b")
+    common = F.size(F.array_intersect("of_a", "of_b"))
+    both = both.select("a", "b", common.cast("long").alias("common"), (F.size("of_a") + F.size("of_b")).alias("sizes"), F.array_except("of_a", "of_b").alias("outside"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            common, linked, outside, bits = [], [], [], np.zeros((batch.num_rows, _BIT_WORDS), np.uint64)
-            for k, (x, y) in enumerate(zip(batch.column("of_a"), batch.column("of_b"))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                rest = x[y[at] != x]
-                n = len(x) - len(rest)
-                common.append(n)
-                linked.append(100 * n >= percent * (len(x) + len(y) - n))
-                outside.append(rest.view(np.int64))
-                spot = rest % np.uint64(64 * _BIT_WORDS)
-                np.bitwise_or.at(bits[k], (spot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (spot & np.uint64(63)))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, outside)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *outside])))
-            words = [pa.array(bits[:, w].view(np.int64)) for w in range(_BIT_WORDS)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(common, pa.int64()), pa.array(linked, pa.bool_()), lists, *words], ["a", "b", "common", "linked", "outside", *_BITS])
-
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long, common long, linked boolean, outside array<long>, " + ", ".join(f"{w} long" for w in _BITS))
+    def word(k: int):
+        def put(acc, x):
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+            return F.when(F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(_BIT_WORDS - 1)) == k, acc.bitwiseOR(bit)).otherwise(acc)
+
+        return F.aggregate("outside", F.lit(0).cast("long"), put).alias(_BITS[k])
+
+    return both.select("a", "b", "common", (100 * F.col("common") >= percent * (F.col("sizes") - F.col("common"))).alias("linked"), "outside", *map(word, range(_BIT_WORDS)))
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
