@@ -6,6 +6,7 @@ import importlib
 
 #: query -> module, and whether the module has ORACLE.
 _WHERE = {
+    "op1_suffix_tree": ("suffix_tree", False),
     "op2_range_coder": ("range_coder", False),
     "op3_host_rules": ("host_quality", True),
     "op4_line_dedup": ("line_dedup", True),
