@@ -528,3 +528,118 @@ def trimmed_outputs(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     text = F.array_join(F.array_repeat(F.lit("line"), F.col("p_size")), "\n")
     return p.select("p_partkey", F.col("p_size").alias("lines"), F.element_at(F.split(Q.trimmed_output(text), "\n"), -1).alias("last"))
+
+
+# Packages.
+@query("WITH h AS (SELECT l_orderkey, lower(l_returnflag) AS id FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL) SELECT o.l_orderkey, CASE WHEN count(h.id) = 0 THEN 'license:unknown' ELSE string_agg('license:' || h.id, ',' ORDER BY h.id) || CASE WHEN bool_and(h.id IN ('a', 'n')) THEN ',license:open' ELSE '' END END AS tags FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN h USING (l_orderkey) GROUP BY 1")
+def licence_tags(spark, sf_dir):
+    from ..operators.manifests import licence_tags as tags
+
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", F.when(F.col("l_linestatus") == "O", F.col("l_returnflag")).alias("id"))
+    return tags(l, "l_orderkey", "id", spark.createDataFrame([("A",), ("N",)], "id string")).withColumn("tags", F.array_join("tags", ","))
+
+
+@query("SELECT o_custkey AS repo, count(*) FILTER (o_orderpriority = '1-URGENT') AS n, CASE count(*) FILTER (o_orderpriority = '1-URGENT') WHEN 1 THEN 'found' WHEN 0 THEN 'missing' ELSE 'ambiguous' END AS verdict FROM orders GROUP BY 1")
+def unique_manifest(spark, sf_dir):
+    from ..operators.manifests import only_named
+
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderpriority").alias("name"), F.col("o_orderkey").cast("string").alias("path"))
+    found = only_named(o, o.select("repo").distinct().withColumn("name", F.lit("1-URGENT")))
+    n = o.groupBy("repo").agg(F.count_if(F.col("name") == "1-URGENT").alias("n"))
+    return found.join(n, "repo").select("repo", "n", "verdict")
+
+
+@query("SELECT c_custkey AS package, 'x' || c_nationkey AS name FROM customer WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_acctbal > 9000)")
+def missing_executables(spark, sf_dir):
+    from ..operators.manifests import missing_executables as missing
+
+    c = table(spark, sf_dir, "customer")
+    declared = c.select(F.col("c_custkey").alias("package"), F.concat(F.lit("x"), "c_nationkey").alias("name"), F.lit(" ").alias("file"))
+    s = table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").alias("c_nationkey")).distinct()
+    files = c.join(s, "c_nationkey").select(F.col("c_custkey").alias("package"), F.concat(F.lit("bin/x"), "c_nationkey", F.lit(".dart")).alias("path"))
+    return missing(declared, files).select("package", "name")
+
+
+@query("WITH " + _LINKS + "SELECT page_id, 'insecure' AS kind, count(*) AS n, count(*) || ' insecure link' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END AS text FROM sc WHERE NOT bad AND scheme NOT IN ('', 'https', 'mailto') GROUP BY 1 UNION ALL SELECT page_id, 'unparsed', count(*), count(*) || ' unparsable link' || CASE WHEN count(*) = 1 THEN '' ELSE 's' END FROM sc WHERE bad GROUP BY 1")
+def link_issues(spark, sf_dir):
+    from ..operators.manifests import link_issues as issues
+
+    links = _links(spark, sf_dir).withColumn("ord", F.col("url"))
+    return issues(links, "page_id").select("page_id", "kind", "n", "text")
+
+
+@query("SELECT user_id, event_id, arg_max(event_type, event_id) FILTER (event_type <> 'error') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events")
+def previous_equal(spark, sf_dir):
+    from ..operators.manifests import previous_equal as previous
+
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") == "error", "insert").otherwise("equal").alias("op"), F.col("event_type").alias("text"))
+    return previous(e, "user_id", "event_id", "op", "text").select("user_id", "event_id", "before")
+
+
+@query("SELECT o_custkey, min(CASE WHEN o_orderstatus = 'P' THEN o_orderkey END) AS failed_at FROM orders GROUP BY 1")
+def first_failure(spark, sf_dir):
+    from ..operators.manifests import first_failure as first
+
+    o = table(spark, sf_dir, "orders").withColumn("ok", F.col("o_orderstatus") != "P")
+    return first(o, "o_custkey", "o_orderkey", "ok")
+
+
+@query("SELECT o_custkey, CASE WHEN o_orderkey % 9 = 0 THEN 'unreadable' WHEN o_orderkey % 8 = 0 THEN 'empty' WHEN o_orderkey % 7 = 0 THEN 'malformed' WHEN o_orderkey % 6 = 0 THEN 'other name' WHEN o_orderkey % 5 = 0 THEN 'no URL' WHEN o_orderkey % 4 = 0 THEN 'bad URL' WHEN o_orderkey % 3 = 0 THEN 'other URL' WHEN o_orderkey % 2 = 0 THEN 'no version' END AS verdict, count(*) AS n FROM orders GROUP BY ALL")
+def manifest_verdicts(spark, sf_dir):
+    from ..operators.manifests import manifest_verdict
+
+    o = table(spark, sf_dir, "orders")
+    every = lambda k: F.col("o_orderkey") % k == 0
+    url = F.when(every(5), "").when(every(4), "nothing").when(every(3), "https://github.com/a/c").otherwise("https://github.com/a/b.git")
+    v = manifest_verdict(~every(9), F.when(every(8), " ").otherwise("x"), ~every(7), F.when(every(6), "b").otherwise("a"), F.lit("a"), url, F.when(~every(2), "1.0.0"), F.lit(None).cast("string"), F.lit("https://github.com/a/b"))
+    return o.select("o_custkey", v.alias("verdict")).groupBy("o_custkey", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'https://github.com/x/p' || p_partkey ELSE 'https://gitlab.com/x/p' || p_partkey END AS repository, CASE WHEN p_size % 2 = 0 THEN 'https://github.com/x/p' || p_partkey || '/issues' ELSE 'https://gitlab.com/x/p' || p_partkey || '/-/issues' END AS tracker FROM part")
+def shown_links(spark, sf_dir):
+    from ..operators.manifests import shown_links as shown
+
+    p = table(spark, sf_dir, "part")
+    home = F.concat(F.when(F.col("p_size") % 2 == 0, "https://github.com/x/p").otherwise("https://gitlab.com/x/p"), F.col("p_partkey").cast("string"))
+    none = F.lit(None).cast("string")
+    return p.select("p_partkey", shown(home, none, none, F.lit(True)).alias("s")).select("p_partkey", "s.repository", "s.tracker")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 2 ELSE 0 END + CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END AS issues FROM supplier")
+def screenshot_issues(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    path = F.when(F.col("s_acctbal") < 0, "../a:b.png").otherwise("a.png")
+    text = F.when(F.col("s_suppkey") % 2 == 0, "").otherwise("a view")
+    size = F.when(F.col("s_suppkey") % 3 == 0, 5 << 20).otherwise(100)
+    return s.select("s_suppkey", F.size(Q.screenshot_issues(text, path, F.lit(True), size)).alias("issues"))
+
+
+@query("SELECT n_nationkey, n_nationkey % 2 = 0 AS swift_package, n_nationkey % 3 = 0 AS kotlin_ready FROM nation")
+def plugin_tags(spark, sf_dir):
+    from ..operators.manifests import plugin_tags as tags
+
+    n = table(spark, sf_dir, "nation").select("n_nationkey")
+    old = F.when(F.col("n_nationkey") % 3 == 0, "plugins {\n  id 'com.android.library'\n}").otherwise("apply plugin: 'kotlin-android'")
+    swift = F.when(F.col("n_nationkey") % 2 == 0, "ios/x/Package.swift").otherwise("ios/x/other.swift")
+    files = n.select("n_nationkey", F.explode(F.array(F.struct(F.lit("android/build.gradle").alias("path"), old.alias("content")), F.struct(swift.alias("path"), F.lit("").alias("content")))).alias("f"))
+    return tags(files.select("n_nationkey", "f.*"), "n_nationkey", "path", "content")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'flutter,fuchsia' WHEN c_custkey % 3 = 1 THEN 'flutter' ELSE '' END AS sdks FROM customer")
+def manifest_sdks(spark, sf_dir):
+    from ..functions import semi as J
+
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey") % 3
+    env = F.when(k < 2, F.create_map(F.lit("sdk"), F.lit("^3.0.0"), F.lit("flutter"), F.lit("any"))).otherwise(F.create_map(F.lit("sdk"), F.lit("^3.0.0")))
+    deps = F.create_map(F.lit("a"), F.lit(None).cast("string"), F.lit("b"), F.when(k == 0, "fuchsia"))
+    return c.select("c_custkey", F.array_join(J.dependent_sdks(env, deps, F.create_map().cast("map<string,string>")), ",").alias("sdks"))
+
+
+@query()
+def yaml_to_json(spark, sf_dir):
+    from ..functions import semi as J
+
+    p = table(spark, sf_dir, "part")
+    text = F.concat(F.lit("b: "), F.col("p_size").cast("string"), F.lit("\na:\n  - x\n  - {k: "), F.col("p_partkey").cast("string"), F.lit("}\n"))
+    return p.select("p_partkey", J.yaml_json(text).alias("json"))
