@@ -15,6 +15,7 @@ input may hold anything, special tokens' names are plain text; clashing column n
 from __future__ import annotations
 
 import base64
+import ctypes
 import hashlib
 import heapq
 from collections.abc import Iterator
@@ -29,25 +30,35 @@ from pyspark.sql import types as T
 from ._stage import fresh
 
 LONG_WORD = 512
-WORDS_KEPT, UNITS_KEPT, WORDS_AT_ONCE = 350_000, 350_000, 20_000
+WORDS_KEPT, UNITS_KEPT, WORDS_AT_ONCE = 400_000, 250_000, 20_000
 _SHIFT = 1 << 40
 
+#: t has a row for each token and its successor: their ids l and r (-1: none) and where they begin, p and q. A step takes
+#: the best pair's own row out and puts the joint id into the rows beside it.
 _CONTRACT = f"""
-WITH RECURSIVE t(step, w, p, id, next_id) AS (
-  SELECT 0, w, p, id, lead(id) OVER (PARTITION BY w ORDER BY p) FROM start
+WITH RECURSIVE t(step, w, p, q, l, r) AS (
+  SELECT 0, w, p, q, id, next_id FROM start
   UNION ALL
   (WITH best AS (
-     SELECT t.w, min(m.id * {_SHIFT} + t.p) AS pick FROM t JOIN merges m ON m.l = t.id AND m.r = t.next_id GROUP BY t.w),
-   joined AS (
-     SELECT t.step + 1 AS step, t.w, t.p, CASE WHEN t.p = pick % {_SHIFT} THEN (pick // {_SHIFT})::INT ELSE t.id END AS id,
-            lag(t.p) OVER (PARTITION BY t.w ORDER BY t.p) AS before, pick % {_SHIFT} AS spot
-     FROM t JOIN best USING (w))
-   SELECT step, w, p, id, lead(id) OVER (PARTITION BY w ORDER BY p) FROM joined WHERE before IS NULL OR before <> spot))
-SELECT w, list(t.id ORDER BY p) AS ids FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step) GROUP BY w
+     SELECT w, min(m.id * {_SHIFT} + p) AS pick, arg_min(q, m.id * {_SHIFT} + p) AS second FROM t JOIN merges m USING (l, r) GROUP BY w)
+   SELECT step + 1, w, CASE WHEN p = second THEN pick % {_SHIFT} ELSE p END, q,
+          CASE WHEN p = second THEN (pick // {_SHIFT})::INT ELSE l END, CASE WHEN q = pick % {_SHIFT} THEN (pick // {_SHIFT})::INT ELSE r END
+   FROM t JOIN best USING (w) WHERE p <> pick % {_SHIFT}))
+SELECT w, list(l ORDER BY p) AS ids, string_agg(v.hex, '' ORDER BY p) AS body
+FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step) JOIN vocabulary v ON v.id = l GROUP BY w
 """
 _DECODE = "SELECT w, string_agg(v.hex, '' ORDER BY p) AS body FROM start JOIN vocabulary v USING (id) GROUP BY w"
 
 
+def give_back() -> None:
+    """Returns freed memory to the system when a task ends, as the worker may wait long for its next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Kept:
     """A table of at most 2 * most entries: the entries used since the last turn, and those of the turn before."""
 
@@ -75,8 +86,9 @@ def take_ranges(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) ->
     total = int(lengths.sum())
     if not total:
         return values[:0]
-    at = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
-    at += np.arange(total)
+    kind = np.int32 if max(total, len(values)) < 2**31 else np.int64
+    at = np.repeat((starts - (np.cumsum(lengths) - lengths)).astype(kind), lengths)
+    at += np.arange(total, dtype=kind)
     return values[at]
 
 
@@ -84,7 +96,6 @@ class Codec:
     """Encodes and decodes by the rank file's content and the split pattern."""
 
     def __init__(self, ranks: bytes, pattern: str):
-        import duckdb
         import regex
 
         self.ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in ranks.splitlines() if line)}
@@ -93,23 +104,43 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.unsafe = regex.compile(r"\s ").search
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        self._table("merges", l=pa.array([x[0] for x in pairs], pa.int32()), r=pa.array([x[1] for x in pairs], pa.int32()), id=pa.array([x[2] for x in pairs], pa.int64()))
-        self._table("vocabulary", id=pa.array(list(self.tokens), pa.int32()), hex=pa.array([t.hex() for t in self.tokens.values()]))
+        self.pairs = [np.array(x) for x in zip(*pairs)]
+        self.con = None
         self.words, self.units = Kept(WORDS_KEPT), Kept(UNITS_KEPT)
         decimals = [f"{i} ".encode() for i in range(max(self.tokens) + 1)]
         self.decimal, self.decimal_length = np.frombuffer(b"".join(decimals), np.uint8), np.array([len(d) for d in decimals])
         self.decimal_start = np.cumsum(self.decimal_length) - self.decimal_length
 
+    def _open(self) -> None:
+        import duckdb
+
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        l, r, joint = self.pairs
+        self._table("merges", l=pa.array(l, pa.int32()), r=pa.array(r, pa.int32()), id=pa.array(joint, pa.int64()))
+        self._table("vocabulary", id=pa.array(list(self.tokens), pa.int32()), hex=pa.array([t.hex() for t in self.tokens.values()]))
+
+    def rest(self) -> None:
+        """Gives the memory of a task back: the worker may wait while other stages need it."""
+        self.words, self.units = Kept(WORDS_KEPT), Kept(UNITS_KEPT)
+        if self.con is not None:
+            self.con.close()
+        self.con = None
+        give_back()
+
     def _table(self, name: str, **columns) -> None:
         self.con.register("incoming", pa.table(columns))
         self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
         self.con.unregister("incoming")
 
     def _rows(self, sql: str, ids: np.ndarray, lengths: np.ndarray) -> dict:
+        if self.con is None:
+            self._open()
         w = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         p = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.con.register("start", pa.table({"w": w, "p": p, "id": ids.astype(np.int32)}))
+        after = np.full(len(ids), -1, np.int32)
+        after[:-1] = ids[1:]
+        after[np.cumsum(lengths)[lengths > 0] - 1] = -1
+        self.con.register("start", pa.table({"w": w, "p": p, "q": p + 1, "id": ids.astype(np.int32), "next_id": after}))
         found = self.con.sql(sql).to_arrow_table()
         self.con.unregister("start")
         return found
@@ -128,11 +159,13 @@ class Codec:
                 lists = found["ids"].combine_chunks()
                 flat, ends = lists.flatten().to_numpy().astype("<i4"), np.cumsum(lists.value_lengths().to_numpy())
                 packed, ends = flat.tobytes(), (4 * ends).tolist()
-                self.words.new.update((new[part[w]], packed[a:b]) for w, a, b in zip(found["w"].to_pylist(), [0, *ends], ends))
+                decoded = map(bytes.fromhex, found["body"].to_pylist())
+                self.words.new.update((new[part[w]], (packed[a:b], body)) for w, a, b, body in zip(found["w"].to_pylist(), [0, *ends], ends, decoded))
                 size, a = 0, e + 1
         for k, b in enumerate(bodies):
             if len(b) > LONG_WORD:
-                self.words.new[new[k]] = np.array(self._heap(b), "<i4").tobytes()
+                ids = self._heap(b)
+                self.words.new[new[k]] = np.array(ids, "<i4").tobytes(), b"".join(self.tokens[i] for i in ids)
 
     def _heap(self, body: bytes) -> list[int]:
         n = len(body)
@@ -164,10 +197,14 @@ class Codec:
         """Encodes and decodes text between spaces: the count of its ids, the ids and their bytes, in one value."""
         parts = [self.find(u[1:]) if u[:1] == "\0" else self.find(" " + u) for u in new]
         self.learn(self.words.missing({w for p in parts for w in p}))
-        words = self.words.new
-        ids = [b"".join([words[w] for w in p]) for p in parts]
-        for u, i, body in zip(new, ids, self.decode([np.frombuffer(i, "<i4") for i in ids])):
-            self.units.new[u] = len(i).to_bytes(4, "little") + i + body
+        words, units = self.words.new, self.units.new
+        for u, p in zip(new, parts):
+            if len(p) == 1:
+                i, body = words[p[0]]
+            else:
+                found = [words[w] for w in p]
+                i, body = b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
+            units[u] = len(i).to_bytes(4, "little") + i + body
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids of the texts and each text's offset in them; the same of the decoded bytes.
@@ -200,8 +237,9 @@ class Codec:
             for k, t in odd.items():
                 pieces = self.find(t)
                 self.learn(self.words.missing(set(pieces)))
-                ids[k] = np.frombuffer(b"".join([self.words.new[w] for w in pieces]), "<i4")
-                body[k] = np.frombuffer(self.decode([ids[k]])[0], np.uint8)
+                found = [self.words.new[w] for w in pieces]
+                ids[k] = np.frombuffer(b"".join([x[0] for x in found]), "<i4")
+                body[k] = np.frombuffer(b"".join([x[1] for x in found]), np.uint8)
             id_at, body_at = (np.cumsum([0, *map(len, x)]) for x in (ids, body))
             ids, body = np.concatenate(ids), np.concatenate(body)
         return ids, id_at, body, body_at
@@ -242,7 +280,7 @@ def _read(path: str | None, pattern: str | None) -> tuple[bytes, str]:
         return f.read(), pattern or public_tokenizers.PATTERN
 
 
-def _parts(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, column: str, most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
     from ._text import slices
 
     return slices(batch, column, most)
@@ -270,7 +308,8 @@ def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, i
                 if digests:
                     columns.append(pa.array([hashlib.sha256(d).hexdigest() for d in codec.decimals(i, i_at)]))
                     columns.append(pa.array([hashlib.sha256(b[x:y]).hexdigest() for x, y in zip(b_at, b_at[1:])]))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], schema=None, names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=schema.names)
+        codec.rest()
 
     return source.mapInArrow(run, schema)
 
