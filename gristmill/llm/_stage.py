@@ -41,8 +41,10 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
+        schema = df.schema
+        del df  # else its shuffle files stay for one step more
         free(self.spark)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -55,7 +57,9 @@ class Scratch:
 
 
 def free(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps: it does so when the driver collects their handles."""
+    """Lets Spark delete the shuffle files of finished steps: it does so when the driver collects their handles, and its
+    scheduler holds the last job's until the next one."""
+    spark.range(0, 1, 1, 1).collect()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
