@@ -1,0 +1,402 @@
+"""Each operator against a brute-force version, on rows that hold the odd cases, and on an empty table."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def rows_of(docs):
+    return [(r.doc_id, r.text or "", r.source) for r in docs.select("doc_id", "text", "source").collect()]
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t)
+
+
+# 3
+def brute_quality(t):
+    w = WORDS.findall(t)
+    lines = [x for x in t.split("\n") if WORDS.search(x)]
+    c = collections.Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    rep = {k for i in range(len(w) - 7) if c[tuple(w[i : i + 8])] > 1 for k in range(i, i + 8)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(rep)
+
+
+def test_host_quality(docs, empty):
+    from gristmill.llm import host_quality as H
+
+    got = H.judge(docs).select("doc_id", "text", "source", "_quality.*", F.col("quality").alias("own")).collect()
+    assert len(got) == docs.count() and {r.own for r in got} == {"own"}
+    fails = collections.defaultdict(list)
+    for r in got:
+        m = brute_quality(r.text or "")
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == m
+        assert r.base_failed == (m[0] < 20 or 100 * m[4] > 30 * m[0])
+        if r.source:
+            fails[r.source].append(r.base_failed)
+    rates = [np.mean(x) for x in fails.values()]
+    mean, var = np.mean(rates), np.var(rates)
+    k = max(1, mean * (1 - mean) / var - 1)
+    for r in got:
+        if r.source:
+            assert math.isclose(r.host_rate, (sum(fails[r.source]) + mean * k) / (len(fails[r.source]) + k))
+        assert r.kept == (not r.base_failed and not (r.source and r.host_rate > 0.5))
+    assert H.judge(empty).count() == 0
+
+
+def test_bad_host(spark):
+    from gristmill.llm import host_quality as H
+
+    good, bad = " ".join(f"w{k}" for k in range(30)), "too short"
+    rows = [(k, bad if k % 10 else good, "bad") for k in range(100)] + [(200 + k, good, f"good{k % 5}") for k in range(100)] + [(400, bad, "once")]
+    got = H.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), keep=["doc_id", "source"]).select("source", "quality.*").collect()
+    assert not any(r.kept for r in got if r.source == "bad") and all(r.kept for r in got if r.source.startswith("good"))
+
+
+# 4
+def brute_lines(rows, percent=80, least=3):
+    first, order = {}, []
+    for i, t in sorted(set(rows), key=lambda r: (-1 if r[0] is None else r[0])):
+        for n, x in enumerate(t.split("\n")):
+            w = WORDS.findall(x.lower())
+            if len(w) >= least and x.lower() not in first:
+                first[x.lower()] = (i, n)
+                order.append((i, n, frozenset(w)))
+    gone = set()
+    for b, (i, n, w) in enumerate(order):
+        for _, _, v in order[:b]:
+            c = len(w & v)
+            if 100 * c >= percent * (len(w) + len(v) - c):
+                gone.add((i, n))
+                break
+    kept = {p for p in first.values()} - gone
+    return {i: "\n".join(x for n, x in enumerate(t.split("\n")) if len(WORDS.findall(x)) < least or (i, n) in kept) for i, t in rows}
+
+
+def test_line_dedup(docs, empty):
+    from gristmill.llm import line_dedup as L
+
+    plain = docs.where("text is null or not (text rlike '[\\\\u0085\\\\u00a0\\\\x1c]')")
+    want = brute_lines([(i, t) for i, t, _ in rows_of(plain)])
+    got = L.dedup_lines(plain).select("doc_id", "text", "n_removed").collect()
+    assert len(got) == plain.count()
+    for r in got:
+        assert (r.text or "") == want[r.doc_id], r.doc_id
+    assert sum(r.n_removed for r in got) > 0
+    assert L.dedup_lines(empty).count() == 0
+
+
+def test_line_variants(spark):
+    """Many variants of one line, and a chain in which only neighbours match."""
+    from gristmill.llm import line_dedup as L
+
+    base = [f"t{k}" for k in range(20)]
+    rows = [(k, " ".join([*base[: k % 20], f"v{k}", *base[k % 20 + 1 :]])) for k in range(120)]
+    chain = [f"c{k}" for k in range(40)]
+    rows += [(500 + k, " ".join(chain[k : k + 20])) for k in range(0, 20, 2)]
+    got = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows)
+
+
+# 5
+def test_range_shards(docs, empty):
+    from gristmill.llm import range_shards as S
+
+    got = S.assign(docs, 4, ranges_per_shard=8).collect()
+    want = sorted(((i is not None, i), len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t, _ in rows_of(docs.fillna({"doc_id": -1})))
+    assert sorted(((r.doc_id if r.doc_id is not None else -1), r.size, r.text_crc32) for r in got) == [(i[1], s, c) for i, s, c in want]
+    slots = collections.defaultdict(list)
+    total = collections.Counter()
+    for r in got:
+        slots[r.shard].append(r.slot)
+        total[r.shard] += r.size
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    biggest = max(r.size for r in got)
+    assert max(total.values()) - min(total[k] for k in range(4)) <= 2 * biggest
+    assert S.assign(empty).count() == 0
+
+
+def test_hot_texts(spark):
+    from gristmill.llm import range_shards as S
+
+    rows = [(k, "same text " * 20 if k % 3 else f"text {k} " * 20) for k in range(3000)]
+    got = S.assign(spark.createDataFrame(rows, "doc_id long, text string"), 8, ranges_per_shard=16).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    assert len(got) == 8 and max(r.b for r in got) - min(r.b for r in got) <= 500
+
+
+# 6
+def test_poisson_mix(docs, empty, spark):
+    from gristmill.llm import poisson_mix as M
+
+    out = M.mix(docs, weights={"src0": 0.0, "src1": 1.0, "src2": 1.0, None: 0.5}).select("doc_id", "source").collect()
+    assert "src0" not in {r.source for r in out} and len(out) > 20
+    assert M.mix(docs, marks=False).columns == docs.columns
+    assert M.mix(empty).count() == 0
+    many = spark.range(30000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 30 == 1, "c").otherwise("b").alias("source"))
+    counts = {r.source: r.n for r in M.mix(many, weights={"a": 2, "b": 1, "c": 1}).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert abs(counts["a"] / 15000 - 1) < 0.05 and abs(counts["b"] / 7500 - 1) < 0.05 and abs(counts["c"] / 7500 - 1) < 0.1
+    again = [r.doc_id for r in M.mix(many).select("doc_id").collect()]
+    assert again == [r.doc_id for r in M.mix(many.repartition(7)).select("doc_id").collect()]
+
+
+# 7
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_spans(t):
+    out = []
+    for k, (kind, p) in enumerate(PATTERNS.items()):
+        for m in re.finditer(p, t):
+            d = re.sub("[^0-9]", "", m[0])
+            luhn = sum(v - 9 * (v > 9) for i, c in enumerate(reversed(d)) for v in [int(c) * (1 + i % 2)]) % 10 == 0
+            if not (kind == "ip" and any(int(x) > 255 for x in m[0].split(".")) or kind == "card" and not (14 <= len(d) <= 19 and luhn) or kind == "phone" and not 10 <= len(d) <= 15):
+                out.append((m.start(), k, m.end(), kind))
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(out))
+
+
+def test_base_spans(spark, docs):
+    import random
+
+    from gristmill.llm import disclosure as D
+
+    r = random.Random(5)
+    texts = ["a@b.c_d@e.f x@y a@b@c.d", "1.2.3.4.5.6.7.8 999.1.1.1 01.002.3.255", "4111 1111 1111 1111 4111-1111-1111-1111-", "+1 (555) 123-4567. +12 +1234567890123456"]
+    texts += ["".join(r.choice("a1.@-+ 2()é4_\n") for _ in range(r.randint(1, 200))) for _ in range(300)] + ["".join(r.choice("1234 -0") for _ in range(r.randint(1, 60))) for _ in range(300)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", D.listed(D.base_spans(F.col("t"))).alias("s")).collect()
+    assert all(x.s == brute_spans(x.t) for x in got)
+
+
+def test_disclosure(spark, docs, empty):
+    from gristmill.llm import disclosure as D
+
+    filler = [f"f{k}" for k in range(50)]
+    rows = [(k, f"{' '.join(filler[k % 30 : k % 30 + 15])} the captain xylo writes from {'x' * (k + 1)} boss@ship.org each day the {k}") for k in range(8)]
+    rows += [(100 + k, f"the day {' '.join(filler)} the each writes from captain {k}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = D.find(df, reach=30).collect()
+    terms = {rows[r.id][1][t.start : t.end] for r in found if r.id < 8 for t in r.terms}
+    assert "xylo" in terms and not terms & {"the", "from", "each"}
+    assert not any(r.terms or r.base for r in found if r.id >= 100)
+    clean = D.sanitise(df, reach=30).where("doc_id = 1").first().sanitised
+    assert "boss@ship.org" not in clean and "[EMAIL]" in clean and "xylo" not in clean
+    out = D.sanitise(docs)
+    assert out.count() == docs.count() and out.columns[-1] == "_sanitised"
+    assert D.find(empty).count() == 0
+
+
+# 8
+def test_pivot_search(spark):
+    from gristmill.llm import pivot_search as S
+
+    g = np.random.default_rng(2)
+    vectors = [(k, g.normal(size=8).tolist()) for k in range(900)]
+    vectors += [(1000 + k, [0.5] * 8) for k in range(700)] + [(2000, None), (2100, []), (2200, [float("nan")] * 8), (2300, [1.0] * 7 + [None]), (2400, [1.0, 2.0]), (2500, [3.0, 1.0]), (None, [1.0] * 8)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>").withColumn("cell", F.lit("own"))
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in S.search(df, lambda i: i % 100 == 0, block_rows=64, pivots=6, annuli=4).collect()}
+    x = {i: np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int) for i, v in vectors if i is not None and v and None not in v and np.isfinite(v).all()}
+    want = {}
+    for q in (i for i in x if i % 100 == 0):
+        s = sorted(((-int(x[q] @ x[v]), v) for v in x if v != q and len(x[v]) == len(x[q])))[:10]
+        want |= {(q, k + 1): (v, -s_) for k, (s_, v) in enumerate(s)}
+    assert got == want
+    assert S.search(df.limit(0), lambda i: i % 100 == 0).count() == 0
+
+
+# 9
+def brute_classes(rows, size):
+    sets = {}
+    for i, t in rows:
+        w = WORDS.findall(lower(t))
+        sets[i] = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set()
+    ids = sorted(i for i in sets if i is not None)
+    label = {i: i for i in ids}
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            c = len(sets[a] & sets[b])
+            if a < b and c and 100 * c >= 80 * (len(sets[a]) + len(sets[b]) - c):
+                x, y = sorted((find(a), find(b)))
+                label[y] = x
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+@pytest.mark.parametrize("size", [4, 5])
+def test_superminhash(docs, size):
+    from gristmill.llm import superminhash as S
+
+    want = brute_classes([(i, t) for i, t, _ in rows_of(docs)], size)
+    got = S.classes(docs, shingle=size).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        if r.doc_id is None:
+            assert r.component_id is None and r.kept
+        else:
+            assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
+
+
+def test_near_copies(spark, empty):
+    """A group whose members are mostly linked through its original alone, and a chain."""
+    from gristmill.llm import superminhash as S
+
+    base = [f"b{k}" for k in range(150)]
+    rows = [(1, " ".join(base))]
+    for k in range(60):
+        w = list(base)
+        for j in range(1 + k % 8):
+            w[(17 * k + 19 * j) % 150] = f"n{k}_{j}"
+        rows.append((10 + k, " ".join(w)))
+    chain = [f"c{k}" for k in range(400)]
+    rows += [(200 + k, " ".join(chain[8 * k : 8 * k + 120])) for k in range(20)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in S.classes(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()}
+    assert got == brute_classes(rows, 4)
+    assert S.classes(empty).count() == 0
+
+
+def test_signatures():
+    """Equal registers estimate Jaccard, with less variance than independent hashes."""
+    from gristmill.llm import superminhash as S
+
+    g = np.random.default_rng(1)
+    errors = []
+    for _ in range(60):
+        x = g.integers(0, 2**63, 120, dtype=np.uint64)
+        h = np.concatenate([np.sort(x[:100]), np.sort(x[20:])])
+        r = S.signatures(h, np.array([0, 100, 200]), 128)
+        errors.append((r[0] == r[1]).mean() - 80 / 120)
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < math.sqrt(80 / 120 * 40 / 120 / 128)
+    tiny = S.signatures(np.array([5, 9], np.uint64), np.array([0, 1, 2, 2]), 128)
+    assert (tiny[:2] < np.uint64(2**63)).all() and (tiny[2] == np.uint64(2**63)).all()
+
+
+# 10
+def tiktoken_encoding():
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_byte_bpe(docs, empty):
+    from gristmill.llm import byte_bpe as B
+
+    enc = tiktoken_encoding()
+    out = B.encode(docs, digests=True)
+    got = out.select("doc_id", "text", F.col("ids").alias("own"), "_ids", "_n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert len(got) == docs.count()
+    for r in got:
+        want = enc.encode_ordinary(r.text or "")
+        assert r._ids == want and r._n_tokens == len(want) and r.own == "own"
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+    back = B.decode(out.select("text", F.col("_ids").alias("i")), "i").collect()
+    assert all(bytes(r.decoded) == (r.text or "").encode() for r in back)
+    assert B.encode(empty).count() == 0
+
+
+# 2
+def test_range_coder(docs, empty, spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from gristmill.llm import range_coder as C
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    one = docs.dropDuplicates(["doc_id"])
+    C.write_ids(one, f"file://{tmp_path}/ids")
+    got = C.read_ids(spark, f"file://{tmp_path}/ids").orderBy("start").collect()
+    at = 0
+    rows = sorted(rows_of(one), key=lambda r: (r[0] is not None, r[0] or 0))
+    for r, (i, text, _) in zip(got, rows, strict=True):
+        want = t.encode(text, add_special_tokens=False).ids + [1]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids) == (i, at, len(want), want)
+        assert r.ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
+        at += len(want)
+    C.write_ids(empty, f"file://{tmp_path}/none")
+    assert C.read_ids(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_coder_round_trip():
+    from gristmill.llm import range_coder as C
+
+    g = np.random.default_rng(4)
+    for ids in (np.zeros(0, np.int64), np.array([49407]), np.zeros(5000, np.int64), g.integers(0, 49408, 5000), np.tile(g.integers(0, 49408, 300), 20), g.integers(0, 200_000, 3000), np.minimum(49407, g.zipf(1.3, 20000))):
+        payload = C.pack(ids)
+        assert np.array_equal(C.unpack(payload, len(ids)), ids)
+    assert len(payload) < 2 * len(ids)
+    broken = bytearray(payload)
+    broken[len(broken) // 2] ^= 4
+    with pytest.raises(ValueError):
+        C.unpack(bytes(broken), len(ids))
+
+
+# 1
+def brute_tree(rows, depth=2, divergence=2.0):
+    docs = [(i, WORDS.findall(lower(t)) + [None]) for i, t in rows]
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 5 == 1
+    train = [d for i, d in docs if not held(i)]
+    c = collections.Counter(w for d in train for w in d)
+    n, v = sum(c.values()), len(c)
+    after = [None] + [collections.defaultdict(collections.Counter) for _ in range(depth)]
+    for d in train:
+        q = ["<s>", *d]
+        for k in range(1, depth + 1):
+            for i in range(k, len(q)):
+                after[k][tuple(q[i - k : i])][q[i]] += 1
+    kept = set()
+
+    def prob(hist, w, most):
+        p = (c[w] + 0.5) / (n + 0.5 * (v + 1))
+        for k in range(1, min(most, len(hist)) + 1):
+            s = tuple(hist[-k:])
+            if s in kept:
+                f = after[k][s]
+                p = (f[w] + len(f) * p) / (sum(f.values()) + len(f))
+        return p
+
+    for k in range(1, depth + 1):
+        new = set()
+        for s, f in after[k].items():
+            m = sum(f.values())
+            if m >= 2:
+                gain = 0
+                for w, x in f.items():
+                    p = 2 ** (-min(255, round(-8 * math.log2(prob(list(s), w, k - 1)))) / 8)
+                    rest = len(f) - (x == 1)
+                    gain += x * math.log(max((x - 1 + rest * p) / (m - 1 + rest), 1e-300) / p)
+                if gain >= divergence:
+                    new.add(s)
+        kept |= new
+    for i, d in docs:
+        q = ["<s>", *d]
+        base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in d)
+        yield i, held(i), len(d), sum(c[w] > 0 for w in d), n, base, sum(math.log10(prob(q[max(0, j - depth) : j], q[j], depth)) for j in range(1, len(q)))
+
+
+def test_suffix_tree(docs, empty):
+    from gristmill.llm import suffix_tree as T
+
+    key = lambda r: (r[0] is not None, r[0] or 0, r[2])
+    want = sorted(brute_tree([(i, t) for i, t, _ in rows_of(docs)]), key=key)
+    got = sorted((tuple(r) for r in T.score(docs, slice_bytes=4000, part_bytes=4000).collect()), key=key)
+    assert len(got) == len(want)
+    for a, b in zip(got, want):
+        assert a[:5] == b[:5]
+        assert math.isclose(a[5], b[5], rel_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-6)
+    assert sum(r[6] for r in got if r[1]) > sum(r[5] for r in got if r[1])  # held out, it tells more than single words
+    assert T.score(empty).count() == 0
