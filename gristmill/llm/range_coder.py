@@ -34,155 +34,166 @@ _MAGIC = b"CMR1"
 _SCALE = 20  # bits of the mixed distribution over predictions and id ranges
 _RANGES = 512
 _RANGE_SCALE = 15
-_REFRESH = 128  # ids between refreshes of the order-0 distribution
+_REFRESH, _EARLY = 256, (32, 64, 128)  # ids between refreshes of the order-0 distribution, and the first ones
 _H1, _H2 = 1024, 2048
 _U = np.uint64
 
 
 class _Model:
-    """The predictions of all lanes. Encoder and decoder make the same calls in the same order."""
+    """The predictions of all lanes. Encoder and decoder make the same calls in the same order.
+
+    A table entry is an id and, in four bits, how often it has come in a row; rates are learned for each such count."""
 
     def __init__(self, lanes: int, low_bits: int):
-        self.low = low_bits
-        self.n = lanes
+        self.low, self.n = low_bits, lanes
         lane = np.arange(lanes)
         self.at1, self.at2, self.at_conf, self.at_range = lane * _H1, lane * _H2, lane * 16, lane * (_RANGES + 1)
-        self.id1, self.id2 = np.zeros(lanes * _H1, np.int32), np.zeros(lanes * _H2, np.int32)
-        self.conf1, self.conf2 = np.zeros(lanes * _H1, np.int8), np.zeros(lanes * _H2, np.int8)
-        base = np.minimum(65000, 2000 + 4000 * np.arange(16))
-        self.rate1, self.rate2 = (np.tile(base.astype(np.int64), lanes) for _ in range(2))
+        self.table1, self.table2 = np.zeros(lanes * _H1, np.int32), np.zeros(lanes * _H2, np.int32)
+        base = np.minimum(32500, 1000 + 2000 * np.arange(16)).astype(np.int32)
+        self.rate1, self.rate2 = np.tile(base, lanes), np.tile(base, lanes)
         self.counts = np.zeros((lanes, _RANGES), np.int32)
         self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.refresh(None)
-
-    def refresh(self, recent: np.ndarray | None) -> None:
-        """Order-0 frequencies of id ranges, with the ids (steps x lanes) since the last refresh."""
-        if recent is not None:
-            np.add.at(self.counts.reshape(-1), ((recent >> self.low) + np.arange(self.n) * _RANGES).reshape(-1), 1)
-        total = np.maximum(1, self.counts.sum(1, dtype=np.int64))[:, None]
-        share = 1 + self.counts * np.int64((1 << _RANGE_SCALE) - _RANGES) // total
-        upto = np.zeros((self.n, _RANGES + 1), np.int64)
+        self.at_count, self.flat_counts = lane * _RANGES, self.counts.reshape(-1)
+        self.refresh()
+
+    def refresh(self) -> None:
+        """Order-0 frequencies of id ranges, from all ids so far."""
+        scale = ((1 << _RANGE_SCALE) - _RANGES) / np.maximum(1, self.counts.sum(1, dtype=np.int64))
+        share = (self.counts * scale[:, None]).astype(np.int32)
+        share += 1
+        upto = np.zeros((self.n, _RANGES + 1), np.int32)
         np.cumsum(share, axis=1, out=upto[:, 1:])
         self.upto = upto.reshape(-1)
 
     def predict(self) -> None:
-        self.s1 = self.at1 + ((self.prev1 * 40503 >> 3) & (_H1 - 1))
-        self.s2 = self.at2 + (((self.prev1 * 40503 + self.prev2 * 60493) >> 4) & (_H2 - 1))
-        self.p1, self.p2 = self.id1[self.s1], self.id2[self.s2]
-        self.c1, self.c2 = self.conf1[self.s1], self.conf2[self.s2]
+        near = self.prev1 * 40503
+        self.s1 = self.at1 + ((near >> 3) & (_H1 - 1))
+        self.s2 = self.at2 + (((near + self.prev2 * 60493) >> 4) & (_H2 - 1))
+        e1, e2 = self.table1[self.s1], self.table2[self.s2]
+        self.p1, self.p2, self.c1, self.c2 = e1 >> 4, e2 >> 4, e1 & 15, e2 & 15
         self.r1, self.r2 = self.at_conf + self.c1, self.at_conf + self.c2
         self.q1, self.q2 = self.rate1[self.r1], self.rate2[self.r2]
-        self.a2 = self.q2 * 15
-        self.a1 = (((1 << _SCALE) - (1 << _RANGE_SCALE) - self.a2) * self.q1 >> 16) + 1
-        self.a1 *= self.p1 != self.p2
+        self.a2 = self.q2 * np.int32(30)
+        rest = np.int32((1 << _SCALE) - (1 << _RANGE_SCALE)) - self.a2
+        self.a1 = (((rest >> 5) * self.q1 >> 10) + 1) * (self.p1 != self.p2)
         self.first = self.a1 + self.a2
-        self.width = (1 << _SCALE) - self.first
-
-    def update(self, x: np.ndarray) -> None:
-        for ids, conf, s, p, c, rate, r, q in ((self.id1, self.conf1, self.s1, self.p1, self.c1, self.rate1, self.r1, self.q1), (self.id2, self.conf2, self.s2, self.p2, self.c2, self.rate2, self.r2, self.q2)):
-            hit = x == p
-            rate[r] = q + ((hit * np.int64(65000) + 200 - q) >> 4)
-            ids[s] = np.where(hit | (c > 1), p, x)
-            conf[s] = np.where(hit, np.minimum(c + 1, 15), c >> 1)
+        self.width = (np.int32(1 << _SCALE) - self.first) >> 5
+
+    def update(self, x: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
+        small = x.astype(np.int32)
+        for table, s, p, c, rate, r, q, hit in ((self.table1, self.s1, self.p1, self.c1, self.rate1, self.r1, self.q1, hit1), (self.table2, self.s2, self.p2, self.c2, self.rate2, self.r2, self.q2, hit2)):
+            rate[r] = q + ((hit * np.int32(32400) + np.int32(100) - q) >> 4)
+            table[s] = np.where(hit | (c > 1), p, small) << 4 | np.where(hit, np.minimum(c + 1, 15), c >> 1)
+        self.flat_counts[self.at_count + (x >> self.low)] += 1
         self.prev2, self.prev1 = self.prev1, x
 
 
-def _bounds(m: _Model, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = m.at_range + r
-    start = m.width * m.upto[at] >> _RANGE_SCALE
-    return m.first + start, (m.width * m.upto[at + 1] >> _RANGE_SCALE) - start
-
-
 def encode_blocks(ids: np.ndarray, size: int, low_bits: int) -> list[bytes]:
     """ids in blocks of `size`, the last filled up with zeros, each coded from a reset state."""
     lanes = -(-len(ids) // size)
     table = np.zeros((lanes, size), np.int64)
     table.reshape(-1)[: len(ids)] = ids
     table = np.ascontiguousarray(table.T)
-    m, total = _Model(lanes, low_bits), _U(_SCALE + low_bits)
+    m, total, mask = _Model(lanes, low_bits), _U(_SCALE + low_bits), (1 << low_bits) - 1
     low, span = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
-    out, end, lane = np.zeros((2 * size + 8, lanes), np.uint32), np.zeros(lanes, np.int64), np.arange(lanes)
+    out, end, lane = np.zeros(((2 * size + 9) * lanes,), np.uint32), np.arange(lanes), np.arange(lanes)
 
-    def emit(at) -> None:
-        out[end[at], at] = low[at] >> _U(48)
-        end[at] += 1
-        low[at] <<= _U(16)
+    def emit(need: np.ndarray) -> None:
+        """A word of each lane that needs it; the others write over theirs later."""
+        nonlocal end
+        out[end] = low >> _U(48)
+        end = end + need * lanes
+        shift = need.astype(_U) << _U(4)
+        np.left_shift(low, shift, out=low)
+        np.left_shift(span, shift, out=span)
 
     for t in range(size):
-        if t and t % _REFRESH == 0:
-            m.refresh(table[t - _REFRESH : t])
+        if t in _EARLY or t and t % _REFRESH == 0:
+            m.refresh()
         x = table[t]
         m.predict()
-        start, many = _bounds(m, x >> low_bits)
-        start = (start << low_bits) + (x & ((1 << low_bits) - 1)) * many
-        is2, is1 = x == m.p2, x == m.p1
-        start[is1] = m.a2[is1] << low_bits
-        many[is1] = m.a1[is1] << low_bits
-        start[is2] = 0
-        many[is2] = m.a2[is2] << low_bits
+        at = m.at_range + (x >> low_bits)
+        a, b = m.width * m.upto[at] >> 10, m.width * m.upto[at + 1] >> 10
+        hit1, hit2 = x == m.p1, x == m.p2
+        many = np.where(hit2, m.a2 << low_bits, np.where(hit1, m.a1 << low_bits, b - a)).astype(_U)
+        start = np.where(hit2, 0, np.where(hit1, m.a2 << low_bits, ((m.first + a) << low_bits) + (x & mask) * (b - a))).astype(_U)
         r = span >> total
-        moved = low + r * start.view(_U)
+        moved = low + r * start
         carry = moved < low
         if carry.any():
-            c = lane[carry]
-            out[end[c] - 1, c] += np.uint32(1)
-        low, span = moved, r * many.view(_U)
-        while len(small := np.flatnonzero(span < _U(1 << 48))):
-            emit(small)
-            span[small] <<= _U(16)
-        m.update(x)
+            c = end[carry] - lanes
+            out[c] += np.uint32(1)
+        low, span = moved, r * many
+        need = span < _U(1 << 48)
+        emit(need)
+        while (need := span < _U(1 << 48)).any():
+            emit(need)
+        m.update(x, hit1, hit2)
     for _ in range(4):
-        emit(lane)
-    for k in range(int(end.max()) - 1, 0, -1):  # carries into words already out
+        emit(np.ones(lanes, bool))
+    count = (end - lane) // lanes
+    out = out.reshape(-1, lanes)
+    for k in range(int(count.max()) - 1, 0, -1):  # carries into words already out
         out[k - 1] += out[k] >> np.uint32(16)
         out[k] &= np.uint32(0xFFFF)
     words = out.astype("<u2").T
-    return [words[k, : end[k]].tobytes() for k in range(lanes)]
+    return [words[k, : count[k]].tobytes() for k in range(lanes)]
 
 
 def decode_blocks(blocks: list[bytes], size: int, low_bits: int) -> np.ndarray:
     """The ids of all blocks, end to end."""
     lanes = len(blocks)
-    m, total = _Model(lanes, low_bits), _U(_SCALE + low_bits)
+    m, total, mask = _Model(lanes, low_bits), _U(_SCALE + low_bits), (1 << low_bits) - 1
     length = np.array([len(b) // 2 for b in blocks])
-    words = np.frombuffer(b"".join(blocks) + bytes(16), "<u2")
-    at, last = np.cumsum(length) - length, np.cumsum(length) - 1
+    words = np.frombuffer(b"".join(blocks) + bytes(64), "<u2").astype(_U)
+    at = np.cumsum(length) - length
+    stop = len(words) - 1
     code = np.zeros(lanes, _U)
     for _ in range(4):
-        code = (code << _U(16)) | words[at].astype(_U)
+        code = (code << _U(16)) | words[at]
         at += 1
     span, table = np.full(lanes, 2**64 - 1, _U), np.zeros((size, lanes), np.int64)
     most = (1 << (_SCALE + low_bits)) - 1
+
+    def draw(need: np.ndarray) -> None:
+        nonlocal at
+        shift = need.astype(_U) << _U(4)
+        np.left_shift(code, shift, out=code)
+        np.left_shift(span, shift, out=span)
+        np.bitwise_or(code, words[np.minimum(at, stop)] * need, out=code)
+        at = at + need
+
     for t in range(size):
-        if t and t % _REFRESH == 0:
-            m.refresh(table[t - _REFRESH : t])
+        if t in _EARLY or t and t % _REFRESH == 0:
+            m.refresh()
         m.predict()
         r = span >> total
         v = np.minimum((code // r).astype(np.int64), most)
-        high = v >> low_bits
-        x = np.where(high < m.a2, m.p2, m.p1).astype(np.int64)
-        start, many = np.where(high < m.a2, 0, m.a2 << low_bits), np.where(high < m.a2, m.a2, m.a1) << low_bits
+        high = (v >> low_bits).astype(np.int32)
+        is2 = high < m.a2
+        x = np.where(is2, m.p2, m.p1).astype(np.int64)
+        start, many = np.where(is2, 0, m.a2.astype(np.int64) << low_bits), np.where(is2, m.a2, m.a1).astype(np.int64) << low_bits
         esc = np.flatnonzero(high >= m.first)
         if len(esc):
-            target, width, base = high[esc] - m.first[esc], m.width[esc], m.at_range[esc]
-            k = np.zeros(len(esc), np.int64)
+            first, width, base = m.first[esc], m.width[esc], m.at_range[esc]
+            target, k = high[esc] - first, np.zeros(len(esc), np.int64)
             for bit in (256, 128, 64, 32, 16, 8, 4, 2, 1):
-                k += bit * ((width * m.upto[base + k + bit] >> _RANGE_SCALE) <= target)
-            a = width * m.upto[base + k] >> _RANGE_SCALE
-            f = (width * m.upto[base + k + 1] >> _RANGE_SCALE) - a
-            a += m.first[esc]
-            low_part = (v[esc] - (a << low_bits)) // f
+                k += bit * ((width * m.upto[base + (k + bit)] >> 10) <= target)
+            at_k = base + k
+            a = width * m.upto[at_k] >> 10
+            f = (width * m.upto[at_k + 1] >> 10) - a
+            begin = (a + first).astype(np.int64) << low_bits
+            low_part = np.minimum((v[esc] - begin) // f, mask)  # over it in damaged blocks alone
             x[esc] = (k << low_bits) + low_part
-            start[esc] = (a << low_bits) + low_part * f
+            start[esc] = begin + low_part * f
             many[esc] = f
-        code -= r * start.view(_U)
-        span = r * many.view(_U)
-        while len(small := np.flatnonzero(span < _U(1 << 48))):
-            code[small] = (code[small] << _U(16)) | words[np.minimum(at[small], last[small])].astype(_U)
-            at[small] += 1
-            span[small] <<= _U(16)
+        code -= r * start.astype(_U)
+        span = r * many.astype(_U)
+        draw(span < _U(1 << 48))
+        while (need := span < _U(1 << 48)).any():
+            draw(need)
         table[t] = x
-        m.update(x)
+        m.update(x, x == m.p1, x == m.p2)
     return table.T.reshape(-1)
 
 
