@@ -1,9 +1,9 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
 A line is the set of its words. Of lines that are equal but for case, the first in order of document id and line number
-stands for all. Words are ordered by rarity (the corpus frequency of their hash bucket, from a table of fixed size); at
+stands for all. Words are ordered by rarity (the corpus frequency of their hash bucket, in a table of fixed size, then their length); at
 80 % Jaccard two sets of n and m words must meet within their first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1 words.
-Lines that meet there pass a length filter, a positional filter and a filter on 64-bit parity maps (their Hamming
+Lines that meet there pass a length filter, a positional filter and a filter on 128-bit parity maps (their Hamming
 distance never exceeds the sets' difference) before Jaccard is verified on the full sets. A line that matches an earlier
 line is removed, whether that one stays or not.
 
@@ -24,7 +24,7 @@ from ._stage import Scratch, fresh
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"
 _BUCKETS = 1 << 16
-_KEY_BITS = 57
+_HASH_BITS = 52
 
 
 def _judged(line: Column, min_words: int) -> Column:
@@ -32,20 +32,28 @@ def _judged(line: Column, min_words: int) -> Column:
 
 
 def _rarity(source: DataFrame) -> Column:
-    """An array of each bucket's rank: the logarithm of its words' count in the corpus. 65,536 entries at any size."""
+    """An array of each bucket's rank, of 65,536 entries at any size: the logarithm of its words' count in the corpus, and
+    0 up to four times the median, which rare words alone fill."""
     words = source.select(F.explode(F.split(F.lower("body"), _SPACE)).alias("w"))
     counts = words.select(F.pmod(F.xxhash64("w"), F.lit(_BUCKETS)).cast("int").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("c"))
-    ranks = [0] * _BUCKETS
+    found = [0] * _BUCKETS
     for b, c in counts.collect():
-        ranks[b] = min(63, max(0, int(c).bit_length()))
-    return F.lit(ranks)
+        found[b] = c
+    usual = 4 * sorted(found)[_BUCKETS // 2]
+    return F.lit([0 if c <= usual else min(31, c.bit_length()) for c in found])
 
 
 def _keys(line: Column, ranks: Column) -> Column:
-    """The distinct words of a line as 63-bit keys: rarity rank, then hash."""
-    hashes = F.transform(F.split(F.lower(F.btrim(line, F.lit(" \t\n\x0b\f\r"))), _SPACE), lambda w: F.xxhash64(w))
-    ranked = F.transform(hashes, lambda h: F.shiftleft(F.get(ranks, F.pmod(h, F.lit(_BUCKETS)).cast("int")).cast("long"), _KEY_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _KEY_BITS) - 1))))
-    return F.sort_array(F.array_distinct(ranked))
+    """The distinct words of a line as keys in order of rarity: the bucket's rank, then the longer word first, then hash."""
+
+    def word(w):
+        return F.shiftleft((63 - F.least(F.length(w), F.lit(63))).cast("long"), _HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+
+    def ranked(k):
+        return F.shiftleft(F.get(ranks, k.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")).cast("long"), _HASH_BITS + 6).bitwiseOR(k)
+
+    words = F.split(F.lower(F.btrim(line, F.lit(" \t\n\x0b\f\r"))), _SPACE)
+    return F.sort_array(F.array_distinct(F.transform(F.transform(words, word), ranked)))
 
 
 def _lines(source: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -55,18 +63,38 @@ def _lines(source: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.select("id", "all", F.explode("wanted").alias("line")).select("id", "line", F.get("all", F.col("line")).alias("t"))
 
 
-def _may_match(percent: int) -> Column:
-    """Filters on (n, pos, sig) and (other_n, other_pos, other_sig); pos counts from 0."""
-    n, m = F.col("n"), F.col("other_n")
+def _bit(key: Column, half: int) -> Column:
+    """The key's bit in one half of a map of 128 bits."""
+    mine = F.shiftright(key, 6).bitwiseAND(F.lit(1))
+    mine = mine if half else mine.bitwiseXOR(F.lit(1))
+    return F.call_function("shiftleft", mine.cast("long"), key.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _may_match(percent: int, mine=F.col, other=lambda c: F.col(f"other_{c}")) -> Column:
+    """Filters on n, pos and the parity maps of both lines; pos counts from 0.
+
+    Length; place, which the first word that both have must pass (it lies in the shorter line's index prefix, and enough
+    follows it); and parity: two maps differ in no more bits than the sets in words."""
+    n, m, at, there = mine("n"), other("n"), mine("pos"), other("pos")
     need = F.ceil((n + m) * percent / (100.0 + percent) - 1e-9)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.least(n - F.col("pos"), m - F.col("other_pos")) >= need - F.least("pos", "other_pos")) & (F.bit_count(F.col("sig").bitwiseXOR(F.col("other_sig"))) <= n + m - 2 * need)
+    alike = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    short = F.least(n, m)
+    place = F.when(n < m, at).when(n > m, there).otherwise(F.least(at, there))
+    index = place <= short - F.ceil(short * (2.0 * percent) / (100.0 + percent) - 1e-9)
+    rest = F.least(n - at, m - there) >= need
+    apart = F.bit_count(mine("s1").bitwiseXOR(other("s1"))) + F.bit_count(mine("s2").bitwiseXOR(other("s2")))
+    return alike & index & rest & (apart <= n + m - 2 * need)
 
 
-def _verified(pairs: DataFrame, source: DataFrame, ranks: Column, percent: int, scratch: Scratch) -> DataFrame:
+def _near_at_hand(kept: DataFrame, most: int = 300_000) -> DataFrame:
+    """A written table of a few numbers a row: to be broadcast if it has at most `most` rows, else joined as it is."""
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, ranks: Column, percent: int, scratch: Scratch) -> DataFrame:
     """(id, line) of the first lines of pairs (id, line, other, other_line) whose Jaccard reaches the threshold."""
-    pairs = scratch.keep(pairs, "pairs")
-    wanted = pairs.select("id", "line").union(pairs.select("other", "other_line")).distinct()
-    sets = scratch.keep(_lines(source, wanted).select("id", "line", _keys(F.col("t"), ranks).alias("k")), "sets")
+    wanted = scratch.keep(pairs.select("id", "line").union(pairs.select("other", "other_line")).distinct(), "wanted")
+    sets = scratch.keep(lines.join(_near_at_hand(wanted), ["id", "line"]).select("id", "line", _keys(F.col("t"), ranks).alias("k")), "sets")
     a = pairs.join(sets, ["id", "line"])
     both = a.join(sets.select(F.col("id").alias("other"), F.col("line").alias("other_line"), F.col("k").alias("other_k")), ["other", "other_line"])
     common = F.size(F.array_intersect("k", "other_k"))
@@ -84,29 +112,47 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", perc
     firsts = lines.select("id", "line", F.xxhash64(low).alias("h1"), F.xxhash64(low, F.lit(1)).alias("h2")).groupBy("h1", "h2").agg(F.min(F.struct("id", "line")).alias("f"))
     firsts = scratch.keep(firsts.select("f.id", "f.line"), "firsts")
 
-    keyed = _lines(source, firsts).select("id", "line", _keys(F.col("t"), ranks).alias("k"))
+    held = scratch.keep(_lines(source, firsts), "lines")
+    keyed = held.select("id", "line", _keys(F.col("t"), ranks).alias("k"))
     n = F.size("k")
     prefix = n - F.floor((n * percent + 99) / 100).cast("int") + 1
-    sig = F.aggregate("k", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    posts = keyed.select("id", "line", n.alias("n"), sig.alias("sig"), F.posexplode(F.slice("k", F.lit(1), prefix)).alias("pos", "token"))
+
+    def parity(half: int) -> Column:
+        return F.aggregate("k", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(_bit(k, half)))
+
+    posts = keyed.select("id", "line", n.alias("n"), parity(0).alias("s1"), parity(1).alias("s2"), F.posexplode(F.slice("k", F.lit(1), prefix)).alias("pos", "key"))
+    posts = posts.select(F.hash("key").alias("token"), "id", "line", "n", "pos", "s1", "s2")  # equal hashes are more pairs to verify
     order = Window.partitionBy("token").orderBy("id", "line")
-    mine = F.struct("id", "line", "n", "pos", "sig")
-    posts = posts.select("*", F.first(mine).over(order).alias("c"), F.lead("id").over(order).alias("later"))
-    at_first = (F.col("id") == F.col("c.id")) & (F.col("line") == F.col("c.line"))
-    posts = scratch.keep(posts.where(~at_first | F.col("later").isNotNull()).drop("later"), "posts")
-
-    earliest = posts.where(~at_first).select("id", "line", "n", "pos", "sig", *[F.col(f"c.{c}").alias(o) for c, o in (("id", "other"), ("line", "other_line"), ("n", "other_n"), ("pos", "other_pos"), ("sig", "other_sig"))])
-    pairs = earliest.where(_may_match(percent)).select("id", "line", "other", "other_line").distinct()
-    gone = scratch.keep(_verified(pairs, source, ranks, percent, scratch), "gone")
-
-    open_ = posts.where(~at_first).join(gone, ["id", "line"], "left_anti")
-    other = posts.select("token", F.col("id").alias("other"), F.col("line").alias("other_line"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("sig").alias("other_sig"))
-    before = (F.col("other") < F.col("id")) | ((F.col("other") == F.col("id")) & (F.col("other_line") < F.col("line")))
-    new = (F.col("other") != F.col("c.id")) | (F.col("other_line") != F.col("c.line"))
-    pairs = open_.join(other, "token").where(before & new & _may_match(percent)).select("id", "line", "other", "other_line").distinct()
-    gone = gone.union(_verified(pairs, source, ranks, percent, scratch))
+    mine = ("id", "line", "n", "pos", "s1", "s2")
+    posts = posts.select("*", F.first(F.struct(*mine)).over(order).alias("c"), F.lead("id").over(order).alias("later"))
+    first = (F.col("id") == F.col("c.id")) & (F.col("line") == F.col("c.line"))
+    posts = posts.where(~first | F.col("later").isNotNull()).select("token", *mine, first.alias("first"), *[F.col(f"c.{c}").alias(f"other_{c}") for c in mine])
+    near = ~F.col("first") & _may_match(percent)
+    probe = F.when(F.col("first") | near, 0).otherwise(1)
+    posts = scratch.keep(posts.select("token", *mine, probe.alias("probe"), F.when(near, F.col("other_id")).alias("other"), F.when(near, F.col("other_line")).alias("other_line")), "posts")
+
+    # Against the earliest line that has the word, where the filters let the pair through.
+    pairs = scratch.keep(posts.where("other_line is not null").select("id", "line", "other", "other_line").distinct(), "pairs")
+    gone = scratch.keep(_verified(pairs, held, ranks, percent, scratch), "gone")
+    left = scratch.keep(pairs.select("id", "line").distinct().join(gone, ["id", "line"], "left_anti"), "left")
+
+    # Words whose earliest line was no candidate, against all earlier lines; then the few lines that a candidate failed.
+    # Both sides are the same rows, so that one exchange serves both; what concerns one side alone must not part them.
+    rows = posts.select("token", *mine, "probe")
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    before = (b("id") < a("id")) | ((b("id") == a("id")) & (b("line") < a("line")))
+    fits = before & _may_match(percent, a, b)
+    found = rows.alias("a").join(rows.alias("b"), a("token") == b("token")).where(fits & (2 * a("probe") + b("probe") >= 2))
+    again = rows.join(_near_at_hand(left), ["id", "line"]).alias("a").join(rows.alias("b"), a("token") == b("token")).where(fits & (a("probe") + b("probe") >= 0))
+    names = [a("id").alias("id"), a("line").alias("line"), b("id").alias("other"), b("line").alias("other_line")]
+    pairs = found.select(*names).union(again.select(*names)).distinct().join(gone, ["id", "line"], "left_anti")
+    pairs = scratch.keep(pairs, "pairs")
+    scratch.drop(posts)
+    gone = gone.union(_verified(pairs, held, ranks, percent, scratch))
     good = firsts.join(gone, ["id", "line"], "left_anti").groupBy("id").agg(F.collect_list("line").alias("good"))
-    return source, scratch.keep(good, "good")
+    good = scratch.keep(good, "good")
+    scratch.drop(held)
+    return source, good
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 3, counts: bool = True) -> DataFrame:
