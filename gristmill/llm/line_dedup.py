@@ -91,10 +91,10 @@ def _near_at_hand(kept: DataFrame, most: int = 300_000) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= most else kept
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, ranks: Column, percent: int, scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, source: DataFrame, ranks: Column, percent: int, scratch: Scratch) -> DataFrame:
     """(id, line) of the first lines of pairs (id, line, other, other_line) whose Jaccard reaches the threshold."""
     wanted = scratch.keep(pairs.select("id", "line").union(pairs.select("other", "other_line")).distinct(), "wanted")
-    sets = scratch.keep(lines.join(_near_at_hand(wanted), ["id", "line"]).select("id", "line", _keys(F.col("t"), ranks).alias("k")), "sets")
+    sets = scratch.keep(_lines(source, wanted).select("id", "line", _keys(F.col("t"), ranks).alias("k")), "sets")
     a = pairs.join(sets, ["id", "line"])
     both = a.join(sets.select(F.col("id").alias("other"), F.col("line").alias("other_line"), F.col("k").alias("other_k")), ["other", "other_line"])
     common = F.size(F.array_intersect("k", "other_k"))
@@ -131,9 +131,11 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", perc
     probe = F.when(F.col("first") | near, 0).otherwise(1)
     posts = scratch.keep(posts.select("token", *mine, probe.alias("probe"), F.when(near, F.col("other_id")).alias("other"), F.when(near, F.col("other_line")).alias("other_line")), "posts")
 
+    scratch.drop(held)  # verification takes its few lines from the documents, when the postings' exchange is gone
+
     # Against the earliest line that has the word, where the filters let the pair through.
     pairs = scratch.keep(posts.where("other_line is not null").select("id", "line", "other", "other_line").distinct(), "pairs")
-    gone = scratch.keep(_verified(pairs, held, ranks, percent, scratch), "gone")
+    gone = scratch.keep(_verified(pairs, source, ranks, percent, scratch), "gone")
     left = scratch.keep(pairs.select("id", "line").distinct().join(gone, ["id", "line"], "left_anti"), "left")
 
     # Words whose earliest line was no candidate, against all earlier lines; then the few lines that a candidate failed.
@@ -148,11 +150,9 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", perc
     pairs = found.select(*names).union(again.select(*names)).distinct().join(gone, ["id", "line"], "left_anti")
     pairs = scratch.keep(pairs, "pairs")
     scratch.drop(posts)
-    gone = gone.union(_verified(pairs, held, ranks, percent, scratch))
+    gone = gone.union(_verified(pairs, source, ranks, percent, scratch))
     good = firsts.join(gone, ["id", "line"], "left_anti").groupBy("id").agg(F.collect_list("line").alias("good"))
-    good = scratch.keep(good, "good")
-    scratch.drop(held)
-    return source, good
+    return source, scratch.keep(good, "good")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 3, counts: bool = True) -> DataFrame:
