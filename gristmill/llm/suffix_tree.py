@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ._stage import Scratch
 from ._text import flat, mix, slices, word_hashes
+from .byte_bpe import give_back
 
 _END, _START = np.uint64(0xA5A5_1234_5678_9ABC), np.uint64(0x5A5A_8765_4321_CBA9)
 _LOW48 = np.uint64(2**48 - 1)
@@ -70,6 +71,18 @@ def _from_six(data: bytes, n: int, at: int = 0) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _words(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of each word, by pieces of about a megabyte, so that what is in hand stays small."""
+    words, rows, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for batch in table.to_batches():
+        for piece in slices(batch, "text"):
+            h, r = word_hashes(*flat(piece.column("text")))
+            words.append(h)
+            rows.append(r + n)
+            n += piece.num_rows
+    return np.concatenate(words), np.concatenate(rows)
+
+
 class _Slice:
     """The words of a slice in order, each document closed by its end."""
 
@@ -77,9 +90,8 @@ class _Slice:
         table = pa.ipc.open_stream(_whole(row["docs"][0].as_py())).read_all()
         self.column = table["id"]
         self.ids = self.column.to_pylist()
-        data, offsets = flat(table["text"])
-        self.docs = len(offsets) - 1
-        words, rows = word_hashes(data, offsets)
+        words, rows = _words(table)
+        self.docs = table.num_rows
         n = len(words) + self.docs
         self.row = np.zeros(n, np.int64)
         at = np.arange(len(words)) + rows
@@ -240,7 +252,7 @@ def _walk(s: _Slice, answers: dict[tuple[int, int], bytes], depth: int, n: int,
     return base, p, known, None
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", depth: int = 2, divergence: float = 2.0, slice_bytes: int = 10 << 20, part_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", depth: int = 2, divergence: float = 2.0, slice_bytes: int = 9 << 20, part_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-tree")
@@ -324,8 +336,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", depth: in
 
 
 def _three(f):
-    """f with exactly the three parameters that cogrouped functions are told apart by."""
-    return lambda key, left, right: f(key, left, right)
+    """f with exactly the three parameters that cogrouped functions are told apart by; its memory is given back."""
+
+    def run(key, left, right):
+        out = f(key, left, right)
+        give_back()
+        return out
+
+    return run
 
 
 def op1_suffix_tree(spark, sf_dir: str) -> DataFrame:
