@@ -2,7 +2,8 @@
 
 Each source has a mean repetition rate: its target share of the output over its share of the input. A uniform number from
 a seeded hash of the document's id is put through the inverse Poisson distribution of that rate; the document appears
-that many times; and all copies are put in the order of a second seeded hash.
+that many times; and all copies are put in the order of a second seeded hash. The distribution is summed up from
+logarithms, as its terms from 0 on underflow at rates over 700.
 
 Defined cases: a null source is a source of its own; rows of equal id draw alike, a null id draws like any other value;
 an empty table gives no rows; a source of weight 0 disappears; null texts are copied as they are; the added columns are
@@ -39,13 +40,17 @@ def rates(docs: DataFrame, source: str, weights: dict | None, alpha: float, size
     rate = F.col("target") / F.col("all_targets") * F.col("all_documents") * size / F.col("documents")
     rated = counts.join(total, how="cross").select("key", "documents", rate.alias("rate"))
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 30).cast("int")
-    start = F.struct(F.exp(-F.col("rate")).alias("p"), F.exp(-F.col("rate")).alias("upto"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
+    start = F.struct((-F.col("rate")).alias("log_p"), F.exp(-F.col("rate")).alias("upto"), F.array(F.exp(-F.col("rate"))).alias("cdf"))
 
     def step(acc, k):
-        p = acc["p"] * F.col("rate") / k
-        return F.struct(p.alias("p"), (acc["upto"] + p).alias("upto"), F.array_append(acc["cdf"], acc["upto"] + p).alias("cdf"))
+        log_p = acc["log_p"] + F.log(F.col("rate") / k)
+        upto = acc["upto"] + F.exp(log_p)
+        return F.struct(log_p.alias("log_p"), upto.alias("upto"), F.array_append(acc["cdf"], upto).alias("cdf"))
 
-    return rated.where("rate > 0").select("key", "documents", "rate", F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["cdf"]).alias("cdf"))
+    def scaled(acc):  # the logarithms' rounding grows with the rate
+        return F.transform(acc["cdf"], lambda c: c / acc["upto"])
+
+    return rated.where("rate > 0").select("key", "documents", "rate", F.aggregate(F.sequence(F.lit(1), last), start, step, scaled).alias("cdf"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", weights: dict | None = None, alpha: float = 0.5, size: float = 1.0, seed: int = 17, marks: bool = True) -> DataFrame:

@@ -148,6 +148,23 @@ def test_poisson_mix(docs, empty, spark):
     assert again == [r.doc_id for r in M.mix(many.repartition(7)).select("doc_id").collect()]
 
 
+@pytest.mark.parametrize("rate", [0.3, 12.5, 720.0, 1200.0, 5000.0])
+def test_poisson_mix_rates(spark, rate):
+    from gristmill.llm import poisson_mix as M
+
+    few = spark.createDataFrame([(k, "a") for k in range(8)], "doc_id long, source string")
+    found, upto = M.rates(few, "source", None, 0.5, rate).first(), 0.0
+    cdf = found.cdf
+    for k, c in enumerate(cdf):
+        upto += math.exp(k * math.log(found.rate) - found.rate - math.lgamma(k + 1))
+        assert abs(c - upto) < 1e-9
+    assert cdf[-1] == 1
+    draws = [int(hashlib.md5(f"17:{k}".encode()).hexdigest()[:12], 16) / (1 << 48) for k in range(8)]
+    want = {k: sum(c <= u for c in cdf) for k, u in enumerate(draws)}
+    got = collections.Counter(r.doc_id for r in M.mix(few, size=rate).select("doc_id").collect())
+    assert got == {k: n for k, n in want.items() if n} and abs(got.total() - 8 * rate) < 6 * math.sqrt(8 * rate)
+
+
 # 7
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
