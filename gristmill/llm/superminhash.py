@@ -231,9 +231,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle
     labels = components(scratch, edges)
 
     # All pairs of different labels that their common reference does not rule out: what two sets share lies in the
-    # reference, at most the lesser of their shares in it, or is shared outside of it.
+    # reference, at most the lesser of their shares in it, or is shared outside of it. One without a reference, as no
+    # centre meets it in two buckets, rules nothing out.
     refer = first.select(F.col("a").alias("id"), F.col("b").alias("ref"), "common", "outside", *_BITS)
-    posts = scratch.keep(marked(["id", "n", "band", "label"]).join(refer, "id"), "marked")
+    posts = scratch.keep(marked(["id", "n", "band", "label"]).join(refer, "id", "left"), "marked")
     other = posts.select("band", *[F.col(c).alias(f"other_{c}") for c in ("id", "n", "label", "ref", "common", "outside", *_BITS)])
     hits = sum((F.bit_count(F.col(w).bitwiseAND(F.col(f"other_{w}"))) for w in _BITS[1:]), F.bit_count(F.col(_BITS[0]).bitwiseAND(F.col(f"other_{_BITS[0]}"))))
 
@@ -245,7 +246,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle
         most = F.least("common", "other_common") + beyond
         return 100 * most >= percent * (F.col("n") + F.col("other_n") - most)
 
-    open_ = (F.col("ref") != F.col("other_ref")) | (reach(hits + F.least(lost(""), lost("other_"))) & reach(F.size(F.array_intersect("outside", "other_outside"))))
+    open_ = F.coalesce(F.col("ref") != F.col("other_ref"), F.lit(True)) | (reach(hits + F.least(lost(""), lost("other_"))) & reach(F.size(F.array_intersect("outside", "other_outside"))))
     pairs = posts.join(other, "band").where(alike & (F.col("id") < F.col("other_id")) & open_)
     pairs = pairs.groupBy(F.col("id").alias("a"), F.col("other_id").alias("b")).agg(F.count(F.lit(1)).alias("bands")).where("bands > 1").select("a", "b")
     third = _compared(pairs, sets, percent).where("linked").select("a", "b")

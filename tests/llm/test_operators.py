@@ -283,6 +283,19 @@ def test_near_copies(spark, empty):
     assert S.classes(empty).count() == 0
 
 
+def test_near_copies_without_reference(spark, monkeypatch):
+    """Two documents that share two buckets, each of which has another centre that meets them once."""
+    from gristmill.llm import superminhash as S
+
+    words = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-1], "new"])), (3, "a b c d e f"), (4, "g h i j k l"), (5, "m n o p q r"), (6, "s t u v w x")]
+    bands = {1: [1, 2], 2: [1, 2], 3: [1, 3, 4], 4: [2, 5, 6], 5: [3, 4], 6: [5, 6]}
+    signed = [(i, len(t.split()) - 3, i, i, bands[i]) for i, t in rows]
+    monkeypatch.setattr(S, "_signed", lambda docs, *_: docs.sparkSession.createDataFrame(signed, "id long, n long, f1 long, f2 long, bands array<long>"))
+    got = {r.doc_id: r.component_id for r in S.classes(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
+
+
 def test_signatures():
     """Equal registers estimate Jaccard, with less variance than independent hashes."""
     from gristmill.llm import superminhash as S
