@@ -35,7 +35,7 @@ def test_decisions(spark, docs):
 
 def brute_pipeline(rows):
     """(id, digest of the ids) of each copy, by loops over (id, text, source)."""
-    from test_operators import WORDS, brute_classes, brute_lines, brute_quality, tiktoken_encoding
+    from test_llm_operators import WORDS, brute_classes, brute_lines, brute_quality, tiktoken_encoding
 
     fails, bad = collections.defaultdict(list), []
     for _, t, source in rows:
