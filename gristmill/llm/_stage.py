@@ -13,9 +13,11 @@ _left: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a folder of this run."""
+    """spark.checkpoint.dir; where it is unset in a local session, a folder of this run."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gristmill-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -30,6 +32,13 @@ def fresh(taken, name: str) -> str:
     return name
 
 
+def partitions(df: DataFrame, each: int = 256 << 20) -> int:
+    """How many partitions df's rows need by the planner's estimate of their bytes; at least spark.sql.shuffle.partitions."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    fewest = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(fewest, min(size // each + 1, 1_000_000)) if size < 1 << 60 else fewest
+
+
 class Scratch:
     """Writes tables once and reads them again, so that lineage is cut and a lost executor costs no step twice."""
 

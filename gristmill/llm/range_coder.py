@@ -1,15 +1,16 @@
 """Token ids in files, by an adaptive context-mixing range coder.
 
 A segment is a run of whole documents; its ids are cut into blocks that are coded independently, each from a reset state
-and with a checksum of its own. In a block, the id that last followed the same two ids, the id that last followed the
-same one, and the frequencies of id ranges so far (order 2, 1 and 0) predict the next id. Hit rates by confidence weigh
-the predictions; they are learned as coding goes. The mixed distribution drives a 64-bit range coder.
+and with a checksum of its own. Blocks start from the segment's header: how often each id occurs, and the most frequent
+followers of hashed contexts of one and of two ids. In a block, order 0 counts id ranges with fading memory, order 2 keeps
+the id that followed each context last and how often in a row, and three sets of weights say how far the orders are to be
+trusted; all of that is learned as coding goes. The mixed distribution drives a 64-bit range coder.
 
-All blocks of a segment advance together, one numpy lane each, so the coder's cost is a few vector operations an id.
+All blocks of a segment advance together, one numpy lane each, so the coder's cost is some hundred vector operations an id.
 
 Files: Parquet rows of one segment each: part and segment (their order is that of the ids), n_ids, ids and lengths of its
-documents, and payload: magic, ids a block, low bits, blocks; then of each block its size in bytes and CRC-32 of its ids;
-then the blocks. A block that does not decode to its checksum raises.
+documents, and payload: magic, ids a block, blocks, different ids, size and CRC-32 of the header; then of each block its
+size in bytes and CRC-32 of its ids; then the header and the blocks. What does not match its checksum raises.
 
 Defined cases: null and empty texts are the end id alone; null document ids come first; equal ids in any order; an empty
 table gives no rows; extra columns are ignored.
@@ -17,6 +18,8 @@ table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,75 +29,242 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._stage import Scratch
+from ._stage import Scratch, partitions
 from ._text import slices
 from .byte_bpe import Kept, take_ranges
 
-_MAGIC = b"CMR1"
-_SCALE = 20  # bits of the mixed distribution over predictions and id ranges
-_RANGES = 512
-_RANGE_SCALE = 15
-_REFRESH, _EARLY = 256, (32, 64, 128)  # ids between refreshes of the order-0 distribution, and the first ones
-_H1, _H2 = 1024, 2048
+_MAGIC = b"CMR2"
+_K1, _K2 = 8, 3  # followers that the prior holds for a context slot of order 1 and of order 2
+_K = _K1 + _K2 + 1
+_S1, _S2, _S3 = 4096, 4096, 512  # slots of the prior, and of each lane
+_SHARE = 11  # bits of a follower's share
+_ID = 19  # bits of a rank beside it; more different ids than that in one segment are refused
+_UP, _IN = 14, 13  # bits of an id range's share, and of an id's share within its range
+_RANGES = 160
+_SCALE = 20  # bits of the mixture
+_MOST = (1 << _SCALE) - (1 << 13)  # what followers may take of it
+_REFRESH = 256  # ids between refreshes of the order-0 shares
+_LANES, _LEAST_BLOCK, _MOST_BLOCK = 2048, 1024, 1 << 16
 _U = np.uint64
 
 
+class _Prior:
+    """What every block of a segment starts from: the ids that occur with their counts, and the most frequent followers of
+    each context slot, all kept in the segment's header."""
+
+    def __init__(self, names: np.ndarray, counts: np.ndarray, one: np.ndarray, two: np.ndarray):
+        self.names, self.counts, self.one, self.two = names, counts, one, two
+        self._ranges()
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple["_Prior", np.ndarray]:
+        """The prior of ids, and each id's rank among those that occur."""
+        counts = np.bincount(ids)
+        names = np.flatnonzero(counts)
+        ranks, counts = (np.cumsum(counts > 0) - 1)[ids], counts[names]
+        a = np.concatenate([[0], ranks[:-1]])
+        b = np.concatenate([[0], a[:-1]])
+        one = cls._followers(_slot1(a), ranks, len(names), _S1, _K1)
+        return cls(names.astype(np.int64), np.minimum(counts, 2**32 - 1), one, cls._followers(_slot2(a, b), ranks, len(names), _S2, _K2)), ranks
+
+    @staticmethod
+    def _followers(slots: np.ndarray, ranks: np.ndarray, n: int, size: int, k: int) -> np.ndarray:
+        """(k + 1, size): share << 32 | rank of each slot's most frequent followers, and last how often they were right, in
+        eighths. Shares add up to 2**_SHARE at most; an empty place holds rank n."""
+        pair, many = np.unique(slots * n + ranks, return_counts=True)
+        at = pair // n
+        by = np.lexsort((-many, at))
+        pair, many, at = pair[by], many[by], at[by]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        first = (place < k) & (many > 3)
+        all_of, held = np.bincount(at, many, size).astype(np.int64), np.bincount(at[first], many[first], size).astype(np.int64)
+        out = np.full((k + 1, size), n, np.int64)
+        out[place[first], at[first]] = (many[first] << _SHARE) // held[at[first]] << 32 | pair[first] % n
+        out[k] = 8 * held // (all_of + 1)
+        return out
+
+    def _ranges(self) -> None:
+        """Cuts the ids into ranges of near equal counts; shares of ids within a range add up to 2**_IN."""
+        n = len(self.names)
+        upto = np.cumsum(self.counts) - self.counts
+        group = upto * _RANGES // max(1, int(self.counts.sum()))
+        wide = np.arange(n) >> (_IN - 2)  # no range of more ids than there are shares
+        new = np.ones(n, bool)
+        new[1:] = (group[1:] != group[:-1]) | (wide[1:] != wide[:-1])
+        self.range = np.cumsum(new) - 1
+        self.first = np.flatnonzero(new)
+        self.many = len(self.first)
+        self.weight = np.add.reduceat(self.counts, self.first)
+        before = upto - upto[self.first][self.range]
+        within = np.arange(n) - self.first[self.range]
+        size = np.diff(np.append(self.first, n))[self.range]
+        free = (1 << _IN) - size
+        self.start = before * free // self.weight[self.range] + within
+        after = (before + self.counts) * free // self.weight[self.range] + within + 1
+        self.share = after - self.start
+        last = np.append(self.first[1:], n) - 1
+        self.share[last] = (1 << _IN) - self.start[last]
+        self.holder = np.repeat(np.arange(n, dtype=np.int32), self.share)  # the rank at each share of each range
+
+    def tobytes(self) -> bytes:
+        parts = [np.diff(self.names, prepend=0).astype("<u4"), self.counts.astype("<u4")]
+        for table in (self.one, self.two):
+            parts += [(table & 0xFFFFFFFF).astype("<u4"), (table >> 32).astype("<u2")]
+        raw = b"".join(np.ascontiguousarray(p).view(np.uint8).reshape(-1, p.dtype.itemsize).T.tobytes() for p in parts)
+        return zlib.compress(raw, 6)
+
+    @classmethod
+    def frombytes(cls, data: bytes, n: int) -> "_Prior":
+        raw, at, out = zlib.decompress(data), 0, []
+        for many, kind in ((n, "<u4"), (n, "<u4"), ((_K1 + 1) * _S1, "<u4"), ((_K1 + 1) * _S1, "<u2"), ((_K2 + 1) * _S2, "<u4"), ((_K2 + 1) * _S2, "<u2")):
+            width = np.dtype(kind).itemsize
+            out.append(np.frombuffer(raw, np.uint8, many * width, at).reshape(width, many).T.copy().view(kind).reshape(-1).astype(np.int64))
+            at += many * width
+        one, two = (out[k] | out[k + 1] << 32 for k in (2, 4))
+        return cls(np.cumsum(out[0]), out[1], one.reshape(_K1 + 1, _S1), two.reshape(_K2 + 1, _S2))
+
+
+def _slot1(a: np.ndarray) -> np.ndarray:
+    return a % _S1
+
+
+def _slot2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a * 40503 + b * 60493) * 0x9E3779B1 >> 15) & (_S2 - 1)
+
+
+def _sum(rows: np.ndarray) -> np.ndarray:
+    return np.add.reduce(rows, axis=0, dtype=rows.dtype)
+
+
 class _Model:
-    """The predictions of all lanes. Encoder and decoder make the same calls in the same order.
+    """The mixture of all lanes. Encoder and decoder make the same calls in the same order.
 
-    A table entry is an id and, in four bits, how often it has come in a row; rates are learned for each such count."""
+    The unit interval of 2**_SCALE parts holds the followers first, each with the sum of what the orders give it, then the
+    rest, which order 0 shares out. Order 1 and 2 have the shares of the prior; order 2 has besides, for each lane, the id
+    that followed the context last in this block, and how often in a row. The weights of these three are learned in the
+    block, for each pair of levels of how often the slots are right and for each length of the row."""
 
-    def __init__(self, lanes: int, low_bits: int):
-        self.low, self.n = low_bits, lanes
+    def __init__(self, prior: _Prior, lanes: int):
+        self.prior, self.n = prior, lanes
         lane = np.arange(lanes)
-        self.at1, self.at2, self.at_conf, self.at_range = lane * _H1, lane * _H2, lane * 16, lane * (_RANGES + 1)
-        self.table1, self.table2 = np.zeros(lanes * _H1, np.int32), np.zeros(lanes * _H2, np.int32)
-        base = np.minimum(32500, 1000 + 2000 * np.arange(16)).astype(np.int32)
-        self.rate1, self.rate2 = np.tile(base, lanes), np.tile(base, lanes)
-        self.counts = np.zeros((lanes, _RANGES), np.int32)
+        self.lane, self.at_weight, self.at_range, self.at_count, self.at_last = lane, lane * 64, lane * (prior.many + 1), lane * prior.many, lane * _S3
+        self.tables, self.levels = [], []
+        for first in (prior.one, prior.two):
+            self.tables.append(np.ascontiguousarray(((first[:-1] >> 32) << _ID | first[:-1] & 0xFFFFFFFF).T).reshape(-1).astype(np.int32))
+            self.levels.append(first[-1])
+        self.steps = [np.arange(k)[:, None] for k in (_K1, _K2)]
+        self.at = np.zeros((_K1 + _K2, lanes), np.int64)
+        self.e = np.zeros((_K1 + _K2, lanes), np.int32)
+        self.ids, self.mass = np.zeros((_K, lanes), np.int32), np.zeros((_K, lanes), np.int32)
+        self.last = np.zeros(lanes * _S3, np.int32)
+        two, one = np.divmod(np.arange(64), 8)
+        second = 0.08 + 0.1 * two
+        self.weights = [np.tile(w.astype(np.float32), lanes) for w in ((1 - second) * (0.05 + 0.1 * one), second)]
+        self.trust = np.tile((0.02 + 0.9 * np.arange(16) / 18).astype(np.float32), lanes)
+        start = np.maximum(prior.weight * (600.0 / prior.weight.sum()), 0.2).astype(np.float32)
+        self.counts = np.tile(start, (lanes, 1))
+        self.floor = start * np.float32(0.22)
         self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.at_count, self.flat_counts = lane * _RANGES, self.counts.reshape(-1)
-        self.refresh()
-
-    def refresh(self) -> None:
-        """Order-0 frequencies of id ranges, from all ids so far."""
-        scale = ((1 << _RANGE_SCALE) - _RANGES) / np.maximum(1, self.counts.sum(1, dtype=np.int64))
-        share = (self.counts * scale[:, None]).astype(np.int32)
-        share += 1
-        upto = np.zeros((self.n, _RANGES + 1), np.int32)
-        np.cumsum(share, axis=1, out=upto[:, 1:])
-        self.upto = upto.reshape(-1)
+        self.refresh(False)
+
+    def refresh(self, later: bool = True) -> None:
+        """Order-0 shares of id ranges, from the prior and the block so far, whose older part fades."""
+        if later:
+            self.counts *= np.float32(0.78)
+            self.counts += self.floor
+        upto = np.zeros((self.n, self.prior.many + 1), np.float32)
+        np.cumsum(self.counts, axis=1, out=upto[:, 1:])
+        upto *= (np.float32((1 << _UP) - self.prior.many) / upto[:, -1])[:, None]
+        whole = upto.astype(np.int32)
+        np.minimum(whole, (1 << _UP) - self.prior.many, out=whole)
+        whole += np.arange(self.prior.many + 1, dtype=np.int32)
+        whole[:, -1] = 1 << _UP
+        whole += (self.lane[:, None] << (_UP + 1)).astype(np.int32)  # in ascending order over all lanes
+        self.upto, self.flat = whole.reshape(-1), self.counts.reshape(-1)
 
     def predict(self) -> None:
-        near = self.prev1 * 40503
-        self.s1 = self.at1 + ((near >> 3) & (_H1 - 1))
-        self.s2 = self.at2 + (((near + self.prev2 * 60493) >> 4) & (_H2 - 1))
-        e1, e2 = self.table1[self.s1], self.table2[self.s2]
-        self.p1, self.p2, self.c1, self.c2 = e1 >> 4, e2 >> 4, e1 & 15, e2 & 15
-        self.r1, self.r2 = self.at_conf + self.c1, self.at_conf + self.c2
-        self.q1, self.q2 = self.rate1[self.r1], self.rate2[self.r2]
-        self.a2 = self.q2 * np.int32(30)
-        rest = np.int32((1 << _SCALE) - (1 << _RANGE_SCALE)) - self.a2
-        self.a1 = (((rest >> 5) * self.q1 >> 10) + 1) * (self.p1 != self.p2)
-        self.first = self.a1 + self.a2
-        self.width = (np.int32(1 << _SCALE) - self.first) >> 5
-
-    def update(self, x: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
-        small = x.astype(np.int32)
-        for table, s, p, c, rate, r, q, hit in ((self.table1, self.s1, self.p1, self.c1, self.rate1, self.r1, self.q1, hit1), (self.table2, self.s2, self.p2, self.c2, self.rate2, self.r2, self.q2, hit2)):
-            rate[r] = q + ((hit * np.int32(32400) + np.int32(100) - q) >> 4)
-            table[s] = np.where(hit | (c > 1), p, small) << 4 | np.where(hit, np.minimum(c + 1, 15), c >> 1)
-        self.flat_counts[self.at_count + (x >> self.low)] += 1
+        slot1, slot2 = _slot1(self.prev1), _slot2(self.prev1, self.prev2)
+        np.add(slot1 * _K1, self.steps[0], out=self.at[:_K1])
+        np.add(slot2 * _K2, self.steps[1], out=self.at[_K1:])
+        np.take(self.tables[0], self.at[:_K1], out=self.e[:_K1], mode="clip")
+        np.take(self.tables[1], self.at[_K1:], out=self.e[_K1:], mode="clip")
+        e, ids, mass = self.e, self.ids, self.mass
+        np.bitwise_and(e, (1 << _ID) - 1, out=ids[:-1])
+        e >>= _ID
+        self.w_at = self.at_weight + (self.levels[1][slot2] * 8 + self.levels[0][slot1])
+        self.last_at = self.at_last + (slot2 & (_S3 - 1))
+        self.seen = self.last[self.last_at]
+        self.t_at = (self.lane << 4) + (self.seen & 15)
+        ids[-1] = self.seen >> 4
+        self.trusted = self.trust[self.t_at]
+        self.w = [w[self.w_at] for w in self.weights]
+        left = (np.float32(1) - self.trusted) * np.float32(_MOST >> _SHARE)
+        np.multiply(e[:_K1], (self.w[0] * left).astype(np.int32), out=mass[:_K1])
+        np.multiply(e[_K1:], (self.w[1] * left).astype(np.int32), out=mass[_K1:-1])
+        mass[-1] = self.trusted * np.float32(_MOST) * (self.seen > 0)
+        self.own1, self.own2, self.own3 = mass[:_K1].copy(), mass[_K1:-1].copy(), mass[-1].copy()
+        for k in range(_K1, _K):  # a follower of several orders stands at its highest place
+            both = np.equal(ids[:k], ids[k]).astype(np.int32)
+            both *= mass[:k]
+            mass[k] += _sum(both)
+            mass[:k] -= both
+        self.upto_mass = np.cumsum(mass, axis=0, dtype=np.int32)
+        self.taken = self.upto_mass[-1].astype(np.int64)
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and width of ranks x among the followers, and which lanes must ask order 0."""
+        equal = np.equal(self.ids, x.astype(np.int32)).astype(np.int32)
+        self.mine = [_sum(equal[:_K1] * self.own1), _sum(equal[_K1:-1] * self.own2), equal[-1] * self.own3]
+        equal *= self.mass > 0  # one place at most
+        width = _sum(equal * self.mass).astype(np.int64)
+        missed = np.flatnonzero(width == 0)
+        start = _sum(equal * self.upto_mass) - width
+        start[missed] = self.taken[missed]
+        width[missed] = (1 << _SCALE) - self.taken[missed]
+        return start, width, missed
+
+    def zero(self, x: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of the order-0 share of ranks x, of 2**(_UP + _IN)."""
+        at = self.at_range[lanes] + self.prior.range[x]
+        begin = self.upto[at].astype(np.int64)
+        width = self.upto[at + 1] - begin
+        begin -= lanes << (_UP + 1)
+        return (begin << _IN) + width * self.prior.start[x], width * self.prior.share[x]
+
+    def follower(self, v: np.ndarray) -> np.ndarray:
+        """The followers whose places hold v; of v beyond them, anything."""
+        k = _sum((self.upto_mass <= v.astype(np.int32)).view(np.int8))
+        return self.ids[np.minimum(k, _K - 1), self.lane].astype(np.int64)
+
+    def rank(self, q: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+        """The ranks whose order-0 shares hold q."""
+        high = (q >> _IN) + (lanes << (_UP + 1))
+        at = np.searchsorted(self.upto, high.astype(np.int32), "right") - 1
+        low = self.upto[at].astype(np.int64)
+        inner = np.minimum((q - (low - (lanes << (_UP + 1)) << _IN)) // (self.upto[at + 1] - low), (1 << _IN) - 1)
+        return self.prior.holder[(at - self.at_range[lanes] << _IN) + inner]
+
+    def update(self, x: np.ndarray) -> None:
+        one, two, three = self.mine
+        share = np.float32(0.02) / np.maximum(one + two, 1)
+        for weights, w, m in zip(self.weights, self.w, (one, two)):
+            weights[self.w_at] = w * np.float32(0.98) + m * share
+        hit = self.ids[-1] == x
+        right = three / np.maximum(one + two + three, 1).astype(np.float32)
+        self.trust[self.t_at] = self.trusted * np.float32(0.96) + right * np.float32(0.04)
+        row = self.seen & 15
+        self.last[self.last_at] = np.where(hit, (self.seen - row) | np.minimum(row + 1, 15), np.where(row > 2, self.seen - (row + 1 >> 1), x << 4 | 1))
+        self.flat[self.at_count + self.prior.range[x]] += np.float32(1)
         self.prev2, self.prev1 = self.prev1, x
 
 
-def encode_blocks(ids: np.ndarray, size: int, low_bits: int) -> list[bytes]:
-    """ids in blocks of `size`, the last filled up with zeros, each coded from a reset state."""
-    lanes = -(-len(ids) // size)
-    table = np.zeros((lanes, size), np.int64)
-    table.reshape(-1)[: len(ids)] = ids
+def encode_blocks(ranks: np.ndarray, size: int, prior: _Prior) -> list[bytes]:
+    """ranks in blocks of `size`, the last filled up with zeros, each coded from the prior."""
+    lanes = -(-len(ranks) // size)
+    table = np.zeros((lanes, size), np.int32)
+    table.reshape(-1)[: len(ranks)] = ranks
     table = np.ascontiguousarray(table.T)
-    m, total, mask = _Model(lanes, low_bits), _U(_SCALE + low_bits), (1 << low_bits) - 1
+    m = _Model(prior, lanes)
     low, span = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
     out, end, lane = np.zeros(((2 * size + 9) * lanes,), np.uint32), np.arange(lanes), np.arange(lanes)
 
@@ -108,27 +278,28 @@ def encode_blocks(ids: np.ndarray, size: int, low_bits: int) -> list[bytes]:
         np.left_shift(span, shift, out=span)
 
     for t in range(size):
-        if t in _EARLY or t and t % _REFRESH == 0:
+        if t and t % _REFRESH == 0:
             m.refresh()
-        x = table[t]
+        x = table[t].astype(np.int64)
         m.predict()
-        at = m.at_range + (x >> low_bits)
-        a, b = m.width * m.upto[at] >> 10, m.width * m.upto[at + 1] >> 10
-        hit1, hit2 = x == m.p1, x == m.p2
-        many = np.where(hit2, m.a2 << low_bits, np.where(hit1, m.a1 << low_bits, b - a)).astype(_U)
-        start = np.where(hit2, 0, np.where(hit1, m.a2 << low_bits, ((m.first + a) << low_bits) + (x & mask) * (b - a))).astype(_U)
-        r = span >> total
-        moved = low + r * start
+        start, many, missed = m.place(x)
+        r = span >> _U(_SCALE)
+        moved = low + r * start.view(_U)
+        span = r * many.view(_U)
+        start, many = m.zero(x[missed], missed)
+        r = span[missed] >> _U(_UP + _IN)
+        moved[missed] += r * start.view(_U)
+        span[missed] = r * many.view(_U)
         carry = moved < low
         if carry.any():
             c = end[carry] - lanes
             out[c] += np.uint32(1)
-        low, span = moved, r * many
+        low = moved
         need = span < _U(1 << 48)
         emit(need)
         while (need := span < _U(1 << 48)).any():
             emit(need)
-        m.update(x, hit1, hit2)
+        m.update(x)
     for _ in range(4):
         emit(np.ones(lanes, bool))
     count = (end - lane) // lanes
@@ -140,10 +311,10 @@ def encode_blocks(ids: np.ndarray, size: int, low_bits: int) -> list[bytes]:
     return [words[k, : count[k]].tobytes() for k in range(lanes)]
 
 
-def decode_blocks(blocks: list[bytes], size: int, low_bits: int) -> np.ndarray:
-    """The ids of all blocks, end to end."""
+def decode_blocks(blocks: list[bytes], size: int, prior: _Prior) -> np.ndarray:
+    """The ranks of all blocks, end to end."""
     lanes = len(blocks)
-    m, total, mask = _Model(lanes, low_bits), _U(_SCALE + low_bits), (1 << low_bits) - 1
+    m = _Model(prior, lanes)
     length = np.array([len(b) // 2 for b in blocks])
     words = np.frombuffer(b"".join(blocks) + bytes(64), "<u2").astype(_U)
     at = np.cumsum(length) - length
@@ -152,8 +323,7 @@ def decode_blocks(blocks: list[bytes], size: int, low_bits: int) -> np.ndarray:
     for _ in range(4):
         code = (code << _U(16)) | words[at]
         at += 1
-    span, table = np.full(lanes, 2**64 - 1, _U), np.zeros((size, lanes), np.int64)
-    most = (1 << (_SCALE + low_bits)) - 1
+    span, table = np.full(lanes, 2**64 - 1, _U), np.zeros((size, lanes), np.int32)
 
     def draw(need: np.ndarray) -> None:
         nonlocal at
@@ -164,71 +334,80 @@ def decode_blocks(blocks: list[bytes], size: int, low_bits: int) -> np.ndarray:
         at = at + need
 
     for t in range(size):
-        if t in _EARLY or t and t % _REFRESH == 0:
+        if t and t % _REFRESH == 0:
             m.refresh()
         m.predict()
-        r = span >> total
-        v = np.minimum((code // r).astype(np.int64), most)
-        high = (v >> low_bits).astype(np.int32)
-        is2 = high < m.a2
-        x = np.where(is2, m.p2, m.p1).astype(np.int64)
-        start, many = np.where(is2, 0, m.a2.astype(np.int64) << low_bits), np.where(is2, m.a2, m.a1).astype(np.int64) << low_bits
-        esc = np.flatnonzero(high >= m.first)
-        if len(esc):
-            first, width, base = m.first[esc], m.width[esc], m.at_range[esc]
-            target, k = high[esc] - first, np.zeros(len(esc), np.int64)
-            for bit in (256, 128, 64, 32, 16, 8, 4, 2, 1):
-                k += bit * ((width * m.upto[base + (k + bit)] >> 10) <= target)
-            at_k = base + k
-            a = width * m.upto[at_k] >> 10
-            f = (width * m.upto[at_k + 1] >> 10) - a
-            begin = (a + first).astype(np.int64) << low_bits
-            low_part = np.minimum((v[esc] - begin) // f, mask)  # over it in damaged blocks alone
-            x[esc] = (k << low_bits) + low_part
-            start[esc] = begin + low_part * f
-            many[esc] = f
-        code -= r * start.astype(_U)
-        span = r * many.astype(_U)
+        r = span >> _U(_SCALE)
+        v = np.minimum((code // r).view(np.int64), (1 << _SCALE) - 1)  # over it in damaged blocks alone
+        x = m.follower(v)
+        missed = np.flatnonzero(v >= m.taken)
+        begin = m.taken[missed].view(_U)
+        fine = r[missed] * (_U(1 << _SCALE) - begin) >> _U(_UP + _IN)
+        q = np.minimum(((code[missed] - r[missed] * begin) // fine).view(np.int64), (1 << (_UP + _IN)) - 1)
+        x[missed] = m.rank(q, missed)
+        start, many, again = m.place(x)
+        code -= r * start.view(_U)
+        span = r * many.view(_U)
+        start, many = m.zero(x[missed], missed)
+        code[missed] -= fine * start.view(_U)
+        span[missed] = fine * many.view(_U)
         draw(span < _U(1 << 48))
         while (need := span < _U(1 << 48)).any():
             draw(need)
         table[t] = x
-        m.update(x, x == m.p1, x == m.p2)
+        m.update(x)
     return table.T.reshape(-1)
 
 
 def pack(ids: np.ndarray) -> bytes:
     """One segment's payload."""
-    size = int(min(2048, max(256, len(ids) // 256)))
-    low_bits = max(7, int(ids.max(initial=0)).bit_length() - 9)
-    blocks = encode_blocks(ids, size, low_bits) if len(ids) else []
+    if not len(ids):
+        return _MAGIC + np.zeros(5, "<u4").tobytes()
+    prior, ranks = _Prior.of(ids)
+    if len(prior.names) >= 1 << _ID:
+        raise ValueError(f"more than {1 << _ID} different ids in a segment")
+    size = int(min(_MOST_BLOCK, max(_LEAST_BLOCK, -(-len(ids) // _LANES))))
+    blocks = encode_blocks(ranks, size, prior)
     sums = [zlib.crc32(ids[k * size : (k + 1) * size].astype("<u4").tobytes()) for k in range(len(blocks))]
-    head = np.array([size, low_bits, len(blocks)], "<u4").tobytes() + np.array([[len(b) for b in blocks], sums], "<u4").tobytes()
-    return _MAGIC + head + b"".join(blocks)
+    model = prior.tobytes()
+    head = np.array([size, len(blocks), len(prior.names), len(model), zlib.crc32(model)], "<u4").tobytes() + np.array([[len(b) for b in blocks], sums], "<u4").tobytes()
+    return _MAGIC + head + model + b"".join(blocks)
 
 
 def unpack(payload: bytes, n: int) -> np.ndarray:
     """The n ids of a payload, each block held against its checksum."""
     if payload[:4] != _MAGIC:
         raise ValueError("not a segment of coded ids")
-    size, low_bits, many = (int(x) for x in np.frombuffer(payload, "<u4", 3, 4))
-    lengths, sums = np.frombuffer(payload, "<u4", 2 * many, 16).reshape(2, many)
-    ends = 16 + 8 * many + np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])
-    if ends[-1] != len(payload):
-        raise ValueError("the segment is cut off")
+    size, many, names, model, check = (int(x) for x in np.frombuffer(payload, "<u4", 5, 4))
     if not many:
         return np.zeros(0, np.int64)
-    ids = decode_blocks([payload[a:b] for a, b in zip(ends, ends[1:])], size, low_bits)[:n]
+    lengths, sums = np.frombuffer(payload, "<u4", 2 * many, 24).reshape(2, many)
+    first = 24 + 8 * many
+    ends = first + model + np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])
+    if ends[-1] != len(payload):
+        raise ValueError("the segment is cut off")
+    if zlib.crc32(payload[first : first + model]) != check:
+        raise ValueError("the header does not match its checksum")
+    prior = _Prior.frombytes(payload[first : first + model], names)
+    ids = prior.names[decode_blocks([payload[a:b] for a, b in zip(ends, ends[1:])], size, prior)[:n]]
     for k, s in enumerate(sums):
         if zlib.crc32(ids[k * size : (k + 1) * size].astype("<u4").tobytes()) != s:
             raise ValueError(f"block {k} does not match its checksum")
     return ids
 
 
+#: How the tokenizer file cuts text, where words of plain letters are parts of their own whatever follows them.
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"  # each its own composed form, with one lower-case letter each
+_TAIL = ".,;:!?"
+
+
 class _Tokens:
     """Ids of texts by the tokenizers library; text between spaces is encoded once and kept for a while.
 
-    The tokenizer drops white space and never joins over it, so a text's ids are those of its parts between spaces."""
+    The tokenizer drops white space and never joins over it, so a text's ids are those of its parts between spaces. Where
+    the file cuts letters from punctuation, a word's letters are put into lower case and encoded apart from the marks that
+    end it, by the same model without the normalising and cutting that they do not need."""
 
     def __init__(self, content: str):
         import os
@@ -238,43 +417,107 @@ class _Tokens:
 
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.encode_special_tokens = True
-        self.kept = Kept(400_000)
+        self.kept, self.cores = Kept(400_000), Kept(400_000)
         mark = self._ids(["a \0 b"])[0]
         ends = self._ids(["a", "b"])
         inner = mark[len(ends[0]) : len(mark) - len(ends[1])]
         self.mark = int(inner[0]) if len(inner) == 1 else None
+        self.plain = self._plain(json.loads(content))
+
+    def _plain(self, file: dict):
+        """A tokenizer of lower-case letters alone, and which ids end a word; None where the file cuts in another way."""
+        from tokenizers import Tokenizer
+
+        steps = [n["type"] for n in (file.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        suffix = file["model"].get("end_of_word_suffix")
+        extra = any(re.fullmatch(f"[{_LETTERS}]+[{_TAIL}]*", t["content"]) for t in file.get("added_tokens") or [])
+        known = steps == ["NFC", "Replace", "Lowercase"] and len(cuts) == 2 and cuts[0].get("pattern") == {"Regex": _CUT} and cuts[1]["type"] == "ByteLevel"
+        if not known or extra or not suffix or file["model"].get("dropout"):
+            return None
+        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        short = file | {"normalizer": None, "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}}
+        self.ends = np.zeros(1 + max(file["model"]["vocab"].values()), bool)
+        self.ends[[i for t, i in file["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        return Tokenizer.from_str(json.dumps(short))
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        plain = [p for p in new if "\0" not in p] if self.mark is not None else []
-        for a in range(0, len(plain), 2000):
-            part = plain[a : a + 2000]
+    def _full(self, new: list[str]) -> dict[str, bytes]:
+        out = {}
+        whole = [p for p in new if "\0" not in p] if self.mark is not None else []
+        for a in range(0, len(whole), 2000):
+            part = whole[a : a + 2000]
             ids = self._ids([" \0 ".join(part)])[0]
             cuts = np.flatnonzero(ids == self.mark)
             packed = ids.tobytes()
             for p, x, y in zip(part, [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(packed)], strict=True):
-                self.kept.new[p] = packed[x:y]
-        rest = [p for p in new if p not in self.kept.new]
+                out[p] = packed[x:y]
+        rest = [p for p in new if p not in out]
         for p, i in zip(rest, self._ids(rest) if rest else []):
-            self.kept.new[p] = i.tobytes()
+            out[p] = i.tobytes()
+        return out
+
+    def _letters(self, new: list[str]) -> None:
+        """Learns words of lower-case letters."""
+        model = self.plain.model
+        for p in new:
+            if p.isascii():
+                self.cores.new[p] = np.array([t.id for t in model.tokenize(p)], "<u4").tobytes()
+        new = [p for p in new if not p.isascii()]
+        for a in range(0, len(new), 2000):
+            part = new[a : a + 2000]
+            ids = np.array(self.plain.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):  # a letter that the vocabulary lacks
+                self.cores.new.update(self._full(part))
+                continue
+            packed = ids.astype("<u4").tobytes()
+            for p, x, y in zip(part, [0, *(4 * ends).tolist()], (4 * ends).tolist()):
+                self.cores.new[p] = packed[x:y]
+
+    def _learn(self, new: list[str]) -> None:
+        if not new:
+            return
+        other = new
+        if self.plain is not None:
+            names = pa.array(new, pa.string())
+            easy = pc.match_substring_regex(names, f"^[{_LETTERS}]+[{_TAIL}]*$")
+            words, other = names.filter(easy), _listed(names.filter(pc.invert(easy)))
+            bare = pc.utf8_rtrim(words, characters=_TAIL)
+            cores = pc.utf8_lower(bare).dictionary_encode()
+            keys = _listed(cores.dictionary)
+            self.cores.turn()
+            self._letters(self.cores.missing(keys))
+            ids, at = [self.cores.new[c] for c in keys], cores.indices.to_numpy().tolist()
+            words, size = _listed(words), pc.utf8_length(bare).to_numpy().tolist()
+            tails = [w[n:] for w, n in zip(words, size)]
+            marks = {"": b""} | self._full(sorted(set(tails) - {""}))
+            self.kept.new.update((w, ids[k] + marks[t]) for w, k, t in zip(words, at, tails))
+        self.kept.new.update(self._full(other))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many are each text's."""
         self.kept.turn()
+        for space in "\n\t\r":
+            texts = pc.replace_substring(texts, space, " ")
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
-        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        names, codes = _listed(coded.dictionary), coded.indices.to_numpy()
         self._learn(self.kept.missing(names))
         values = [self.kept.new[p] for p in names]
-        data, length = np.frombuffer(b"".join(values), "<u4"), np.array([len(v) // 4 for v in values], np.int64)
+        data, length = np.frombuffer(b"".join(values), "<u4"), np.fromiter(map(len, values), np.int64, len(values)) // 4
         many = length[codes]
         upto = np.concatenate([[0], np.cumsum(many)])
         ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
         return take_ranges(data, (np.cumsum(length) - length)[codes], many), np.diff(upto[ends])
 
 
+def _listed(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
 _tokens: dict[int, _Tokens] = {}
 
 
@@ -294,7 +537,7 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "t
     with open(tokenizer or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         content = spark.sparkContext.broadcast(f.read())  # one tokenizer file
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(docs)
     ordered = source.repartitionByRange(parts, "id").sortWithinPartitions("id").select(F.spark_partition_id().alias("part"), "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -369,10 +369,46 @@ def test_coder_round_trip():
         payload = C.pack(ids)
         assert np.array_equal(C.unpack(payload, len(ids)), ids)
     assert len(payload) < 2 * len(ids)
-    broken = bytearray(payload)
-    broken[len(broken) // 2] ^= 4
-    with pytest.raises(ValueError):
-        C.unpack(bytes(broken), len(ids))
+    for at in (24, 40, len(payload) // 4, len(payload) // 2):
+        broken = bytearray(payload)
+        broken[at] ^= 4
+        with pytest.raises(ValueError):
+            C.unpack(bytes(broken), len(ids))
+
+
+def test_coder_beats_order_0_and_zlib():
+    import public_tokenizers
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+    from gristmill.llm import range_coder as C
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokens = C._Tokens(f.read())
+    texts = pc.fill_null(pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].combine_chunks(), "")
+    ids = tokens.encode(texts)[0].astype(np.int64)
+    payload = C.pack(ids)
+    assert np.array_equal(C.unpack(payload, len(ids)), ids)
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert 8 * len(payload) / len(ids) < 0.95 * -(share * np.log2(share)).sum()
+    assert len(payload) < 0.85 * len(zlib.compress(ids.astype("<u2").tobytes(), 6))
+
+
+def test_tokens_of_parts():
+    import public_tokenizers
+    import pyarrow as pa
+    import random
+    from gristmill.llm import range_coder as C
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokens = C._Tokens(f.read())
+    assert tokens.plain is not None
+    r = random.Random(3)
+    parts = ["The", "the", "don't", "'s", "ß", "É", "été", "e\u0301", "x\u0338", ".", ",", "!?", "...", "1", "22", "\n", "\r\n", "\t", " ", "  ", "\x0b", "\u00a0", "日本", "🎉", "µ", "×", "Ω", "ſ", "İ", "\0", "<|endoftext|>", "Aÿ;", "-", "mail"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(3000)]
+    ids, many = tokens.encode(pa.array(texts))
+    at = np.cumsum(many)
+    for text, a, b in zip(texts, at - many, at):
+        assert ids[a:b].tolist() == tokens.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 # 1
