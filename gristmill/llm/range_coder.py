@@ -34,7 +34,7 @@ from ._text import slices
 from .byte_bpe import Kept, take_ranges
 
 _MAGIC = b"CMR2"
-_K1, _K2 = 8, 3  # followers that the prior holds for a context slot of order 1 and of order 2
+_K1, _K2 = 6, 2  # followers that the prior holds for a context slot of order 1 and of order 2
 _K = _K1 + _K2 + 1
 _S1, _S2, _S3 = 4096, 4096, 512  # slots of the prior, and of each lane
 _SHARE = 11  # bits of a follower's share
@@ -153,9 +153,10 @@ class _Model:
             self.tables.append(np.ascontiguousarray(((first[:-1] >> 32) << _ID | first[:-1] & 0xFFFFFFFF).T).reshape(-1).astype(np.int32))
             self.levels.append(first[-1])
         self.steps = [np.arange(k)[:, None] for k in (_K1, _K2)]
+        self.halves = [1 << k for k in range(int(prior.many).bit_length() - 1, -1, -1)]
         self.at = np.zeros((_K1 + _K2, lanes), np.int64)
         self.e = np.zeros((_K1 + _K2, lanes), np.int32)
-        self.ids, self.mass = np.zeros((_K, lanes), np.int32), np.zeros((_K, lanes), np.int32)
+        self.ids, self.mass, self.upto_mass = (np.zeros((_K, lanes), np.int32) for _ in range(3))
         self.last = np.zeros(lanes * _S3, np.int32)
         two, one = np.divmod(np.arange(64), 8)
         second = 0.08 + 0.1 * two
@@ -204,18 +205,22 @@ class _Model:
         mass[-1] = self.trusted * np.float32(_MOST) * (self.seen > 0)
         self.own1, self.own2, self.own3 = mass[:_K1].copy(), mass[_K1:-1].copy(), mass[-1].copy()
         for k in range(_K1, _K):  # a follower of several orders stands at its highest place
-            both = np.equal(ids[:k], ids[k]).astype(np.int32)
-            both *= mass[:k]
+            first = min(k, _K1) if k < _K - 1 else k  # those of one order differ
+            both = np.equal(ids[:first], ids[k]) * mass[:first]
             mass[k] += _sum(both)
-            mass[:k] -= both
-        self.upto_mass = np.cumsum(mass, axis=0, dtype=np.int32)
-        self.taken = self.upto_mass[-1].astype(np.int64)
+            mass[:first] -= both
+        upto = self.upto_mass
+        upto[0] = mass[0]
+        for k in range(1, _K):
+            np.add(upto[k - 1], mass[k], out=upto[k])
+        self.taken = upto[-1].astype(np.int64)
 
     def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and width of ranks x among the followers, and which lanes must ask order 0."""
-        equal = np.equal(self.ids, x.astype(np.int32)).astype(np.int32)
+        equal = np.equal(self.ids, x.astype(np.int32))
+        self.hit = equal[-1]
         self.mine = [_sum(equal[:_K1] * self.own1), _sum(equal[_K1:-1] * self.own2), equal[-1] * self.own3]
-        equal *= self.mass > 0  # one place at most
+        equal &= self.mass > 0  # one place at most
         width = _sum(equal * self.mass).astype(np.int64)
         missed = np.flatnonzero(width == 0)
         start = _sum(equal * self.upto_mass) - width
@@ -238,22 +243,29 @@ class _Model:
 
     def rank(self, q: np.ndarray, lanes: np.ndarray) -> np.ndarray:
         """The ranks whose order-0 shares hold q."""
-        high = (q >> _IN) + (lanes << (_UP + 1))
-        at = np.searchsorted(self.upto, high.astype(np.int32), "right") - 1
+        first = lanes << (_UP + 1)
+        high, at = (q >> _IN) + first, self.at_range[lanes].copy()
+        last = at + self.prior.many
+        for step in self.halves:
+            up = np.minimum(at + step, last)
+            at += (self.upto[up] <= high) * (up - at)
         low = self.upto[at].astype(np.int64)
-        inner = np.minimum((q - (low - (lanes << (_UP + 1)) << _IN)) // (self.upto[at + 1] - low), (1 << _IN) - 1)
+        inner = np.minimum((q - (low - first << _IN)) // (self.upto[at + 1] - low), (1 << _IN) - 1)
         return self.prior.holder[(at - self.at_range[lanes] << _IN) + inner]
 
     def update(self, x: np.ndarray) -> None:
-        one, two, three = self.mine
-        share = np.float32(0.02) / np.maximum(one + two, 1)
+        one, two, three = (m.astype(np.float32) for m in self.mine)
+        both = one + two
+        share = np.float32(0.02) / np.maximum(both, np.float32(1))
         for weights, w, m in zip(self.weights, self.w, (one, two)):
             weights[self.w_at] = w * np.float32(0.98) + m * share
-        hit = self.ids[-1] == x
-        right = three / np.maximum(one + two + three, 1).astype(np.float32)
+        right = three / np.maximum(both + three, np.float32(1))
         self.trust[self.t_at] = self.trusted * np.float32(0.96) + right * np.float32(0.04)
         row = self.seen & 15
-        self.last[self.last_at] = np.where(hit, (self.seen - row) | np.minimum(row + 1, 15), np.where(row > 2, self.seen - (row + 1 >> 1), x << 4 | 1))
+        longer, shorter = np.minimum(row + 1, 15) - row, -(row + 1 >> 1)
+        stays = self.hit | (row > 2)
+        new = (x << 4 | 1).astype(np.int32)
+        self.last[self.last_at] = new + stays * (self.seen + shorter + self.hit * (longer - shorter) - new)
         self.flat[self.at_count + self.prior.range[x]] += np.float32(1)
         self.prev2, self.prev1 = self.prev1, x
 
