@@ -3,15 +3,19 @@
 A line is the set of its words. Of lines that are equal but for case, the first in order of document id and line number
 stands for all. Words are ordered by rarity (the corpus frequency of their hash bucket, in a table of fixed size, then their length); at
 80 % Jaccard two sets of n and m words must meet within their first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1 words.
-Lines that meet there pass a length filter, a positional filter and a filter on 128-bit parity maps (their Hamming
+Lines that meet there pass a length filter, a positional filter and a filter on 64-bit parity maps (their Hamming
 distance never exceeds the sets' difference) before Jaccard is verified on the full sets. A line that matches an earlier
 line is removed, whether that one stays or not.
 
 As one match is enough, each line is first compared with the earliest line of each of its words; only those without a
 match are compared with all other earlier lines. So many variants of one line cost a comparison each, not one a pair.
 
+Words are rows, not array elements, from the split on: hashes, ranks and parities are code-generated expressions and
+aggregates. A document's lines stay in one partition while its words are ranked, so that takes no exchange of words.
+
 Defined cases: null and empty texts have no lines to judge; lines of under `min_words` words are kept as they are; rows
-with a null id come first; equal rows of one id are one document, and an id must not name two texts; other columns stay.
+with a null id come first; equal rows of one id are one document; different texts of one id (or of none) are documents of
+their own, in the order of their hashes; other columns stay.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"
 _BUCKETS = 1 << 16
 _HASH_BITS = 52
+_DOC = ("id", "v")
 
 
 def _judged(line: Column, min_words: int) -> Column:
@@ -43,31 +48,39 @@ def _rarity(source: DataFrame) -> Column:
     return F.lit([0 if c <= usual else min(31, c.bit_length()) for c in found])
 
 
-def _keys(line: Column, ranks: Column) -> Column:
-    """The distinct words of a line as keys in order of rarity: the bucket's rank, then the longer word first, then hash."""
-
-    def word(w):
-        return F.shiftleft((63 - F.least(F.length(w), F.lit(63))).cast("long"), _HASH_BITS).bitwiseOR(F.xxhash64(w).bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+def _words(line: Column) -> Column:
+    """The distinct words of a line; an empty text among them where space leads or ends it."""
+    return F.array_distinct(F.split(F.lower(line), _SPACE))
 
-    def ranked(k):
-        return F.shiftleft(F.get(ranks, k.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")).cast("long"), _HASH_BITS + 6).bitwiseOR(k)
 
-    words = F.split(F.lower(F.btrim(line, F.lit(" \t\n\x0b\f\r"))), _SPACE)
-    return F.sort_array(F.array_distinct(F.transform(F.transform(words, word), ranked)))
+def _key(word: Column, ranks: Column) -> Column:
+    """A word's place in order of rarity: its bucket's rank, then the longer word first, then its hash."""
+    h = F.xxhash64(word)
+    rank = F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")).cast("long"), _HASH_BITS + 6)
+    size = F.shiftleft((63 - F.least(F.length(word), F.lit(63))).cast("long"), _HASH_BITS)
+    return rank.bitwiseOR(size).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
 
 
-def _lines(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, line, t) of the lines whose numbers `wanted` lists for their document."""
-    lists = wanted.groupBy("id").agg(F.collect_list("line").alias("wanted"))  # at most a text's own lines
-    joined = source.join(lists, "id").select("id", F.split("body", "\n").alias("all"), "wanted")
-    return joined.select("id", "all", F.explode("wanted").alias("line")).select("id", "line", F.get("all", F.col("line")).alias("t"))
+def _documents(docs: DataFrame, id_col: str, text: str, scratch: Scratch) -> DataFrame:
+    """(id, v, body) of each row; v tells the texts of one id apart, and is 0 where an id has one."""
+    ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63)))
+    source = docs.select(ident.alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"))
+    texts = source.select("id", F.xxhash64("body").alias("h")).groupBy("id", "h").agg(F.count(F.lit(1)).alias("rows"))
+    odd = scratch.keep(texts.groupBy("id").agg(F.count(F.lit(1)).alias("texts"), F.max("rows").alias("rows")).where("texts > 1 or rows > 1"), "odd")
+    several = odd.where("texts > 1").select("id", F.lit(True).alias("many"))
+    if several.isEmpty():
+        source = source.select("id", F.lit(0).cast("long").alias("v"), "body")
+    else:
+        marked = source.join(_near_at_hand(several), "id", "left")
+        source = marked.select("id", F.when(F.col("many"), F.xxhash64("body")).otherwise(0).alias("v"), "body")
+    return source if odd.where("rows > 1").isEmpty() else source.dropDuplicates([*_DOC])
 
 
-def _bit(key: Column, half: int) -> Column:
-    """The key's bit in one half of a map of 128 bits."""
-    mine = F.shiftright(key, 6).bitwiseAND(F.lit(1))
-    mine = mine if half else mine.bitwiseXOR(F.lit(1))
-    return F.call_function("shiftleft", mine.cast("long"), key.bitwiseAND(F.lit(63)).cast("int"))
+def _lines(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, v, lid, t) of the wanted lines (id, v, line, lid); the rows of a document stay in one partition."""
+    lists = wanted.groupBy(*_DOC).agg(F.collect_list(F.struct("line", "lid")).alias("wanted"))  # at most a text's own lines
+    joined = source.hint("merge").join(lists, [*_DOC]).select(*_DOC, F.split("body", "\n").alias("all"), "wanted")
+    return joined.select(*_DOC, "all", F.explode("wanted").alias("w")).select(*_DOC, F.col("w.lid").alias("lid"), F.get("all", F.col("w.line")).alias("t"))
 
 
 def _may_match(percent: int, mine=F.col, other=lambda c: F.col(f"other_{c}")) -> Column:
@@ -82,7 +95,7 @@ def _may_match(percent: int, mine=F.col, other=lambda c: F.col(f"other_{c}")) ->
     place = F.when(n < m, at).when(n > m, there).otherwise(F.least(at, there))
     index = place <= short - F.ceil(short * (2.0 * percent) / (100.0 + percent) - 1e-9)
     rest = F.least(n - at, m - there) >= need
-    apart = F.bit_count(mine("s1").bitwiseXOR(other("s1"))) + F.bit_count(mine("s2").bitwiseXOR(other("s2")))
+    apart = F.bit_count(mine("s").bitwiseXOR(other("s")))
     return alike & index & rest & (apart <= n + m - 2 * need)
 
 
@@ -91,78 +104,85 @@ def _near_at_hand(kept: DataFrame, most: int = 300_000) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= most else kept
 
 
-def _verified(pairs: DataFrame, source: DataFrame, ranks: Column, percent: int, scratch: Scratch) -> DataFrame:
-    """(id, line) of the first lines of pairs (id, line, other, other_line) whose Jaccard reaches the threshold."""
-    wanted = scratch.keep(pairs.select("id", "line").union(pairs.select("other", "other_line")).distinct(), "wanted")
-    sets = scratch.keep(_lines(source, wanted).select("id", "line", _keys(F.col("t"), ranks).alias("k")), "sets")
-    a = pairs.join(sets, ["id", "line"])
-    both = a.join(sets.select(F.col("id").alias("other"), F.col("line").alias("other_line"), F.col("k").alias("other_k")), ["other", "other_line"])
+def _verified(pairs: DataFrame, source: DataFrame, firsts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(lid) of the first lines of pairs (lid, other) whose Jaccard reaches the threshold."""
+    wanted = scratch.keep(pairs.select("lid").union(pairs.select("other")).distinct().join(firsts, "lid"), "wanted")
+    sets = scratch.keep(_lines(source, wanted).select("lid", F.array_remove(_words(F.col("t")), "").alias("k")), "sets")
+    both = pairs.join(sets, "lid").join(sets.select(F.col("lid").alias("other"), F.col("k").alias("other_k")), "other")
     common = F.size(F.array_intersect("k", "other_k"))
-    return both.where(100 * common >= percent * (F.size("k") + F.size("other_k") - common)).select("id", "line").distinct()
+    return both.where(100 * common >= percent * (F.size("k") + F.size("other_k") - common)).select("lid").distinct()
 
 
-def kept_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(id, body) of the documents and (id, good) with the judged lines that stay, for each document that has any."""
+def _postings(held: DataFrame, ranks: Column, percent: int) -> DataFrame:
+    """(token, lid, n, pos, s) of the prefix words of each line."""
+    words = held.select(*_DOC, "lid", F.explode(_words(F.col("t"))).alias("w")).where("w <> ''")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64("w").bitwiseAND(F.lit(63)).cast("int"))
+    keyed = words.select(*_DOC, "lid", _key(F.col("w"), ranks).alias("key"), bit.alias("bit"))
+    line = Window.partitionBy(*_DOC, "lid")
+    ranked = keyed.select("lid", "key", (F.row_number().over(line.orderBy("key")) - 1).alias("pos"), F.count(F.lit(1)).over(line).cast("int").alias("n"), F.bit_xor("bit").over(line).alias("s"))
+    prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1
+    return ranked.where(F.col("pos") < prefix).select(F.hash("key").alias("token"), "lid", "n", "pos", "s")  # equal hashes are more pairs to verify
+
+
+def kept_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(id, v, body) of the documents and (id, v, good) with the judged lines that stay, for each document that has any."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
-    source = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body"))
+    source = _documents(docs, id_col, text, scratch)
     ranks = _rarity(source)
-    lines = source.select("id", F.posexplode(F.split("body", "\n")).alias("line", "t")).where(_judged(F.col("t"), min_words))
+    lines = source.select(*_DOC, F.posexplode(F.split("body", "\n")).alias("line", "t")).where(_judged(F.col("t"), min_words))
     low = F.lower("t")
-    firsts = lines.select("id", "line", F.xxhash64(low).alias("h1"), F.xxhash64(low, F.lit(1)).alias("h2")).groupBy("h1", "h2").agg(F.min(F.struct("id", "line")).alias("f"))
-    firsts = scratch.keep(firsts.select("f.id", "f.line"), "firsts")
-
-    held = scratch.keep(_lines(source, firsts), "lines")
-    keyed = held.select("id", "line", _keys(F.col("t"), ranks).alias("k"))
-    n = F.size("k")
-    prefix = n - F.floor((n * percent + 99) / 100).cast("int") + 1
-
-    def parity(half: int) -> Column:
-        return F.aggregate("k", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(_bit(k, half)))
-
-    posts = keyed.select("id", "line", n.alias("n"), parity(0).alias("s1"), parity(1).alias("s2"), F.posexplode(F.slice("k", F.lit(1), prefix)).alias("pos", "key"))
-    posts = posts.select(F.hash("key").alias("token"), "id", "line", "n", "pos", "s1", "s2")  # equal hashes are more pairs to verify
-    order = Window.partitionBy("token").orderBy("id", "line")
-    mine = ("id", "line", "n", "pos", "s1", "s2")
-    posts = posts.select("*", F.first(F.struct(*mine)).over(order).alias("c"), F.lead("id").over(order).alias("later"))
-    first = (F.col("id") == F.col("c.id")) & (F.col("line") == F.col("c.line"))
-    posts = posts.where(~first | F.col("later").isNotNull()).select("token", *mine, first.alias("first"), *[F.col(f"c.{c}").alias(f"other_{c}") for c in mine])
-    near = ~F.col("first") & _may_match(percent)
-    probe = F.when(F.col("first") | near, 0).otherwise(1)
-    posts = scratch.keep(posts.select("token", *mine, probe.alias("probe"), F.when(near, F.col("other_id")).alias("other"), F.when(near, F.col("other_line")).alias("other_line")), "posts")
-
-    scratch.drop(held)  # verification takes its few lines from the documents, when the postings' exchange is gone
+    firsts = lines.select(*_DOC, "line", F.xxhash64(low).alias("h1"), F.xxhash64(low, F.lit(1)).alias("h2")).groupBy("h1", "h2").agg(F.min(F.struct(*_DOC, "line")).alias("f"))
+    # One number a line, ascending in the order of lines; written, so that it stays the same.
+    firsts = scratch.keep(scratch.keep(firsts.select("f.*"), "lines").orderBy(*_DOC, "line").withColumn("lid", F.monotonically_increasing_id()), "firsts")
+
+    mine = ("lid", "n", "pos", "s")
+    posts = scratch.keep(_postings(_lines(source, firsts), ranks, percent), "posts")
+    tops = posts.groupBy("token").agg(F.min("lid").alias("c_lid"), F.max("lid").alias("last"), *[F.min_by(c, "lid").alias(f"c_{c}") for c in mine[1:]])
+    tops = tops.where("last > c_lid").drop("last")  # a word of one line alone is of no use
+    both = posts.join(tops, "token")
+    first = F.col("lid") == F.col("c_lid")
+    near = ~first & _may_match(percent, other=lambda c: F.col(f"c_{c}"))
+    probe = F.when(first | near, 0).otherwise(1)
+    flagged = scratch.keep(both.select("token", *mine, probe.alias("probe"), F.when(near, F.col("c_lid")).alias("other")), "flagged")
+    scratch.drop(posts)
+    posts = flagged
 
     # Against the earliest line that has the word, where the filters let the pair through.
-    pairs = scratch.keep(posts.where("other_line is not null").select("id", "line", "other", "other_line").distinct(), "pairs")
-    gone = scratch.keep(_verified(pairs, source, ranks, percent, scratch), "gone")
-    left = scratch.keep(pairs.select("id", "line").distinct().join(gone, ["id", "line"], "left_anti"), "left")
+    pairs = scratch.keep(posts.where("other is not null").select("lid", "other").distinct(), "pairs")
+    gone = scratch.keep(_verified(pairs, source, firsts, percent, scratch), "gone")
+    left = scratch.keep(pairs.select("lid").distinct().join(gone, "lid", "left_anti"), "left")
 
     # Words whose earliest line was no candidate, against all earlier lines; then the few lines that a candidate failed.
     # Both sides are the same rows, so that one exchange serves both; what concerns one side alone must not part them.
     rows = posts.select("token", *mine, "probe")
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    before = (b("id") < a("id")) | ((b("id") == a("id")) & (b("line") < a("line")))
-    fits = before & _may_match(percent, a, b)
+    fits = (b("lid") < a("lid")) & _may_match(percent, a, b)
     found = rows.alias("a").join(rows.alias("b"), a("token") == b("token")).where(fits & (2 * a("probe") + b("probe") >= 2))
-    again = rows.join(_near_at_hand(left), ["id", "line"]).alias("a").join(rows.alias("b"), a("token") == b("token")).where(fits & (a("probe") + b("probe") >= 0))
-    names = [a("id").alias("id"), a("line").alias("line"), b("id").alias("other"), b("line").alias("other_line")]
-    pairs = found.select(*names).union(again.select(*names)).distinct().join(gone, ["id", "line"], "left_anti")
+    again = rows.join(_near_at_hand(left), "lid").alias("a").join(rows.alias("b"), a("token") == b("token")).where(fits & (a("probe") + b("probe") >= 0))
+    names = [a("lid").alias("lid"), b("lid").alias("other")]
+    pairs = found.select(*names).union(again.select(*names)).distinct().join(gone, "lid", "left_anti")
     pairs = scratch.keep(pairs, "pairs")
     scratch.drop(posts)
-    gone = gone.union(_verified(pairs, source, ranks, percent, scratch))
-    good = firsts.join(gone, ["id", "line"], "left_anti").groupBy("id").agg(F.collect_list("line").alias("good"))
+    gone = gone.union(_verified(pairs, source, firsts, percent, scratch))
+    good = firsts.join(gone, "lid", "left_anti").groupBy(*_DOC).agg(F.collect_list("line").alias("good"))
     return source, scratch.keep(good, "good")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 3, counts: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 1, counts: bool = True) -> DataFrame:
     """docs with later matches taken out of the text and, if counts, n_lines and n_removed."""
     _, good = kept_lines(docs, id_col, text, percent, min_words)
-    key, lines, g = (fresh(docs.columns, c) for c in ("line_key", "all_lines", "good_lines"))
+    key, v, lines, g, g2 = (fresh(docs.columns, c) for c in ("line_key", "line_text", "all_lines", "good_lines", "other_good_lines"))
     names = [fresh(docs.columns, c) for c in ("n_lines", "n_removed")]
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    several = good.where("v <> 0").select("id").distinct()  # the ids whose texts are told apart
+    found = good.select(F.col("id").alias(key), F.col("v").alias(v), F.col("good").alias(g))
     left = docs.withColumns({key: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))), lines: F.split(body, "\n")})
-    joined = left.join(good.select(F.col("id").alias("_id"), F.col("good").alias(g)), F.col(key) == F.col("_id"), "left")
+    if several.isEmpty():
+        joined = left.join(found.drop(v), key, "left")
+    else:
+        told = left.withColumn(v, F.xxhash64(body)).join(found.where(F.col(v) != 0).withColumnRenamed(g, g2), [key, v], "left")
+        joined = told.join(found.where(F.col(v) == 0).drop(v), key, "left").withColumn(g, F.coalesce(F.col(g2), F.col(g)))
     free = F.filter(F.transform(lines, lambda t, i: F.when(~_judged(t, min_words), i)), lambda i: i.isNotNull())
     stay = F.array_sort(F.array_union(F.coalesce(g, F.array().cast("array<int>")), free))
     put = joined.withColumn(g, stay)
@@ -180,7 +200,7 @@ def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
 ORACLE_CTES = r"""
 sl AS (SELECT doc_id, (unnest(generate_series(1, len(ls))) - 1)::INT AS line, unnest(ls) AS t FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM {docs})),
 jl AS (SELECT doc_id, line, t, regexp_extract_all(lower(t), '[^\x20\x09-\x0D]+') AS w FROM sl),
-fl AS (SELECT arg_min(doc_id, (doc_id, line)) AS doc_id, arg_min(line, (doc_id, line)) AS line, arg_min(w, (doc_id, line)) AS w FROM jl WHERE len(w) >= 3 GROUP BY lower(t)),
+fl AS (SELECT arg_min(doc_id, (doc_id, line)) AS doc_id, arg_min(line, (doc_id, line)) AS line, arg_min(w, (doc_id, line)) AS w FROM jl WHERE len(w) >= 1 GROUP BY lower(t)),
 tk AS (SELECT DISTINCT doc_id, line, unnest(w) AS k FROM fl),
 fq AS (SELECT k, count(*) AS c FROM tk GROUP BY 1),
 rk AS (SELECT doc_id, line, k, row_number() OVER (PARTITION BY doc_id, line ORDER BY c, k) AS pos, count(*) OVER (PARTITION BY doc_id, line) AS n FROM tk JOIN fq USING (k)),
@@ -191,7 +211,7 @@ ws AS (SELECT doc_id, line, list(k) AS ks FROM tk GROUP BY ALL),
 vf AS (SELECT DISTINCT cp.doc_id, cp.line FROM cp JOIN ws x ON x.doc_id = cp.doc_id AND x.line = cp.line JOIN ws y ON y.doc_id = od AND y.line = ol
        WHERE 100 * len(list_intersect(x.ks, y.ks)) >= 80 * (n + m - len(list_intersect(x.ks, y.ks)))),
 gd AS (SELECT doc_id, line FROM fl EXCEPT SELECT doc_id, line FROM vf),
-ol AS (SELECT jl.doc_id, jl.line, jl.t, (len(w) < 3 OR gd.line IS NOT NULL) AS stays FROM jl LEFT JOIN gd ON gd.doc_id = jl.doc_id AND gd.line = jl.line),
+ol AS (SELECT jl.doc_id, jl.line, jl.t, (len(w) < 1 OR gd.line IS NOT NULL) AS stays FROM jl LEFT JOIN gd ON gd.doc_id = jl.doc_id AND gd.line = jl.line),
 dl AS (SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (NOT stays))::BIGINT AS n_removed, coalesce(string_agg(t, chr(10) ORDER BY line) FILTER (stays), '') AS text FROM ol GROUP BY 1)
 """
 ORACLE = "WITH " + ORACLE_CTES.format(docs="documents") + "SELECT doc_id, n_lines, n_removed, md5(text) AS text_md5 FROM dl"

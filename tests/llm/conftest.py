@@ -37,7 +37,7 @@ def docs(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     from pyspark.sql import functions as F
 
-    return df.withColumns({c: F.lit("own") for c in ("quality", "n_tokens", "ids", "copy", "shuffle_key", "sanitised", "id", "label", "measures", "n_lines")})
+    return df.withColumns({c: F.lit("own") for c in ("quality", "n_tokens", "ids", "copy", "shuffle_key", "sanitised", "id", "label", "measures", "n_lines", "_n", "_u", "_key", "_cdf", "_id", "_h", "_body", "_gone", "terms", "base", "gone", "mix_key", "found_id")})
 
 
 @pytest.fixture(scope="session")
