@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._stage import Scratch
+from ._stage import Scratch, fresh, partitions
 
 _LEAST = -(2**63)
 
@@ -63,8 +63,8 @@ def _cuts(sample: list[tuple[int, int, float]], pieces: int) -> list[tuple[int,
     return sorted({sample[k][:2] for k in at})
 
 
-def assign(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text: str = "text", ranges_per_shard: int = 64, samples_per_range: int = 8, overfull: float = 2.0, rounds: int = 4) -> DataFrame:
-    """Id, size, crc, shard and slot of each record.
+def _placed(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text: str = "text", ranges_per_shard: int = 64, samples_per_range: int = 8, overfull: float = 2.0, rounds: int = 4) -> DataFrame:
+    """Key (i, null_id, h), size, crc, shard and slot of each record.
 
     The driver holds at most about 2 * shards * ranges_per_shard * samples_per_range sampled keys at once.
     """
@@ -99,16 +99,29 @@ def assign(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text: str
     line = ranged.withColumns({"upto": F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)), "n": F.row_number().over(w)}).join(starts, "range")
     start = F.col("bytes_before") + F.col("upto") - F.col("size")
     shard = F.least(F.lit(shards - 1), F.floor(start * shards / F.lit(max(total, 1)))).cast("int")
-    placed = scratch.keep(line.select("i", "null_id", "size", "crc", shard.alias("shard"), (F.col("rows_before") + F.col("n") - 1).alias("row")), "placed")
+    placed = scratch.keep(line.select("i", "null_id", "h", "size", "crc", shard.alias("shard"), (F.col("rows_before") + F.col("n") - 1).alias("row")), "placed")
     firsts = scratch.keep(placed.groupBy("shard").agg(F.min("row").alias("first_row")), "firsts")
-    return placed.join(firsts, "shard").select(F.when(~F.col("null_id"), F.col("i")).alias(id_col), "size", F.col("crc").alias("text_crc32"), F.col("shard"), (F.col("row") - F.col("first_row")).alias("slot"))
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", **options) -> None:
-    """Writes each shard's records under path/shard=N; ids must be unique here."""
-    placed = assign(docs, shards, id_col, **options).select(F.col(id_col).alias("_shard_id"), "shard", "slot")
-    full = docs.join(placed, F.col(f"`{id_col}`").eqNullSafe(F.col("_shard_id"))).drop("_shard_id")
-    full.repartitionByRange(shards * 4, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return placed.join(firsts, "shard").select("i", "null_id", "h", "size", "crc", "shard", (F.col("row") - F.col("first_row")).alias("slot"))
+
+
+def assign(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Id, size, crc, shard and slot of each record; options are those of `_placed`."""
+    return _placed(docs, shards, id_col, text, **options).select(F.when(~F.col("null_id"), F.col("i")).alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text: str = "text", **options) -> None:
+    """Writes each shard's records under path/<shard>=N, in the order of their slots; the columns shard and slot are
+    renamed if they clash. Rows of equal id and text are numbered on both sides, so each takes a slot of its own."""
+    names = {c: fresh(docs.columns, c) for c in ("shard", "slot", "key_i", "key_null", "key_h", "key_n")}
+    key = [names[c] for c in ("key_i", "key_null", "key_h")]
+    alike = Window.partitionBy(*key).orderBy(key[0])
+    ident, body = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = docs.withColumns({key[0]: F.coalesce(ident, F.lit(_LEAST)), key[1]: ident.isNull(), key[2]: F.xxhash64(body)})
+    placed = _placed(docs, shards, id_col, text, **options).select(F.col("i").alias(key[0]), F.col("null_id").alias(key[1]), F.col("h").alias(key[2]), F.col("shard").alias(names["shard"]), F.col("slot").alias(names["slot"]))
+    key_n = [*key, names["key_n"]]
+    full = rows.withColumn(key_n[-1], F.row_number().over(alike)).join(placed.withColumn(key_n[-1], F.row_number().over(alike)), key_n).drop(*key_n)
+    order = [names["shard"], names["slot"]]
+    full.repartitionByRange(max(shards * 4, partitions(docs)), *order).sortWithinPartitions(*order).write.partitionBy(names["shard"]).parquet(path)
 
 
 def op5_range_shards(spark, sf_dir: str) -> DataFrame:
