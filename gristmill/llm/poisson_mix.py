@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._stage import Scratch, fresh
+from ._stage import Scratch, fresh, partitions
 
 _NONE = "\0none"
 
@@ -59,16 +59,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source: str = "source", weights
     The rates are written first, so that the planner knows their size: few sources are broadcast, many are joined with
     the sides' hot keys split. Documents leave their partition once, for the global order."""
     scratch = Scratch(docs.sparkSession, "poisson-mix")
-    known = scratch.keep(rates(docs, source, weights, alpha, size), "rates").select(F.col("key").alias("_key"), F.col("cdf").alias("_cdf"))
+    key, cdf, u, n = (fresh(docs.columns, c) for c in ("mix_key", "mix_cdf", "mix_draw", "mix_copies"))
+    known = scratch.keep(rates(docs, source, weights, alpha, size), "rates").select(F.col("key").alias(key), F.col("cdf").alias(cdf))
     copy, order = fresh(docs.columns, "copy"), fresh(docs.columns, "shuffle_key")
     ident = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(_NONE))
-    joined = docs.join(known, F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(_NONE)) == F.col("_key"))
-    u = _uniform(F.lit(f"{seed}"), ident)
-    drawn = joined.withColumn("_u", u)
-    many = F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    copies = drawn.withColumn("_n", many).where("_n > 0").withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    joined = docs.join(known, F.coalesce(F.col(f"`{source}`").cast("string"), F.lit(_NONE)) == F.col(key))
+    drawn = joined.withColumn(u, _uniform(F.lit(f"{seed}"), ident))
+    many = F.size(F.filter(cdf, lambda c: c <= F.col(u)))
+    copies = drawn.withColumn(n, many).where(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
     keyed = copies.withColumn(order, F.md5(F.concat_ws(":", F.lit(f"{seed} order"), ident, F.col(copy).cast("string")).cast("binary")))
-    out = keyed.select(*[F.col(f"`{c}`") for c in docs.columns], copy, order).orderBy(order)
+    # The key is uniform, so its first digits place a row; a sampling sort would draw twice.
+    parts = partitions(docs)
+    place = F.floor(F.conv(F.substring(order, 1, 8), 16, 10).cast("double") * parts / float(1 << 32)).cast("int")
+    out = keyed.select(*[F.col(f"`{c}`") for c in docs.columns], copy, order).repartitionById(parts, place).sortWithinPartitions(order)
     return out if marks else out.drop(copy, order)
 
 
