@@ -132,8 +132,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", generalise
 
     marks = near.join(revealing, ["entity", "term"]).groupBy("id", "h", "start", "end").agg(F.max("disclosure").alias("disclosure"))
     marks = marks.groupBy("id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "disclosure"))).alias("terms"))  # at most a text's own words
-    m = marks.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "terms")
-    out = based.join(m, F.col("id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    m = marks.select(F.col("id").alias("of_id"), F.col("h").alias("of_h"), "terms")
+    out = based.join(m, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h")), "left")
     terms = F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,disclosure:double>>"))
     return out.select("id", "h", F.col("spans").alias("base"), F.transform(terms, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["disclosure"].alias("disclosure"), (t["disclosure"] >= remove_at).alias("removed"))).alias("terms"))
 
@@ -146,17 +146,18 @@ def all_spans(base: Column, terms: Column) -> Column:
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", result: str = "sanitised", **options) -> DataFrame:
     """docs with the sanitised text: entities become [KIND], generalised terms [TERM], removed terms nothing."""
     result = fresh(docs.columns, result)
-    found = find(docs, id_col, text, **options).select(F.col("id").alias("_id"), F.col("h").alias("_h"), "base", "terms").dropDuplicates(["_id", "_h"])
+    own, ident, h, base, terms = (fresh([*docs.columns, result], c) for c in ("own_text", "found_id", "found_text", "found_base", "found_terms"))
+    found = find(docs, id_col, text, **options).select(F.col("id").alias(ident), F.col("h").alias(h), F.col("base").alias(base), F.col("terms").alias(terms)).dropDuplicates([ident, h])
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    marks = F.array_sort(F.concat(F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(F.array(*map(F.lit, KINDS))[s["rank"]]), F.lit("]")).alias("by"))), F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["removed"], "").otherwise("[TERM]").alias("by")))))
+    marks = F.array_sort(F.concat(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(F.array(*map(F.lit, KINDS))[s["rank"]]), F.lit("]")).alias("by"))), F.transform(terms, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["removed"], "").otherwise("[TERM]").alias("by")))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
     def step(acc, m):
-        gap = F.substring(F.col("_body"), acc["at"] + 1, F.greatest(m["start"] - acc["at"], F.lit(0)))
+        gap = F.substring(F.col(own), acc["at"] + 1, F.greatest(m["start"] - acc["at"], F.lit(0)))
         return F.when(m["end"] <= acc["at"], acc).otherwise(F.struct(m["end"].alias("at"), F.concat(acc["done"], gap, m["by"]).alias("done")))
 
-    joined = docs.withColumn("_body", body).join(found, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.xxhash64("_body") == F.col("_h")))
-    clean = F.aggregate(marks, start, step, lambda acc: F.concat(acc["done"], F.substring(F.col("_body"), acc["at"] + 1, F.length("_body"))))
+    joined = docs.withColumn(own, body).join(found, F.col(f"`{id_col}`").eqNullSafe(F.col(ident)) & (F.xxhash64(own) == F.col(h)))
+    clean = F.aggregate(marks, start, step, lambda acc: F.concat(acc["done"], F.substring(F.col(own), acc["at"] + 1, F.length(own))))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], clean.alias(result))
 
 
@@ -166,4 +167,5 @@ def op7_disclosure(spark, sf_dir: str) -> DataFrame:
     def count(rank: int) -> Column:
         return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long").alias(f"n_{KINDS[rank]}")
 
-    return found.select(F.col("id").alias("doc_id"), *map(count, range(4)), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(all_spans(F.col("base"), F.col("terms"))).alias("spans"))
+    many = (F.size("base") + F.size("terms")).cast("long").alias("n_spans")
+    return found.select(F.col("id").alias("doc_id"), *map(count, range(4)), F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(all_spans(F.col("base"), F.col("terms"))).alias("spans"), many)

@@ -129,10 +129,11 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[
         rows = measured(source, text, [h], result)
     bad = failed({c: F.col(f"{result}.{c}") for c in MEASURES}, min_words, max_repeat_percent)
     verdicts = scratch.keep(host_verdicts(rows.select(h, bad.alias("bad")), h, "bad", max_host_rate), "verdicts")
-    v = verdicts.select(F.col(h).alias("_h"), F.col("shrunk_rate").alias("_rate"), F.col("rejected").alias("_rejected"))
-    rejected = F.coalesce("_rejected", F.lit(False))
-    fields = [*(F.col(f"{result}.{c}").alias(c) for c in MEASURES), bad.alias("base_failed"), F.col("_rate").alias("host_rate"), rejected.alias("host_rejected"), (~bad & ~rejected).alias("kept")]
-    return table.join(v, F.col(h) == F.col("_h"), "left").select(*[F.col(f"`{c}`") for c in keep], F.struct(*fields).alias(result))
+    of, rate, no = (fresh([*docs.columns, result, h], c) for c in ("judged_host", "judged_rate", "judged_no"))
+    v = verdicts.select(F.col(h).alias(of), F.col("shrunk_rate").alias(rate), F.col("rejected").alias(no))
+    rejected = F.coalesce(no, F.lit(False))
+    fields = [*(F.col(f"{result}.{c}").alias(c) for c in MEASURES), bad.alias("base_failed"), F.col(rate).alias("host_rate"), rejected.alias("host_rejected"), (~bad & ~rejected).alias("kept")]
+    return table.join(v, F.col(h) == F.col(of), "left").select(*[F.col(f"`{c}`") for c in keep], F.struct(*fields).alias(result))
 
 
 def op3_host_rules(spark, sf_dir: str) -> DataFrame:
