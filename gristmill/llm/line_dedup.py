@@ -3,7 +3,7 @@
 A line is the set of its words. Of lines that are equal but for case, the first in order of document id and line number
 stands for all. Words are ordered by rarity (the corpus frequency of their hash bucket, in a table of fixed size, then their length); at
 80 % Jaccard two sets of n and m words must meet within their first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1 words.
-Lines that meet there pass a length filter, a positional filter and a filter on 64-bit parity maps (their Hamming
+Lines that meet there pass a length filter, a positional filter and a filter on 128-bit parity maps (their Hamming
 distance never exceeds the sets' difference) before Jaccard is verified on the full sets. A line that matches an earlier
 line is removed, whether that one stays or not.
 
@@ -95,7 +95,7 @@ def _may_match(percent: int, mine=F.col, other=lambda c: F.col(f"other_{c}")) ->
     place = F.when(n < m, at).when(n > m, there).otherwise(F.least(at, there))
     index = place <= short - F.ceil(short * (2.0 * percent) / (100.0 + percent) - 1e-9)
     rest = F.least(n - at, m - there) >= need
-    apart = F.bit_count(mine("s").bitwiseXOR(other("s")))
+    apart = F.bit_count(mine("s1").bitwiseXOR(other("s1"))) + F.bit_count(mine("s2").bitwiseXOR(other("s2")))
     return alike & index & rest & (apart <= n + m - 2 * need)
 
 
@@ -114,14 +114,16 @@ def _verified(pairs: DataFrame, source: DataFrame, firsts: DataFrame, percent: i
 
 
 def _postings(held: DataFrame, ranks: Column, percent: int) -> DataFrame:
-    """(token, lid, n, pos, s) of the prefix words of each line."""
+    """(token, lid, n, pos, s1, s2) of the prefix words of each line."""
     words = held.select(*_DOC, "lid", F.explode(_words(F.col("t"))).alias("w")).where("w <> ''")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.xxhash64("w").bitwiseAND(F.lit(63)).cast("int"))
-    keyed = words.select(*_DOC, "lid", _key(F.col("w"), ranks).alias("key"), bit.alias("bit"))
+    keyed = words.select(*_DOC, "lid", _key(F.col("w"), ranks).alias("key"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("key").bitwiseAND(F.lit(63)).cast("int"))
+    half = F.shiftright("key", 6).bitwiseAND(F.lit(1)) == 0
+    maps = [F.bit_xor(F.when(h, bit).otherwise(0)) for h in (half, ~half)]
     line = Window.partitionBy(*_DOC, "lid")
-    ranked = keyed.select("lid", "key", (F.row_number().over(line.orderBy("key")) - 1).alias("pos"), F.count(F.lit(1)).over(line).cast("int").alias("n"), F.bit_xor("bit").over(line).alias("s"))
+    ranked = keyed.select("lid", "key", (F.row_number().over(line.orderBy("key")) - 1).alias("pos"), F.count(F.lit(1)).over(line).cast("int").alias("n"), maps[0].over(line).alias("s1"), maps[1].over(line).alias("s2"))
     prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1
-    return ranked.where(F.col("pos") < prefix).select(F.hash("key").alias("token"), "lid", "n", "pos", "s")  # equal hashes are more pairs to verify
+    return ranked.where(F.col("pos") < prefix).select(F.hash("key").alias("token"), "lid", "n", "pos", "s1", "s2")  # equal hashes are more pairs to verify
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -136,7 +138,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", perc
     # One number a line, ascending in the order of lines; written, so that it stays the same.
     firsts = scratch.keep(scratch.keep(firsts.select("f.*"), "lines").orderBy(*_DOC, "line").withColumn("lid", F.monotonically_increasing_id()), "firsts")
 
-    mine = ("lid", "n", "pos", "s")
+    mine = ("lid", "n", "pos", "s1", "s2")
     posts = scratch.keep(_postings(_lines(source, firsts), ranks, percent), "posts")
     tops = posts.groupBy("token").agg(F.min("lid").alias("c_lid"), F.max("lid").alias("last"), *[F.min_by(c, "lid").alias(f"c_{c}") for c in mine[1:]])
     tops = tops.where("last > c_lid").drop("last")  # a word of one line alone is of no use
