@@ -159,8 +159,8 @@ class Codec:
                 lists = found["ids"].combine_chunks()
                 flat, ends = lists.flatten().to_numpy().astype("<i4"), np.cumsum(lists.value_lengths().to_numpy())
                 packed, ends = flat.tobytes(), (4 * ends).tolist()
-                decoded = map(bytes.fromhex, found["body"].to_pylist())
-                self.words.new.update((new[part[w]], (packed[a:b], body)) for w, a, b, body in zip(found["w"].to_pylist(), [0, *ends], ends, decoded))
+                decoded = map(bytes.fromhex, found["body"].to_numpy().tolist())
+                self.words.new.update((new[part[w]], (packed[a:b], body)) for w, a, b, body in zip(found["w"].to_numpy().tolist(), [0, *ends], ends, decoded))
                 size, a = 0, e + 1
         for k, b in enumerate(bodies):
             if len(b) > LONG_WORD:
@@ -212,12 +212,12 @@ class Codec:
         Where no white space stands before a space, a space always begins a piece, so text is looked up from space to
         space; other texts are looked up piece by piece."""
         self.words.turn(), self.units.turn()
-        odd = {k: t for k, t in enumerate(texts.to_pylist()) if "\0" in t or self.unsafe(t)}
+        odd = {k: t for k, t in enumerate(texts.to_numpy(zero_copy_only=False).tolist()) if "\0" in t or self.unsafe(t)}
         if odd:
             texts = pc.if_else(pa.array([k in odd for k in range(len(texts))]), "", texts)
         lists = pc.split_pattern(pc.binary_join_element_wise("\0", texts, ""), " ")
         coded = lists.flatten().dictionary_encode()
-        names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        names, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         self._units(self.units.missing(names))
         values = [self.units.new[u] for u in names]
         data, length = np.frombuffer(b"".join(values), np.uint8), np.array([len(v) for v in values])
@@ -257,7 +257,7 @@ class Codec:
         lengths = np.array([len(r) for r in rows])
         if lengths.sum():
             found = self._rows(_DECODE, np.concatenate(rows), lengths)
-            for w, body in zip(found["w"].to_pylist(), found["body"].to_pylist()):
+            for w, body in zip(found["w"].to_numpy().tolist(), found["body"].to_numpy().tolist()):
                 out[w] = bytes.fromhex(body)
         return out
 
