@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,11 +49,12 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
-        path = f"{self.root}/{self.n:03d}-{name}"
+        path, began = f"{self.root}/{self.n:03d}-{name}", time.time()
         df.write.option("compression", "zstd").parquet(path)
         schema = df.schema
         del df  # else its shuffle files stay for one step more
-        free(self.spark)
+        if time.time() - began > 2:  # a shorter step has no shuffle files to speak of; the next longer one frees them too
+            free(self.spark)
         return self.spark.read.schema(schema).parquet(path)
 
     def path(self, name: str) -> str:
