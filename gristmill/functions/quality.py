@@ -104,7 +104,7 @@ def trimmed_output(text: Column, lines: int = 10, width: int = 200) -> Column:
     all_ = F.split(text, "\n")
     short = F.transform(F.slice(all_, F.lit(1), F.lit(lines)), lambda x: F.when(F.length(x) > width, F.concat(F.substring(x, 1, width - 5), F.lit("[...]"))).otherwise(x))
     more = F.size(all_) - lines
-    return F.array_join(F.when(more > 0, F.array_append(short, F.concat(more.cast("string"), F.lit(" more lines")))).otherwise(short), "\n")
+    return F.array_join(F.when(more > 0, F.array_append(short, F.concat(F.lit("["), more.cast("string"), F.lit(" more lines]")))).otherwise(short), "\n")
 
 
 def elided(text: Column, most: int = 64, side: int = 24) -> Column:

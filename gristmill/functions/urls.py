@@ -72,10 +72,11 @@ def resolve_reference(base: str | None, reference: str | None, relative_from: st
     if rest and rest[0] in SEPARATORS:
         branch, inner = (rest[1] if len(rest) > 1 else branch), "/".join(rest[2:])
     start = "/" if ref.path.startswith("/") else "/" + posixpath.join(inner, posixpath.dirname(relative_from))
-    path = posixpath.normpath(posixpath.join(start, ref.path.lstrip("/"))).lstrip("/")
+    path = posixpath.normpath(posixpath.join(start, ref.path.lstrip("/"))).strip("/")
+    path = "" if path == "." else path
     kind = "raw" if embedded or reference.lower().endswith(IMAGE_ENDINGS) else "blob"
     dash = "-/" if PROVIDERS[host] == "gitlab" else ""
-    return urlunsplit(("https", host, f"/{owner}/{name}/{dash}{kind}/{branch or 'master'}/{path}".rstrip("."), ref.query, ref.fragment))
+    return urlunsplit(("https", host, f"/{owner}/{name}/{dash}{kind}/{branch or 'master'}/{path}", ref.query, ref.fragment))
 
 
 def resolved(base: Column, reference: Column, relative_from: Column) -> Column:

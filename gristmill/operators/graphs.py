@@ -17,6 +17,13 @@ RUNTIMES = {
     "flutter-native": (*_COMMON, *_NATIVE, "ui"),
     "flutter-web": (*_COMMON, *_WEB, "ui", "ui_web"),
 }
+#: The runtimes of platform and SDK checks: those of the kit's user interface are let through, or nearly all is.
+BROAD_RUNTIMES = {
+    "native": (*_COMMON, *_NATIVE, "ui"),
+    "web": (*_COMMON, *_WEB, "ui"),
+    "dart": tuple(dict.fromkeys((*RUNTIMES["native-jit"], *_WEB))),
+    "flutter": tuple(dict.fromkeys((*_COMMON, *_NATIVE, "cli", *_WEB, *RUNTIMES["flutter-native"], *RUNTIMES["flutter-web"]))),
+}
 #: Platforms in this order, with the plain runtime and the one of the user interface kit.
 PLATFORMS = (
     ("android", "native-aot", "flutter-native"),
@@ -28,8 +35,8 @@ PLATFORMS = (
 )
 
 
-def runtime_table(spark) -> DataFrame:
-    return spark.createDataFrame([(r, x) for r, libs in RUNTIMES.items() for x in libs], "runtime string, lib string")
+def runtime_table(spark, runtimes: dict | None = None) -> DataFrame:
+    return spark.createDataFrame([(r, x) for r, libs in (runtimes or RUNTIMES).items() for x in libs], "runtime string, lib string")
 
 
 def chosen_edges(edges: DataFrame, runtimes: DataFrame) -> DataFrame:
@@ -73,13 +80,6 @@ def first_path(edges: dict, root, wanted) -> list | None:
     return None
 
 
-def violations(reached: DataFrame, runtimes: DataFrame, imports: DataFrame) -> DataFrame:
-    """(runtime, root, path, lib): the shortest path to a node whose import (node, lib) the runtime lacks."""
-    bad = reached.join(imports, "node").join(runtimes, ["runtime", "lib"], "left_anti")
-    order = Window.partitionBy("runtime", "root").orderBy(F.size("path"), "path", "lib")
-    return bad.withColumn("n", F.row_number().over(order)).where("n = 1").select("runtime", "root", "path", "lib")
-
-
 def platform_tags(roots: DataFrame, bad: DataFrame, spark) -> DataFrame:
     """(root, platform): a platform holds if its plain runtime or else that of the kit has no violation."""
     rows = [(k, p, r) for k, (p, a, b) in enumerate(PLATFORMS) for r in (a, b) if r]

@@ -79,7 +79,8 @@ def static_analysis(errors: Column, warnings: Column, others: Column) -> Column:
 def latest_supported(worst: Column, discontinued: Column) -> Column:
     """worst: 0 outdated, 1 recent, 2 preview, null none. Points stay for the milder ones."""
     bad = (worst == 0) | discontinued
-    return subsection(F.when(F.coalesce(bad, discontinued), 0).otherwise(10), 10, F.when(worst.isin(1, 2), "partial"))
+    fails = F.coalesce(bad, discontinued)
+    return subsection(F.when(fails, 0).otherwise(10), 10, F.when(~fails & worst.isin(1, 2), "partial"))
 
 
 def sdk_support(has: Column, allows_current: Column) -> Column:

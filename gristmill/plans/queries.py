@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import diagnostics as D
@@ -13,24 +11,13 @@ from ..functions import tokens as T
 from ..functions import urls as U
 from ..functions import versions as V
 from ..operators import graphs as G
+from ..operators import manifests as H
 from ..operators import matching as M
 from ..operators import relations as R
 from ..operators import scoring as S
+from ..operators import tags as TG
 from ..sources.tables import cache_file, fresh_entries, list_argument, table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.plain(F.col("text")).alias("words"))
@@ -203,15 +190,33 @@ def link_verdicts(spark, sf_dir):
     return both.select("page_id", "url", Q.link_verdict(F.col("url"), F.col("page_id") % 3 != 0).alias("verdict"))
 
 
-@query(r"SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, 'https://' || regexp_extract(url, '^https?://([^/?#]+)', 1) || '/' || string_split(regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1), '/')[1] || '/' || string_split(regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1), '/')[2] AS clone FROM pages WHERE regexp_matches(url, '^https?://[^/?#]+/[^/?#]+/[^/?#]+') AND NOT regexp_matches(url, '/(blob|raw|tree)(/|$)|\.git(/|$)|//.*//|\.\.')")
+#: Addresses of each form; {} is a number.
+_REPOSITORIES = (
+    ("https://github.com/o{}/r.git", "github", "github.com", "o{}/r", None, None),
+    ("http://www.github.com/o{}/r/tree/main/pkg/x?a=1#z", "github", "github.com", "o{}/r", "main", "pkg/x"),
+    ("https://gitlab.com/o{}/r/-/blob/dev/x.md", "gitlab", "gitlab.com", "o{}/r", "dev", "x.md"),
+    ("https://git.example.com/a/o{}/r.git/sub", "unknown", "git.example.com", "a/o{}/r", None, "sub"),
+    ("https://github.com/o{}/../r", None, None, None, None, None),
+    ("ftp://github.com/o{}/r", None, None, None, None, None),
+    ("https://github.com/o{}", None, None, None, None, None),
+)
+_REPOSITORY_ROWS = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in _REPOSITORIES)
+
+
+@query(
+    f"SELECT page_id, replace(u, '{{}}', page_id::VARCHAR) AS url, p AS provider, h AS host, replace(r, '{{}}', page_id::VARCHAR) AS repository, b AS branch, t AS path, 'https://' || h || '/' || replace(r, '{{}}', page_id::VARCHAR) AS clone FROM pages, (VALUES {_REPOSITORY_ROWS}) v(u, p, h, r, b, t)"
+    r" UNION ALL SELECT page_id, url, CASE WHEN ok THEN 'unknown' END, CASE WHEN ok THEN host END, CASE WHEN ok THEN s[1] || '/' || s[2] END, NULL, CASE WHEN ok AND len(s) > 2 THEN array_to_string(s[3:], '/') END, CASE WHEN ok THEN 'https://' || host || '/' || s[1] || '/' || s[2] END"
+    r" FROM (SELECT *, len(s) >= 2 AS ok FROM (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, list_filter(string_split(regexp_extract(url, '^https?://[^/?#]+/([^?#]*)', 1), '/'), lambda x: x <> '') AS s FROM pages))"
+)
 def repository_urls(spark, sf_dir):
+    """Every page's address, and addresses of every form of a repository."""
     p = table(spark, sf_dir, "pages")
-    plain = p.where(F.col("url").rlike("^https?://[^/?#]+/[^/?#]+/[^/?#]+") & ~F.col("url").rlike(r"/(blob|raw|tree)(/|$)|\.git(/|$)|//.*//|\.\."))
-    r = plain.select("page_id", U.repository(F.col("url")).alias("r"))
-    return r.select("page_id", F.col("r.host").alias("host"), U.clone_url(F.col("r")).alias("clone"))
+    made = p.select("page_id", F.explode(F.array(*[F.replace(F.lit(u), F.lit("{}"), F.col("page_id").cast("string")) for u, *_ in _REPOSITORIES])).alias("url"))
+    r = made.unionByName(p.select("page_id", "url")).select("page_id", "url", U.repository(F.col("url")).alias("r"))
+    return r.select("page_id", "url", "r.provider", "r.host", "r.repository", "r.branch", "r.path", U.clone_url(F.col("r")).alias("clone"))
 
 
-@query()
+@query("WITH " + _LINKS + r"SELECT page_id, url, CASE WHEN regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:') OR url LIKE '#%' THEN url ELSE 'https://github.com/a/b/' || CASE WHEN regexp_matches(lower(url), '\.(png|jpe?g|gif|svg|webp|bmp|ico)$') THEN 'raw' ELSE 'blob' END || '/main' || CASE WHEN url LIKE '/%' THEN url ELSE '/pkg/' || url END END AS target FROM sc")
 def resolved_links(spark, sf_dir):
     links = _links(spark, sf_dir)
     return links.select("page_id", "url", U.resolved(F.lit("https://github.com/a/b/tree/main/pkg"), F.col("url"), F.lit("README.md")).alias("target"))
@@ -305,13 +310,6 @@ def platform_score(spark, sf_dir):
     return s.select("s_suppkey", points.alias("p")).select("s_suppkey", "p.*")
 
 
-@query()
-def document_report(spark, sf_dir):
-    from .report import report
-
-    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-
-
 # Coverage and comparison.
 @query(
     "WITH k AS (SELECT d.source, d.doc_id, l.doc_id IS NOT NULL AS has FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id),"
@@ -382,9 +380,9 @@ def common_keys(spark, sf_dir):
 @query("SELECT c_custkey, array_to_string(list_sort(list_filter([CASE WHEN c_custkey % 2 = 0 THEN 'dart' ELSE 'flutter' END, 'dart'], lambda x: x <> CASE WHEN c_nationkey % 2 = 0 THEN 'dart' ELSE 'none' END)), ',') AS extra FROM customer WHERE c_custkey % 2 = 1 UNION ALL SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN '' ELSE 'dart' END FROM customer WHERE c_custkey % 2 = 0")
 def set_difference(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    declared = F.array(F.when(F.col("c_custkey") % 2 == 0, "dart").otherwise("flutter"), F.lit("dart"))
+    declared = F.array(F.when(F.col("c_custkey") % 2 == 0, "dart").otherwise("flutter"))
     allowed = F.array(F.when(F.col("c_nationkey") % 2 == 0, "dart").otherwise("none"))
-    return c.select("c_custkey", F.array_join(F.array_sort(F.array_except(declared, allowed)), ",").alias("extra"))
+    return c.select("c_custkey", F.array_join(F.array_sort(H.beyond_allowed(declared, allowed)), ",").alias("extra"))
 
 
 # Versions and history.
@@ -402,11 +400,12 @@ def age_in_days(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", V.age_days(F.col("o_orderdate"), F.lit("1998-08-02").cast("timestamp")).alias("days"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size > 40 THEN true WHEN p_size < 3 THEN false ELSE p_size >= 2 AND p_size < 3 OR p_size BETWEEN 3 AND 40 AND false END AS allowed FROM part WHERE p_size > 40 OR p_size < 2")
+@query("SELECT p_partkey, c AS constraint_text, CASE c WHEN '>=40.0.0 <60.0.0' THEN p_size BETWEEN 40 AND 59 WHEN '^2.0.0' THEN p_size = 2 WHEN '>10.5.0 <=20.5.0' THEN p_size BETWEEN 11 AND 20 WHEN '^0.5.0' THEN p_size = 0 WHEN 'any' THEN true ELSE p_size = 7 END AS allowed FROM part, (VALUES ('>=40.0.0 <60.0.0'), ('^2.0.0'), ('>10.5.0 <=20.5.0'), ('^0.5.0'), ('any'), ('7.5.0')) v(c)")
 def constraint_allows(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_size > 40 or p_size < 2")
-    c = F.when(F.col("p_size") > 40, ">=40.0.0 <60.0.0").otherwise("^2.0.0")
-    return p.select("p_partkey", V.allows(V.bounds(c), V.key(F.concat(F.col("p_size"), F.lit(".5.0")))).alias("allowed"))
+    """Every part's size as a version, against constraints of each form."""
+    c = F.explode(F.array(*map(F.lit, (">=40.0.0 <60.0.0", "^2.0.0", ">10.5.0 <=20.5.0", "^0.5.0", "any", "7.5.0")))).alias("constraint_text")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size", c)
+    return p.select("p_partkey", "constraint_text", V.allows(V.bounds(F.col("constraint_text")), V.key(F.concat(F.col("p_size"), F.lit(".5.0")))).alias("allowed"))
 
 
 @query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size % 3, p_size % 12, p_partkey % 2 DESC, p_partkey)::INT AS rank FROM part")
@@ -424,61 +423,67 @@ def worst_of_each(spark, sf_dir):
     return R.worst(o.select("o_custkey", rank.alias("status"), "o_orderkey"), "o_custkey", "status", "o_orderkey")
 
 
-# Graphs.
-_EDGES = "e AS (SELECT DISTINCT l_suppkey % 40 AS src, l_partkey % 40 AS dst FROM lineitem WHERE l_suppkey % 40 < 20 AND l_partkey % 40 < 20 AND l_orderkey < 24)"
+# Graphs. Regions hold nations, nations suppliers, suppliers parts and parts their brand: every row of lineitem is an edge.
+_EDGES = """e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier
+UNION SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem UNION SELECT 'p' || p_partkey, p_brand FROM part)"""
+_LIBS = "CASE k % 5 WHEN 0 THEN 'io' WHEN 1 THEN 'html' WHEN 2 THEN 'ui' ELSE 'core' END"
+_ROOTED = f"""{_EDGES}, t AS (SELECT 'p' || p_partkey AS root FROM part UNION SELECT 's' || s_suppkey FROM supplier),
+r AS (SELECT root, root AS node, [root] AS path FROM t UNION ALL SELECT root, dst, list_append(path, dst) FROM r JOIN e ON e.src = r.node),
+i AS (SELECT node, {_LIBS} AS lib FROM (SELECT 'p' || p_partkey AS node, p_size AS k FROM part UNION SELECT p_brand, regexp_extract(p_brand, '[0-9]+')::INT FROM part)),
+o AS (SELECT * FROM (VALUES {", ".join(f"('{r}', '{x}')" for r, libs in G.RUNTIMES.items() for x in libs if x in ("io", "html", "ui", "core"))}) v(runtime, lib)),
+v AS (SELECT root, runtime, path, lib FROM r JOIN i USING (node), (SELECT DISTINCT runtime FROM o) y WHERE NOT EXISTS (SELECT 1 FROM o x WHERE x.runtime = y.runtime AND x.lib = i.lib))"""
 
 
 def _edges(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_suppkey % 40 < 20 and l_partkey % 40 < 20 and l_orderkey < 24")  # the graph, not a sample
-    return l.select((F.col("l_suppkey") % 40).alias("src"), (F.col("l_partkey") % 40).alias("dst")).distinct()
+    t = lambda name, src, dst: table(spark, sf_dir, name).select(src.alias("src"), dst.alias("dst"))
+    named = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    rows = t("nation", named("r", "n_regionkey"), named("n", "n_nationkey")).union(t("supplier", named("n", "s_nationkey"), named("s", "s_suppkey")))
+    return rows.union(t("lineitem", named("s", "l_suppkey"), named("p", "l_partkey"))).union(t("part", named("p", "p_partkey"), F.col("p_brand"))).distinct()
 
 
-@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT DISTINCT src AS root, src AS node, 0 AS d FROM e UNION SELECT root, dst, d + 1 FROM r JOIN e ON e.src = r.node WHERE d < 20) SELECT root, node, min(d)::INT AS steps FROM r GROUP BY ALL")
+def _libraries(spark, sf_dir):
+    """Roots, what they reach, and the library that each node imports."""
+    p = table(spark, sf_dir, "part")
+    parts = p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("root"))
+    roots = parts.union(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))))
+    k = F.col("k") % 5
+    lib = F.when(k == 0, "io").when(k == 1, "html").when(k == 2, "ui").otherwise("core")
+    sizes = p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"), F.col("p_size").alias("k"))
+    brands = p.select(F.col("p_brand").alias("node"), F.regexp_extract("p_brand", "[0-9]+", 0).cast("int").alias("k")).distinct()
+    return roots, G.reach(_edges(spark, sf_dir), roots), sizes.union(brands).select("node", lib.alias("lib"))
+
+
+@query(f"WITH RECURSIVE {_EDGES}, r AS (SELECT DISTINCT src AS root, src AS node, [src] AS path FROM e WHERE src LIKE 'r%' UNION ALL SELECT root, dst, list_append(path, dst) FROM r JOIN e ON e.src = r.node) SELECT root, node, len(min(path))::INT - 1 AS steps, array_to_string(min(path), '>') AS path FROM r GROUP BY ALL")
 def reachability(spark, sf_dir):
     e = _edges(spark, sf_dir)
-    found = G.reach(e, e.select(F.col("src").alias("root")).distinct())
-    return found.select("root", "node", (F.size("path") - 1).alias("steps"))
+    found = G.reach(e, e.where(F.col("src").startswith("r")).select(F.col("src").alias("root")).distinct())
+    return found.select("root", "node", (F.size("path") - 1).alias("steps"), F.array_join("path", ">").alias("path"))
 
 
-@query(
-    f"WITH RECURSIVE {_EDGES}, r AS (SELECT DISTINCT src AS root, src AS node FROM e UNION SELECT root, dst FROM r JOIN e ON e.src = r.node),"
-    " i AS (SELECT DISTINCT node, CASE WHEN node % 5 = 0 THEN 'io' WHEN node % 5 = 1 THEN 'html' WHEN node % 5 = 2 THEN 'ui' ELSE 'core' END AS lib FROM r),"
-    " o AS (SELECT * FROM (VALUES ('native-aot', 'io'), ('native-jit', 'io'), ('web', 'html'), ('flutter-native', 'io'), ('flutter-native', 'ui'), ('flutter-web', 'html'), ('flutter-web', 'ui'), ('wasm', 'ui')) v(runtime, lib)),"
-    " t AS (SELECT DISTINCT runtime FROM o)"
-    " SELECT DISTINCT runtime, root FROM r JOIN i USING (node), t WHERE lib <> 'core' AND NOT EXISTS (SELECT 1 FROM o WHERE o.runtime = t.runtime AND o.lib = i.lib)"
-)
+@query(f"WITH RECURSIVE {_ROOTED}, f AS (SELECT root, runtime, arg_min(path, (len(path), path, lib)) AS path, arg_min(lib, (len(path), path, lib)) AS lib FROM v GROUP BY ALL) SELECT root, runtime, array_to_string(path, '>') AS path, lib FROM f")
 def runtime_violations(spark, sf_dir):
-    e, runtimes = _edges(spark, sf_dir), G.runtime_table(spark)
-    reached = G.reach(e, e.select(F.col("src").alias("root")).distinct())
-    lib = F.when(F.col("node") % 5 == 0, "io").when(F.col("node") % 5 == 1, "html").when(F.col("node") % 5 == 2, "ui").otherwise("core")
-    imports = reached.select("node", lib.alias("lib")).distinct()
-    names = runtimes.select("runtime").distinct()
-    bad = reached.join(imports, "node").crossJoin(names).join(runtimes, ["runtime", "lib"], "left_anti")  # six runtimes
-    order = Window.partitionBy("runtime", "root").orderBy(F.size("path"), "path", "lib")
-    return bad.withColumn("n", F.row_number().over(order)).where("n = 1").select("runtime", "root")
+    _, reached, imports = _libraries(spark, sf_dir)
+    runtimes = G.runtime_table(spark)
+    bad = TG.runtime_violations(reached, imports, runtimes, runtimes.select("runtime").distinct())
+    return bad.select("root", "runtime", F.array_join("path", ">").alias("path"), "lib")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_ROOTED}, p AS (SELECT * FROM (VALUES {', '.join(f'({n}, {chr(39)}{p}{chr(39)}, {chr(39)}{r}{chr(39)})' for n, (p, *rs) in enumerate(G.PLATFORMS) for r in rs if r)}) x(ord, platform, runtime))"
+    " SELECT DISTINCT root, platform, ord FROM t, p WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.root = t.root AND v.runtime = p.runtime)"
+)
 def platform_tags(spark, sf_dir):
-    """On the graph of all rows. Reached backwards from the libraries, so that each pass costs edges, not pairs of nodes."""
-    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("src"), F.col("l_partkey").cast("string").alias("dst")).distinct().checkpoint()
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
-    rest = F.col("node").cast("long") % 5
-    lib = F.when(rest == 0, "io").when(rest == 1, "html").when(rest == 2, "ui").otherwise("core")
-    imports = nodes.select("node", lib.alias("lib"))
-    back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst")).union(imports.select("lib", "node"))  # names of libraries are no numbers
-    reached = G.reach(back, imports.select(F.col("lib").alias("root")).distinct()).select(F.col("node").alias("root"), F.col("root").alias("lib"))
-    roots, runtimes = e.select(F.col("src").alias("root")).distinct(), G.runtime_table(spark)
-    names = runtimes.select("runtime").distinct()
-    bad = reached.join(roots, "root").crossJoin(names).join(runtimes, ["runtime", "lib"], "left_anti")  # six runtimes
-    return G.platform_tags(roots, bad.select("root", "runtime").distinct(), spark).withColumn("root", F.col("root").cast("long"))
+    roots, reached, imports = _libraries(spark, sf_dir)
+    runtimes = G.runtime_table(spark)
+    bad = TG.runtime_violations(reached, imports, runtimes, runtimes.select("runtime").distinct())
+    return G.platform_tags(roots, bad, spark)
 
 
 # Lists, codes and caches.
-@query("SELECT doc_id, CASE WHEN length(t) < 64 THEN t ELSE left(t, 24) || '[...]' || right(t, 24) END AS cut FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10))[1] AS t FROM documents)")
+@query("SELECT doc_id, CASE WHEN length(t) < 64 THEN t ELSE left(t, 24) || '[...]' || right(t, 24) END AS cut FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def truncated_texts(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", Q.elided(F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0))).alias("cut"))
+    return d.select("doc_id", Q.elided(F.coalesce("text", F.lit(""))).alias("cut"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'A' THEN 'delete' WHEN 'N' THEN 'match' ELSE 'insert' END AS type, l_linenumber::INT AS start, l_quantity::INT AS length, CASE WHEN l_returnflag = 'A' THEN l_linestatus END AS content FROM lineitem")
@@ -502,11 +507,10 @@ def cache_names(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", cache_file(F.lit("url"), F.col("url")).alias("name"))
 
 
-@query("SELECT c_custkey, trim(p) AS name, ord::INT AS ord FROM (SELECT c_custkey, unnest(string_split(c_mktsegment || ', ' || c_name, ',')) AS p, unnest(range(0, 2)) AS ord FROM customer)")
+@query("SELECT name, ord, count(*) AS n FROM (SELECT trim(unnest(string_split(replace(v, chr(10), ','), ','))) AS name, unnest(range(0, len(string_split(replace(v, chr(10), ','), ','))))::INT AS ord FROM (SELECT c_mktsegment || ', ,' || c_name || chr(10) || ' ' || c_nationkey AS v FROM customer)) WHERE name <> '' GROUP BY ALL")
 def listed_names(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws(", ", "c_mktsegment", "c_name").alias("v"))
-    parts = c.select("c_custkey", F.posexplode(F.split("v", ",")).alias("ord", "name"))
-    return parts.select("c_custkey", F.trim("name").alias("name"), "ord")
+    c = table(spark, sf_dir, "customer").select(F.concat("c_mktsegment", F.lit(", ,"), "c_name", F.lit("\n "), F.col("c_nationkey").cast("string")).alias("v"))
+    return list_argument(c, "v").groupBy("name", "ord").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'example/README.md' WHEN p_partkey % 4 = 1 THEN 'example/main.dart' ELSE 'example/p' || p_partkey || '.dart' END AS path FROM part WHERE p_partkey % 4 <> 3")
@@ -527,11 +531,13 @@ def path_predicates(spark, sf_dir):
     return n.select("n_name", Q.is_analysis_target(path).alias("target"), Q.is_library_href(href).alias("library"))
 
 
-@query("SELECT p_partkey, n AS lines, CASE WHEN n > 10 THEN (n - 10) || ' more lines' ELSE 'line' END AS last FROM (SELECT p_partkey, p_size AS n FROM part)")
+_CUT_LINES = "list_transform(ls[1:10], lambda x: CASE WHEN length(x) > 200 THEN left(x, 195) || '[...]' ELSE x END)"
+
+
+@query(f"SELECT doc_id, array_to_string(CASE WHEN len(ls) > 10 THEN list_append({_CUT_LINES}, '[' || (len(ls) - 10) || ' more lines]') ELSE {_CUT_LINES} END, chr(10)) AS output FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)")
 def trimmed_outputs(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    text = F.array_join(F.array_repeat(F.lit("line"), F.col("p_size")), "\n")
-    return p.select("p_partkey", F.col("p_size").alias("lines"), F.element_at(F.split(Q.trimmed_output(text), "\n"), -1).alias("last"))
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", Q.trimmed_output(F.coalesce("text", F.lit(""))).alias("output"))
 
 
 # Packages.

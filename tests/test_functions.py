@@ -1,11 +1,15 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from gristmill.functions import diagnostics as D
 from gristmill.functions import diffs as X
+from gristmill.functions import markdown as MD
 from gristmill.functions import quality as Q
+from gristmill.functions import render as N
+from gristmill.functions import rules as L
 from gristmill.functions import semi as J
 from gristmill.functions import tokens as T
 from gristmill.functions import urls as U
@@ -19,14 +23,12 @@ def value(spark, column):
 @pytest.mark.parametrize(
     "text, expected",
     [
-        ("// hello! ^& world %^& 1.1", "hello world 1.1"),
-        ("analogue  favorite per cent copyright holder copyright-holder ", "analog favourite percent copyright owner copyrightowner"),
-        ("// !hello @#world -1.1.1", "hello world 1.1.1"),
-        ("// hell@o wo$%^rld", "hello world"),
-        ("H.E.L.L.O W.O.R.L.D 1!.2#-3", "hello world 1.2-3"),
-        ("// 1) hello world.\n   vii. This is a text vii.", "hello world this is a text vii"),
-        ("hello    world\r\n take some\n tokens", "hello world take some tokens"),
-        ("per\ncent", "per cent"),
+        ("/* Grant, subject to section 4.2! */", "grant subject to section 4.2"),  # marks go, a number's inner points stay
+        ("## analyse the sub license per cent of the copyright holder", "analyze the sublicense percent of the copyright owner"),  # spellings and pairs
+        ("1. first point\n  iv) second point iv.\n(c) third", "first point second point iv third"),  # list items go where they open a line
+        ("Ver. 10.3.1-beta_7 of f(x)=y", "ver 10.3.1-7 of fxy"),  # in a word that begins with a digit, letters go
+        ("per\ncent of copyright\nholder", "per cent of copyright holder"),  # a new line keeps a pair apart
+        ("A-b C_d e'f \"g\"", "ab cd ef g"),
     ],
 )
 def test_tokens(text, expected):
@@ -34,8 +36,11 @@ def test_tokens(text, expected):
 
 
 def test_token_places():
-    text = "Copyright (C) \n\nPermission to use/copy, modify    granted."
-    assert T.scan(text) == [("copyright", 0, 9), ("c", 11, 13), ("permission", 16, 26), ("to", 27, 29), ("usecopy", 30, 39), ("modify", 40, 46), ("granted", 50, 58)]
+    """Every token stands where its word does; those of a pair reach over both."""
+    text = "* The  sub license,\r\n2) as-is: (C) 2020"
+    got = T.scan(text)
+    assert [t for t, _, _ in got] == ["the", "sublicense", "asis", "c", "2020"]
+    assert [text[a:b] for _, a, b in got] == ["The", "sub license,", "as-is:", "C)", "2020"]
 
 
 def test_granularity():
@@ -147,33 +152,160 @@ def test_tool_output(spark):
     "content, groovy, yes",
     [
         ("apply plugin: 'kotlin-android'", True, True),
-        ("plugins {\n  id 'org.jetbrains.kotlin.android'\n}", True, True),
-        ("plugins {\n  alias(libs.plugins.kotlin.android)\n}", True, True),
+        ("  apply \t plugin :  \"org.jetbrains.kotlin.android\" // old", True, True),
+        ("apply plugin: 'kotlin-android\"", True, False),
         ("// apply plugin: 'kotlin-android'", True, False),
-        ("plugins {\n  id 'com.android.library'\n}", True, False),
+        ("apply plugin: 'kotlin-android'", False, False),
+        ("plugins {\n  id 'org.jetbrains.kotlin.android'\n}", True, True),
+        ("plugins { id 'kotlin-android' }", True, True),
+        ("plugins {\n  id 'a'\n  alias(\n libs.plugins.kotlin.android\n )\n}", True, True),
+        ("plugins {\n  id 'kotlin-android' version '1'\n}", True, False),
+        ("plugins {\n  id 'com.android.library'\n}\nid 'kotlin-android'", True, False),
+        ("plugins {\n  x {\n }\n  id 'kotlin-android'\n}", True, False),
+        ("other {\n  id 'kotlin-android'\n}", True, False),
         ("android {\n  kotlinOptions {\n  }\n}", True, True),
+        ("android.kotlinOptions { }", False, True),
+        ("mykotlinOptions {", True, False),
         ('plugins {\n  id("org.jetbrains.kotlin.android")\n}', False, True),
+        ('plugins {\n  id ( "kotlin-android" )}', False, True),
         ("plugins {\n  id 'org.jetbrains.kotlin.android'\n}", False, False),
+        ("plugins {\n  alias(libs.plugins.android.kotlin\n}", False, False),
     ],
 )
 def test_kotlin(spark, content, groovy, yes):
     assert value(spark, D.old_kotlin_build(F.lit(content), groovy)) is yes
 
 
+def common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
 def test_word_diff():
-    d = X.word_diff("x the quick fox y".split(), "the slow quick fox".split())
-    assert X.trimmed(d) == [("equal", ["the"]), ("insert", ["slow"]), ("equal", ["quick", "fox"])]
+    g = random.Random(3)
+    for _ in range(600):
+        a, b = ([g.choice("abcde") for _ in range(g.randrange(16))] for _ in range(2))
+        d = X.word_diff(a, b)
+        assert [w for o, ws in d if o != "insert" for w in ws] == a and [w for o, ws in d if o != "delete" for w in ws] == b
+        steps = sum(len(ws) for o, ws in d if o != "equal")
+        assert steps == len(a) + len(b) - 2 * common(a, b)
+        assert X.word_diff(a, b, steps) == d and (not steps or X.word_diff(a, b, steps - 1) is None)
+        assert all(x[0] != y[0] for x, y in zip(d, d[1:]))
+
+
+def test_distance():
+    d = X.word_diff("intro the quick fox outro".split(), "the slow quick fox".split())
+    assert X.known_range(d) == (1, 4) and X.trimmed(d) == [("equal", ["the"]), ("insert", ["slow"]), ("equal", ["quick", "fox"])]
     assert X.distance(X.trimmed(d)) == 1 and X.confidence(1, 4) == 0.75 and X.confidence(3, 0) == 1
-    for a, b in (("", "a b"), ("a b", ""), ("a b c a b b a", "c b a b a c"), ("a", "a")):
-        d = X.word_diff(a.split(), b.split())
-        assert [w for o, ws in d if o != "insert" for w in ws] == a.split() and [w for o, ws in d if o != "delete" for w in ws] == b.split()
+    assert X.known_range([("delete", ["a"])]) == (0, 0)
+
+
+def test_steps_allowed():
+    """No script that reaches the threshold is given up."""
+    g = random.Random(4)
+    for _ in range(500):
+        known = [g.choice("abcdefgh") for _ in range(g.randint(1, 20))]
+        found = [w if g.random() > 0.1 else "z" for w in known]
+        found = [g.choice("xy") for _ in range(g.randrange(5))] + found + [g.choice("xy") for _ in range(g.randrange(5))]
+        d = X.word_diff(found, known)
+        if X.confidence(X.distance(X.trimmed(d)), len(known)) >= 0.8:
+            assert X.word_diff(found, known, X.steps_allowed(len(found), len(known), 0.8)) == d
 
 
-def test_rejections():
-    assert X.rejected([("equal", ["gpl", "version"]), ("insert", ["2.0"])], "GPL") == "version"
-    assert X.rejected([("insert", ["the", "affero"])], "AGPL-3.0") == "phrase"
-    assert X.rejected([("equal", ["gnu"]), ("insert", ["lesser"])], "GPL-3.0") == "lesser"
-    assert X.rejected([("equal", ["a"]), ("insert", ["b"])], "MIT") is None
+def test_token_ops():
+    text = "so the red  fox ran"
+    spans, at = [], 0
+    for w in text.split():
+        at = text.index(w, at)
+        spans.append((at, at + len(w)))
+    d = X.word_diff(text.split(), "the big fox ran far".split())
+    ops = X.token_ops(d, spans)
+    assert [(o["type"], text[o["start"] : o["start"] + o["length"]] if o["content"] is None else o["content"]) for o in ops] == [("insert", "so"), ("match", "the"), ("insert", "red"), ("delete", "big"), ("match", "fox ran"), ("delete", "far")]
+    assert X.token_places(["ab", "c"]) == [0, 0, 0, 1, 1]
+
+
+@pytest.mark.parametrize(
+    "diffs, ident, why",
+    [
+        ([("equal", ["under", "version"]), ("insert", ["7"])], "X", "version"),
+        ([("equal", ["the", "standard", "version"]), ("insert", ["7"])], "X", None),
+        ([("equal", ["the", "contributor", "version"]), ("delete", ["6"]), ("insert", ["7.1", "or"])], "X", None),
+        ([("equal", ["under", "version"]), ("delete", ["7"])], "X", None),
+        ([("insert", ["some", "affero", "text"])], "AGPL-1", "phrase"),
+        ([("delete", ["affero"])], "AGPL-1", None),
+        ([("insert", ["affero"])], "MIT", None),
+        ([("equal", ["the", "gnu"]), ("insert", ["lesser"])], "GPL", "lesser"),
+        ([("equal", ["the", "gnu"]), ("delete", ["lesser"])], "GPL", "lesser"),
+        ([("equal", ["the", "gnu"]), ("delete", ["library"]), ("insert", ["lesser"])], "GPL", None),
+        ([("equal", ["the", "gnu"]), ("delete", ["lesser"]), ("insert", ["library"])], "GPL", "lesser"),
+        ([("equal", ["no", "warranty", "gnu"]), ("insert", ["lesser"])], "GPL", None),
+        ([("equal", ["gnu"]), ("delete", ["library"]), ("equal", ["gnu"]), ("insert", ["lesser"])], "GPL", "lesser"),
+    ],
+)
+def test_rejections(diffs, ident, why):
+    assert X.rejected(diffs, ident) == why
+
+
+def test_problem_forms(spark):
+    one = lambda t: value(spark, D.problem(F.lit(t)))
+    assert tuple(one("lib/a.dart is a part and cannot be analyzed.")) == ("ERROR", "ANALYSIS", "UNKNOWN", "lib/a.dart", 0, 0, 0, "is a part and cannot be analyzed.")
+    assert one("STDERR exceeded 9 lines.").error_code == "TOO_MANY_LINES"
+    assert one("") is None and one("Please pass in a library that contains this part.") is None and one("what?") is None
+    with pytest.raises(Exception, match="unexpected output: what"):
+        value(spark, D.problem(F.lit("what?"), strict=True))
+
+
+def test_formatter(spark):
+    run = lambda out, code: tuple(value(spark, D.formatted(F.lit(out), F.lit(code), F.lit("/w/pkg/"))))
+    assert run("Changed /w/pkg/lib/b.dart\nChanged /w/pkg/bin/a.dart\nChanged /w/pkg/test/c.dart\nFormatted 3", 0) == (["bin/a.dart", "lib/b.dart"], None)
+    assert run("boom\nChanged lib/a.dart", 1) == (["lib/a.dart"], None)
+    assert run("boom\nChanged lib/a.dart", 2) == (None, "boom\nChanged lib/a.dart")
+    assert run("line 3, column 9 of /w/pkg/example/x.dart: odd\n 4 | code\nCould not format because the source could not be parsed:", 65) == ([], None)
+    assert run("line 3, column 9 of /w/pkg/lib/x.dart: odd\n" + "x\n" * 30, 65) == (None, "line 3, column 9 of /w/pkg/lib/x.dart: odd\n" + "\n".join("x" * 19))
+
+
+def test_markdown():
+    text = """# Top ![logo](img/a.png "the logo") and [home](https://a.b/c_(d))
+[![badge](http://b.c/x.svg)](https://ci) [by name][Ref  One] [ref one] <https://auto.x/y?a=1&b=2> <me@x.org>
+
+    [code](block)
+
+```
+[fenced](f)
+```
+`[span](s)` <a class="k" href='raw?a=1&amp;b=2'>x</a> <IMG SRC=last.gif> <!-- <a href="hidden"> --> [home again](https://a.b/c_(d))
+
+[ref one]: <sp.md> 'title'
+"""
+    assert MD.content(text) == (["img/a.png", "http://b.c/x.svg", "last.gif"], ["https://a.b/c_(d)", "https://ci", "sp.md", "https://auto.x/y?a=1&b=2", "mailto:me@x.org", "raw?a=1&b=2"])
+    assert MD.content("") == ([], []) and MD.content("[a] [b](") == ([], [])
+
+
+def test_rendering(spark):
+    span = lambda t, l, c, n: value(spark, N.source_span(F.lit(t), F.lit(l), F.lit(c), F.lit(n)))
+    assert tuple(span("ab\ncde\n", 2, 2, 2)) == (4, 2, "de") and tuple(span("ab\r\ncd", 1, 3, 3)) == (3, 3, "\ncd")
+    assert tuple(span("ab\r\ncd", 1, 2, 2)) == (1, 1, "b") and span("ab", 3, 1, 1) is None and span("ab", 1, 9, 1) is None and span("\r\r", 1, 1, 2) is None
+    assert span("x" * 900, 1, 1, 900).length == 512
+    assert tuple(value(spark, N.key_span(F.lit("name: x\nsdk:  '>=2'\n sdk: no\n"), "sdk"))) == (14, 5, "'>=2'") and value(spark, N.key_span(F.lit("a: 1"), "b")) is None
+    assert value(spark, N.import_path(F.array(F.lit("a"), F.lit("b")))) == "* `a` that imports:\n* `b`"
+    assert value(spark, N.summary(F.lit("Intro"), F.array(F.lit("one"), F.lit("two\n")))) == "Intro\n\none\n\ntwo\n"
+
+
+def test_json_and_lists(spark):
+    assert value(spark, L.json_value(F.lit("{"))) is None and value(spark, L.json_value(F.lit('{"a": [1]}')).cast("string")) == '{"a":[1]}'
+    assert value(spark, L.required(F.lit("x"), F.lit("no target"))) == "x"
+    with pytest.raises(Exception, match="no target"):
+        value(spark, L.required(F.lit(None).cast("string"), F.lit("no target")))
+    with pytest.raises(Exception, match="not a number of seconds"):
+        value(spark, L.seconds(F.lit("1.5")))
+    with pytest.raises(Exception, match="no version file"):
+        value(spark, L.kit_version(F.lit(None).cast("string"), F.lit(" ")))
 
 
 def test_yaml():
