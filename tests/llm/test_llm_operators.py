@@ -238,6 +238,59 @@ def test_disclosure(spark, docs, empty):
     assert D.find(empty).count() == 0
 
 
+def brute_disclosure(rows, reach, support, generalise_at):
+    """Terms (id, start, end, disclosure) by loops over (id, text)."""
+    import regex
+
+    word = regex.compile(r"[\p{L}\p{N}]+")
+    near, counts = [], collections.Counter()
+    for i, t in rows:
+        counts.update(w.lower() for w in word.findall(t))
+        base = [(int(a), k, int(b)) for k, a, b in (x.split(":") for x in brute_spans(t).split(",") if x)]
+        for a, kind, b in base:
+            entity = f"{kind}:{t[a:b].lower()}"
+            for m in word.finditer(t):
+                x, y = m.span()
+                outside = y <= a and x >= a - reach or x >= b and y <= b + reach
+                if outside and not any(c < y and d > x for c, _, d in base):
+                    near.append((i, t, entity, m[0].lower(), x, y))
+    both, texts, of_entity = collections.Counter(), collections.defaultdict(set), collections.Counter()
+    for _, t, e, w, _, _ in near:
+        both[e, w] += 1
+        texts[e, w].add(t)
+        of_entity[e] += 1
+    n, out = sum(counts.values()), {}
+    for i, _, e, w, x, y in near:
+        if len(texts[e, w]) >= support:
+            d = 1 - math.log(max(counts[w] / both[e, w], 1)) / math.log(max(n / of_entity[e], 2))
+            if d >= generalise_at:
+                out[i, x, y] = max(d, out.get((i, x, y), 0))
+    return out
+
+
+def test_disclosure_formula(spark):
+    """Random letters around two entities, names that go with one of them, and copies of a text."""
+    import random
+
+    from gristmill.llm import disclosure as D
+
+    g, rows = random.Random(8), []
+    for k in range(120):
+        body = [g.choice(("ann", "bob", "the", "a", "of", "sea", "été", "x9")) for _ in range(g.randint(3, 30))]
+        if k % 3 == 0:
+            who, name = g.choice((("boss@ship.org", "Captain"), ("10.0.0.7", "server")))
+            at = g.randrange(len(body))
+            body[at:at] = [name if g.random() < 0.9 else "who", who]
+        rows.append((k, g.choice((" ", ", ", "  ")).join(body)))
+    rows += [(200, rows[0][1]), (201, rows[0][1])]
+    got = {}
+    for r in D.find(spark.createDataFrame(rows, "doc_id long, text string"), reach=25, generalise_at=0.3).collect():
+        got |= {(r.id, t.start, t.end): t.disclosure for t in r.terms}
+    want = brute_disclosure(rows, 25, 3, 0.3)
+    assert set(got) == set(want) and len(want) > 20
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 # 8
 def test_pivot_search(spark):
     from gristmill.llm import pivot_search as S
@@ -494,3 +547,72 @@ def test_suffix_tree(docs, empty):
         assert math.isclose(a[5], b[5], rel_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-6)
     assert sum(r[6] for r in got if r[1]) > sum(r[5] for r in got if r[1])  # held out, it tells more than single words
     assert T.score(empty).count() == 0
+
+
+# The thin queries that SQL cannot express, on the smallest tables
+SF = "/root/testdata/sf0.001"
+
+
+def query_rows(spark, name):
+    import pyarrow.parquet as pq
+
+    import __spark_entry__ as entry
+
+    docs = [(r["doc_id"], r["text"] or "") for r in pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"]).to_pylist()]
+    return docs, {r.doc_id: r for r in entry.queries()[name](spark, SF).collect()}
+
+
+def test_op1_rows(spark):
+    docs, got = query_rows(spark, "op1_suffix_tree")
+    tokens = {i: [*WORDS.findall(lower(t)), None] for i, t in docs}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in docs}
+    c = collections.Counter(w for i, _ in docs if not held[i] for w in tokens[i])
+    n = sum(c.values())
+    assert set(got) == set(tokens)
+    for i, r in got.items():
+        base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (len(c) + 1))) for w in tokens[i])
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(tokens[i]), sum(c[w] > 0 for w in tokens[i]), n)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score <= 0
+
+
+def test_op2_rows(spark):
+    from tokenizers import Tokenizer
+
+    docs, got = query_rows(spark, "op2_range_coder")
+    tokenizer, start = Tokenizer.from_file(P.path("word_bpe_49k.json")), 0
+    for i, t in sorted(docs):
+        ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert len(got) == len(docs)
+
+
+def test_op5_rows(spark):
+    docs, got = query_rows(spark, "op5_range_shards")
+    size, slots = collections.Counter(), collections.defaultdict(set)
+    for i, t in docs:
+        r = got[i]
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(t.encode()) + 1, zlib.crc32(t.encode()), "bytes", None)
+        size[r.shard] += r.size
+        slots[r.shard].add(r.slot)
+    assert sum(map(len, slots.values())) == len(docs) and all(x == set(range(len(x))) for x in slots.values())
+    assert set(size) == set(range(16)) and max(size.values()) - min(size.values()) <= 2 * max(len(t.encode()) + 1 for _, t in docs)
+
+
+def test_op7_rows(spark):
+    docs, got = query_rows(spark, "op7_disclosure")
+    for i, t in docs:
+        text, r = brute_spans(t), got[i]
+        spans = [x for x in text.split(",") if x]
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x.startswith(f"{k}:") for x in spans) for k in PATTERNS]
+        found = [x for x in r.spans.split(",") if x]
+        assert set(spans) <= set(found) and r.n_spans == len(found)
+
+
+def test_op10_rows(spark):
+    docs, got = query_rows(spark, "op10_byte_bpe")
+    enc = tiktoken_encoding()
+    for i, t in docs:
+        ids = enc.encode_ordinary(t)
+        assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
