@@ -11,7 +11,9 @@ are not indexed, which bounds the annulus of a vector that is very common.
 
 Defined cases: vectors that are null, empty or hold a null or a component that is not finite take no part, neither do
 rows with a null id; only vectors of one length are compared; ties go to the smaller id; fewer than k candidates give
-fewer rows; repeated rows of one id count once. Scores must fit 64 bits.
+fewer rows; repeated rows of one id count once, one of them if their vectors
+differ. Scores are 64-bit integers; a vector with a component of 2**62 or more in units of 1/1024 takes no part, as no score
+of it could be told.
 """
 
 from __future__ import annotations
