@@ -45,7 +45,8 @@ def _rarity(source: DataFrame) -> Column:
     for b, c in counts.collect():
         found[b] = c
     usual = 4 * sorted(found)[_BUCKETS // 2]
-    return F.lit([0 if c <= usual else min(31, c.bit_length()) for c in found])
+    ranks = ",".join(str(0 if c <= usual else min(31, c.bit_length())) for c in found)
+    return F.split(F.lit(ranks), ",").cast("array<int>")  # folded into one constant; a list would be a call for each entry
 
 
 def _words(line: Column) -> Column:
