@@ -183,3 +183,11 @@ def thumbnail_size(width: Column, height: Column, most: int) -> Column:
 def kit_version(json_text: Column, plain_text: Column) -> Column:
     """The version in the JSON file, else the plain text's; an error where neither is there."""
     return F.coalesce(F.get_json_object(json_text, "$.frameworkVersion"), F.nullif(F.btrim(plain_text, F.lit(" \t\r\n")), F.lit("")), F.raise_error(F.lit("no version file")).cast("string"))
+
+
+def analysis_result(homepage: Column, repository: Column, tracker: Column, documentation: Column, funding: Column, granted: Column, most: Column) -> Column:
+    """What is kept of an analysis: the accepted links (structs of `manifest_link`; funding is an array of them, null where
+    none is accepted) and the points."""
+    paid = F.filter(F.transform(funding, accepted_url), lambda u: u.isNotNull())
+    links = [accepted_url(x).alias(n) for n, x in (("homepage", homepage), ("repository", repository), ("tracker", tracker), ("documentation", documentation))]
+    return F.struct(*links, F.when(F.size(paid) > 0, paid).alias("funding"), granted.alias("granted"), most.alias("max"))

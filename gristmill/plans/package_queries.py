@@ -15,7 +15,7 @@ from ..operators import matching as M
 from ..operators import relations as R
 from ..operators import scoring as S
 from ..operators import tags as TG
-from ..sources.tables import table
+from ..sources.tables import table, version_listing
 from . import report as P
 from .registry import query
 
@@ -306,6 +306,29 @@ def dependency_tables(spark, sf_dir):
     return by.select("p_brand", N.dependency_table(F.col("rows")).alias("direct"), F.size("rows").cast("long").alias("n"))
 
 
+@query("""SELECT p_partkey, l_linenumber || '.0.0' AS version, CASE WHEN l_linenumber % 3 = 0 THEN TIMESTAMP '1970-01-01' ELSE date_trunc('second', l_shipdate) END AS published FROM part JOIN lineitem ON l_partkey = p_partkey WHERE p_partkey % 5 > 0""")
+def version_listings(spark, sf_dir):
+    """Listings as a repository answers them; every fifth has a version without a name."""
+    l = table(spark, sf_dir, "lineitem")
+    date = F.when(F.col("l_linenumber") % 3 > 0, F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss"))
+    version = F.when((F.col("l_partkey") % 5 > 0) | (F.col("l_linenumber") > 1), F.concat(F.col("l_linenumber").cast("string"), F.lit(".0.0")))
+    rows = l.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.collect_list(F.struct(version.alias("version"), date.alias("published"))).alias("versions"), F.max(version.isNull()).alias("odd"))
+    answers = rows.where("odd or p_partkey % 5 > 0").select("p_partkey", F.to_json(F.struct("versions")).alias("body"))
+    return version_listing(answers, "p_partkey").withColumn("published", F.col("published").cast("timestamp_ntz"))
+
+
+_OWN = "CASE WHEN page_id % 3 = 0 OR url LIKE 'https:%' THEN url END"
+
+
+@query(f"SELECT page_id, {_OWN} AS homepage, CASE WHEN page_id % 2 = 0 THEN {_OWN} END AS repository, coalesce((page_id % 4 = 0)::INT + 1, 0) * ({_OWN} IS NOT NULL)::INT AS funding, (page_id % 160)::INT AS granted FROM pages")
+def analysis_results(spark, sf_dir):
+    p, i = table(spark, sf_dir, "pages"), F.col("page_id")
+    link = lambda url: L.manifest_link(F.when(url.isNotNull(), "STRING"), url, F.lit(False), i % 3 != 0)
+    own, none = link(F.col("url")), link(F.lit(None).cast("string"))
+    r = p.select("page_id", L.analysis_result(own, link(F.when(i % 2 == 0, F.col("url"))), none, none, F.when(i % 4 == 0, F.array(own, own)).otherwise(F.array(own, none)), (i % 160).cast("int"), F.lit(160)).alias("r"))
+    return r.select("page_id", "r.homepage", "r.repository", F.coalesce(F.size("r.funding"), F.lit(0)).alias("funding"), "r.granted").withColumn("funding", F.greatest("funding", F.lit(0)))
+
+
 @query("""SELECT doc_id, contains(coalesce(text, ''), left(doc_id::VARCHAR, 1) || '.') AS has FROM documents""")
 def changelog_versions(spark, sf_dir):
     d = _text(spark, sf_dir)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +76,29 @@ def cache_file(kind: Column, ident: Column) -> Column:
     return F.concat(kind, F.lit("/"), F.substring(F.regexp_replace(F.lower(ident), "[^a-z0-9]", ""), 1, 40), F.lit("-"), F.sha2(ident, 256))
 
 
+def version_listing(listings: DataFrame, key: str = "package", body: str = "body") -> DataFrame:
+    """(package, version, published) of each listing, a JSON text of a repository's answer; a version without a date counts
+    as of the epoch, and an answer with a version that has no name gives no rows at all."""
+    kind = "struct<versions:array<struct<version:string,published:string>>>"
+    v = F.from_json(body, kind)["versions"]
+    good = F.when(F.forall(v, lambda x: x["version"].isNotNull()), v)
+    each = listings.select(key, F.explode(good).alias("v"))
+    return each.select(key, F.col("v.version").alias("version"), F.coalesce(F.try_to_timestamp("v.published"), F.timestamp_seconds(F.lit(0))).alias("published"))
+
+
+def settings(path: str | None, defaults: dict) -> dict:
+    """A configuration file, YAML or JSON by its ending, over the defaults; no path: the defaults. Read on the driver."""
+    if path is None:
+        return dict(defaults)
+    if not path.endswith((".yaml", ".yml", ".json")):
+        raise ValueError(f"neither YAML nor JSON: {path}")
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f) if path.endswith(".json") else yaml.safe_load(f)
+    if not isinstance(found or {}, dict):
+        raise ValueError(f"no map of settings: {path}")
+    return dict(defaults) | (found or {})
+
+
 def tree_listing(raw: Column) -> Column:
     """Paths of NUL-separated listing output."""
     return F.filter(F.split(raw, "\u0000"), lambda p: p != "")
