@@ -7,8 +7,9 @@ would tell is
 
     disclosure(e, t) = log(N c(e,t) / (c(e) c(t))) / log(N / c(e)) = 1 - log(c(t) / c(e,t)) / log(N / c(e)).
 
-A term of at least `support` distinct texts with the entity whose disclosure reaches `generalise_at` is generalised where
-it stands near that entity; at `remove_at` it is removed. Counts cover all documents.
+A term whose disclosure reaches `generalise_at` is generalised where it stands near that entity (within `reach`
+characters); at `remove_at` it is removed. `support` asks for more distinct texts that hold both; with 1 the measure alone
+decides, also for the many entities of a single text. Counts cover all documents.
 
 Defined cases: null and empty texts have no spans; equal rows get equal spans; a term that overlaps a base span is left to
 it; texts without an entity are never changed; other columns stay as they are, results are renamed if they clash.
@@ -106,7 +107,7 @@ def _surroundings(hits: DataFrame, reach: int) -> DataFrame:
     return terms.where(free).select("id", "h", "entity", F.lower("t.match").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", generalise_at: float = 0.7, remove_at: float = 0.95, support: int = 3, reach: int = 100, keep_text: bool = False) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", generalise_at: float = 0.7, remove_at: float = 0.95, support: int = 1, reach: int = 100, keep_text: bool = False) -> DataFrame:
     """id, h (the text's hash), base (spans), terms (start, end, disclosure), for each row of docs.
 
     Text leaves its scan only where it holds an entity; the corpus' words are counted by 64-bit hash before they move."""

@@ -283,12 +283,16 @@ def test_disclosure_formula(spark):
             body[at:at] = [name if g.random() < 0.9 else "who", who]
         rows.append((k, g.choice((" ", ", ", "  ")).join(body)))
     rows += [(200, rows[0][1]), (201, rows[0][1])]
-    got = {}
-    for r in D.find(spark.createDataFrame(rows, "doc_id long, text string"), reach=25, generalise_at=0.3).collect():
-        got |= {(r.id, t.start, t.end): t.disclosure for t in r.terms}
-    want = brute_disclosure(rows, 25, 3, 0.3)
-    assert set(got) == set(want) and len(want) > 20
-    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    rows += [(300, "only here quaint@words.org stands rarely"), (301, "all of the others")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for support in (1, 3):
+        got = {}
+        for r in D.find(df, reach=25, generalise_at=0.3, support=support).collect():
+            got |= {(r.id, t.start, t.end): t.disclosure for t in r.terms}
+        want = brute_disclosure(rows, 25, support, 0.3)
+        assert set(got) == set(want) and len(want) > 20
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assert any(k[0] == 300 for k in want) == (support == 1)
 
 
 # 8
