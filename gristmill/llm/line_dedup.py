@@ -84,7 +84,7 @@ def _lines(source: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.select(*_DOC, "all", F.explode("wanted").alias("w")).select(*_DOC, F.col("w.lid").alias("lid"), F.get("all", F.col("w.line")).alias("t"))
 
 
-def _may_match(percent: int, mine=F.col, other=lambda c: F.col(f"other_{c}")) -> Column:
+def _may_match(percent: int, mine, other) -> Column:
     """Filters on n, pos and the parity maps of both lines; pos counts from 0.
 
     Length; place, which the first word that both have must pass (it lies in the shorter line's index prefix, and enough
@@ -100,6 +100,22 @@ def _may_match(percent: int, mine=F.col, other=lambda c: F.col(f"other_{c}")) ->
     return alike & index & rest & (apart <= n + m - 2 * need)
 
 
+def _packed() -> Column:
+    """n, pos and a free bit for probe in one number, as postings move twice."""
+    return F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1))
+
+
+def _of(side: str):
+    """A column of one side of a join by its name; n, pos and probe out of x."""
+
+    def get(c: str) -> Column:
+        x = F.col(f"{side}x")
+        parts = {"n": lambda: F.shiftright(x, 32).cast("int"), "pos": lambda: F.shiftright(x, 1).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"), "probe": lambda: x.bitwiseAND(F.lit(1)).cast("int")}
+        return parts[c]() if c in parts else F.col(f"{side}{c}")
+
+    return get
+
+
 def _near_at_hand(kept: DataFrame, most: int = 300_000) -> DataFrame:
     """A written table of a few numbers a row: to be broadcast if it has at most `most` rows, else joined as it is."""
     return F.broadcast(kept) if kept.count() <= most else kept
@@ -139,15 +155,15 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", perc
     # One number a line, ascending in the order of lines; written, so that it stays the same.
     firsts = scratch.keep(scratch.keep(firsts.select("f.*"), "lines").orderBy(*_DOC, "line").withColumn("lid", F.monotonically_increasing_id()), "firsts")
 
-    mine = ("lid", "n", "pos", "s1", "s2")
     posts = scratch.keep(_postings(_lines(source, firsts), ranks, percent), "posts")
-    tops = posts.groupBy("token").agg(F.min("lid").alias("c_lid"), F.max("lid").alias("last"), *[F.min_by(c, "lid").alias(f"c_{c}") for c in mine[1:]])
+    rows = posts.select("token", "lid", _packed().alias("x"), "s1", "s2")
+    tops = rows.groupBy("token").agg(F.min("lid").alias("c_lid"), F.max("lid").alias("last"), *[F.min_by(c, "lid").alias(f"c_{c}") for c in ("x", "s1", "s2")])
     tops = tops.where("last > c_lid").drop("last")  # a word of one line alone is of no use
-    both = posts.join(tops, "token")
     first = F.col("lid") == F.col("c_lid")
-    near = ~first & _may_match(percent, other=lambda c: F.col(f"c_{c}"))
+    near = ~first & _may_match(percent, _of(""), _of("c_"))
     probe = F.when(first | near, 0).otherwise(1)
-    flagged = scratch.keep(both.select("token", *mine, probe.alias("probe"), F.when(near, F.col("c_lid")).alias("other")), "flagged")
+    posts_ = rows.join(tops, "token").select("token", "lid", F.col("x").bitwiseOR(probe.cast("long")).alias("x"), "s1", "s2", F.when(near, F.col("c_lid")).alias("other"))
+    flagged = scratch.keep(posts_, "flagged")
     scratch.drop(posts)
     posts = flagged
 
@@ -158,8 +174,8 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", perc
 
     # Words whose earliest line was no candidate, against all earlier lines; then the few lines that a candidate failed.
     # Both sides are the same rows, so that one exchange serves both; what concerns one side alone must not part them.
-    rows = posts.select("token", *mine, "probe")
-    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    rows = posts.select("token", "lid", "x", "s1", "s2")
+    a, b = _of("a."), _of("b.")
     fits = (b("lid") < a("lid")) & _may_match(percent, a, b)
     found = rows.alias("a").join(rows.alias("b"), a("token") == b("token")).where(fits & (2 * a("probe") + b("probe") >= 2))
     again = rows.join(_near_at_hand(left), "lid").alias("a").join(rows.alias("b"), a("token") == b("token")).where(fits & (a("probe") + b("probe") >= 0))
