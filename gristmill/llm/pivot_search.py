@@ -11,9 +11,9 @@ are not indexed, which bounds the annulus of a vector that is very common.
 
 Defined cases: vectors that are null, empty or hold a null or a component that is not finite take no part, neither do
 rows with a null id; only vectors of one length are compared; ties go to the smaller id; fewer than k candidates give
-fewer rows; repeated rows of one id count once, one of them if their vectors
-differ. Scores are 64-bit integers; a vector with a component of 2**62 or more in units of 1/1024 takes no part, as no score
-of it could be told.
+fewer rows; repeated rows of one id count once, with the least of their vectors. Scores are 64-bit integers, and the ends of
+their range where the product lies outside of it; such scores are ordered by their doubles. Vectors whose norm passes 2**100 are
+met by all queries, as no bound is kept of them.
 """
 
 from __future__ import annotations
@@ -27,44 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._stage import Scratch
+from ._vectors import as_matrix, norms, one_of_each, products, quantised
 
-_ROW = "vec_id long, dim int, v binary"
+#: The cell of vectors of which no bound is kept, and the norm from which on they are in it.
+_WILD, _HUGE = -1, 2.0**100
 _INDEX = "vec_id long, dim int, v binary, cell long, r double, norm2 double"
 
 
-def _as_matrix(values, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(values), "<i8").reshape(-1, dim)
-
-
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products; by floating point only where no sum can pass 2**53."""
-    if len(a) and len(b) and np.sqrt((a.astype(float) ** 2).sum(1)).max() * np.sqrt((b.astype(float) ** 2).sum(1)).max() < 2**52:
-        return (a.astype(float) @ b.astype(float).T).astype(np.int64)
-    return a @ b.T
-
-
-def quantised(vectors: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
-    """Id, length and components floor(scale * x) as packed 64-bit integers, of the rows that take part."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, rows = b.column(0), b.column(1)
-            n = np.asarray(rows.value_lengths().fill_null(0))
-            x = np.asarray(rows.flatten().to_numpy(zero_copy_only=False), float)
-            x = np.floor(scale * x)
-            ok = n > 0
-            bad = ~np.isfinite(x) | (np.abs(x) >= 2.0**62)
-            owner = np.repeat(np.arange(len(n)), n)
-            ok[owner[bad]] = False
-            ends = np.cumsum(n)
-            q = np.where(bad, 0, x).astype("<i8")
-            at = np.flatnonzero(ok)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(n[at].astype(np.int32)), pa.array([q[ends[k] - n[k] : ends[k]].tobytes() for k in at], pa.binary())], ["vec_id", "dim", "v"])
-
-    some = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
-    return some.where("vec_id is not null and v is not null").mapInArrow(run, _ROW)
-
-
 def fit_pivots(rows: DataFrame, pivots: int, annuli: int, sample: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Of each length that the sample holds: pivots, by a few rounds of k-means, and each pivot's annulus boundaries.
 
@@ -74,7 +43,10 @@ def fit_pivots(rows: DataFrame, pivots: int, annuli: int, sample: int) -> dict[i
         drawn.setdefault(r.dim, []).append(bytes(r.v))
     model = {}
     for dim, vs in drawn.items():
-        x = np.unique(_as_matrix(vs, dim).astype(float), axis=0)
+        x = as_matrix(vs, dim)
+        x = np.unique(x[norms(x) < _HUGE], axis=0)
+        if not len(x):
+            continue
         c = x[np.linspace(0, len(x) - 1, min(pivots, len(x))).astype(int)]
         for _ in range(6):
             near = _distance(x, c).argmin(1)
@@ -87,7 +59,8 @@ def fit_pivots(rows: DataFrame, pivots: int, annuli: int, sample: int) -> dict[i
 
 
 def _distance(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T))
+    """By differences, not by the products' expansion, which cancels where components differ much in size."""
+    return np.stack([norms(x - one) for one in c], axis=1) if len(c) else np.zeros((len(x), 0))
 
 
 def _keyed(rows: DataFrame, model: dict, annuli: int) -> DataFrame:
@@ -100,9 +73,12 @@ def _keyed(rows: DataFrame, model: dict, annuli: int) -> DataFrame:
             vs = b.column("v").to_pylist()
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                x = _as_matrix([vs[k] for k in at], dim).astype(float)
+                x = as_matrix([vs[k] for k in at], dim)
+                tame = norms(x) < _HUGE
+                cell[at[~tame]], norm2[at[~tame]] = _WILD, np.inf
+                at, x = at[tame], x[tame]
                 norm2[at] = (x * x).sum(1)
-                if int(dim) in model:
+                if int(dim) in model and len(at):
                     c, cuts = model[int(dim)]
                     d = _distance(x, c)
                     near = d.argmin(1)
@@ -113,9 +89,9 @@ def _keyed(rows: DataFrame, model: dict, annuli: int) -> DataFrame:
     return rows.mapInArrow(run, _INDEX)
 
 
-def _best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of v for each q, of those at or over `least`; an id is no candidate of its own."""
-    s = _products(q, v)
+def _best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of v for each q, of those at or over `least`; an id is no candidate of its own. Query, id, score, second key."""
+    s, key = products(q, v)
     ok = v_ids[None] != q_ids[:, None]
     if least is not None:
         ok &= s >= least[:, None]
@@ -123,12 +99,12 @@ def _best(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k:
         low = np.where(ok, s, np.iinfo(np.int64).min)
         ok &= s >= np.partition(low, len(v) - k, axis=1)[:, len(v) - k][:, None]
     a, b = np.nonzero(ok)
-    score = s[a, b]
-    order = np.lexsort((v_ids[b], -score, a))
-    a, b, score = a[order], b[order], score[order]
+    score, key = s[a, b], np.zeros(len(a)) if key is None else key[a, b]
+    order = np.lexsort((v_ids[b], -key, -score, a))
+    a, b, score, key = a[order], b[order], score[order], key[order]
     first = np.searchsorted(a, a)
     top = np.arange(len(a)) - first < k
-    return q_ids[a[top]], v_ids[b[top]], score[top]
+    return q_ids[a[top]], v_ids[b[top]], score[top], key[top]
 
 
 def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector: str = "embedding", scale: int = 1024, pivots: int = 16, annuli: int = 8, sample: int = 4096, block_rows: int = 1024, query_rows: int = 8192) -> DataFrame:
@@ -138,7 +114,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     are cut into blocks of about block_rows, queries into groups of about query_rows; a task meets one of each."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "pivot-search")
-    rows = scratch.keep(quantised(vectors, id_col, vector, scale).dropDuplicates(["vec_id"]), "rows")
+    rows = scratch.keep(one_of_each(quantised(vectors, id_col, vector, scale)), "rows")
     model = fit_pivots(rows, pivots, annuli, sample)
 
     salted = Window.partitionBy("v", "dim", "salt").orderBy("vec_id")
@@ -165,7 +141,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
         ids = left["vec_id"].to_numpy()
         least = np.full(len(ids), np.iinfo(np.int64).min)
         if len(ids) and right.num_rows:
-            q, _, s = _best(_as_matrix(left["v"].to_pylist(), dim), ids, _as_matrix(right["v"].to_pylist(), dim), right["vec_id"].to_numpy(), k)
+            q, _, s, _ = _best(as_matrix(left["v"].to_pylist(), dim), ids, as_matrix(right["v"].to_pylist(), dim), right["vec_id"].to_numpy(), k)
             at = np.searchsorted(np.sort(ids), q)
             count = np.bincount(at, minlength=len(ids))
             low = np.full(len(ids), np.iinfo(np.int64).max)
@@ -181,15 +157,17 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
             out: list = []
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                q = _as_matrix([vs[i] for i in at], dim).astype(float)
+                q = as_matrix([vs[i] for i in at], dim)
+                wild = norms(q) >= _HUGE
+                q = np.where(wild[:, None], 0, q)
                 norm = (q * q).sum(1)
                 c = model.get(int(dim), (np.zeros((1, dim)), None))[0]
                 d, dot = _distance(q, c), q @ c.T
                 for cell, low, high, most, n in bounds.get(int(dim), []):
                     p = cell // annuli
                     gap = np.maximum(0, np.maximum(d[:, p] - high, low - d[:, p]))
-                    bound = np.minimum((norm + most - gap**2) / 2, dot[:, p] + np.sqrt(norm) * high) if int(dim) in model else np.full(len(at), np.inf)
-                    hit = at[bound * (1 + 1e-9) + 1e-3 + 1e-9 * norm >= least[at]]
+                    bound = np.minimum((norm + most - gap**2) / 2, dot[:, p] + np.sqrt(norm) * high) if int(dim) in model and cell != _WILD else np.full(len(at), np.inf)
+                    hit = at[wild | (bound * (1 + 1e-9) + 1e-3 + 1e-9 * (norm + most) >= least[at])]
                     out += [(int(dim), cell, j, hit) for j in range(n) if len(hit)]
             for dim, cell, j, hit in out:
                 part = b.take(pa.array(hit))
@@ -199,18 +177,20 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     asked = started.mapInArrow(expand, "dim int, cell long, block long, group long, vec_id long, v binary, least long")
 
     def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
+        names = ["query_id", "vec_id", "score", "key"]
         if not (left.num_rows and right.num_rows):
-            return pa.table([pa.array([], pa.int64())] * 3, names)
+            return pa.table([*[pa.array([], pa.int64())] * 3, pa.array([], pa.float64())], names)
         dim = key[0].as_py()
-        v, v_ids, q_all, ids, least = _as_matrix(right["v"].to_pylist(), dim), right["vec_id"].to_numpy(), _as_matrix(left["v"].to_pylist(), dim), left["vec_id"].to_numpy(), left["least"].to_numpy()
+        v, v_ids, q_all, ids, least = as_matrix(right["v"].to_pylist(), dim), right["vec_id"].to_numpy(), as_matrix(left["v"].to_pylist(), dim), left["vec_id"].to_numpy(), left["least"].to_numpy()
         parts = [_best(q_all[a : a + 1024], ids[a : a + 1024], v, v_ids, k, least[a : a + 1024]) for a in range(0, len(ids), 1024)]
         return pa.table([pa.array(np.concatenate(x)) for x in zip(*parts)], names)
 
-    sides = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>")))
     keys = ["dim", "cell", "block", "group"]
-    found = asked.groupBy(*keys).cogroup(sides.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    asked = scratch.keep(asked, "asked")
+    wanted = asked.select(*keys[:3], F.col("group").alias("to")).distinct()
+    sides = index.join(wanted, keys[:3])  # a block goes only to the groups that ask for it
+    found = asked.groupBy(*keys).cogroup(sides.groupBy(*keys[:3], "to")).applyInArrow(meet, "query_id long, vec_id long, score long, key double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("key"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -16,6 +16,9 @@ _WHERE = {
     "op8_pivot_search": ("pivot_search", True),
     "op9_superminhash": ("superminhash", True),
     "op10_byte_bpe": ("byte_bpe", False),
+    "op11_language_mix": ("language_mix", False),
+    "op12_whitening": ("whitening", False),
+    "op13_hard_negatives": ("hard_negatives", True),
 }
 
 
