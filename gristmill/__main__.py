@@ -7,7 +7,9 @@ import argparse
 from pyspark.sql import functions as F
 
 from .operators import relations as R
+from .functions.tokens import granularity
 from .plans.detect import detect
+from .sources.known_index import KnownIndex
 from .sources.session import session
 from .sources.tables import corpus, decoded, files
 
@@ -19,6 +21,7 @@ def main(args: list[str] | None = None) -> None:
     d.add_argument("folder")
     d.add_argument("--corpus", required=True, help="folder of <id>.txt files")
     d.add_argument("--threshold", type=float, default=0.95)
+    d.add_argument("--index", help="folder of a lasting index, to which texts of the corpus are added that it does not have")
     c = commands.add_parser("compare", help="changes between two JSON tables of package and points")
     c.add_argument("before")
     c.add_argument("after")
@@ -27,7 +30,11 @@ def main(args: list[str] | None = None) -> None:
     if got.command == "detect":
         docs = files(spark, got.folder).select("path", decoded(F.col("content"))[0].alias("text"))
         known = corpus(files(spark, got.corpus).select("path", decoded(F.col("content"))[0].alias("content")))
-        detect(docs, known, "path", "text", got.threshold).orderBy("path", "id").show(1000, truncate=False)
+        if got.index:
+            index = KnownIndex(spark, got.index, granularity(got.threshold))
+            index.add(known)
+            known = index
+        detect(docs, known, "path", "text", got.threshold).drop("ops").orderBy("path", "id").show(1000, truncate=False)
     else:
         both = R.deltas(spark.read.json(got.before), spark.read.json(got.after), "package", "points")
         R.buckets(both, "package").show()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Libraries that all runtimes, native ones and those of the web offer.
 _COMMON = ("async", "collection", "convert", "core", "developer", "math", "typed_data", "_internal")
 _NATIVE = ("ffi", "io", "isolate")
 _WEB = ("html", "html_common", "indexed_db", "js", "js_interop", "js_interop_unsafe", "js_util", "svg", "web_audio", "web_gl", "web_sql", "_js_annotations")
@@ -40,10 +41,10 @@ def runtime_table(spark, runtimes: dict | None = None) -> DataFrame:
 
 
 def chosen_edges(edges: DataFrame, runtimes: DataFrame) -> DataFrame:
-    """(runtime, src, dst): of the conditional targets (src, slot, dst, rank, lib) of one import, the first whose library
+    """(runtime, src, slot, dst): of the conditional targets (src, slot, dst, rank, lib) of one import, the first whose library
     the runtime has; a null library always holds."""
     each = edges.crossJoin(runtimes.select("runtime").distinct()).join(runtimes.withColumn("has", F.lit(True)), ["runtime", "lib"], "left")  # a fixed number of runtimes
-    return each.where(F.col("lib").isNull() | F.col("has")).groupBy("runtime", "src", "slot").agg(F.min_by("dst", "rank").alias("dst")).drop("slot")
+    return each.where(F.col("lib").isNull() | F.col("has")).groupBy("runtime", "src", "slot").agg(F.min_by("dst", "rank").alias("dst"))
 
 
 def reach(edges: DataFrame, roots: DataFrame, keys: list[str] | None = None, leaves: DataFrame | None = None) -> DataFrame:
@@ -65,19 +66,41 @@ def reach(edges: DataFrame, roots: DataFrame, keys: list[str] | None = None, lea
         seen = seen.unionByName(frontier)
 
 
-def first_path(edges: dict, root, wanted) -> list | None:
-    """The path that a depth-first search meets first, the last successor of a node being tried first."""
-    seen, stack = set(), [[root]]
-    while stack:
-        path = stack.pop()
-        node = path[-1]
-        if node in seen:
-            continue
-        seen.add(node)
-        if wanted(node):
-            return path
-        stack += [[*path, x] for x in edges.get(node, ()) if x not in seen]
-    return None
+def depth_first(edges: DataFrame, roots: DataFrame, keys: list[str] | None = None, leaves: DataFrame | None = None) -> DataFrame:
+    """(keys, root, node, label, path): every node with the path by which a depth-first search comes to it from each root, if
+    a node's last successor (largest `ord` of edges (keys, src, dst, ord)) is tried first and nodes are entered once.
+
+    That path is the least of all by its label, the list of -ord along it: a search that came to a node later than by the
+    least path would have passed one of that path's nodes before, by a path that is less. And all beginnings of a least
+    path are least ones. So labels settle round by round, each from those that became less in the round before; a way round
+    a cycle has a node's own label as its beginning and is never less. There are as many rounds as the longest of the paths has
+    edges. In the order of their labels nodes are entered. `leaves` are entered, but not left."""
+    keys = keys or []
+    each = [*keys, "root", "node"]
+    edges = edges.groupBy(*keys, "src", "dst").agg(F.min("ord").cast("long").alias("ord")).select(*keys, F.col("src").alias("node"), "dst", "ord")
+    if leaves is not None:
+        edges = edges.join(leaves.select("node").distinct(), "node", "left_anti")
+    edges = edges.checkpoint()
+    start = F.struct(F.array().cast("array<bigint>").alias("label"), F.array("root").alias("path")).alias("best")
+    settled = roots.select(*keys, "root", F.col("root").alias("node"), start).distinct().checkpoint()
+    changed = settled
+    while True:
+        step = changed.join(edges, [*keys, "node"])
+        grown = F.struct(F.concat("best.label", F.array(-F.col("ord"))).alias("label"), F.concat("best.path", F.array("dst")).alias("path"))
+        step = step.select(*keys, "root", F.col("dst").alias("node"), grown.alias("new")).groupBy(*each).agg(F.min("new").alias("new"))
+        less = step.join(settled, each, "left").where(F.col("best").isNull() | (F.col("new.label") < F.col("best.label"))).select(*each, F.col("new").alias("best"))
+        changed = less.checkpoint()
+        if changed.isEmpty():
+            return settled.select(*each, "best.label", "best.path")
+        settled = settled.join(changed.select(*each), each, "left_anti").unionByName(changed).checkpoint()
+
+
+def first_wanted(labels: DataFrame, wanted: Column, why: Column, keys: list[str] | None = None) -> DataFrame:
+    """(keys, root, path, why): of each root the first node, in the order of a depth-first search, for which the predicate holds,
+    with its explanation; both are columns over `labels` and whatever was joined to it."""
+    keys = keys or []
+    best = F.min_by(F.struct("path", why.alias("why")), "label").alias("b")
+    return labels.where(wanted).groupBy(*keys, "root").agg(best).select(*keys, "root", "b.path", "b.why")
 
 
 def platform_tags(roots: DataFrame, bad: DataFrame, spark) -> DataFrame:

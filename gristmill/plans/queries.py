@@ -16,6 +16,7 @@ from ..operators import matching as M
 from ..operators import relations as R
 from ..operators import scoring as S
 from ..operators import tags as TG
+from ..sources.known_index import index_of
 from ..sources.tables import cache_file, fresh_entries, list_argument, table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -60,13 +61,14 @@ def token_similarity(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    docs, known = _docs(spark, sf_dir), _known(spark, sf_dir)
-    return docs, known, M.similar(docs, known, "doc_id", "item_id")
+    """Words and pairs, written once, as each is read by several joins."""
+    docs, known = _docs(spark, sf_dir).checkpoint(), _known(spark, sf_dir).checkpoint()
+    return docs, known, M.similar(docs, known, "doc_id", "item_id").checkpoint()
 
 
 def _runs(spark, sf_dir):
     docs, known, pairs = _pairs(spark, sf_dir)
-    return docs, known, M.diagonal_runs(M.gram_hits(docs, known, pairs, "doc_id", "item_id", 10), "doc_id", "item_id")
+    return docs, known, M.diagonal_runs(M.gram_hits(docs, known, pairs, "doc_id", "item_id", 10), "doc_id", "item_id").checkpoint()
 
 
 def _sizes(docs, known, runs):
@@ -127,7 +129,8 @@ def fused_claims(spark, sf_dir):
 def detected_texts(spark, sf_dir):
     from .detect import detect
 
-    return detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("content")), "doc_id", "text", threshold=0.9)
+    known = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.col("text").alias("content"), "_metadata")
+    return detect(table(spark, sf_dir, "documents"), index_of(known, T.granularity(0.9)), "doc_id", "text", threshold=0.9)
 
 
 @query("SELECT l_partkey, l_suppkey AS known, max(l_discount) AS confidence, min(l_linenumber)::INT AS start, max(l_linenumber + l_quantity::INT)::INT AS \"end\", count(*) AS n FROM lineitem GROUP BY ALL")
@@ -479,6 +482,41 @@ def platform_tags(spark, sf_dir):
     return G.platform_tags(roots, bad, spark)
 
 
+# The path that a depth-first search meets first, on the graph that each runtime sees: a part imports its brand where the runtime
+# has `io`, else its maker; the others are imported in the order in which lineitem, supplier and nation name them.
+_NUMBERED = "regexp_extract(x, '[0-9]+')::INT"
+_FIRST = f"""o AS (SELECT * FROM (VALUES {", ".join(f"('{r}', '{x}')" for r, libs in G.RUNTIMES.items() for x in libs if x in ("io", "html", "ui", "core"))}) v(runtime, lib)),
+y AS (SELECT runtime, bool_or(lib = 'io') AS io FROM o GROUP BY 1),
+e AS (SELECT src, dst, min(ord) AS ord FROM (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, n_nationkey AS ord FROM nation
+  UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, s_suppkey FROM supplier UNION ALL SELECT 's' || l_suppkey, 'p' || l_partkey, l_orderkey * 8 + l_linenumber FROM lineitem) GROUP BY ALL),
+c AS (SELECT runtime, src, dst, ord FROM e, y UNION ALL SELECT runtime, 'p' || p_partkey, CASE WHEN io THEN p_brand ELSE p_mfgr END, 0 FROM part, y),
+w AS (SELECT runtime, 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, []::BIGINT[] AS label, ['r' || r_regionkey] AS path FROM region, y
+  UNION ALL SELECT runtime, 'n' || n_nationkey, 'n' || n_nationkey, [], ['n' || n_nationkey] FROM nation, y
+  UNION ALL SELECT w.runtime, root, dst, list_append(label, -ord), list_append(path, dst) FROM w JOIN c ON c.runtime = w.runtime AND c.src = w.node),
+i AS (SELECT node, {_LIBS} AS lib FROM (SELECT 'p' || p_partkey AS node, p_size AS k FROM part UNION SELECT x, {_NUMBERED} FROM (SELECT p_brand AS x FROM part UNION SELECT p_mfgr FROM part)))"""
+
+
+@query(f"WITH RECURSIVE {_FIRST} SELECT runtime, root, array_to_string(arg_min(path, label), '>') AS path, arg_min(lib, label) AS why FROM w JOIN i USING (node) WHERE NOT EXISTS (SELECT 1 FROM o x WHERE x.runtime = w.runtime AND x.lib = i.lib) GROUP BY ALL")
+def first_import_paths(spark, sf_dir):
+    named = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    imports = lambda name, src, dst, slot: table(spark, sf_dir, name).select(src.alias("src"), F.expr(slot).cast("long").alias("slot"), dst.alias("dst"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("lib"))
+    plain = imports("nation", named("r", "n_regionkey"), named("n", "n_nationkey"), "n_nationkey").union(imports("supplier", named("n", "s_nationkey"), named("s", "s_suppkey"), "s_suppkey"))
+    plain = plain.union(imports("lineitem", named("s", "l_suppkey"), named("p", "l_partkey"), "l_orderkey * 8 + l_linenumber"))
+    part = named("p", "p_partkey")
+    conditional = imports("part", part, F.col("p_brand"), "0").withColumn("lib", F.lit("io")).union(imports("part", part, F.col("p_mfgr"), "0").withColumn("rank", F.lit(1)))
+    runtimes = G.runtime_table(spark)
+    edges = G.chosen_edges(plain.union(conditional), runtimes).withColumnRenamed("slot", "ord")
+    roots = table(spark, sf_dir, "region").select(named("r", "r_regionkey").alias("root")).union(table(spark, sf_dir, "nation").select(named("n", "n_nationkey"))).crossJoin(runtimes.select("runtime").distinct())  # a fixed number of runtimes
+    labels = G.depth_first(edges, roots, ["runtime"])
+    p = table(spark, sf_dir, "part")
+    makers = p.select(F.explode(F.array("p_brand", "p_mfgr")).alias("node")).distinct().withColumn("k", F.regexp_extract("node", "[0-9]+", 0).cast("int"))
+    k = F.col("k") % 5
+    libs = p.select(part.alias("node"), F.col("p_size").alias("k")).union(makers).select("node", F.when(k == 0, "io").when(k == 1, "html").when(k == 2, "ui").otherwise("core").alias("lib"))
+    lacking = libs.join(runtimes.select("runtime").distinct().join(libs.select("lib").distinct()).join(runtimes, ["runtime", "lib"], "left_anti"), "lib")  # a few libraries by a few runtimes
+    found = G.first_wanted(labels.join(lacking, ["runtime", "node"]), F.lit(True), F.col("lib"), ["runtime"])
+    return found.select("runtime", "root", F.array_join("path", ">").alias("path"), "why")
+
+
 # Lists, codes and caches.
 @query("SELECT doc_id, CASE WHEN length(t) < 64 THEN t ELSE left(t, 24) || '[...]' || right(t, 24) END AS cut FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def truncated_texts(spark, sf_dir):

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.functions import diagnostics as D
+from gristmill.functions import alignment as A
 from gristmill.functions import diffs as X
 from gristmill.functions import markdown as MD
 from gristmill.functions import quality as Q
@@ -176,46 +177,75 @@ def test_kotlin(spark, content, groovy, yes):
     assert value(spark, D.old_kotlin_build(F.lit(content), groovy)) is yes
 
 
-def common(a, b):
-    """Length of the longest common subsequence."""
-    row = [0] * (len(b) + 1)
-    for x in a:
+def changed_words(found, known):
+    """Least changed words between `known` and any part of `found`, by the whole table."""
+    row = list(range(len(known) + 1))
+    best = row[-1]
+    for x in found:
         new = [0]
-        for j, y in enumerate(b):
-            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        for j, y in enumerate(known):
+            new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
         row = new
-    return row[-1]
+        best = min(best, row[-1])
+    return best
 
 
-def test_word_diff():
+def test_differences():
     g = random.Random(3)
-    for _ in range(600):
+    for _ in range(1200):
         a, b = ([g.choice("abcde") for _ in range(g.randrange(16))] for _ in range(2))
-        d = X.word_diff(a, b)
+        d = X.differences(a, b)
         assert [w for o, ws in d if o != "insert" for w in ws] == a and [w for o, ws in d if o != "delete" for w in ws] == b
-        steps = sum(len(ws) for o, ws in d if o != "equal")
-        assert steps == len(a) + len(b) - 2 * common(a, b)
-        assert X.word_diff(a, b, steps) == d and (not steps or X.word_diff(a, b, steps - 1) is None)
+        least = changed_words(a, b)
+        assert X.distance(X.trimmed(d)) == least, (a, b, d)
+        assert X.differences(a, b, least) == d and (not least or X.differences(a, b, least - 1) is None)
         assert all(x[0] != y[0] for x, y in zip(d, d[1:]))
 
 
+def test_alignment():
+    """Scripts of whole sequences, of words and of characters, against the table."""
+    g = random.Random(5)
+    for _ in range(400):
+        a, b = ("".join(g.choice("abc") for _ in range(g.randrange(40))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b):
+                new.append(min(row[j + 1] + 1, new[j] + 1, row[j] + (x != y)))
+            row = new
+        s = A.script(a, b)
+        assert sum(max(p[2] - p[1], p[4] - p[3]) for p in s if p[0] == "change") == row[-1]
+        assert all(a[p[1] : p[2]] == b[p[3] : p[4]] for p in s if p[0] == "equal")
+        assert [(p[1], p[3]) for p in s] + [(len(a), len(b))] == [(0, 0)] + [(p[2], p[4]) for p in s]
+
+
+def test_long_differences():
+    """A known text of 20,000 words inside of 39,000: in seconds and a few MB."""
+    import time
+    import tracemalloc
+
+    g = random.Random(1)
+    known = [f"w{g.randrange(3000)}" for _ in range(20000)]
+    changed = sorted(g.sample(range(20000), 400))
+    body = list(known)
+    for k in changed:
+        body[k] = "new"
+    found = [f"v{g.randrange(3000)}" for _ in range(9000)] + body + [f"v{g.randrange(3000)}" for _ in range(10000)]
+    began = time.time()
+    d = X.differences(found, known, 1000)
+    assert time.time() - began < 20 and X.distance(X.trimmed(d)) == 400
+    assert [len(w) for _, w in (d[0], d[-1])] == [9000, 10000]
+    tracemalloc.start()
+    A.part(found[8000:16000], known[:5000])
+    assert tracemalloc.get_traced_memory()[1] < 8e6
+    tracemalloc.stop()
+
+
 def test_distance():
-    d = X.word_diff("intro the quick fox outro".split(), "the slow quick fox".split())
+    d = X.differences("intro the quick fox outro".split(), "the slow quick fox".split())
     assert X.known_range(d) == (1, 4) and X.trimmed(d) == [("equal", ["the"]), ("insert", ["slow"]), ("equal", ["quick", "fox"])]
     assert X.distance(X.trimmed(d)) == 1 and X.confidence(1, 4) == 0.75 and X.confidence(3, 0) == 1
-    assert X.known_range([("delete", ["a"])]) == (0, 0)
-
-
-def test_steps_allowed():
-    """No script that reaches the threshold is given up."""
-    g = random.Random(4)
-    for _ in range(500):
-        known = [g.choice("abcdefgh") for _ in range(g.randint(1, 20))]
-        found = [w if g.random() > 0.1 else "z" for w in known]
-        found = [g.choice("xy") for _ in range(g.randrange(5))] + found + [g.choice("xy") for _ in range(g.randrange(5))]
-        d = X.word_diff(found, known)
-        if X.confidence(X.distance(X.trimmed(d)), len(known)) >= 0.8:
-            assert X.word_diff(found, known, X.steps_allowed(len(found), len(known), 0.8)) == d
+    assert X.known_range([("delete", ["a"])]) == (0, 0) and X.changes_allowed(20, 0.95) == 1 and X.changes_allowed(19, 0.95) == 0
 
 
 def test_token_ops():
@@ -224,12 +254,22 @@ def test_token_ops():
     for w in text.split():
         at = text.index(w, at)
         spans.append((at, at + len(w)))
-    d = X.word_diff(text.split(), "the big fox ran far".split())
+    d = X.differences(text.split(), "the big fox ran far".split())
     ops = X.token_ops(d, spans)
     assert [(o["type"], text[o["start"] : o["start"] + o["length"]] if o["content"] is None else o["content"]) for o in ops] == [("insert", "so"), ("match", "the"), ("insert", "red"), ("delete", "big"), ("match", "fox ran"), ("delete", "far")]
     assert X.token_places(["ab", "c"]) == [0, 0, 0, 1, 1]
 
 
+def test_fine_token_ops():
+    """Within a changed word its common characters are a match of the word, and what differs an insert and a delete of it."""
+    d = X.differences("an original licenced work".split(), "an original licensed work".split())
+    assert X.text_runs(d) == [("equal", "an original "), ("delete", "licenced "), ("insert", "licensed "), ("equal", "work ")]
+    assert X.text_runs(d, fine=True) == [("equal", "an original licen"), ("delete", "ced "), ("insert", "sed "), ("equal", "work ")]
+    assert X.text_runs(X.differences(["abcx", "y"], ["abcz", "y"]), fine=True) == [("delete", "abcx "), ("insert", "abcz "), ("equal", "y ")]
+    ops = X.token_ops(d, [(0, 2), (3, 11), (12, 20), (21, 25)], fine=True)
+    assert [(o["type"], o["start"], o["length"], o["content"]) for o in ops] == [("match", 0, 20, None), ("insert", 12, 8, None), ("delete", 20, 8, "licensed"), ("match", 21, 4, None)]
+
+
 @pytest.mark.parametrize(
     "diffs, ident, why",
     [
