@@ -483,17 +483,16 @@ def platform_tags(spark, sf_dir):
 
 
 # The path that a depth-first search meets first, on the graph that each runtime sees: a part imports its brand where the runtime
-# has `io`, else its maker; the others are imported in the order in which lineitem, supplier and nation name them.
-_NUMBERED = "regexp_extract(x, '[0-9]+')::INT"
+# has `io`, else its type; the others are imported in the order in which lineitem, supplier and nation name them.
 _FIRST = f"""o AS (SELECT * FROM (VALUES {", ".join(f"('{r}', '{x}')" for r, libs in G.RUNTIMES.items() for x in libs if x in ("io", "html", "ui", "core"))}) v(runtime, lib)),
 y AS (SELECT runtime, bool_or(lib = 'io') AS io FROM o GROUP BY 1),
 e AS (SELECT src, dst, min(ord) AS ord FROM (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, n_nationkey AS ord FROM nation
   UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, s_suppkey FROM supplier UNION ALL SELECT 's' || l_suppkey, 'p' || l_partkey, l_orderkey * 8 + l_linenumber FROM lineitem) GROUP BY ALL),
-c AS (SELECT runtime, src, dst, ord FROM e, y UNION ALL SELECT runtime, 'p' || p_partkey, CASE WHEN io THEN p_brand ELSE p_mfgr END, 0 FROM part, y),
+c AS (SELECT runtime, src, dst, ord FROM e, y UNION ALL SELECT runtime, 'p' || p_partkey, CASE WHEN io THEN p_brand ELSE p_type END, 0 FROM part, y),
 w AS (SELECT runtime, 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, []::BIGINT[] AS label, ['r' || r_regionkey] AS path FROM region, y
   UNION ALL SELECT runtime, 'n' || n_nationkey, 'n' || n_nationkey, [], ['n' || n_nationkey] FROM nation, y
   UNION ALL SELECT w.runtime, root, dst, list_append(label, -ord), list_append(path, dst) FROM w JOIN c ON c.runtime = w.runtime AND c.src = w.node),
-i AS (SELECT node, {_LIBS} AS lib FROM (SELECT 'p' || p_partkey AS node, p_size AS k FROM part UNION SELECT x, {_NUMBERED} FROM (SELECT p_brand AS x FROM part UNION SELECT p_mfgr FROM part)))"""
+i AS (SELECT node, {_LIBS} AS lib FROM (SELECT 'p' || p_partkey AS node, p_size AS k FROM part UNION SELECT p_brand, regexp_extract(p_brand, '[0-9]+')::INT FROM part UNION SELECT p_type, length(p_type) FROM part))"""
 
 
 @query(f"WITH RECURSIVE {_FIRST} SELECT runtime, root, array_to_string(arg_min(path, label), '>') AS path, arg_min(lib, label) AS why FROM w JOIN i USING (node) WHERE NOT EXISTS (SELECT 1 FROM o x WHERE x.runtime = w.runtime AND x.lib = i.lib) GROUP BY ALL")
@@ -503,20 +502,34 @@ def first_import_paths(spark, sf_dir):
     plain = imports("nation", named("r", "n_regionkey"), named("n", "n_nationkey"), "n_nationkey").union(imports("supplier", named("n", "s_nationkey"), named("s", "s_suppkey"), "s_suppkey"))
     plain = plain.union(imports("lineitem", named("s", "l_suppkey"), named("p", "l_partkey"), "l_orderkey * 8 + l_linenumber"))
     part = named("p", "p_partkey")
-    conditional = imports("part", part, F.col("p_brand"), "0").withColumn("lib", F.lit("io")).union(imports("part", part, F.col("p_mfgr"), "0").withColumn("rank", F.lit(1)))
+    conditional = imports("part", part, F.col("p_brand"), "0").withColumn("lib", F.lit("io")).union(imports("part", part, F.col("p_type"), "0").withColumn("rank", F.lit(1)))
     runtimes = G.runtime_table(spark)
     edges = G.chosen_edges(plain.union(conditional), runtimes).withColumnRenamed("slot", "ord")
     roots = table(spark, sf_dir, "region").select(named("r", "r_regionkey").alias("root")).union(table(spark, sf_dir, "nation").select(named("n", "n_nationkey"))).crossJoin(runtimes.select("runtime").distinct())  # a fixed number of runtimes
     labels = G.depth_first(edges, roots, ["runtime"])
     p = table(spark, sf_dir, "part")
-    makers = p.select(F.explode(F.array("p_brand", "p_mfgr")).alias("node")).distinct().withColumn("k", F.regexp_extract("node", "[0-9]+", 0).cast("int"))
+    below = p.select(F.col("p_brand").alias("node"), F.regexp_extract("p_brand", "[0-9]+", 0).cast("int").alias("k")).union(p.select("p_type", F.length("p_type"))).distinct()
     k = F.col("k") % 5
-    libs = p.select(part.alias("node"), F.col("p_size").alias("k")).union(makers).select("node", F.when(k == 0, "io").when(k == 1, "html").when(k == 2, "ui").otherwise("core").alias("lib"))
+    libs = p.select(part.alias("node"), F.col("p_size").alias("k")).union(below).select("node", F.when(k == 0, "io").when(k == 1, "html").when(k == 2, "ui").otherwise("core").alias("lib"))
     lacking = libs.join(runtimes.select("runtime").distinct().join(libs.select("lib").distinct()).join(runtimes, ["runtime", "lib"], "left_anti"), "lib")  # a few libraries by a few runtimes
     found = G.first_wanted(labels.join(lacking, ["runtime", "node"]), F.lit(True), F.col("lib"), ["runtime"])
     return found.select("runtime", "root", F.array_join("path", ">").alias("path"), "why")
 
 
+# Lines out of chunks: a text as a tool would write it, in pieces of 512 bytes, put together by the operator of streams.
+@query(r"SELECT doc_id, count(*) AS n_lines, md5(string_agg(md5(line), '' ORDER BY n)) AS digest FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS n FROM (SELECT doc_id, list_filter(string_split_regex(text, '[\r\n]+'), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL)) GROUP BY 1")
+def assembled_lines(spark, sf_dir):
+    from ..streaming.chunks import assembled
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("body")).where("body is not null")
+    count = F.greatest(F.lit(1), F.ceil(F.length("body") / 512)).cast("int")
+    cut = d.select("doc_id", "body", count.alias("n"), F.explode(F.sequence(F.lit(0), count - 1)).alias("seq"))
+    chunks = cut.select("doc_id", "seq", F.expr("substring(body, seq * 512 + 1, 512)").alias("data"), (F.col("seq") == F.col("n") - 1).alias("last"))
+    lines = assembled(chunks, "doc_id", most_bytes=1 << 30, most_early=1 << 20)
+    each = F.sort_array(F.collect_list(F.struct("n", F.md5("line").alias("m"))))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.md5(F.array_join(F.transform(each, lambda x: x["m"]), "")).alias("digest"))
+
+
 # Lists, codes and caches.
 @query("SELECT doc_id, CASE WHEN length(t) < 64 THEN t ELSE left(t, 24) || '[...]' || right(t, 24) END AS cut FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def truncated_texts(spark, sf_dir):

@@ -1,10 +1,12 @@
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from gristmill.sources import session, tables
-from gristmill.streaming import lines
+from gristmill.streaming import chunks, lines
 
 
 def test_corpus(spark, tmp_path):
@@ -78,3 +80,56 @@ def test_streams(spark, tmp_path):
     assert found == [("a", 0, 3), ("a", 50, 1), ("b", 6, 1)]
     cached = {r.kind: (r.n, r.expired) for r in run(lines.cached_values(events, "kind", "n"), "cached", "append")}
     assert cached == {"a": (50, False), "b": (6, False)}
+
+
+def brute_lines(data, spoils):
+    out = []
+    for part in re.split(rb"[\r\n]+", data):
+        if part:
+            text = part.decode("utf-8", "replace")
+            out.append((len(out) + 1, text, spoils(text)))
+            if spoils(text):
+                break
+    return out
+
+
+def test_assembled_lines(spark, tmp_path):
+    """Cut at every byte, in one or many batches and out of order, with a character over a cut and a line that spoils the rest."""
+    whole = "ERROR|A|B|f.dart|1|2|3|\u00e9t\u00e9\r\n\nERROR|A|B|g.dart|1|2|3|x\rnoise\nERROR|A|B|h.dart|1|2|3|x\nend".encode()
+    spoils = lambda line: "bad" if line == "noise" else None
+    rows = []
+    for at in range(len(whole) + 1):
+        rows += [(f"cut{at}", 0, whole[:at], False), (f"cut{at}", 1, whole[at:], True)]
+    rows += [("bytes", k, whole[k : k + 1], k == len(whole) - 1) for k in range(len(whole))]
+    rows += [("good", 0, b"one\xfftwo\r", False), ("good", 0, b"again", False), ("good", 2, b"ee\n", True), ("good", 1, b"thr", False), ("open", 0, b"no end", False), ("long", 0, b"x" * 300, True), ("early", 9, b"x\n", True), ("null", None, b"x", True), ("null", 0, None, True)]
+    random.Random(4).shuffle(rows)
+    (tmp_path / "in").mkdir()
+    frame = spark.createDataFrame(rows, "source string, seq long, data binary, last boolean")
+    for batch, some in enumerate(frame.randomSplit([1.0] * 4, 7)):
+        some.coalesce(1).write.parquet(f"{tmp_path}/in/{batch}")
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    got = run(chunks.assembled(stream, "source", spoils, most_bytes=200), "lines_of_chunks", "append")
+    by = {}
+    for r in sorted(got, key=lambda r: (r.source, r.n)):
+        by.setdefault(r.source, []).append((r.n, r.line, r.error))
+    want = brute_lines(whole, spoils)
+    assert [e for *_, e in want] == [None, None, "bad"]
+    assert all(by[f"cut{at}"] == want for at in range(len(whole) + 1)) and by["bytes"] == want
+    assert by["good"] == [(1, "one\ufffdtwo", None), (2, "three", None)]
+    assert "open" not in by and "early" not in by and "null" not in by and by["long"] == [(1, None, "a line of more than 200 bytes")]
+    assert chunks.unexpected("noise") and not any(chunks.unexpected(x) for x in ("", "ERROR|A|B|f.dart|1|2|3|x", "x is a part and cannot be analyzed."))
+
+
+def test_assembled_after_restart(spark, tmp_path):
+    """A line that is open when the query stops goes on when it starts again from its checkpoint."""
+    (tmp_path / "in").mkdir()
+    schema = "source string, seq long, data binary, last boolean"
+    rows = []
+    for k, part in enumerate((b"first\nsec", b"ond\nthird\n")):
+        spark.createDataFrame([("a", k, part, k == 1)], schema).write.parquet(f"{tmp_path}/in/{k}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        q = chunks.assembled(stream, "source").writeStream.option("checkpointLocation", f"{tmp_path}/state").format("parquet").trigger(availableNow=True).start(f"{tmp_path}/out")
+        q.awaitTermination(120)
+        assert q.exception() is None
+        rows.append(sorted(r.line for r in spark.read.parquet(f"{tmp_path}/out").collect()))
+    assert rows == [["first"], ["first", "second", "third"]]
