@@ -530,6 +530,24 @@ def assembled_lines(spark, sf_dir):
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.md5(F.array_join(F.transform(each, lambda x: x["m"]), "")).alias("digest"))
 
 
+# Checks of pages as table functions: the issues of each page LATERAL, and of those the first five of a page.
+@query(
+    r"""WITH g AS (SELECT page_id, 'insecure' AS code, regexp_extract_all(html, 'http://[A-Za-z0-9./_-]+') AS d FROM pages
+UNION ALL SELECT page_id, 'bare_image', list_filter(regexp_extract_all(html, '<img[^>]*>'), lambda x: NOT contains(x, ' alt=')) FROM pages
+UNION ALL SELECT page_id, 'long_line', list_transform(list_filter(string_split(html, chr(10)), lambda x: length(x) > 120), lambda x: length(x)::VARCHAR) FROM pages),
+i AS (SELECT page_id, code, unnest(range(1, len(d) + 1)) AS nth, unnest(d) AS detail FROM g),
+n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY code, nth) AS place FROM i)
+SELECT page_id, place::INT AS place, code, nth::INT AS nth, detail FROM n WHERE place <= 5
+UNION ALL SELECT page_id, 6, 'more', count(*)::INT - 5, NULL FROM n GROUP BY 1 HAVING count(*) > 5"""
+)
+def page_issues(spark, sf_dir):
+    from ..functions import generators
+
+    generators.register(spark, generators.PAGE_CHECKS, "page_checks")
+    issues = spark.sql("SELECT p.page_id AS key, i.code, i.nth, i.detail FROM {pages} p, LATERAL page_checks(p.html) i", pages=table(spark, sf_dir, "pages").select("page_id", "html"))
+    return spark.sql("SELECT key AS page_id, place, code, nth, detail FROM page_checks_shown(TABLE({issues}) PARTITION BY key ORDER BY (code, nth))", issues=issues)
+
+
 # Lists, codes and caches.
 @query("SELECT doc_id, CASE WHEN length(t) < 64 THEN t ELSE left(t, 24) || '[...]' || right(t, 24) END AS cut FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)")
 def truncated_texts(spark, sf_dir):

@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -372,3 +373,17 @@ def test_manifest(spark):
     assert value(spark, J.has_path(F.lit('{"a": {"b": null}}'), "a", "b")) is True
     assert value(spark, J.has_path(F.lit('{"a": {}}'), "a", "b")) is False
     assert value(spark, J.yaml_json(F.lit("b: 1\na: 2"))) == '{"a": 2, "b": 1}'
+
+
+def test_generators(spark):
+    """Own checks, joined LATERAL; the first of each partition, and how many more."""
+    from gristmill.functions import generators
+
+    checks = {"shout": lambda t: re.findall("[A-Z]{3,}", t), "empty": lambda t: ["empty"] if not t else []}
+    generators.register(spark, checks, "own_checks", shown=2)
+    texts = {1: "ABC def GHI JKL MNO", 2: "", 3: None, 4: "quiet", 5: "ONE TWO"}
+    df = spark.createDataFrame(list(texts.items()), "key long, text string")
+    issues = spark.sql("SELECT t.key, i.* FROM {t} t, LATERAL own_checks(t.text) i", t=df)
+    assert sorted(map(tuple, issues.collect())) == [(1, "shout", 1, "ABC"), (1, "shout", 2, "GHI"), (1, "shout", 3, "JKL"), (1, "shout", 4, "MNO"), (2, "empty", 1, "empty"), (5, "shout", 1, "ONE"), (5, "shout", 2, "TWO")]
+    shown = spark.sql("SELECT * FROM own_checks_shown(TABLE({i}) PARTITION BY key ORDER BY nth DESC)", i=issues)
+    assert sorted(map(tuple, shown.collect())) == [(1, 1, "shout", 4, "MNO"), (1, 2, "shout", 3, "JKL"), (1, 3, "more", 2, None), (2, 1, "empty", 1, "empty"), (5, 1, "shout", 2, "TWO"), (5, 2, "shout", 1, "ONE")]
