@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.session import kept
+
 # Libraries that all runtimes, native ones and those of the web offer.
 _COMMON = ("async", "collection", "convert", "core", "developer", "math", "typed_data", "_internal")
 _NATIVE = ("ffi", "io", "isolate")
@@ -80,19 +84,19 @@ def depth_first(edges: DataFrame, roots: DataFrame, keys: list[str] | None = Non
     edges = edges.groupBy(*keys, "src", "dst").agg(F.min("ord").cast("long").alias("ord")).select(*keys, F.col("src").alias("node"), "dst", "ord")
     if leaves is not None:
         edges = edges.join(leaves.select("node").distinct(), "node", "left_anti")
-    edges = edges.checkpoint()
+    edges = kept(edges)
     start = F.struct(F.array().cast("array<bigint>").alias("label"), F.array("root").alias("path")).alias("best")
-    settled = roots.select(*keys, "root", F.col("root").alias("node"), start).distinct().checkpoint()
-    changed = settled
+    rounds = [kept(roots.select(*keys, "root", F.col("root").alias("node"), start).distinct())]
     while True:
-        step = changed.join(edges, [*keys, "node"])
+        settled = reduce(DataFrame.unionByName, rounds).groupBy(*each).agg(F.min("best").alias("best")) if len(rounds) > 1 else rounds[0]
+        step = rounds[-1].join(edges, [*keys, "node"])
         grown = F.struct(F.concat("best.label", F.array(-F.col("ord"))).alias("label"), F.concat("best.path", F.array("dst")).alias("path"))
         step = step.select(*keys, "root", F.col("dst").alias("node"), grown.alias("new")).groupBy(*each).agg(F.min("new").alias("new"))
         less = step.join(settled, each, "left").where(F.col("best").isNull() | (F.col("new.label") < F.col("best.label"))).select(*each, F.col("new").alias("best"))
-        changed = less.checkpoint()
+        changed = kept(less)
         if changed.isEmpty():
             return settled.select(*each, "best.label", "best.path")
-        settled = settled.join(changed.select(*each), each, "left_anti").unionByName(changed).checkpoint()
+        rounds = [*rounds, changed] if len(rounds) < 8 else [kept(settled), changed]
 
 
 def first_wanted(labels: DataFrame, wanted: Column, why: Column, keys: list[str] | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ from ..operators import relations as R
 from ..operators import scoring as S
 from ..operators import tags as TG
 from ..sources.known_index import index_of
+from ..sources.session import kept
 from ..sources.tables import cache_file, fresh_entries, list_argument, table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -62,13 +63,13 @@ def token_similarity(spark, sf_dir):
 
 def _pairs(spark, sf_dir):
     """Words and pairs, written once, as each is read by several joins."""
-    docs, known = _docs(spark, sf_dir).checkpoint(), _known(spark, sf_dir).checkpoint()
-    return docs, known, M.similar(docs, known, "doc_id", "item_id").checkpoint()
+    docs, known = kept(_docs(spark, sf_dir)), kept(_known(spark, sf_dir))
+    return docs, known, kept(M.similar(docs, known, "doc_id", "item_id"))
 
 
 def _runs(spark, sf_dir):
     docs, known, pairs = _pairs(spark, sf_dir)
-    return docs, known, M.diagonal_runs(M.gram_hits(docs, known, pairs, "doc_id", "item_id", 10), "doc_id", "item_id").checkpoint()
+    return docs, known, kept(M.diagonal_runs(M.gram_hits(docs, known, pairs, "doc_id", "item_id", 10), "doc_id", "item_id"))
 
 
 def _sizes(docs, known, runs):

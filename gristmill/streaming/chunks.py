@@ -15,8 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,7 +27,8 @@ STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.e
 class LineAssembler(StatefulProcessor):
     """State and step of one source; see the module."""
 
-    def __init__(self, spoils: Callable[[str], str | None], most_bytes: int, most_early: int):
+    def __init__(self, key: str, spoils: Callable[[str], str | None], most_bytes: int, most_early: int):
+        self.names = (key, "n", "line", "error")
         self.spoils, self.most_bytes, self.most_early = spoils, most_bytes, most_early
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -36,7 +36,7 @@ class LineAssembler(StatefulProcessor):
         self.pieces = handle.getListState("pieces", "data binary")
         self.early = handle.getMapState("early", "seq long", "data binary, last boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         seq, lines, size, early, done = self.place.get() or (0, 0, 0, 0, False)
         open_ = bytearray()  # what this batch adds to the open line; what batches before have is in `pieces`
         stored, out = size > 0, []
@@ -76,31 +76,34 @@ class LineAssembler(StatefulProcessor):
                     return True
             return last
 
-        for frame in rows:
-            for n, data, last in zip(frame["seq"], frame["data"], frame["last"]):
-                if done or n < seq:
-                    continue
-                if n > seq:
-                    if not self.early.containsKey((int(n),)):
-                        early += 1
-                        self.early.updateValue((int(n),), (bytes(data), bool(last)))
-                    if early > self.most_early:
-                        out.append((*key, lines + 1, None, f"more than {self.most_early} chunks wait for one that is missing"))
-                        done = True
-                    continue
-                done, seq = take(bytes(data), bool(last)), seq + 1
-                while early and not done and self.early.containsKey((seq,)):
-                    data, last = self.early.getValue((seq,))
-                    self.early.removeKey((seq,))
-                    done, seq, early = take(bytes(data), bool(last)), seq + 1, early - 1
+        for _, n, data, last in rows:
+            if done or n < seq:
+                continue
+            if n > seq:
+                if not self.early.containsKey((n,)):
+                    early += 1
+                    self.early.updateValue((n,), (bytes(data), last))
+                if early > self.most_early:
+                    out.append((*key, lines + 1, None, f"more than {self.most_early} chunks wait for one that is missing"))
+                    done = True
+                continue
+            done, seq = take(bytes(data), last), seq + 1
+            while early and not done and self.early.containsKey((seq,)):
+                data, last = self.early.getValue((seq,))
+                self.early.removeKey((seq,))
+                done, seq, early = take(bytes(data), last), seq + 1, early - 1
         if done:
-            self.pieces.clear()
-            self.early.clear()
+            if stored:
+                self.pieces.clear()
+            if early:
+                self.early.clear()
             size = early = 0
         elif open_:
             self.pieces.appendValue((bytes(open_),))
         self.place.update((seq, lines, size, early, done))
-        yield pd.DataFrame(out, columns=[*self.names, "n", "line", "error"])
+        named = Row(*self.names)
+        for found in out:
+            yield named(*found)
 
     def close(self) -> None:
         pass
@@ -114,9 +117,8 @@ def assembled(chunks: DataFrame, key: str, spoils: Callable[[str], str | None] |
         spark.conf.set(*STORE)
     _ = spark.streams.active  # the manager of streams starts the coordinator of state stores, which a table needs as well
     some = chunks.select(key, F.col("seq").cast("long").alias("seq"), F.col("data").cast("binary").alias("data"), F.coalesce("last", F.lit(False)).alias("last")).where("seq is not null and data is not null")
-    step = LineAssembler(spoils or (lambda line: None), most_bytes, most_early)
-    step.names = [key]
-    return some.groupBy(key).transformWithStateInPandas(step, f"{key} {dict(some.dtypes)[key]}, n long, line string, error string", "Append", "None")
+    step = LineAssembler(key, spoils or (lambda line: None), most_bytes, most_early)
+    return some.groupBy(key).transformWithState(step, f"{key} {dict(some.dtypes)[key]}, n long, line string, error string", "Append", "None")
 
 
 def unexpected(line: str) -> str | None:
