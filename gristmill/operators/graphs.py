@@ -72,7 +72,8 @@ def reach(edges: DataFrame, roots: DataFrame, keys: list[str] | None = None, lea
 
 def depth_first(edges: DataFrame, roots: DataFrame, keys: list[str] | None = None, leaves: DataFrame | None = None) -> DataFrame:
     """(keys, root, node, label, path): every node with the path by which a depth-first search comes to it from each root, if
-    a node's last successor (largest `ord` of edges (keys, src, dst, ord)) is tried first and nodes are entered once.
+    a node's last successor (largest `ord` of edges (keys, src, dst, ord), unique among a node's successors) is tried first
+    and nodes are entered once.
 
     That path is the least of all by its label, the list of -ord along it: a search that came to a node later than by the
     least path would have passed one of that path's nodes before, by a path that is less. And all beginnings of a least

@@ -488,7 +488,7 @@ def platform_tags(spark, sf_dir):
 _FIRST = f"""o AS (SELECT * FROM (VALUES {", ".join(f"('{r}', '{x}')" for r, libs in G.RUNTIMES.items() for x in libs if x in ("io", "html", "ui", "core"))}) v(runtime, lib)),
 y AS (SELECT runtime, bool_or(lib = 'io') AS io FROM o GROUP BY 1),
 e AS (SELECT src, dst, min(ord) AS ord FROM (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, n_nationkey AS ord FROM nation
-  UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, s_suppkey FROM supplier UNION ALL SELECT 's' || l_suppkey, 'p' || l_partkey, l_orderkey * 8 + l_linenumber FROM lineitem) GROUP BY ALL),
+  UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, s_suppkey FROM supplier UNION ALL SELECT 's' || l_suppkey, 'p' || l_partkey, (l_orderkey * 64 + l_linenumber) * 10000000 + l_partkey FROM lineitem) GROUP BY ALL),
 c AS (SELECT runtime, src, dst, ord FROM e, y UNION ALL SELECT runtime, 'p' || p_partkey, CASE WHEN io THEN p_brand ELSE p_type END, 0 FROM part, y),
 w AS (SELECT runtime, 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, []::BIGINT[] AS label, ['r' || r_regionkey] AS path FROM region, y
   UNION ALL SELECT runtime, 'n' || n_nationkey, 'n' || n_nationkey, [], ['n' || n_nationkey] FROM nation, y
@@ -501,7 +501,7 @@ def first_import_paths(spark, sf_dir):
     named = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
     imports = lambda name, src, dst, slot: table(spark, sf_dir, name).select(src.alias("src"), F.expr(slot).cast("long").alias("slot"), dst.alias("dst"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("lib"))
     plain = imports("nation", named("r", "n_regionkey"), named("n", "n_nationkey"), "n_nationkey").union(imports("supplier", named("n", "s_nationkey"), named("s", "s_suppkey"), "s_suppkey"))
-    plain = plain.union(imports("lineitem", named("s", "l_suppkey"), named("p", "l_partkey"), "l_orderkey * 8 + l_linenumber"))
+    plain = plain.union(imports("lineitem", named("s", "l_suppkey"), named("p", "l_partkey"), "(l_orderkey * 64 + l_linenumber) * 10000000 + l_partkey"))
     part = named("p", "p_partkey")
     conditional = imports("part", part, F.col("p_brand"), "0").withColumn("lib", F.lit("io")).union(imports("part", part, F.col("p_type"), "0").withColumn("rank", F.lit(1)))
     runtimes = G.runtime_table(spark)
