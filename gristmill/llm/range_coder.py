@@ -428,7 +428,6 @@ class _Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.encode_special_tokens = True
         self.kept, self.cores = Kept(400_000), Kept(400_000)
         mark = self._ids(["a \0 b"])[0]
         ends = self._ids(["a", "b"])
