@@ -151,7 +151,7 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", perc
     ranks = _rarity(source)
     lines = source.select(*_DOC, F.posexplode(F.split("body", "\n")).alias("line", "t")).where(_judged(F.col("t"), min_words))
     low = F.lower("t")
-    firsts = lines.select(*_DOC, "line", F.xxhash64(low).alias("h1"), F.xxhash64(low, F.lit(1)).alias("h2")).groupBy("h1", "h2").agg(F.min(F.struct(*_DOC, "line")).alias("f"))
+    firsts = lines.select(*_DOC, "line", F.xxhash64(low).alias("h1"), F.xxhash64(F.lit(1), low).alias("h2")).groupBy("h1", "h2").agg(F.min(F.struct(*_DOC, "line")).alias("f"))
     # One number a line, ascending in the order of lines; written, so that it stays the same.
     firsts = scratch.keep(scratch.keep(firsts.select("f.*"), "lines").orderBy(*_DOC, "line").withColumn("lid", F.monotonically_increasing_id()), "firsts")
 
