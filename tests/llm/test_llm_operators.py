@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, on rows that hold the odd cases, and on an empty table."""
 
+import bisect
 import collections
 import hashlib
 import math
@@ -176,21 +177,26 @@ def test_poisson_mix(docs, empty, spark):
     assert again == [r.doc_id for r in M.mix(many.repartition(7)).select("doc_id").collect()]
 
 
-@pytest.mark.parametrize("rate", [0.3, 12.5, 720.0, 1200.0, 5000.0])
+@pytest.mark.parametrize("rate", [0.3, 12.5, 64.0, 64.5, 720.0, 5000.0, 100000.0])
 def test_poisson_mix_rates(spark, rate):
+    """Tables against the formula, draws against a loop over the parts of a rate, totals against the mean."""
     from gristmill.llm import poisson_mix as M
 
     few = spark.createDataFrame([(k, "a") for k in range(8)], "doc_id long, source string")
     found, upto = M.rates(few, "source", None, 0.5, rate).first(), 0.0
-    cdf = found.cdf
+    cdf, part = found.cdf, found.rate / found.draws
+    assert found.draws == math.ceil(found.rate / M.MOST) and len(cdf) < 200
     for k, c in enumerate(cdf):
-        upto += math.exp(k * math.log(found.rate) - found.rate - math.lgamma(k + 1))
+        upto += math.exp(k * math.log(part) - part - math.lgamma(k + 1))
         assert abs(c - upto) < 1e-9
     assert cdf[-1] == 1
-    draws = [int(hashlib.md5(f"17:{k}".encode()).hexdigest()[:12], 16) / (1 << 48) for k in range(8)]
-    want = {k: sum(c <= u for c in cdf) for k, u in enumerate(draws)}
-    got = collections.Counter(r.doc_id for r in M.mix(few, size=rate).select("doc_id").collect())
-    assert got == {k: n for k, n in want.items() if n} and abs(got.total() - 8 * rate) < 6 * math.sqrt(8 * rate)
+
+    def draw(name):
+        return bisect.bisect_right(cdf, int(hashlib.md5(name.encode()).hexdigest()[:12], 16) / (1 << 48))
+
+    want = {k: sum(draw(f"17:{k}:{j}" if j else f"17:{k}") for j in range(found.draws)) for k in range(8)}
+    got = {r.doc_id: r.n for r in M.mix(few, size=rate).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert got == {k: n for k, n in want.items() if n} and abs(sum(got.values()) - 8 * rate) < 6 * math.sqrt(8 * rate)
 
 
 # 7
