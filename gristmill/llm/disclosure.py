@@ -5,11 +5,16 @@ terms around an entity reveal it. Over word occurrences, with N of all words, c(
 surroundings and c(e,t) of the term there, pointwise mutual information in proportion to what knowing the entity itself
 would tell is
 
-    disclosure(e, t) = log(N c(e,t) / (c(e) c(t))) / log(N / c(e)) = 1 - log(c(t) / c(e,t)) / log(N / c(e)).
+    disclosure(e, t) = (1 - log(c(t) / c(e,t)) / log(N / c(e))) * n / (n + prior),
+
+where 1 - log(c(t) / c(e,t)) / log(N / c(e)) = log(N c(e,t) / (c(e) c(t))) / log(N / c(e)), and n is the number of distinct
+texts that hold both. The factor is the evidence: what stands beside an entity in a single text counts half at most, however
+rare it is, and copies of a text count once. As most entities are in few texts, the group of an entity (`_group`: the domain
+of an address, a network, an area, an issuer) is an entity of its own.
 
 A term whose disclosure reaches `generalise_at` is generalised where it stands near that entity (within `reach`
-characters); at `remove_at` it is removed. `support` asks for more distinct texts that hold both; with 1 the measure alone
-decides, also for the many entities of a single text. Counts cover all documents.
+characters): a number to its first digit and size, other terms to their class, [CODE], [NAME] or [TERM]. At `remove_at` it is
+removed. Terms farther off are never judged. Counts cover all documents.
 
 Defined cases: null and empty texts have no spans; equal rows get equal spans; a term that overlaps a base span is left to
 it; texts without an entity are never changed; other columns stay as they are, results are renamed if they clash.
@@ -91,23 +96,31 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["rank"]], s["start"], s["end"])), ",")
 
 
+def _group(kind: Column, match: Column) -> Column:
+    """The wider entity that a match belongs to: an address' domain, a network of 256 hosts, six digits of a card or phone."""
+    digits = F.substring(F.regexp_replace(match, "[^0-9]", ""), 1, 6)
+    wide = F.when(kind == "email", F.substring_index(match, "@", -1)).when(kind == "ip", F.substring_index(match, ".", 3)).otherwise(digits)
+    return F.concat_ws(":", F.lit("group"), kind, wide)
+
+
 def _surroundings(hits: DataFrame, reach: int) -> DataFrame:
-    """(id, h, entity, term, start, end) of the whole words within `reach` characters of each base span."""
+    """(id, h, entity, term, start, end) of the whole words within `reach` characters of each base span, for the entity and
+    for its group."""
     kinds = F.array(*map(F.lit, KINDS))
     each = hits.select("id", "h", "body", "spans", F.explode("spans").alias("s"))
-    s, n = F.col("s.start"), F.length("body")
+    s, n, kind, match = F.col("s.start"), F.length("body"), kinds[F.col("s.rank")], F.lower("s.match")
     cut = F.greatest(s - reach, F.lit(0))
     left, right = F.substring("body", cut + 1, s - cut), F.substring("body", F.col("s.end") + 1, F.lit(reach))
     left = F.when(cut > 0, F.regexp_replace(left, rf"^{_WORD}", "")).otherwise(left)
     right = F.when(F.col("s.end") + reach < n, F.regexp_replace(right, rf"{_WORD}$", "")).otherwise(right)
-    each = each.select("id", "h", "spans", F.concat_ws(":", kinds[F.col("s.rank")], F.lower("s.match")).alias("entity"), s.alias("s"), F.col("s.end").alias("e"), left.alias("left"), right.alias("right"))
+    each = each.select("id", "h", "spans", F.array(F.concat_ws(":", kind, match), _group(kind, match)).alias("entities"), s.alias("s"), F.col("s.end").alias("e"), left.alias("left"), right.alias("right"))
     words = F.concat(_located(F.col("left"), _WORD, 4, F.col("s") - F.length("left")), _located(F.col("right"), _WORD, 4, F.col("e")))
-    terms = each.select("id", "h", "entity", "spans", F.explode(words).alias("t"))
+    terms = each.select("id", "h", "entities", "spans", F.explode(words).alias("t"))
     free = ~F.exists("spans", lambda b: (b["start"] < F.col("t.end")) & (b["end"] > F.col("t.start")))
-    return terms.where(free).select("id", "h", "entity", F.lower("t.match").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+    return terms.where(free).select("id", "h", F.explode("entities").alias("entity"), F.lower("t.match").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", generalise_at: float = 0.7, remove_at: float = 0.95, support: int = 1, reach: int = 100, keep_text: bool = False) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", generalise_at: float = 0.7, remove_at: float = 0.95, prior: float = 1.0, reach: int = 100, keep_text: bool = False) -> DataFrame:
     """id, h (the text's hash), base (spans), terms (start, end, disclosure), for each row of docs.
 
     Text leaves its scan only where it holds an entity; the corpus' words are counted by 64-bit hash before they move."""
@@ -119,7 +132,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", generalise
     near = scratch.keep(_surroundings(based.where("body is not null"), reach), "near")
 
     together = near.groupBy("entity", "term", "h").agg(F.count(F.lit(1)).alias("c")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("texts"), F.sum("c").alias("both"))
-    together = scratch.keep(together.where(F.col("texts") >= support), "together")
+    together = scratch.keep(together.where(F.col("texts") / (F.col("texts") + prior) >= generalise_at), "together")  # the share is 1 at most
     of_entity = near.groupBy("entity").agg(F.count(F.lit(1)).alias("of_entity"))
     words = source.select(F.explode(F.split(F.lower("body"), r"[^\p{L}\p{N}]+")).alias("w")).where("w <> ''")
     counts = words.select(F.xxhash64("w").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("of_term"))
@@ -128,7 +141,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text", generalise
     counted = scratch.keep(counts.join(asked, "word", "left_semi").withColumn("kind", F.lit(0)).unionByName(total.select(F.lit(0).cast("long").alias("word"), F.col("total").alias("of_term"), F.lit(1).alias("kind"))), "counts")
     n = counted.where("kind = 1").agg(F.max("of_term")).first()[0] or 1
     share = 1 - F.log(F.greatest(F.col("of_term") / F.col("both"), F.lit(1.0))) / F.log(F.greatest(F.lit(float(n)) / F.col("of_entity"), F.lit(2.0)))
-    revealing = together.withColumn("word", F.xxhash64("term")).join(counted.where("kind = 0").select("word", "of_term"), "word").join(of_entity, "entity").select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= generalise_at)
+    revealing = together.withColumn("word", F.xxhash64("term")).join(counted.where("kind = 0").select("word", "of_term"), "word").join(of_entity, "entity").select("entity", "term", (share * F.col("texts") / (F.col("texts") + prior)).alias("disclosure")).where(F.col("disclosure") >= generalise_at)
     revealing = scratch.keep(revealing, "revealing")
 
     marks = near.join(revealing, ["entity", "term"]).groupBy("id", "h", "start", "end").agg(F.max("disclosure").alias("disclosure"))
@@ -144,13 +157,19 @@ def all_spans(base: Column, terms: Column) -> Column:
     return F.array_sort(F.concat(base, extra.cast(_SPAN)))
 
 
+def _wider(term: Column) -> Column:
+    """What a term is generalised to."""
+    number = F.rpad(F.substring(term, 1, 1), F.length(term), F.lit("0"))
+    return F.when(term.rlike("^[0-9]+$"), number).when(term.rlike(r"\p{N}"), "[CODE]").when(term.rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
+
+
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text: str = "text", result: str = "sanitised", **options) -> DataFrame:
-    """docs with the sanitised text: entities become [KIND], generalised terms [TERM], removed terms nothing."""
+    """docs with the sanitised text: entities become [KIND], generalised terms their class, removed terms nothing."""
     result = fresh(docs.columns, result)
     own, ident, h, base, terms = (fresh([*docs.columns, result], c) for c in ("own_text", "found_id", "found_text", "found_base", "found_terms"))
     found = find(docs, id_col, text, **options).select(F.col("id").alias(ident), F.col("h").alias(h), F.col("base").alias(base), F.col("terms").alias(terms)).dropDuplicates([ident, h])
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    marks = F.array_sort(F.concat(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(F.array(*map(F.lit, KINDS))[s["rank"]]), F.lit("]")).alias("by"))), F.transform(terms, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["removed"], "").otherwise("[TERM]").alias("by")))))
+    marks = F.array_sort(F.concat(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(F.array(*map(F.lit, KINDS))[s["rank"]]), F.lit("]")).alias("by"))), F.transform(terms, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["removed"], "").otherwise(_wider(F.substring(F.col(own), t["start"] + 1, t["end"] - t["start"]))).alias("by")))))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
     def step(acc, m):
