@@ -9,12 +9,15 @@ from ..functions import markdown as MD
 from ..functions import render as N
 from ..functions import rules as L
 from ..functions import versions as V
+from ..functions.ordering import numbered
 from ..operators import graphs as G
 from ..operators import manifests as H
 from ..operators import matching as M
 from ..operators import relations as R
 from ..operators import scoring as S
 from ..operators import tags as TG
+from ..sources.paged import selected
+from ..sources.session import scratch_path
 from ..sources.tables import table, version_listing
 from . import report as P
 from .registry import query
@@ -455,3 +458,18 @@ def wasm_verdicts(spark, sf_dir):
     runtimes = G.runtime_table(spark).where("runtime = 'wasm'")
     bad = TG.runtime_violations(TG.reached_libraries(edges, roots), imports, runtimes, runtimes.select("runtime").distinct())
     return TG.wasm_ready(own, own.select("package", "root"), web, bad)
+
+
+@query("""WITH l AS (SELECT doc_id, coalesce(source, '') || '/' || (doc_id // 2) AS package, doc_id % 50 AS age FROM documents)
+SELECT package FROM (SELECT package, max(doc_id) AS best FROM l WHERE age <= 40 GROUP BY package ORDER BY best DESC, package LIMIT 2000)""")
+def paged_names(spark, sf_dir):
+    """The first 2,000 names that are not too old, out of a listing of documents by falling id, saved in pages of 500."""
+    d = table(spark, sf_dir, "documents")
+    name = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.floor(F.col("doc_id") / 2).cast("string"))
+    listed = numbered(d.select("doc_id", name.alias("package")), [F.desc("doc_id"), F.asc("package")], "place")
+    entry = F.struct("place", "package")
+    page = listed.groupBy(F.floor((F.col("place") - 1) / 500 + 1).cast("int").alias("page")).agg(F.array_sort(F.collect_list(entry)).alias("packages"))  # 500 entries
+    path = scratch_path(spark, "pages")
+    page.select("page", F.to_json(F.struct(F.transform("packages", lambda x: F.struct(x["package"].alias("package"))).alias("packages"))).alias("value")).write.partitionBy("page").text(path)
+    ages = d.select(name.alias("package"), F.col("doc_id").alias("of_doc")).where("of_doc % 50 <= 40").select("package").distinct()
+    return selected(spark, path, 2000, lambda names: names.join(ages, "package", "left_semi"))

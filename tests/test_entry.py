@@ -17,7 +17,7 @@ def test_entry(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
-@pytest.mark.parametrize("name", ["token_similarity", "diagonal_runs", "density_windows", "link_classes", "problem_order", "section_score", "doc_coverage", "outdated_grace", "reachability", "id_diff", "package_report", "platform_verdicts", "sdk_verdicts", "page_content", "source_spans", "repository_urls", "dependency_tables", "first_import_paths", "assembled_lines", "page_issues"])
+@pytest.mark.parametrize("name", ["token_similarity", "diagonal_runs", "density_windows", "link_classes", "problem_order", "section_score", "doc_coverage", "outdated_grace", "reachability", "id_diff", "package_report", "platform_verdicts", "sdk_verdicts", "page_content", "source_spans", "repository_urls", "dependency_tables", "first_import_paths", "assembled_lines", "page_issues", "paged_names"])
 def test_oracles(spark, name):
     import duckdb
 

@@ -133,3 +133,68 @@ def test_assembled_after_restart(spark, tmp_path):
         assert q.exception() is None
         rows.append(sorted(r.line for r in spark.read.parquet(f"{tmp_path}/out").collect()))
     assert rows == [["first"], ["first", "second", "third"]]
+
+
+def pages(folder, listing):
+    for n, names in listing.items():
+        (folder / f"page={n}").mkdir(parents=True)
+        (folder / f"page={n}" / "a.json").write_text(json.dumps({"packages": [{"package": x} for x in names]}) + "\n")
+
+
+def test_paged_listing(spark, tmp_path):
+    """Pages beyond the needed ones are broken, so that reading one of them would fail."""
+    from gristmill.sources import paged
+
+    pages(tmp_path, {n: [f"p{n}_{k}" for k in range(3)] + ["same"] for n in range(1, 7)} | {9: ["late"]})
+    for n in (4, 5, 6):
+        (tmp_path / f"page={n}" / "a.json").write_text("broken")
+    path = f"file://{tmp_path}"
+    assert [tuple(r) for r in paged.listing(spark, path, 2, 2).collect()] == [(2, 0, "p2_0"), (2, 1, "p2_1"), (2, 2, "p2_2"), (2, 3, "same")]
+    names = lambda n, **o: [r.package for r in paged.selected(spark, path, n, at_once=1, **o).collect()]
+    assert names(2) == ["p1_0", "p1_1"] and names(7) == ["p1_0", "p1_1", "p1_2", "p2_0", "p2_1", "p2_2", "same"]
+    assert names(2, keep=lambda d: d.where(F.col("package") != "p1_1")) == ["p1_0", "p1_2"]
+    with pytest.raises(Exception, match="JSON|Expecting"):
+        names(11)  # pages 1, 2 and 3 have ten
+
+
+def test_paged_listing_ends(spark, tmp_path):
+    from gristmill.sources import paged
+
+    pages(tmp_path, {1: ["b", "a"], 2: ["c"], 3: [], 4: ["not reached"], 6: ["nor this"]})
+    assert [r.package for r in paged.selected(spark, f"file://{tmp_path}", 10).collect()] == ["a", "b", "c"]
+    assert paged.selected(spark, f"file://{tmp_path}/none", 10).count() == 0
+
+
+def test_paged_stream(spark, tmp_path):
+    """New pages come once each, also after a restart from the checkpoint."""
+    from gristmill.sources import paged
+
+    spark.dataSource.register(paged.PagedListing)
+    source, out, mark = tmp_path / "in", f"file://{tmp_path}/out", f"file://{tmp_path}/mark"
+    seen = []
+    for k, new in enumerate(({1: ["a"], 2: ["b"]}, {3: ["c"], 5: ["no"]}, {4: ["d"]})):
+        pages(source, new)
+        q = spark.readStream.format(paged.NAME).load(f"file://{source}").writeStream.format("parquet").option("checkpointLocation", mark).trigger(availableNow=True).start(out)
+        q.awaitTermination(60)
+        seen.append(sorted(r.package for r in spark.read.schema("package string").parquet(out).collect()))
+    assert seen == [["a", "b"], ["a", "b", "c"], ["a", "b", "c", "d", "no"]]
+
+
+def test_report_sink(spark, tmp_path):
+    from gristmill.sources import report_sink as sink
+
+    path = f"file://{tmp_path}/reports"
+    first = spark.range(20, numPartitions=3).select(F.concat(F.lit("p/é"), "id").alias("name"), F.to_json(F.struct("id")).alias("report"))
+    with pytest.raises(AssertionError, match="written now"):
+        sink.expect_reports(first, path)
+    sink.expect_reports(first.repartition(2), path)
+    before = sink.manifest(path)
+    assert before["reports"] == 20 and sink.read_reports(spark, path).count() == 20
+    failing = first.withColumn("report", F.when(F.col("name") != "p/é19", F.col("report")))
+    with pytest.raises(Exception, match="needs a name"):
+        sink.write_reports(failing, path)
+    assert sink.manifest(path) == before and not [x for x in (tmp_path / "reports").iterdir() if x.name.startswith("_")]
+    with pytest.raises(AssertionError, match="p/é3"):
+        sink.expect_reports(first.where("name <> 'p/é3'"), path)
+    sink.write_reports(first.limit(0), path)
+    assert sink.manifest(path)["reports"] == 0 and sink.read_reports(spark, path).count() == 0
