@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -108,6 +109,39 @@ def first_wanted(labels: DataFrame, wanted: Column, why: Column, keys: list[str]
     return labels.where(wanted).groupBy(*keys, "root").agg(best).select(*keys, "root", "b.path", "b.why")
 
 
+def first_found(successors: Callable[[DataFrame], DataFrame], roots: DataFrame, wanted: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, root, path, why): of each root the first node of `wanted` (node, why and any of the keys) that a depth-first search
+    meets: what `first_wanted` finds in `depth_first`, without the paths to what the search never comes to.
+
+    `successors` gives the edges (keys, node, dst, ord) of a table of nodes (keys, node), so that edges are joined, chosen and
+    combined for those alone. Each root's open nodes are left in the order of their labels, one of each root in the first round
+    and twice as many in each further one; a node is left again if a lesser label comes to it later. What is not less than the
+    label of a wanted node that was met is dropped, as its own successors are greater still; a root is done when no node of it
+    is open. So rounds are about as many as the logarithm of the nodes that the search enters, and tables as large as those and
+    their successors."""
+    keys = keys or []
+    group, each = [*keys, "root"], [*keys, "root", "node"]
+    on = [c for c in (*keys, "node") if c in wanted.columns]
+    start = F.struct(F.array().cast("array<bigint>").alias("label"), F.array("root").alias("path")).alias("best")
+    new = kept(roots.select(*group, F.col("root").alias("node"), start, F.lit(True).alias("open")).distinct())
+    states, found, width = [], None, 1
+    while True:
+        met = new.join(wanted, on).groupBy(*group).agg(F.min(F.struct("best.label", "best.path", "why")).alias("first"))
+        found = kept(met if found is None else found.unionByName(met).groupBy(*group).agg(F.min("first").alias("first")))
+        rows = reduce(DataFrame.unionByName, [*states, new]).groupBy(*each).agg(F.min(F.struct("best", "open")).alias("s"))  # closed before open
+        rows = rows.select(*each, "s.best", "s.open").join(found, group, "left").where(F.col("first").isNull() | (F.col("best.label") < F.col("first.label")))
+        state = kept(rows.drop("first"))
+        turn = F.row_number().over(Window.partitionBy(*group).orderBy("best.label", "node"))
+        chosen = kept(state.where("open").withColumn("turn", turn).where(F.col("turn") <= width).drop("turn"))
+        if chosen.isEmpty():
+            return found.select(*group, "first.path", "first.why")
+        edges = successors(chosen.select(*keys, "node").distinct()).groupBy(*keys, "node", "dst").agg(F.min("ord").cast("long").alias("ord"))
+        grown = F.struct(F.concat("best.label", F.array(-F.col("ord"))).alias("label"), F.concat("best.path", F.array("dst")).alias("path"))
+        step = chosen.join(edges, [*keys, "node"]).select(*group, F.col("dst").alias("node"), grown.alias("best"))
+        new = kept(step.groupBy(*each).agg(F.min("best").alias("best")).withColumn("open", F.lit(True)))
+        states, width = [state, chosen.withColumn("open", F.lit(False))], 2 * width
+
+
 def platform_tags(roots: DataFrame, bad: DataFrame, spark) -> DataFrame:
     """(root, platform): a platform holds if its plain runtime or else that of the kit has no violation."""
     rows = [(k, p, r) for k, (p, a, b) in enumerate(PLATFORMS) for r in (a, b) if r]

@@ -499,21 +499,26 @@ i AS (SELECT node, {_LIBS} AS lib FROM (SELECT 'p' || p_partkey AS node, p_size
 @query(f"WITH RECURSIVE {_FIRST} SELECT runtime, root, array_to_string(arg_min(path, label), '>') AS path, arg_min(lib, label) AS why FROM w JOIN i USING (node) WHERE NOT EXISTS (SELECT 1 FROM o x WHERE x.runtime = w.runtime AND x.lib = i.lib) GROUP BY ALL")
 def first_import_paths(spark, sf_dir):
     named = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
-    imports = lambda name, src, dst, slot: table(spark, sf_dir, name).select(src.alias("src"), F.expr(slot).cast("long").alias("slot"), dst.alias("dst"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("lib"))
+    imports = lambda name, src, dst, ord_: table(spark, sf_dir, name).select(src.alias("node"), dst.alias("dst"), F.expr(ord_).cast("long").alias("ord"))
     plain = imports("nation", named("r", "n_regionkey"), named("n", "n_nationkey"), "n_nationkey").union(imports("supplier", named("n", "s_nationkey"), named("s", "s_suppkey"), "s_suppkey"))
     plain = plain.union(imports("lineitem", named("s", "l_suppkey"), named("p", "l_partkey"), "(l_orderkey * 64 + l_linenumber) * 10000000 + l_partkey"))
-    part = named("p", "p_partkey")
-    conditional = imports("part", part, F.col("p_brand"), "0").withColumn("lib", F.lit("io")).union(imports("part", part, F.col("p_type"), "0").withColumn("rank", F.lit(1)))
+    part, p = named("p", "p_partkey"), table(spark, sf_dir, "part")
+    targets = F.explode(F.array(F.struct(F.col("p_brand").alias("dst"), F.lit(0).alias("rank"), F.lit("io").alias("lib")), F.struct(F.col("p_type").alias("dst"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("lib"))))
+    conditional = p.select(part.alias("src"), F.lit(0).cast("long").alias("slot"), targets.alias("x")).select("src", "slot", "x.*")
     runtimes = G.runtime_table(spark)
-    edges = G.chosen_edges(plain.union(conditional), runtimes).withColumnRenamed("slot", "ord")
+
+    def successors(nodes):
+        near = nodes.select(F.col("node").alias("src")).distinct()
+        chosen = G.chosen_edges(conditional.join(near, "src", "left_semi"), runtimes).select("runtime", F.col("src").alias("node"), "dst", F.col("slot").alias("ord"))
+        return plain.join(nodes, "node").select("runtime", "node", "dst", "ord").union(chosen)
+
     roots = table(spark, sf_dir, "region").select(named("r", "r_regionkey").alias("root")).union(table(spark, sf_dir, "nation").select(named("n", "n_nationkey"))).crossJoin(runtimes.select("runtime").distinct())  # a fixed number of runtimes
-    labels = G.depth_first(edges, roots, ["runtime"])
-    p = table(spark, sf_dir, "part")
     below = p.select(F.col("p_brand").alias("node"), F.regexp_extract("p_brand", "[0-9]+", 0).cast("int").alias("k")).union(p.select("p_type", F.length("p_type"))).distinct()
     k = F.col("k") % 5
     libs = p.select(part.alias("node"), F.col("p_size").alias("k")).union(below).select("node", F.when(k == 0, "io").when(k == 1, "html").when(k == 2, "ui").otherwise("core").alias("lib"))
-    lacking = libs.join(runtimes.select("runtime").distinct().join(libs.select("lib").distinct()).join(runtimes, ["runtime", "lib"], "left_anti"), "lib")  # a few libraries by a few runtimes
-    found = G.first_wanted(labels.join(lacking, ["runtime", "node"]), F.lit(True), F.col("lib"), ["runtime"])
+    lacking = runtimes.select("runtime").distinct().join(libs.select("lib").distinct()).join(runtimes, ["runtime", "lib"], "left_anti")
+    wanted = libs.join(F.broadcast(kept(lacking)), "lib").select("runtime", "node", F.col("lib").alias("why"))  # a few libraries by a few runtimes
+    found = G.first_found(successors, roots, wanted, ["runtime"])
     return found.select("runtime", "root", F.array_join("path", ">").alias("path"), "why")
 
 
