@@ -20,6 +20,8 @@ their own, in the order of their hashes; other columns stay.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"
 _BUCKETS = 1 << 16
 _HASH_BITS = 52
+_PARTS = 2  # postings are exchanged in parts by token, so that the shuffle files of one are gone before the next
 _DOC = ("id", "v")
 
 
@@ -105,6 +108,11 @@ def _packed() -> Column:
     return F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1))
 
 
+def _part(token: str) -> Column:
+    """Which part of the postings a token's are in; by other bits than those that spread a part over partitions."""
+    return F.pmod(F.xxhash64(token), F.lit(_PARTS))
+
+
 def _of(side: str):
     """A column of one side of a join by its name; n, pos and probe out of x."""
 
@@ -127,7 +135,10 @@ def _verified(pairs: DataFrame, source: DataFrame, firsts: DataFrame, percent: i
     sets = scratch.keep(_lines(source, wanted).select("lid", F.array_remove(_words(F.col("t")), "").alias("k")), "sets")
     both = pairs.join(sets, "lid").join(sets.select(F.col("lid").alias("other"), F.col("k").alias("other_k")), "other")
     common = F.size(F.array_intersect("k", "other_k"))
-    return both.where(100 * common >= percent * (F.size("k") + F.size("other_k") - common)).select("lid").distinct()
+    found = scratch.keep(both.where(100 * common >= percent * (F.size("k") + F.size("other_k") - common)).select("lid").distinct(), "gone")
+    scratch.drop(wanted)
+    scratch.drop(sets)
+    return found
 
 
 def _postings(held: DataFrame, ranks: Column, percent: int) -> DataFrame:
@@ -137,8 +148,11 @@ def _postings(held: DataFrame, ranks: Column, percent: int) -> DataFrame:
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("key").bitwiseAND(F.lit(63)).cast("int"))
     half = F.shiftright("key", 6).bitwiseAND(F.lit(1)) == 0
     maps = [F.bit_xor(F.when(h, bit).otherwise(0)) for h in (half, ~half)]
-    line = Window.partitionBy(*_DOC, "lid")
-    ranked = keyed.select("lid", "key", (F.row_number().over(line.orderBy("key")) - 1).alias("pos"), F.count(F.lit(1)).over(line).cast("int").alias("n"), maps[0].over(line).alias("s1"), maps[1].over(line).alias("s2"))
+    # One pass over the sorted words serves all four, as both windows have one order; and lines come first in it, as their
+    # numbers ascend already and words are then compared within a line alone.
+    line = Window.partitionBy("lid", *_DOC).orderBy("key")
+    all_of = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = keyed.select("lid", "key", (F.row_number().over(line) - 1).alias("pos"), F.count(F.lit(1)).over(all_of).cast("int").alias("n"), maps[0].over(all_of).alias("s1"), maps[1].over(all_of).alias("s2"))
     prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1
     return ranked.where(F.col("pos") < prefix).select(F.hash("key").alias("token"), "lid", "n", "pos", "s1", "s2")  # equal hashes are more pairs to verify
 
@@ -153,37 +167,48 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", perc
     low = F.lower("t")
     firsts = lines.select(*_DOC, "line", F.xxhash64(low).alias("h1"), F.xxhash64(F.lit(1), low).alias("h2")).groupBy("h1", "h2").agg(F.min(F.struct(*_DOC, "line")).alias("f"))
     # One number a line, ascending in the order of lines; written, so that it stays the same.
-    firsts = scratch.keep(scratch.keep(firsts.select("f.*"), "lines").orderBy(*_DOC, "line").withColumn("lid", F.monotonically_increasing_id()), "firsts")
+    unnumbered = scratch.keep(firsts.select("f.*"), "lines")
+    firsts = scratch.keep(unnumbered.orderBy(*_DOC, "line").withColumn("lid", F.monotonically_increasing_id()), "firsts")
+    scratch.drop(unnumbered)
 
     posts = scratch.keep(_postings(_lines(source, firsts), ranks, percent), "posts")
-    rows = posts.select("token", "lid", _packed().alias("x"), "s1", "s2")
-    tops = rows.groupBy("token").agg(F.min("lid").alias("c_lid"), F.max("lid").alias("last"), *[F.min_by(c, "lid").alias(f"c_{c}") for c in ("x", "s1", "s2")])
-    tops = tops.where("last > c_lid").drop("last")  # a word of one line alone is of no use
     first = F.col("lid") == F.col("c_lid")
     near = ~first & _may_match(percent, _of(""), _of("c_"))
     probe = F.when(first | near, 0).otherwise(1)
-    posts_ = rows.join(tops, "token").select("token", "lid", F.col("x").bitwiseOR(probe.cast("long")).alias("x"), "s1", "s2", F.when(near, F.col("c_lid")).alias("other"))
-    flagged = scratch.keep(posts_, "flagged")
+    flagged = []
+    for part in range(_PARTS):
+        rows = posts.where(_part("token") == part).select("token", "lid", _packed().alias("x"), "s1", "s2")
+        tops = rows.groupBy("token").agg(F.min("lid").alias("c_lid"), F.max("lid").alias("last"), *[F.min_by(c, "lid").alias(f"c_{c}") for c in ("x", "s1", "s2")])
+        tops = tops.where("last > c_lid").drop("last")  # a word of one line alone is of no use
+        posts_ = rows.join(tops, "token").select("token", "lid", F.col("x").bitwiseOR(probe.cast("long")).alias("x"), "s1", "s2", F.when(near, F.col("c_lid")).alias("other"))
+        flagged.append(scratch.keep(posts_, "flagged"))
+        del rows, tops, posts_
     scratch.drop(posts)
-    posts = flagged
 
     # Against the earliest line that has the word, where the filters let the pair through.
+    posts = reduce(DataFrame.union, flagged)
     pairs = scratch.keep(posts.where("other is not null").select("lid", "other").distinct(), "pairs")
-    gone = scratch.keep(_verified(pairs, source, firsts, percent, scratch), "gone")
+    gone = _verified(pairs, source, firsts, percent, scratch)
     left = scratch.keep(pairs.select("lid").distinct().join(gone, "lid", "left_anti"), "left")
+    scratch.drop(pairs)
 
     # Words whose earliest line was no candidate, against all earlier lines; then the few lines that a candidate failed.
     # Both sides are the same rows, so that one exchange serves both; what concerns one side alone must not part them.
-    rows = posts.select("token", "lid", "x", "s1", "s2")
     a, b = _of("a."), _of("b.")
     fits = (b("lid") < a("lid")) & _may_match(percent, a, b)
-    found = rows.alias("a").join(rows.alias("b"), a("token") == b("token")).where(fits & (2 * a("probe") + b("probe") >= 2))
-    again = rows.join(_near_at_hand(left), "lid").alias("a").join(rows.alias("b"), a("token") == b("token")).where(fits & (a("probe") + b("probe") >= 0))
     names = [a("lid").alias("lid"), b("lid").alias("other")]
-    pairs = found.select(*names).union(again.select(*names)).distinct().join(gone, "lid", "left_anti")
-    pairs = scratch.keep(pairs, "pairs")
-    scratch.drop(posts)
-    gone = gone.union(_verified(pairs, source, firsts, percent, scratch))
+    late, few = [], _near_at_hand(left)
+    for part in flagged:
+        rows = part.select("token", "lid", "x", "s1", "s2")
+        found = rows.alias("a").join(rows.alias("b"), a("token") == b("token")).where(fits & (2 * a("probe") + b("probe") >= 2))
+        again = rows.join(few, "lid").alias("a").join(rows.alias("b"), a("token") == b("token")).where(fits & (a("probe") + b("probe") >= 0))
+        pairs = found.select(*names).union(again.select(*names)).distinct().join(gone, "lid", "left_anti")
+        late.append(scratch.keep(pairs, "pairs"))
+        scratch.drop(part)
+        del rows, found, again, pairs
+    gone = gone.union(_verified(reduce(DataFrame.union, late).distinct(), source, firsts, percent, scratch))
+    for pairs in late:
+        scratch.drop(pairs)
     good = firsts.join(gone, "lid", "left_anti").groupBy(*_DOC).agg(F.collect_list("line").alias("good"))
     return source, scratch.keep(good, "good")
 

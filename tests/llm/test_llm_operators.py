@@ -663,3 +663,31 @@ def test_op10_rows(spark):
     for i, t in docs:
         ids = enc.encode_ordinary(t)
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+
+
+def test_line_dedup_leaves_little(spark, docs, monkeypatch):
+    """Postings are exchanged in parts and tables go when no later step reads them; the number of parts changes nothing."""
+    from gristmill.llm import line_dedup as L
+    from gristmill.llm._stage import Scratch
+
+    made, of = [], {}
+
+    class Watched(Scratch):
+        def keep(self, df, name="t"):
+            made.append((name, super().keep(df, name)))
+            return made[-1][1]
+
+        def drop(self, df):
+            made[:] = [(n, d) for n, d in made if d is not df]
+            super().drop(df)
+
+    monkeypatch.setattr(L, "Scratch", Watched)
+    for parts in (1, 2, 3):
+        made.clear()
+        monkeypatch.setattr(L, "_PARTS", parts)
+        of[parts] = sorted((r.doc_id or 0, r.text or "", r.n_removed) for r in L.dedup_lines(docs.select("doc_id", "text")).collect())
+        left = {n for n, _ in made}
+        assert not left & {"lines", "posts", "flagged", "pairs", "wanted", "sets"}
+    assert of[1] == of[2] == of[3] and any(n for *_, n in of[1])
+    words = L._postings(docs.selectExpr("doc_id AS id", "0L AS v", "doc_id AS lid", "text AS t"), F.array(F.lit(0)), 80)
+    assert words._jdf.queryExecution().executedPlan().toString().split("\n\n")[0].count("Window") == 1
