@@ -1,12 +1,13 @@
 """Token ids in files, by an adaptive context-mixing range coder.
 
 A segment is a run of whole documents; its ids are cut into blocks that are coded independently, each from a reset state
-and with a checksum of its own. Blocks start from the segment's header: how often each id occurs, and the most frequent
-followers of hashed contexts of one and of two ids. In a block, order 0 counts id ranges with fading memory, order 2 keeps
-the id that followed each context last and how often in a row, and three sets of weights say how far the orders are to be
-trusted; all of that is learned as coding goes. The mixed distribution drives a 64-bit range coder.
+and with a checksum of its own. Blocks start from the segment's header: how often each id occurs, and which ids follow it over
+three times, and how often. So orders 0 and 1 are fixed for a segment. In a block, order 2 keeps the entry that followed each
+context last and how often in a row; how far it is trusted is learned as coding goes. The mixed distribution drives a 64-bit
+range coder.
 
-All blocks of a segment advance together, one numpy lane each, so the coder's cost is some hundred vector operations an id.
+All blocks of a segment advance together, one numpy lane each, so the coder's cost is some hundred vector operations an id of
+each lane.
 
 Files: Parquet rows of one segment each: part and segment (their order is that of the ids), n_ids, ids and lengths of its
 documents, and payload: magic, ids a block, blocks, different ids, size and CRC-32 of the header; then of each block its
@@ -31,251 +32,225 @@ from pyspark.sql import functions as F
 
 from ._stage import Scratch, partitions
 from ._text import slices
-from .byte_bpe import Kept, take_ranges
-
-_MAGIC = b"CMR2"
-_K1, _K2 = 6, 2  # followers that the prior holds for a context slot of order 1 and of order 2
-_K = _K1 + _K2 + 1
-_S1, _S2, _S3 = 4096, 4096, 512  # slots of the prior, and of each lane
-_SHARE = 11  # bits of a follower's share
-_ID = 19  # bits of a rank beside it; more different ids than that in one segment are refused
-_UP, _IN = 14, 13  # bits of an id range's share, and of an id's share within its range
-_RANGES = 160
+from .byte_bpe import take_ranges
+
+_MAGIC = b"CMR3"
 _SCALE = 20  # bits of the mixture
-_MOST = (1 << _SCALE) - (1 << 13)  # what followers may take of it
-_REFRESH = 256  # ids between refreshes of the order-0 shares
-_LANES, _LEAST_BLOCK, _MOST_BLOCK = 2048, 1024, 1 << 16
+_REST = 24  # bits of order 0
+_LEAST = 32  # of 2**_SCALE, what a follower has at least, so that no weight makes it nothing
+_FOLLOWERS = 4096  # of one id at most
+_PLACES = 12_000_000  # pairs of ranks that are counted by place, not by sorting
+_WEIGHT = 10  # bits of a weight
+_MOST_TRUST = 0.94  # what is left of _LEAST parts is one at least
+_S2 = 128  # slots of order 2 in each lane
+_LANES, _LEAST_BLOCK, _MOST_BLOCK = 4096, 512, 1 << 16
 _U = np.uint64
 
 
 class _Prior:
-    """What every block of a segment starts from: the ids that occur with their counts, and the most frequent followers of
-    each context slot, all kept in the segment's header."""
-
-    def __init__(self, names: np.ndarray, counts: np.ndarray, one: np.ndarray, two: np.ndarray):
-        self.names, self.counts, self.one, self.two = names, counts, one, two
-        self._ranges()
+    """What every block of a segment starts from, kept in the segment's header: the ids that occur with their counts, and
+    for each id the ids that follow it over three times, with their counts. From it come the shares of orders 0 and 1.
+
+    Followers are entries (context, rank, start, width) in order of context; each context's last entry is its rest, which
+    order 0 shares out by the counts that no follower has taken. Entry 0 is nobody's. Context n is a block's start."""
+
+    def __init__(self, names: np.ndarray, counts: np.ndarray, blocks: int, many: np.ndarray, ranks: np.ndarray, pairs: np.ndarray):
+        self.names, self.counts, self.many, self.ranks, self.pairs = names, counts, many, ranks, pairs
+        n = len(names)
+        context = np.repeat(np.arange(n + 1), many)
+        rest = np.append(counts, blocks) - np.bincount(context, pairs, n + 1).astype(np.int64)
+        self.rest = np.cumsum(many + 1)  # the entry of each context's rest
+        at = np.arange(len(ranks)) + context + 1
+        size = 2 + len(ranks) + n
+        self.context, self.rank, weight = np.full(size, -1), np.full(size, n), np.zeros(size, np.int64)
+        self.context[at], self.rank[at], weight[at] = context, ranks, pairs
+        self.context[self.rest], weight[self.rest] = np.arange(n + 1), np.maximum(rest, 0) + 1
+        first = self.rest - many
+        all_of = np.add.reduceat(weight, first)
+        of = self.context[1:]
+        free = (1 << _SCALE) - _LEAST * (many + 1)
+        before = np.cumsum(weight[1:]) - weight[1:]
+        before -= before[first - 1][of]
+        start = before * free[of] // all_of[of] + _LEAST * (np.arange(size - 1) - (first - 1)[of])
+        self.start = np.append(0, start)
+        self.width = np.append(0, np.append(start[1:], 0) - start)
+        self.width[self.rest] = (1 << _SCALE) - self.start[self.rest]
+        left = np.maximum(counts - np.bincount(ranks, pairs, n).astype(np.int64), 0)
+        upto = np.append(0, np.cumsum(left))
+        self.zero = upto * ((1 << _REST) - n) // max(1, int(upto[-1])) + np.arange(n + 1)
+        self.zero[-1] = 1 << _REST
+
+    def index(self) -> None:
+        """For each context some buckets of its shares, twice to four times as many as entries, with the first entry of each."""
+        bits = np.ceil(np.log2(self.many + 1)).astype(np.int64) + 1
+        self.shift = (_SCALE - bits).astype(np.int32)
+        self.bucket = np.cumsum(1 << bits) - (1 << bits)
+        of = np.repeat(np.arange(len(bits)), 1 << bits)
+        begin = np.arange(len(of)) - self.bucket[of] << self.shift[of]
+        self.holder = (np.searchsorted((self.context << _SCALE) + self.start, (of << _SCALE) + begin, "right") - 1).astype(np.int32)
+        self.end = (self.start + self.width).astype(np.int32)
 
     @classmethod
-    def of(cls, ids: np.ndarray) -> tuple["_Prior", np.ndarray]:
-        """The prior of ids, and each id's rank among those that occur."""
+    def of(cls, ids: np.ndarray, size: int) -> tuple["_Prior", np.ndarray, np.ndarray]:
+        """The prior of ids in blocks of `size`, and the rank and entry of each id."""
         counts = np.bincount(ids)
         names = np.flatnonzero(counts)
-        ranks, counts = (np.cumsum(counts > 0) - 1)[ids], counts[names]
-        a = np.concatenate([[0], ranks[:-1]])
-        b = np.concatenate([[0], a[:-1]])
-        one = cls._followers(_slot1(a), ranks, len(names), _S1, _K1)
-        return cls(names.astype(np.int64), np.minimum(counts, 2**32 - 1), one, cls._followers(_slot2(a, b), ranks, len(names), _S2, _K2)), ranks
-
-    @staticmethod
-    def _followers(slots: np.ndarray, ranks: np.ndarray, n: int, size: int, k: int) -> np.ndarray:
-        """(k + 1, size): share << 32 | rank of each slot's most frequent followers, and last how often they were right, in
-        eighths. Shares add up to 2**_SHARE at most; an empty place holds rank n."""
-        pair, many = np.unique(slots * n + ranks, return_counts=True)
-        at = pair // n
-        by = np.lexsort((-many, at))
-        pair, many, at = pair[by], many[by], at[by]
-        place = np.arange(len(at)) - np.searchsorted(at, at)
-        first = (place < k) & (many > 3)
-        all_of, held = np.bincount(at, many, size).astype(np.int64), np.bincount(at[first], many[first], size).astype(np.int64)
-        out = np.full((k + 1, size), n, np.int64)
-        out[place[first], at[first]] = (many[first] << _SHARE) // held[at[first]] << 32 | pair[first] % n
-        out[k] = 8 * held // (all_of + 1)
-        return out
-
-    def _ranges(self) -> None:
-        """Cuts the ids into ranges of near equal counts; shares of ids within a range add up to 2**_IN."""
-        n = len(self.names)
-        upto = np.cumsum(self.counts) - self.counts
-        group = upto * _RANGES // max(1, int(self.counts.sum()))
-        wide = np.arange(n) >> (_IN - 2)  # no range of more ids than there are shares
-        new = np.ones(n, bool)
-        new[1:] = (group[1:] != group[:-1]) | (wide[1:] != wide[:-1])
-        self.range = np.cumsum(new) - 1
-        self.first = np.flatnonzero(new)
-        self.many = len(self.first)
-        self.weight = np.add.reduceat(self.counts, self.first)
-        before = upto - upto[self.first][self.range]
-        within = np.arange(n) - self.first[self.range]
-        size = np.diff(np.append(self.first, n))[self.range]
-        free = (1 << _IN) - size
-        self.start = before * free // self.weight[self.range] + within
-        after = (before + self.counts) * free // self.weight[self.range] + within + 1
-        self.share = after - self.start
-        last = np.append(self.first[1:], n) - 1
-        self.share[last] = (1 << _IN) - self.start[last]
-        self.holder = np.repeat(np.arange(n, dtype=np.int32), self.share)  # the rank at each share of each range
+        ranks, counts, n = (np.cumsum(counts > 0, dtype=np.int32) - np.int32(1))[ids], counts[names], len(names)
+        pair = np.empty(len(ids), np.int64)
+        pair[1:] = ranks[:-1]
+        pair[::size] = n
+        pair *= n
+        pair += ranks
+        if n * (n + 1) <= _PLACES:
+            place, many = None, np.bincount(pair, minlength=n * (n + 1))
+            listed = np.flatnonzero(many > 3)
+        else:
+            held, place, many = np.unique(pair, return_inverse=True, return_counts=True)
+            listed = np.flatnonzero(many > 3)
+        key, found = listed if place is None else held[listed], many[listed]
+        context = key // n
+        by = np.lexsort((-found, context))
+        order = np.empty(len(key), np.int64)
+        order[by] = np.arange(len(key)) - np.searchsorted(context, context)
+        stay = order < _FOLLOWERS
+        listed, key, found, context = listed[stay], key[stay], found[stay], context[stay]
+        prior = cls(names, counts, -(-len(ids) // size), np.bincount(context, minlength=n + 1), key % n, found)
+        entries = np.zeros(len(many), np.int32)
+        entries[listed] = np.arange(len(key)) + context + 1
+        entry = entries[pair if place is None else place]
+        other = np.flatnonzero(entry == 0)
+        entry[other] = prior.rest[pair[other] // n]
+        return prior, ranks, entry
 
     def tobytes(self) -> bytes:
-        parts = [np.diff(self.names, prepend=0).astype("<u4"), self.counts.astype("<u4")]
-        for table in (self.one, self.two):
-            parts += [(table & 0xFFFFFFFF).astype("<u4"), (table >> 32).astype("<u2")]
-        raw = b"".join(np.ascontiguousarray(p).view(np.uint8).reshape(-1, p.dtype.itemsize).T.tobytes() for p in parts)
-        return zlib.compress(raw, 6)
+        start = np.zeros(len(self.ranks), bool)
+        start[(np.cumsum(self.many) - self.many)[self.many > 0]] = True
+        steps = np.where(start, self.ranks, np.diff(self.ranks, prepend=0))
+        parts = [np.diff(self.names, prepend=0), self.counts, self.many, steps, self.pairs]
+        raw = b"".join(np.ascontiguousarray(p.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes() for p in parts)
+        return np.array([len(self.ranks)], "<u4").tobytes() + zlib.compress(raw, 6)
 
     @classmethod
-    def frombytes(cls, data: bytes, n: int) -> "_Prior":
-        raw, at, out = zlib.decompress(data), 0, []
-        for many, kind in ((n, "<u4"), (n, "<u4"), ((_K1 + 1) * _S1, "<u4"), ((_K1 + 1) * _S1, "<u2"), ((_K2 + 1) * _S2, "<u4"), ((_K2 + 1) * _S2, "<u2")):
-            width = np.dtype(kind).itemsize
-            out.append(np.frombuffer(raw, np.uint8, many * width, at).reshape(width, many).T.copy().view(kind).reshape(-1).astype(np.int64))
-            at += many * width
-        one, two = (out[k] | out[k + 1] << 32 for k in (2, 4))
-        return cls(np.cumsum(out[0]), out[1], one.reshape(_K1 + 1, _S1), two.reshape(_K2 + 1, _S2))
-
-
-def _slot1(a: np.ndarray) -> np.ndarray:
-    return a % _S1
-
-
-def _slot2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a * 40503 + b * 60493) * 0x9E3779B1 >> 15) & (_S2 - 1)
+    def frombytes(cls, data: bytes, n: int, blocks: int) -> "_Prior":
+        listed = int(np.frombuffer(data, "<u4", 1)[0])
+        raw, at, out = zlib.decompress(data[4:]), 0, []
+        for many in (n, n, n + 1, listed, listed):
+            out.append(np.frombuffer(raw, np.uint8, many * 4, at).reshape(4, many).T.copy().view("<u4").reshape(-1).astype(np.int64))
+            at += many * 4
+        names, counts, many, steps, pairs = out
+        upto = np.append(0, np.cumsum(steps))
+        return cls(np.cumsum(names), counts, blocks, many, upto[1:] - np.repeat(upto[np.cumsum(many) - many], many), pairs)
 
 
-def _sum(rows: np.ndarray) -> np.ndarray:
-    return np.add.reduce(rows, axis=0, dtype=rows.dtype)
+def _take(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return values.take(at, mode="clip")  # faster, and no word of damaged blocks is past the end
 
 
 class _Model:
     """The mixture of all lanes. Encoder and decoder make the same calls in the same order.
 
-    The unit interval of 2**_SCALE parts holds the followers first, each with the sum of what the orders give it, then the
-    rest, which order 0 shares out. Order 1 and 2 have the shares of the prior; order 2 has besides, for each lane, the id
-    that followed the context last in this block, and how often in a row. The weights of these three are learned in the
-    block, for each pair of levels of how often the slots are right and for each length of the row."""
+    The unit interval is 2**_SCALE parts. Order 2 gives its weight to one entry, the one that followed the two ids last in this
+    block; orders 1 and 0 share the rest as the prior says. The entry stands first, with the sum of both; the others follow in
+    the prior's order, without it. Weights are learned in the block, one for each length of the row in which an entry was right,
+    from how much of what was coded was order 2's."""
 
     def __init__(self, prior: _Prior, lanes: int):
-        self.prior, self.n = prior, lanes
+        self.prior, n = prior, len(prior.names)
         lane = np.arange(lanes)
-        self.lane, self.at_weight, self.at_range, self.at_count, self.at_last = lane, lane * 64, lane * (prior.many + 1), lane * prior.many, lane * _S3
-        self.tables, self.levels = [], []
-        for first in (prior.one, prior.two):
-            self.tables.append(np.ascontiguousarray(((first[:-1] >> 32) << _ID | first[:-1] & 0xFFFFFFFF).T).reshape(-1).astype(np.int32))
-            self.levels.append(first[-1])
-        self.steps = [np.arange(k)[:, None] for k in (_K1, _K2)]
-        self.halves = [1 << k for k in range(int(prior.many).bit_length() - 1, -1, -1)]
-        self.at = np.zeros((_K1 + _K2, lanes), np.int64)
-        self.e = np.zeros((_K1 + _K2, lanes), np.int32)
-        self.ids, self.mass, self.upto_mass = (np.zeros((_K, lanes), np.int32) for _ in range(3))
-        self.last = np.zeros(lanes * _S3, np.int32)
-        two, one = np.divmod(np.arange(64), 8)
-        second = 0.08 + 0.1 * two
-        self.weights = [np.tile(w.astype(np.float32), lanes) for w in ((1 - second) * (0.05 + 0.1 * one), second)]
+        self.at_last, self.at_trust = lane * _S2, lane.astype(np.int32) * 16
+        self.last = np.zeros(lanes * _S2, np.int32)  # entry << 4 | row
         self.trust = np.tile((0.02 + 0.9 * np.arange(16) / 18).astype(np.float32), lanes)
-        start = np.maximum(prior.weight * (600.0 / prior.weight.sum()), 0.2).astype(np.float32)
-        self.counts = np.tile(start, (lanes, 1))
-        self.floor = start * np.float32(0.22)
-        self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.refresh(False)
-
-    def refresh(self, later: bool = True) -> None:
-        """Order-0 shares of id ranges, from the prior and the block so far, whose older part fades."""
-        if later:
-            self.counts *= np.float32(0.78)
-            self.counts += self.floor
-        upto = np.zeros((self.n, self.prior.many + 1), np.float32)
-        np.cumsum(self.counts, axis=1, out=upto[:, 1:])
-        upto *= (np.float32((1 << _UP) - self.prior.many) / upto[:, -1])[:, None]
-        whole = upto.astype(np.int32)
-        np.minimum(whole, (1 << _UP) - self.prior.many, out=whole)
-        whole += np.arange(self.prior.many + 1, dtype=np.int32)
-        whole[:, -1] = 1 << _UP
-        whole += (self.lane[:, None] << (_UP + 1)).astype(np.int32)  # in ascending order over all lanes
-        self.upto, self.flat = whole.reshape(-1), self.counts.reshape(-1)
+        self.context, self.start, self.width = (x.astype(np.int32) for x in (prior.context, prior.start, prior.width))
+        self.is_rest = prior.rank == n
+        self.prev1 = np.full(lanes, n, np.int32)
+        self.hash1 = self.hash2 = np.full(lanes, n * 40503)
 
     def predict(self) -> None:
-        slot1, slot2 = _slot1(self.prev1), _slot2(self.prev1, self.prev2)
-        np.add(slot1 * _K1, self.steps[0], out=self.at[:_K1])
-        np.add(slot2 * _K2, self.steps[1], out=self.at[_K1:])
-        np.take(self.tables[0], self.at[:_K1], out=self.e[:_K1], mode="clip")
-        np.take(self.tables[1], self.at[_K1:], out=self.e[_K1:], mode="clip")
-        e, ids, mass = self.e, self.ids, self.mass
-        np.bitwise_and(e, (1 << _ID) - 1, out=ids[:-1])
-        e >>= _ID
-        self.w_at = self.at_weight + (self.levels[1][slot2] * 8 + self.levels[0][slot1])
-        self.last_at = self.at_last + (slot2 & (_S3 - 1))
-        self.seen = self.last[self.last_at]
-        self.t_at = (self.lane << 4) + (self.seen & 15)
-        ids[-1] = self.seen >> 4
-        self.trusted = self.trust[self.t_at]
-        self.w = [w[self.w_at] for w in self.weights]
-        left = (np.float32(1) - self.trusted) * np.float32(_MOST >> _SHARE)
-        np.multiply(e[:_K1], (self.w[0] * left).astype(np.int32), out=mass[:_K1])
-        np.multiply(e[_K1:], (self.w[1] * left).astype(np.int32), out=mass[_K1:-1])
-        mass[-1] = self.trusted * np.float32(_MOST) * (self.seen > 0)
-        self.own1, self.own2, self.own3 = mass[:_K1].copy(), mass[_K1:-1].copy(), mass[-1].copy()
-        for k in range(_K1, _K):  # a follower of several orders stands at its highest place
-            first = min(k, _K1) if k < _K - 1 else k  # those of one order differ
-            both = np.equal(ids[:first], ids[k]) * mass[:first]
-            mass[k] += _sum(both)
-            mass[:first] -= both
-        upto = self.upto_mass
-        upto[0] = mass[0]
-        for k in range(1, _K):
-            np.add(upto[k - 1], mass[k], out=upto[k])
-        self.taken = upto[-1].astype(np.int64)
-
-    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and width of ranks x among the followers, and which lanes must ask order 0."""
-        equal = np.equal(self.ids, x.astype(np.int32))
-        self.hit = equal[-1]
-        self.mine = [_sum(equal[:_K1] * self.own1), _sum(equal[_K1:-1] * self.own2), equal[-1] * self.own3]
-        equal &= self.mass > 0  # one place at most
-        width = _sum(equal * self.mass).astype(np.int64)
-        missed = np.flatnonzero(width == 0)
-        start = _sum(equal * self.upto_mass) - width
-        start[missed] = self.taken[missed]
-        width[missed] = (1 << _SCALE) - self.taken[missed]
-        return start, width, missed
-
-    def zero(self, x: np.ndarray, lanes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of the order-0 share of ranks x, of 2**(_UP + _IN)."""
-        at = self.at_range[lanes] + self.prior.range[x]
-        begin = self.upto[at].astype(np.int64)
-        width = self.upto[at + 1] - begin
-        begin -= lanes << (_UP + 1)
-        return (begin << _IN) + width * self.prior.start[x], width * self.prior.share[x]
-
-    def follower(self, v: np.ndarray) -> np.ndarray:
-        """The followers whose places hold v; of v beyond them, anything."""
-        k = _sum((self.upto_mass <= v.astype(np.int32)).view(np.int8))
-        return self.ids[np.minimum(k, _K - 1), self.lane].astype(np.int64)
-
-    def rank(self, q: np.ndarray, lanes: np.ndarray) -> np.ndarray:
-        """The ranks whose order-0 shares hold q."""
-        first = lanes << (_UP + 1)
-        high, at = (q >> _IN) + first, self.at_range[lanes].copy()
-        last = at + self.prior.many
-        for step in self.halves:
-            up = np.minimum(at + step, last)
-            at += (self.upto[up] <= high) * (up - at)
-        low = self.upto[at].astype(np.int64)
-        inner = np.minimum((q - (low - first << _IN)) // (self.upto[at + 1] - low), (1 << _IN) - 1)
-        return self.prior.holder[(at - self.at_range[lanes] << _IN) + inner]
-
-    def update(self, x: np.ndarray) -> None:
-        one, two, three = (m.astype(np.float32) for m in self.mine)
-        both = one + two
-        share = np.float32(0.02) / np.maximum(both, np.float32(1))
-        for weights, w, m in zip(self.weights, self.w, (one, two)):
-            weights[self.w_at] = w * np.float32(0.98) + m * share
-        right = three / np.maximum(both + three, np.float32(1))
-        self.trust[self.t_at] = self.trusted * np.float32(0.96) + right * np.float32(0.04)
-        row = self.seen & 15
-        longer, shorter = np.minimum(row + 1, 15) - row, -(row + 1 >> 1)
-        stays = self.hit | (row > 2)
-        new = (x << 4 | 1).astype(np.int32)
-        self.last[self.last_at] = new + stays * (self.seen + shorter + self.hit * (longer - shorter) - new)
-        self.flat[self.at_count + self.prior.range[x]] += np.float32(1)
-        self.prev2, self.prev1 = self.prev1, x
-
-
-def encode_blocks(ranks: np.ndarray, size: int, prior: _Prior) -> list[bytes]:
-    """ranks in blocks of `size`, the last filled up with zeros, each coded from the prior."""
+        slot = self.hash1 + self.hash2
+        slot >>= 5
+        slot &= _S2 - 1
+        slot += self.at_last
+        self.slot, self.seen = slot, _take(self.last, slot)
+        self.entry = self.seen >> 4
+        self.row = self.seen & 15
+        at = self.entry.astype(np.int64)
+        self.valid = _take(self.context, at) == self.prev1
+        self.t_at = self.at_trust + self.row
+        self.trusted = _take(self.trust, self.t_at)
+        self.part = (self.trusted * np.float32(1 << _WEIGHT)).astype(np.int32)
+        self.part *= self.valid
+        self.left = (1 << _WEIGHT) - self.part
+        self.own = _take(self.width, at) * self.valid
+        self.after = _take(self.start, at)
+        others = (1 << _SCALE) - self.own
+        others *= self.left
+        others >>= _WEIGHT
+        self.first = (1 << _SCALE) - others
+
+    def place(self, entry: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and width of entries; at is the same as an index."""
+        self.hit = entry == self.entry
+        end = _take(self.start, at)
+        end -= self.own * (end > self.after)
+        start = end * self.left
+        start >>= _WEIGHT
+        end += _take(self.width, at)
+        end *= self.left
+        end >>= _WEIGHT
+        end -= start
+        start += self.first
+        start *= ~self.hit
+        return start.astype(_U), np.where(self.hit, self.first, end).astype(_U)
+
+    def at(self, v: np.ndarray) -> np.ndarray:
+        """The entries whose places hold v."""
+        u = v - self.first
+        mine = u < 0
+        u += 1
+        u <<= _WEIGHT
+        u -= 1
+        u = (u / self.left).astype(np.int32)
+        np.maximum(u, 0, out=u)
+        u += self.own * (u >= self.after)
+        at = u >> _take(self.prior.shift, self.prev1)
+        at += _take(self.prior.bucket, self.prev1)
+        found = _take(self.prior.holder, at)
+        later = np.flatnonzero(_take(self.prior.end, found) <= u)
+        where, upto = found[later], u[later]
+        while len(later):
+            where += 1
+            found[later] = where
+            on = self.prior.end[where] <= upto
+            later, where, upto = later[on], where[on], upto[on]
+        return np.where(mine, self.entry, found)
+
+    def update(self, x: np.ndarray, entry: np.ndarray, missed: np.ndarray) -> None:
+        right = (self.part * self.hit).astype(np.float32)
+        right *= np.float32(_MOST_TRUST * (1 << (_SCALE - _WEIGHT)))
+        right /= np.maximum(self.first, 1).astype(np.float32)
+        right -= self.trusted
+        right *= np.float32(0.04)
+        right *= self.valid
+        right += self.trusted
+        self.trust[self.t_at] = right
+        new = entry << 4
+        new |= 1
+        new[missed] = 0
+        kept = np.where(self.hit, self.row < 15, -(self.row + 1 >> 1))
+        kept += self.seen
+        stays = self.row > 2
+        stays |= self.hit
+        self.last[self.slot] = np.where(stays, kept, new)
+        self.prev1, self.hash2 = x, self.hash1 << 2
+        self.hash1 = x.astype(np.int64)
+        self.hash1 *= 40503
+
+
+def encode_blocks(ranks: np.ndarray, entries: np.ndarray, size: int, prior: _Prior) -> list[bytes]:
+    """ranks, with their entries, in blocks of `size`, the last filled up with the first rank, each coded from the prior."""
     lanes = -(-len(ranks) // size)
-    table = np.zeros((lanes, size), np.int32)
-    table.reshape(-1)[: len(ranks)] = ranks
-    table = np.ascontiguousarray(table.T)
+    fill = np.zeros(lanes * size - len(ranks), np.int32)
+    table, tops = (np.ascontiguousarray(np.append(x, fill).reshape(lanes, size).T) for x in (entries, ranks))
     m = _Model(prior, lanes)
     low, span = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
     out, end, lane = np.zeros(((2 * size + 9) * lanes,), np.uint32), np.arange(lanes), np.arange(lanes)
@@ -283,43 +258,50 @@ def encode_blocks(ranks: np.ndarray, size: int, prior: _Prior) -> list[bytes]:
     def emit(need: np.ndarray) -> None:
         """A word of each lane that needs it; the others write over theirs later."""
         nonlocal end
-        out[end] = low >> _U(48)
-        end = end + need * lanes
+        out[end] = (low >> _U(48)).astype(np.uint32)
+        end += need * lanes
         shift = need.astype(_U) << _U(4)
         np.left_shift(low, shift, out=low)
         np.left_shift(span, shift, out=span)
 
     for t in range(size):
-        if t and t % _REFRESH == 0:
-            m.refresh()
-        x = table[t].astype(np.int64)
+        entry, x = table[t], tops[t]
+        if t >= size - len(fill):
+            entry[-1] = prior.rest[m.prev1[-1]]
+        at = entry.astype(np.int64)
         m.predict()
-        start, many, missed = m.place(x)
+        start, many = m.place(entry, at)
+        missed = np.flatnonzero(_take(m.is_rest, at))
         r = span >> _U(_SCALE)
-        moved = low + r * start.view(_U)
-        span = r * many.view(_U)
-        start, many = m.zero(x[missed], missed)
-        r = span[missed] >> _U(_UP + _IN)
-        moved[missed] += r * start.view(_U)
-        span[missed] = r * many.view(_U)
-        carry = moved < low
+        start *= r
+        start += low
+        span = r * many
+        if len(missed):
+            few = x[missed]
+            begin, r = prior.zero[few], span[missed] >> _U(_REST)
+            start[missed] += r * begin.view(_U)
+            span[missed] = r * (prior.zero[few + 1] - begin).view(_U)
+        carry = start < low
         if carry.any():
-            c = end[carry] - lanes
-            out[c] += np.uint32(1)
-        low = moved
-        need = span < _U(1 << 48)
-        emit(need)
-        while (need := span < _U(1 << 48)).any():
-            emit(need)
-        m.update(x)
+            out[end[carry] - lanes] += np.uint32(1)
+        low = start
+        emit(span < _U(1 << 48))
+        few = np.flatnonzero(span < _U(1 << 48))
+        while len(few):
+            out[end[few]] = low[few] >> _U(48)
+            end[few] += lanes
+            low[few] <<= _U(16)
+            span[few] <<= _U(16)
+            few = few[span[few] < _U(1 << 48)]
+        m.update(x, entry, missed)
     for _ in range(4):
         emit(np.ones(lanes, bool))
     count = (end - lane) // lanes
-    out = out.reshape(-1, lanes)
-    for k in range(int(count.max()) - 1, 0, -1):  # carries into words already out
+    out = out.reshape(-1, lanes)[: int(count.max())]
+    for k in range(len(out) - 1, 0, -1):  # carries into words already out
         out[k - 1] += out[k] >> np.uint32(16)
         out[k] &= np.uint32(0xFFFF)
-    words = out.astype("<u2").T
+    words = np.ascontiguousarray(out.astype("<u2").T)
     return [words[k, : count[k]].tobytes() for k in range(lanes)]
 
 
@@ -327,47 +309,50 @@ def decode_blocks(blocks: list[bytes], size: int, prior: _Prior) -> np.ndarray:
     """The ranks of all blocks, end to end."""
     lanes = len(blocks)
     m = _Model(prior, lanes)
+    prior.index()
+    rank = prior.rank.astype(np.int32)
     length = np.array([len(b) // 2 for b in blocks])
     words = np.frombuffer(b"".join(blocks) + bytes(64), "<u2").astype(_U)
     at = np.cumsum(length) - length
-    stop = len(words) - 1
     code = np.zeros(lanes, _U)
     for _ in range(4):
-        code = (code << _U(16)) | words[at]
+        code = (code << _U(16)) | _take(words, at)
         at += 1
     span, table = np.full(lanes, 2**64 - 1, _U), np.zeros((size, lanes), np.int32)
 
-    def draw(need: np.ndarray) -> None:
-        nonlocal at
-        shift = need.astype(_U) << _U(4)
-        np.left_shift(code, shift, out=code)
-        np.left_shift(span, shift, out=span)
-        np.bitwise_or(code, words[np.minimum(at, stop)] * need, out=code)
-        at = at + need
-
     for t in range(size):
-        if t and t % _REFRESH == 0:
-            m.refresh()
         m.predict()
         r = span >> _U(_SCALE)
-        v = np.minimum((code // r).view(np.int64), (1 << _SCALE) - 1)  # over it in damaged blocks alone
-        x = m.follower(v)
-        missed = np.flatnonzero(v >= m.taken)
-        begin = m.taken[missed].view(_U)
-        fine = r[missed] * (_U(1 << _SCALE) - begin) >> _U(_UP + _IN)
-        q = np.minimum(((code[missed] - r[missed] * begin) // fine).view(np.int64), (1 << (_UP + _IN)) - 1)
-        x[missed] = m.rank(q, missed)
-        start, many, again = m.place(x)
-        code -= r * start.view(_U)
-        span = r * many.view(_U)
-        start, many = m.zero(x[missed], missed)
-        code[missed] -= fine * start.view(_U)
-        span[missed] = fine * many.view(_U)
-        draw(span < _U(1 << 48))
-        while (need := span < _U(1 << 48)).any():
-            draw(need)
+        v = np.minimum(code // r, _U((1 << _SCALE) - 1))  # over it in damaged blocks alone
+        entry = m.at(v.astype(np.int32))
+        index = entry.astype(np.int64)
+        start, many = m.place(entry, index)
+        start *= r
+        code -= start
+        span = r * many
+        x = _take(rank, index)
+        missed = np.flatnonzero(_take(m.is_rest, index))
+        if len(missed):
+            r = span[missed] >> _U(_REST)
+            v = np.minimum((code[missed] // r).view(np.int64), (1 << _REST) - 1)
+            x[missed] = found = np.searchsorted(prior.zero, v, "right") - 1
+            begin = prior.zero[found]
+            code[missed] -= r * begin.view(_U)
+            span[missed] = r * (prior.zero[found + 1] - begin).view(_U)
+        need = span < _U(1 << 48)
+        shift = need.astype(_U) << _U(4)
+        code <<= shift
+        span <<= shift
+        code |= _take(words, at) * need
+        at += need
+        few = np.flatnonzero(span < _U(1 << 48))
+        while len(few):
+            code[few] = code[few] << _U(16) | _take(words, at[few])
+            span[few] <<= _U(16)
+            at[few] += 1
+            few = few[span[few] < _U(1 << 48)]
         table[t] = x
-        m.update(x)
+        m.update(x, entry, missed)
     return table.T.reshape(-1)
 
 
@@ -375,12 +360,12 @@ def pack(ids: np.ndarray) -> bytes:
     """One segment's payload."""
     if not len(ids):
         return _MAGIC + np.zeros(5, "<u4").tobytes()
-    prior, ranks = _Prior.of(ids)
-    if len(prior.names) >= 1 << _ID:
-        raise ValueError(f"more than {1 << _ID} different ids in a segment")
     size = int(min(_MOST_BLOCK, max(_LEAST_BLOCK, -(-len(ids) // _LANES))))
-    blocks = encode_blocks(ranks, size, prior)
-    sums = [zlib.crc32(ids[k * size : (k + 1) * size].astype("<u4").tobytes()) for k in range(len(blocks))]
+    prior, ranks, entries = _Prior.of(ids, size)
+    if len(prior.names) >= 1 << 22:
+        raise ValueError(f"more than {1 << 22} different ids in a segment")
+    blocks = encode_blocks(ranks, entries, size, prior)
+    sums = [zlib.crc32(x) for x in np.split(ids.astype("<u4"), range(size, len(ids), size))]
     model = prior.tobytes()
     head = np.array([size, len(blocks), len(prior.names), len(model), zlib.crc32(model)], "<u4").tobytes() + np.array([[len(b) for b in blocks], sums], "<u4").tobytes()
     return _MAGIC + head + model + b"".join(blocks)
@@ -400,7 +385,7 @@ def unpack(payload: bytes, n: int) -> np.ndarray:
         raise ValueError("the segment is cut off")
     if zlib.crc32(payload[first : first + model]) != check:
         raise ValueError("the header does not match its checksum")
-    prior = _Prior.frombytes(payload[first : first + model], names)
+    prior = _Prior.frombytes(payload[first : first + model], names, many)
     ids = prior.names[decode_blocks([payload[a:b] for a, b in zip(ends, ends[1:])], size, prior)[:n]]
     for k, s in enumerate(sums):
         if zlib.crc32(ids[k * size : (k + 1) * size].astype("<u4").tobytes()) != s:
@@ -411,7 +396,38 @@ def unpack(payload: bytes, n: int) -> np.ndarray:
 #: How the tokenizer file cuts text, where words of plain letters are parts of their own whatever follows them.
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"  # each its own composed form, with one lower-case letter each
-_TAIL = ".,;:!?"
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # no apostrophe, which may begin a part with letters
+_EASY = f"^[{_LETTERS}]+[{re.escape(_TAIL)}]*$"
+#: How ByteLevel spells bytes: those without a visible character of their own are the characters from 256 on.
+_BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.concatenate([np.zeros(0, kind), *(p[k] for p in parts)]).astype(kind, copy=False) for k, kind in enumerate((np.uint32, np.int64)))
+
+
+class _Known:
+    """The ids of strings that were met before; with over `most` of them, of those met last alone."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.names, self.data, self.many = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def ids(self, names: pa.Array, learn) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and how many are each name's, of different names; `learn` gives those of the ones that are new."""
+        at = pc.fill_null(pc.index_in(names, value_set=self.names), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            unknown = names.take(pa.array(new))
+            data, many = learn(unknown)
+            at[new] = len(self.many) + np.arange(len(new))
+            self.names = pa.concat_arrays([self.names, unknown.cast(pa.string())])
+            self.data, self.many = np.concatenate([self.data, data]), np.concatenate([self.many, many])
+        found = take_ranges(self.data, (np.cumsum(self.many) - self.many)[at], self.many[at])
+        many = self.many[at]
+        if len(self.many) > self.most:
+            self.names, self.data, self.many = names.cast(pa.string()), found, many
+        return found, many
 
 
 class _Tokens:
@@ -428,7 +444,7 @@ class _Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content)
-        self.kept, self.cores = Kept(400_000), Kept(400_000)
+        self.kept, self.cores = _Known(1_000_000), _Known(1_000_000)
         mark = self._ids(["a \0 b"])[0]
         ends = self._ids(["a", "b"])
         inner = mark[len(ends[0]) : len(mark) - len(ends[1])]
@@ -436,99 +452,78 @@ class _Tokens:
         self.plain = self._plain(json.loads(content))
 
     def _plain(self, file: dict):
-        """A tokenizer of lower-case letters alone, and which ids end a word; None where the file cuts in another way."""
+        """A tokenizer whose model takes words of lower-case letters, spelled by byte; None where the file cuts in another way."""
         from tokenizers import Tokenizer
 
         steps = [n["type"] for n in (file.get("normalizer") or {}).get("normalizers", [])]
         cuts = (file.get("pre_tokenizer") or {}).get("pretokenizers", [])
         suffix = file["model"].get("end_of_word_suffix")
-        extra = any(re.fullmatch(f"[{_LETTERS}]+[{_TAIL}]*", t["content"]) for t in file.get("added_tokens") or [])
+        extra = any(re.fullmatch(_EASY, t["content"]) for t in file.get("added_tokens") or [])
         known = steps == ["NFC", "Replace", "Lowercase"] and len(cuts) == 2 and cuts[0].get("pattern") == {"Regex": _CUT} and cuts[1]["type"] == "ByteLevel"
         if not known or extra or not suffix or file["model"].get("dropout"):
             return None
-        byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        short = file | {"normalizer": None, "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, byte_level]}}
-        self.ends = np.zeros(1 + max(file["model"]["vocab"].values()), bool)
-        self.ends[[i for t, i in file["model"]["vocab"].items() if t.endswith(suffix)]] = True
-        return Tokenizer.from_str(json.dumps(short))
+        return Tokenizer.from_str(json.dumps(file | {"normalizer": None, "post_processor": None, "pre_tokenizer": None}))
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _full(self, new: list[str]) -> dict[str, bytes]:
-        out = {}
-        whole = [p for p in new if "\0" not in p] if self.mark is not None else []
-        for a in range(0, len(whole), 2000):
-            part = whole[a : a + 2000]
-            ids = self._ids([" \0 ".join(part)])[0]
-            cuts = np.flatnonzero(ids == self.mark)
-            packed = ids.tobytes()
-            for p, x, y in zip(part, [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), len(packed)], strict=True):
-                out[p] = packed[x:y]
-        rest = [p for p in new if p not in out]
-        for p, i in zip(rest, self._ids(rest) if rest else []):
-            out[p] = i.tobytes()
-        return out
-
-    def _letters(self, new: list[str]) -> None:
-        """Learns words of lower-case letters."""
-        model = self.plain.model
-        for p in new:
-            if p.isascii():
-                self.cores.new[p] = np.array([t.id for t in model.tokenize(p)], "<u4").tobytes()
-        new = [p for p in new if not p.isascii()]
+    def _full(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and how many are each part's, by the whole tokenizer."""
+        out = []
         for a in range(0, len(new), 2000):
             part = new[a : a + 2000]
-            ids = np.array(self.plain.encode(" ".join(part), add_special_tokens=False).ids, np.int64)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(part):  # a letter that the vocabulary lacks
-                self.cores.new.update(self._full(part))
-                continue
-            packed = ids.astype("<u4").tobytes()
-            for p, x, y in zip(part, [0, *(4 * ends).tolist()], (4 * ends).tolist()):
-                self.cores.new[p] = packed[x:y]
-
-    def _learn(self, new: list[str]) -> None:
-        if not new:
-            return
-        other = new
-        if self.plain is not None:
-            names = pa.array(new, pa.string())
-            easy = pc.match_substring_regex(names, f"^[{_LETTERS}]+[{_TAIL}]*$")
-            words, other = names.filter(easy), _listed(names.filter(pc.invert(easy)))
-            bare = pc.utf8_rtrim(words, characters=_TAIL)
-            cores = pc.utf8_lower(bare).dictionary_encode()
-            keys = _listed(cores.dictionary)
-            self.cores.turn()
-            self._letters(self.cores.missing(keys))
-            ids, at = [self.cores.new[c] for c in keys], cores.indices.to_numpy().tolist()
-            words, size = _listed(words), pc.utf8_length(bare).to_numpy().tolist()
-            tails = [w[n:] for w, n in zip(words, size)]
-            marks = {"": b""} | self._full(sorted(set(tails) - {""}))
-            self.kept.new.update((w, ids[k] + marks[t]) for w, k, t in zip(words, at, tails))
-        self.kept.new.update(self._full(other))
+            if self.mark is not None and not any("\0" in p for p in part):
+                ids = self._ids([" \0 ".join(part)])[0]
+                cuts = np.flatnonzero(ids == self.mark)
+                out.append((np.delete(ids, cuts), np.diff(cuts, prepend=-1, append=len(ids)) - 1))
+            else:
+                ids = self._ids(part)
+                out.append((np.concatenate(ids), np.array([len(i) for i in ids])))
+        return _joined(out)
+
+    def _letters(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and how many are each word's, of words of lower-case letters."""
+        model, ids, many = self.plain.model, [], []
+        for word in new.to_pylist():
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(_BYTE_LEVEL)
+            found = model.tokenize(word)
+            ids += [t.id for t in found]
+            many.append(len(found))
+        return np.array(ids, np.uint32), np.array(many, np.int64)
+
+    def _learn(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids, and how many are each part's, of new parts."""
+        if self.plain is None:
+            return self._full(new.to_pylist())
+        easy = pc.match_substring_regex(new, _EASY)
+        words, other = new.filter(easy), new.filter(pc.invert(easy))
+        cores = pc.utf8_lower(pc.utf8_rtrim(words, characters=_TAIL)).dictionary_encode()
+        tails = pc.replace_substring_regex(words, f"^[{_LETTERS}]+", "").dictionary_encode()
+        parts = [self.cores.ids(cores.dictionary, self._letters), self._full(tails.dictionary.to_pylist()), self._full(other.to_pylist())]
+        ids, many = _joined(parts)
+        begin, second, third = np.cumsum(many) - many, len(parts[0][1]), len(parts[0][1]) + len(parts[1][1])
+        pieces = np.full((len(new), 2), len(many))  # each new part is a core and what ends it, or one piece
+        mask = easy.to_numpy(zero_copy_only=False)
+        pieces[mask] = np.stack([cores.indices.to_numpy(), tails.indices.to_numpy() + second], 1)
+        pieces[~mask, 0] = np.arange(third, len(many))
+        begin, many = np.append(begin, 0)[pieces], np.append(many, 0)[pieces]
+        return take_ranges(ids, begin.reshape(-1), many.reshape(-1)), many.sum(1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many are each text's."""
-        self.kept.turn()
         for space in "\n\t\r":
             texts = pc.replace_substring(texts, space, " ")
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
-        names, codes = _listed(coded.dictionary), coded.indices.to_numpy()
-        self._learn(self.kept.missing(names))
-        values = [self.kept.new[p] for p in names]
-        data, length = np.frombuffer(b"".join(values), "<u4"), np.fromiter(map(len, values), np.int64, len(values)) // 4
+        data, length = self.kept.ids(coded.dictionary, self._learn)
+        codes = coded.indices.to_numpy()
         many = length[codes]
         upto = np.concatenate([[0], np.cumsum(many)])
         ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
         return take_ranges(data, (np.cumsum(length) - length)[codes], many), np.diff(upto[ends])
 
 
-def _listed(strings: pa.Array) -> list[str]:
-    return strings.to_numpy(zero_copy_only=False).tolist()
-
-
 _tokens: dict[int, _Tokens] = {}
 
 
@@ -562,15 +557,14 @@ def write_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "t
             return pa.RecordBatch.from_arrays(row, ["part", "segment", "n_ids", "doc_ids", "lengths", "payload"])
 
         for batch in batches:
-            for piece in slices(batch, "text", 4 << 20):
+            for piece in slices(batch, "text", 16 << 20):
                 ids, many = tokens.encode(piece.column("text"))
-                at = np.cumsum(many)
-                ids = np.insert(ids.astype(np.int64), at, end_id)
-                held.append((ids, np.array(piece.column("id").to_pylist(), object), many + 1, piece.column("part").to_numpy()))
-                size += len(ids)
-                if size >= segment_ids:
+                if size >= segment_ids and len(ids) >= segment_ids // 4:  # a short rest is no segment of its own
                     yield close()
                     held, size, segment = [], 0, segment + 1
+                ids = np.insert(ids.view(np.int32), np.cumsum(many), end_id)
+                held.append((ids, np.array(piece.column("id").to_pylist(), object), many + 1, piece.column("part").to_numpy()))
+                size += len(ids)
         if held:
             yield close()
 

@@ -517,6 +517,42 @@ def test_coder_beats_order_0_and_zlib():
     assert len(payload) < 0.85 * len(zlib.compress(ids.astype("<u2").tobytes(), 6))
 
 
+def test_coder_takes_little_time():
+    """Coding and reading back take some five times the CPU of zlib (an earlier model took over 15), in fewer bits."""
+    import time
+
+    import public_tokenizers
+    import pyarrow.compute as pc
+    import pyarrow.parquet as pq
+    from gristmill.llm import range_coder as C
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokens = C._Tokens(f.read())
+    texts = pc.fill_null(pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].combine_chunks(), "")
+    ids, took = tokens.encode(texts)[0].astype(np.int64), []
+    for _ in range(3):
+        times = [time.process_time()]
+        for step in (lambda: zlib.compress(ids.astype("<u2").tobytes(), 6), lambda: C.unpack(C.pack(ids), len(ids))):
+            step()
+            times.append(time.process_time())
+        took.append(np.diff(times))
+    plain, coded = np.min(took, axis=0)
+    assert coded < 10 * plain
+    share = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert 8 * len(C.pack(ids)) / len(ids) < 0.85 * -(share * np.log2(share)).sum()
+
+
+def test_coder_of_many_ids():
+    """Pairs that are too many to count by place, and an id with more followers than its list holds."""
+    from gristmill.llm import range_coder as C
+
+    g = np.random.default_rng(8)
+    wide = np.zeros(60_000, np.int64)
+    wide[1::2] = np.repeat(np.arange(1, 6001), 5)
+    for ids in (wide, np.concatenate([wide, g.integers(0, 100_000, 20_000)]), np.repeat(g.integers(0, 50, 400), 30)):
+        assert np.array_equal(C.unpack(C.pack(ids), len(ids)), ids)
+
+
 def test_tokens_of_parts():
     import public_tokenizers
     import pyarrow as pa
@@ -530,6 +566,9 @@ def test_tokens_of_parts():
     r = random.Random(3)
     parts = ["The", "the", "don't", "'s", "ß", "É", "été", "e\u0301", "x\u0338", ".", ",", "!?", "...", "1", "22", "\n", "\r\n", "\t", " ", "  ", "\x0b", "\u00a0", "日本", "🎉", "µ", "×", "Ω", "ſ", "İ", "\0", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "Aÿ;", "-", "mail"]
     texts = ["".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(3000)]
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    texts += ["".join(r.choice(["mail", "Été", "x", *marks, *marks]) for _ in range(r.randrange(6))) for _ in range(3000)]
+    texts += [f"word{m}{n}" for m in marks for n in marks]
     texts.append("a <|endoftext|> b")
     ids, many = tokens.encode(pa.array(texts))
     at = np.cumsum(many)
