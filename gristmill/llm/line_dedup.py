@@ -32,6 +32,7 @@ _WORD = r"[^\x20\x09-\x0D]+"
 _BUCKETS = 1 << 16
 _HASH_BITS = 52
 _PARTS = 2  # postings are exchanged in parts by token, so that the shuffle files of one are gone before the next
+_NEAR = 300_000  # rows of a few numbers that may be broadcast
 _DOC = ("id", "v")
 
 
@@ -81,9 +82,11 @@ def _documents(docs: DataFrame, id_col: str, text: str, scratch: Scratch) -> Dat
 
 
 def _lines(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, v, lid, t) of the wanted lines (id, v, line, lid); the rows of a document stay in one partition."""
+    """(id, v, lid, t) of the wanted lines (id, v, line, lid); the rows of a document stay in one partition. Texts are exchanged
+    only where too many lines are wanted for a broadcast."""
     lists = wanted.groupBy(*_DOC).agg(F.collect_list(F.struct("line", "lid")).alias("wanted"))  # at most a text's own lines
-    joined = source.hint("merge").join(lists, [*_DOC]).select(*_DOC, F.split("body", "\n").alias("all"), "wanted")
+    joined = source.join(F.broadcast(lists), [*_DOC]) if wanted.count() <= _NEAR else source.hint("merge").join(lists, [*_DOC])
+    joined = joined.select(*_DOC, F.split("body", "\n").alias("all"), "wanted")
     return joined.select(*_DOC, "all", F.explode("wanted").alias("w")).select(*_DOC, F.col("w.lid").alias("lid"), F.get("all", F.col("w.line")).alias("t"))
 
 
@@ -124,7 +127,7 @@ def _of(side: str):
     return get
 
 
-def _near_at_hand(kept: DataFrame, most: int = 300_000) -> DataFrame:
+def _near_at_hand(kept: DataFrame, most: int = _NEAR) -> DataFrame:
     """A written table of a few numbers a row: to be broadcast if it has at most `most` rows, else joined as it is."""
     return F.broadcast(kept) if kept.count() <= most else kept
 

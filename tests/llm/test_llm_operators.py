@@ -730,3 +730,19 @@ def test_line_dedup_leaves_little(spark, docs, monkeypatch):
     assert of[1] == of[2] == of[3] and any(n for *_, n in of[1])
     words = L._postings(docs.selectExpr("doc_id AS id", "0L AS v", "doc_id AS lid", "text AS t"), F.array(F.lit(0)), 80)
     assert words._jdf.queryExecution().executedPlan().toString().split("\n\n")[0].count("Window") == 1
+
+
+def test_line_dedup_moves_texts_once(spark, docs, monkeypatch):
+    """Texts are not exchanged again for a few wanted lines, and where they are, the result is the same."""
+    from gristmill.llm import line_dedup as L
+
+    source = docs.selectExpr("doc_id AS id", "0L AS v", "text AS body")
+    wanted = docs.where("doc_id in (10, 11)").selectExpr("doc_id AS id", "0L AS v", "0 AS line", "doc_id AS lid")
+    plan = L._lines(source, wanted)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    of = {}
+    for most in (L._NEAR, 0):
+        monkeypatch.setattr(L, "_NEAR", most)
+        of[most] = sorted((r.doc_id or 0, r.text or "", r.n_removed) for r in L.dedup_lines(docs.select("doc_id", "text")).collect())
+    first, second = of.values()
+    assert first == second and any(n for *_, n in first)
