@@ -1,17 +1,20 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
 A line is the set of its words. Of lines that are equal but for case, the first in order of document id and line number
-stands for all. Words are ordered by rarity (the corpus frequency of their hash bucket, in a table of fixed size, then their length); at
-80 % Jaccard two sets of n and m words must meet within their first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1 words.
-Lines that meet there pass a length filter, a positional filter and a filter on 128-bit parity maps (their Hamming
-distance never exceeds the sets' difference) before Jaccard is verified on the full sets. A line that matches an earlier
-line is removed, whether that one stays or not.
-
-As one match is enough, each line is first compared with the earliest line of each of its words; only those without a
+stands for all. Words are ordered by rarity (the corpus frequency of their hash bucket, in a table of fixed size, then their length).
+The prefix filter is one on neighbours: let a be the words that only the first of two lines has, b those of the other, c those
+of both. At 75 % Jaccard or more c is at least 3 (a + b), so that two common words follow each other in both lines: each pair of
+common neighbours that is parted takes one of the a + b words. The first such pair begins after at most a + b common words and a
+own ones, that is at place 2 a + b or before, and a line's size bounds that. So lines that match share a gram, two words next to
+each other, within such a prefix (below 75 % grams are single words and the prefix is the usual one). Lines that share a gram
+pass a length filter and a filter on 128-bit parity maps (their Hamming distance never exceeds the sets' difference) before
+Jaccard is verified on the full sets. A line that matches an earlier line is removed, whether that one stays or not.
+
+As one match is enough, each line is first compared with the earliest line of each of its grams; only those without a
 match are compared with all other earlier lines. So many variants of one line cost a comparison each, not one a pair.
 
-Words are rows, not array elements, from the split on: hashes, ranks and parities are code-generated expressions and
-aggregates. A document's lines stay in one partition while its words are ranked, so that takes no exchange of words.
+The words of a line stay in one array, which is sorted as numbers; grams are rows, exchanged once, and those of one line alone
+end there.
 
 Defined cases: null and empty texts have no lines to judge; lines of under `min_words` words are kept as they are; rows
 with a null id come first; equal rows of one id are one document; different texts of one id (or of none) are documents of
@@ -28,10 +31,11 @@ from pyspark.sql import functions as F
 from ._stage import Scratch, fresh
 
 _SPACE = r"[\x20\x09-\x0D]+"
+_OTHER_SPACE = r"[\x09\x0B-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
 _BUCKETS = 1 << 16
 _HASH_BITS = 52
-_PARTS = 2  # postings are exchanged in parts by token, so that the shuffle files of one are gone before the next
+_PARTS = 2  # grams are exchanged in parts, so that the shuffle files of one are gone before the next
 _NEAR = 300_000  # rows of a few numbers that may be broadcast
 _DOC = ("id", "v")
 
@@ -43,7 +47,7 @@ def _judged(line: Column, min_words: int) -> Column:
 def _rarity(source: DataFrame) -> Column:
     """An array of each bucket's rank, of 65,536 entries at any size: the logarithm of its words' count in the corpus, and
     0 up to four times the median, which rare words alone fill."""
-    words = source.select(F.explode(F.split(F.lower("body"), _SPACE)).alias("w"))
+    words = source.select(F.explode(F.split(F.lower(_spaced(F.replace("body", F.lit("\n"), F.lit(" ")))), " ")).alias("w"))
     counts = words.select(F.pmod(F.xxhash64("w"), F.lit(_BUCKETS)).cast("int").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("c"))
     found = [0] * _BUCKETS
     for b, c in counts.collect():
@@ -53,9 +57,14 @@ def _rarity(source: DataFrame) -> Column:
     return F.split(F.lit(ranks), ",").cast("array<int>")  # folded into one constant; a list would be a call for each entry
 
 
+def _spaced(text: Column) -> Column:
+    """A text without line breaks, with a space for each other white space: splitting at one character takes no pattern."""
+    return F.when(text.rlike(_OTHER_SPACE), F.regexp_replace(text, _OTHER_SPACE, " ")).otherwise(text)
+
+
 def _words(line: Column) -> Column:
-    """The distinct words of a line; an empty text among them where space leads or ends it."""
-    return F.array_distinct(F.split(F.lower(line), _SPACE))
+    """The distinct words of a line; an empty text among them where there is more space than one between words."""
+    return F.array_distinct(F.split(F.lower(_spaced(line)), " "))
 
 
 def _key(word: Column, ranks: Column) -> Column:
@@ -91,40 +100,17 @@ def _lines(source: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _may_match(percent: int, mine, other) -> Column:
-    """Filters on n, pos and the parity maps of both lines; pos counts from 0.
-
-    Length; place, which the first word that both have must pass (it lies in the shorter line's index prefix, and enough
-    follows it); and parity: two maps differ in no more bits than the sets in words."""
-    n, m, at, there = mine("n"), other("n"), mine("pos"), other("pos")
+    """Filters on n and the parity maps of both lines: length, and parity, as two maps differ in no more bits than the sets in words."""
+    n, m = mine("n"), other("n")
     need = F.ceil((n + m) * percent / (100.0 + percent) - 1e-9)
     alike = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    short = F.least(n, m)
-    place = F.when(n < m, at).when(n > m, there).otherwise(F.least(at, there))
-    index = place <= short - F.ceil(short * (2.0 * percent) / (100.0 + percent) - 1e-9)
-    rest = F.least(n - at, m - there) >= need
     apart = F.bit_count(mine("s1").bitwiseXOR(other("s1"))) + F.bit_count(mine("s2").bitwiseXOR(other("s2")))
-    return alike & index & rest & (apart <= n + m - 2 * need)
-
-
-def _packed() -> Column:
-    """n, pos and a free bit for probe in one number, as postings move twice."""
-    return F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1))
-
-
-def _part(token: str) -> Column:
-    """Which part of the postings a token's are in; by other bits than those that spread a part over partitions."""
-    return F.pmod(F.xxhash64(token), F.lit(_PARTS))
+    return alike & (apart <= n + m - 2 * need)
 
 
 def _of(side: str):
-    """A column of one side of a join by its name; n, pos and probe out of x."""
-
-    def get(c: str) -> Column:
-        x = F.col(f"{side}x")
-        parts = {"n": lambda: F.shiftright(x, 32).cast("int"), "pos": lambda: F.shiftright(x, 1).bitwiseAND(F.lit((1 << 31) - 1)).cast("int"), "probe": lambda: x.bitwiseAND(F.lit(1)).cast("int")}
-        return parts[c]() if c in parts else F.col(f"{side}{c}")
-
-    return get
+    """A column of one side of a join by its name."""
+    return lambda c: F.col(f"{side}{c}")
 
 
 def _near_at_hand(kept: DataFrame, most: int = _NEAR) -> DataFrame:
@@ -144,20 +130,43 @@ def _verified(pairs: DataFrame, source: DataFrame, firsts: DataFrame, percent: i
     return found
 
 
-def _postings(held: DataFrame, ranks: Column, percent: int) -> DataFrame:
-    """(token, lid, n, pos, s1, s2) of the prefix words of each line."""
-    words = held.select(*_DOC, "lid", F.explode(_words(F.col("t"))).alias("w")).where("w <> ''")
-    keyed = words.select(*_DOC, "lid", _key(F.col("w"), ranks).alias("key"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("key").bitwiseAND(F.lit(63)).cast("int"))
-    half = F.shiftright("key", 6).bitwiseAND(F.lit(1)) == 0
-    maps = [F.bit_xor(F.when(h, bit).otherwise(0)) for h in (half, ~half)]
-    # One pass over the sorted words serves all four, as both windows have one order; and lines come first in it, as their
-    # numbers ascend already and words are then compared within a line alone.
-    line = Window.partitionBy("lid", *_DOC).orderBy("key")
-    all_of = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = keyed.select("lid", "key", (F.row_number().over(line) - 1).alias("pos"), F.count(F.lit(1)).over(all_of).cast("int").alias("n"), maps[0].over(all_of).alias("s1"), maps[1].over(all_of).alias("s2"))
-    prefix = F.col("n") - F.floor((F.col("n") * percent + 99) / 100).cast("int") + 1
-    return ranked.where(F.col("pos") < prefix).select(F.hash("key").alias("token"), "lid", "n", "pos", "s1", "s2")  # equal hashes are more pairs to verify
+def _grams(held: DataFrame, ranks: Column, percent: int) -> DataFrame:
+    """(token, lid, n, s1, s2) of the grams in each line's prefix; s1 and s2 are the parity map of its n words."""
+    keys = held.select("lid", F.sort_array(F.transform(F.array_remove(_words(F.col("t")), ""), lambda w: _key(w, ranks))).alias("k"))
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+    half = lambda x: F.aggregate("k", F.lit(0).cast("long"), lambda s, k: F.when(k.bitwiseAND(F.lit(64)) == 64 * x, s.bitwiseXOR(bit(k))).otherwise(s))
+    lines = keys.select("lid", "k", F.size("k").alias("n"), half(0).alias("s1"), half(1).alias("s2"))
+    line = ["lid", "n", "s1", "s2"]
+    n = F.col("n").cast("long")
+    if percent < 75:
+        at = F.slice("k", F.lit(1), (n - F.floor((n * percent + 99) / 100) + 1).cast("int"))
+        return lines.select(*line, F.explode(at).alias("a")).select(F.xxhash64("a").alias("token"), *line)
+    own = F.floor(n * (100 - percent) / 100)
+    places = 2 * own + F.floor((n * (100 - percent) - 100 * own) / percent) + 1
+    most = F.greatest(F.lit(1), F.least(places, n - 1)).cast("int")  # a single word has no neighbour; null stands for it
+    pairs = F.inline(F.arrays_zip(F.slice("k", F.lit(1), most).alias("a"), F.slice("k", F.lit(2), most).alias("b")))
+    return lines.select(*line, pairs).toDF(*line, "a", "b").select(F.xxhash64("a", "b").alias("token"), *line)
+
+
+def _shared(grams: DataFrame, percent: int) -> DataFrame:
+    """(token, lid, n, s1, s2, more, other) of the grams whose line is not their earliest: `other` is that one where the filters
+    let the pair through, and `more` tells that there are further earlier lines."""
+    line = Window.partitionBy("token").orderBy("lid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = grams.select("*", F.row_number().over(line).alias("at"), *[F.first(c).over(line).alias(f"c_{c}") for c in ("lid", "n", "s1", "s2")])
+    near = (F.col("lid") != F.col("c_lid")) & _may_match(percent, _of(""), _of("c_"))
+    return ranked.where("at > 1").select("token", "lid", "n", "s1", "s2", (F.col("at") > 2).alias("more"), F.when(near, F.col("c_lid")).alias("other"))
+
+
+def _postings(held: DataFrame, ranks: Column, percent: int, scratch: Scratch | None = None, written: list | None = None) -> DataFrame:
+    """What _shared has of the grams of lines (lid, t). With `scratch` the grams are written and then exchanged in parts, by
+    other bits than those that spread a part over partitions; `written` gets the parts' tables."""
+    if scratch is None:
+        return _shared(_grams(held, ranks, percent), percent)
+    grams = scratch.keep(_grams(held, ranks, percent), "posts")
+    for k in range(_PARTS):
+        written.append(scratch.keep(_shared(grams.where(F.pmod(F.xxhash64("token"), F.lit(_PARTS)) == k), percent), "flagged"))
+    scratch.drop(grams)
+    return reduce(DataFrame.union, written)
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80, min_words: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -174,44 +183,25 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", perc
     firsts = scratch.keep(unnumbered.orderBy(*_DOC, "line").withColumn("lid", F.monotonically_increasing_id()), "firsts")
     scratch.drop(unnumbered)
 
-    posts = scratch.keep(_postings(_lines(source, firsts), ranks, percent), "posts")
-    first = F.col("lid") == F.col("c_lid")
-    near = ~first & _may_match(percent, _of(""), _of("c_"))
-    probe = F.when(first | near, 0).otherwise(1)
-    flagged = []
-    for part in range(_PARTS):
-        rows = posts.where(_part("token") == part).select("token", "lid", _packed().alias("x"), "s1", "s2")
-        tops = rows.groupBy("token").agg(F.min("lid").alias("c_lid"), F.max("lid").alias("last"), *[F.min_by(c, "lid").alias(f"c_{c}") for c in ("x", "s1", "s2")])
-        tops = tops.where("last > c_lid").drop("last")  # a word of one line alone is of no use
-        posts_ = rows.join(tops, "token").select("token", "lid", F.col("x").bitwiseOR(probe.cast("long")).alias("x"), "s1", "s2", F.when(near, F.col("c_lid")).alias("other"))
-        flagged.append(scratch.keep(posts_, "flagged"))
-        del rows, tops, posts_
-    scratch.drop(posts)
-
-    # Against the earliest line that has the word, where the filters let the pair through.
-    posts = reduce(DataFrame.union, flagged)
+    tables: list[DataFrame] = []
+    posts = _postings(_lines(source, firsts), ranks, percent, scratch, tables)
+
+    # Against the earliest line that has the gram, where the filters let the pair through.
     pairs = scratch.keep(posts.where("other is not null").select("lid", "other").distinct(), "pairs")
     gone = _verified(pairs, source, firsts, percent, scratch)
-    left = scratch.keep(pairs.select("lid").distinct().join(gone, "lid", "left_anti"), "left")
     scratch.drop(pairs)
 
-    # Words whose earliest line was no candidate, against all earlier lines; then the few lines that a candidate failed.
-    # Both sides are the same rows, so that one exchange serves both; what concerns one side alone must not part them.
+    # The lines that this left, against all other earlier lines of each of their grams.
     a, b = _of("a."), _of("b.")
     fits = (b("lid") < a("lid")) & _may_match(percent, a, b)
-    names = [a("lid").alias("lid"), b("lid").alias("other")]
-    late, few = [], _near_at_hand(left)
-    for part in flagged:
-        rows = part.select("token", "lid", "x", "s1", "s2")
-        found = rows.alias("a").join(rows.alias("b"), a("token") == b("token")).where(fits & (2 * a("probe") + b("probe") >= 2))
-        again = rows.join(few, "lid").alias("a").join(rows.alias("b"), a("token") == b("token")).where(fits & (a("probe") + b("probe") >= 0))
-        pairs = found.select(*names).union(again.select(*names)).distinct().join(gone, "lid", "left_anti")
-        late.append(scratch.keep(pairs, "pairs"))
+    rows = posts.select("token", "lid", "n", "s1", "s2")
+    open_ = posts.where("more").select(rows.columns).join(_near_at_hand(gone), "lid", "left_anti")
+    found = open_.alias("a").join(rows.alias("b"), a("token") == b("token")).where(fits)
+    late = scratch.keep(found.select(a("lid").alias("lid"), b("lid").alias("other")).distinct(), "pairs")
+    for part in tables:
         scratch.drop(part)
-        del rows, found, again, pairs
-    gone = gone.union(_verified(reduce(DataFrame.union, late).distinct(), source, firsts, percent, scratch))
-    for pairs in late:
-        scratch.drop(pairs)
+    gone = gone.union(_verified(late, source, firsts, percent, scratch))
+    scratch.drop(late)
     good = firsts.join(gone, "lid", "left_anti").groupBy(*_DOC).agg(F.collect_list("line").alias("good"))
     return source, scratch.keep(good, "good")
 

@@ -746,3 +746,25 @@ def test_line_dedup_moves_texts_once(spark, docs, monkeypatch):
         of[most] = sorted((r.doc_id or 0, r.text or "", r.n_removed) for r in L.dedup_lines(docs.select("doc_id", "text")).collect())
     first, second = of.values()
     assert first == second and any(n for *_, n in first)
+
+
+def test_line_grams_are_selective(spark):
+    """Lines that share one rare word and differ else have no posting in common, and lines that match always have: a
+    fifth of the words is taken out of a line, or put in, wherever it is in the order of rarity."""
+    import random
+
+    from gristmill.llm import line_dedup as L
+
+    rnd = random.Random(11)
+    lines = [["seldomseenword", *(f"w{rnd.randrange(10**6)}" for _ in range(29))] for _ in range(40)]
+    held = lambda x: spark.createDataFrame([(k, 0, k, " ".join(w)) for k, w in enumerate(x)], "id long, v long, lid long, t string")
+    ranks = F.split(F.lit(",".join(["0"] * (1 << 16))), ",").cast("array<int>")
+    assert L._postings(held(lines), ranks, 80).count() == 0
+    pairs = []
+    for n in (1, 2, 4, 5, 9, 10, 13, 25, 40) * 6:
+        line = [f"x{rnd.randrange(10**9)}" for _ in range(n)]
+        pairs += [line, rnd.sample(line, n - n // 5)]
+        line = [f"y{rnd.randrange(10**9)}" for _ in range(n)]
+        pairs += [line, line + [f"z{rnd.randrange(10**9)}" for _ in range(n // 4)]]
+    met = {r.lid for r in L._postings(held(pairs), ranks, 80).where("other = lid - 1").collect()}
+    assert met == set(range(1, len(pairs), 2))
