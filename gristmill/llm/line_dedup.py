@@ -214,12 +214,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", per
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     several = good.where("v <> 0").select("id").distinct()  # the ids whose texts are told apart
     found = good.select(F.col("id").alias(key), F.col("v").alias(v), F.col("good").alias(g))
-    left = docs.withColumns({key: F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))), lines: F.split(body, "\n")})
+    # One plan at all sizes, as the lists of a large table are never few enough for a broadcast; texts are split after it.
+    left = docs.withColumn(key, F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63)))).hint("merge")
     if several.isEmpty():
         joined = left.join(found.drop(v), key, "left")
     else:
         told = left.withColumn(v, F.xxhash64(body)).join(found.where(F.col(v) != 0).withColumnRenamed(g, g2), [key, v], "left")
         joined = told.join(found.where(F.col(v) == 0).drop(v), key, "left").withColumn(g, F.coalesce(F.col(g2), F.col(g)))
+    joined = joined.withColumn(lines, F.split(body, "\n"))
     free = F.filter(F.transform(lines, lambda t, i: F.when(~_judged(t, min_words), i)), lambda i: i.isNotNull())
     stay = F.array_sort(F.array_union(F.coalesce(g, F.array().cast("array<int>")), free))
     put = joined.withColumn(g, stay)
