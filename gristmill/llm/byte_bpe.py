@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from ._stage import fresh
 
 LONG_WORD = 512
-WORDS_KEPT, UNITS_KEPT, WORDS_AT_ONCE = 400_000, 250_000, 20_000
+WORDS_KEPT, UNITS_KEPT, WORDS_AT_ONCE = 100_000, 250_000, 20_000
 _SHIFT = 1 << 40
 
 #: t has a row for each token and its successor: their ids l and r (-1: none) and where they begin, p and q. A step takes
@@ -50,6 +50,19 @@ FROM t JOIN (SELECT w, max(step) AS step FROM t GROUP BY w) USING (w, step) JOIN
 _DECODE = "SELECT w, string_agg(v.hex, '' ORDER BY p) AS body FROM start JOIN vocabulary v USING (id) GROUP BY w"
 
 
+def _value(ids: bytes, body: bytes) -> bytes:
+    """What is kept of a word: the count of its ids' bytes, the ids and what they decode to, in one object."""
+    return len(ids).to_bytes(4, "little") + ids + body
+
+
+def _joined(values: list[bytes]) -> bytes:
+    """The value of words end to end; that of a single word is shared."""
+    if len(values) == 1:
+        return values[0]
+    ends = [4 + int.from_bytes(v[:4], "little") for v in values]
+    return _value(b"".join([v[4:e] for v, e in zip(values, ends)]), b"".join([v[e:] for v, e in zip(values, ends)]))
+
+
 def give_back() -> None:
     """Returns freed memory to the system when a task ends, as the worker may wait long for its next."""
     pa.default_memory_pool().release_unused()
@@ -114,7 +127,7 @@ class Codec:
     def _open(self) -> None:
         import duckdb
 
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "120MB"})
         l, r, joint = self.pairs
         self._table("merges", l=pa.array(l, pa.int32()), r=pa.array(r, pa.int32()), id=pa.array(joint, pa.int64()))
         self._table("vocabulary", id=pa.array(list(self.tokens), pa.int32()), hex=pa.array([t.hex() for t in self.tokens.values()]))
@@ -152,7 +165,7 @@ class Codec:
         size, a = 0, 0
         for e, k in enumerate(small):
             size += len(bodies[k]) ** 2
-            if e + 1 == len(small) or e + 1 - a >= WORDS_AT_ONCE or size > 4_000_000:
+            if e + 1 == len(small) or e + 1 - a >= WORDS_AT_ONCE or size > 2_000_000:
                 part = small[a : e + 1]
                 ids = self.of_byte[np.frombuffer(b"".join(bodies[k] for k in part), np.uint8)]
                 found = self._rows(_CONTRACT, ids, np.array([len(bodies[k]) for k in part]))
@@ -160,12 +173,12 @@ class Codec:
                 flat, ends = lists.flatten().to_numpy().astype("<i4"), np.cumsum(lists.value_lengths().to_numpy())
                 packed, ends = flat.tobytes(), (4 * ends).tolist()
                 decoded = map(bytes.fromhex, found["body"].to_numpy().tolist())
-                self.words.new.update((new[part[w]], (packed[a:b], body)) for w, a, b, body in zip(found["w"].to_numpy().tolist(), [0, *ends], ends, decoded))
+                self.words.new.update((new[part[w]], _value(packed[a:b], body)) for w, a, b, body in zip(found["w"].to_numpy().tolist(), [0, *ends], ends, decoded))
                 size, a = 0, e + 1
         for k, b in enumerate(bodies):
             if len(b) > LONG_WORD:
                 ids = self._heap(b)
-                self.words.new[new[k]] = np.array(ids, "<i4").tobytes(), b"".join(self.tokens[i] for i in ids)
+                self.words.new[new[k]] = _value(np.array(ids, "<i4").tobytes(), b"".join(self.tokens[i] for i in ids))
 
     def _heap(self, body: bytes) -> list[int]:
         n = len(body)
@@ -194,17 +207,12 @@ class Codec:
         return [self.ranks[part[a]] for a in range(n) if live[a]]
 
     def _units(self, new: list[str]) -> None:
-        """Encodes and decodes text between spaces: the count of its ids, the ids and their bytes, in one value."""
+        """Encodes and decodes text between spaces."""
         parts = [self.find(u[1:]) if u[:1] == "\0" else self.find(" " + u) for u in new]
         self.learn(self.words.missing({w for p in parts for w in p}))
         words, units = self.words.new, self.units.new
         for u, p in zip(new, parts):
-            if len(p) == 1:
-                i, body = words[p[0]]
-            else:
-                found = [words[w] for w in p]
-                i, body = b"".join([x[0] for x in found]), b"".join([x[1] for x in found])
-            units[u] = len(i).to_bytes(4, "little") + i + body
+            units[u] = _joined([words[w] for w in p])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids of the texts and each text's offset in them; the same of the decoded bytes.
@@ -237,9 +245,9 @@ class Codec:
             for k, t in odd.items():
                 pieces = self.find(t)
                 self.learn(self.words.missing(set(pieces)))
-                found = [self.words.new[w] for w in pieces]
-                ids[k] = np.frombuffer(b"".join([x[0] for x in found]), "<i4")
-                body[k] = np.frombuffer(b"".join([x[1] for x in found]), np.uint8)
+                found = _joined([self.words.new[w] for w in pieces])
+                end = 4 + int.from_bytes(found[:4], "little")
+                ids[k], body[k] = np.frombuffer(found[4:end], "<i4"), np.frombuffer(found[end:], np.uint8)
             id_at, body_at = (np.cumsum([0, *map(len, x)]) for x in (ids, body))
             ids, body = np.concatenate(ids), np.concatenate(body)
         return ids, id_at, body, body_at
@@ -280,7 +288,7 @@ def _read(path: str | None, pattern: str | None) -> tuple[bytes, str]:
         return f.read(), pattern or public_tokenizers.PATTERN
 
 
-def _parts(batch: pa.RecordBatch, column: str, most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     from ._text import slices
 
     return slices(batch, column, most)

@@ -768,3 +768,28 @@ def test_line_grams_are_selective(spark):
         pairs += [line, line + [f"z{rnd.randrange(10**9)}" for _ in range(n // 4)]]
     met = {r.lid for r in L._postings(held(pairs), ranks, 80).where("other = lid - 1").collect()}
     assert met == set(range(1, len(pairs), 2))
+
+
+def test_byte_bpe_keeps_little():
+    """A worker's tables hold the result of a word once, also where it is a unit of its own, and texts come in small parts."""
+    import sys
+
+    import pyarrow as pa
+
+    from gristmill.llm import byte_bpe as B
+
+    texts = [" ".join(f"{chr(97 + k % 26)}x{k}y" + "," * (k % 10 == 0) for k in range(a, a + 1000)) for a in range(0, 20_000, 1000)]
+    codec = B.Codec(*B._read(None, None))
+    ids, at, body, body_at = codec.encode(pa.array(texts))
+    enc = tiktoken_encoding()
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == enc.encode_ordinary(t) and body[body_at[k] : body_at[k + 1]].tobytes() == t.encode()
+    held = {}
+    for table in (codec.words.new, codec.units.new):
+        for key, value in table.items():
+            held |= {id(x): x for x in (key, value, *(value if isinstance(value, tuple) else ()))}
+    assert sum(map(sys.getsizeof, held.values())) < 220 * len(codec.units.new)
+    codec.rest()
+    batch = pa.RecordBatch.from_pydict({"body": ["x" * 9_000] * 1_000})
+    parts = [p.nbytes for p in B._parts(batch, "body")]
+    assert sum(parts) >= 9_000_000 and max(parts) < 1_200_000
