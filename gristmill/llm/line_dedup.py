@@ -1,7 +1,7 @@
 """Line deduplication by an exact set-similarity join, in DataFrame operations only.
 
 A line is the set of its words. Of lines that are equal but for case, the first in order of document id and line number
-stands for all. Words are ordered by rarity (the corpus frequency of their hash bucket, in a table of fixed size, then their length).
+stands for all. Words are ordered by rarity (the corpus frequency of their hash bucket, in a table of fixed size).
 The prefix filter is one on neighbours: let a be the words that only the first of two lines has, b those of the other, c those
 of both. At 75 % Jaccard or more c is at least 3 (a + b), so that two common words follow each other in both lines: each pair of
 common neighbours that is parted takes one of the a + b words. The first such pair begins after at most a + b common words and a
@@ -11,7 +11,8 @@ pass a length filter and a filter on 128-bit parity maps (their Hamming distance
 Jaccard is verified on the full sets. A line that matches an earlier line is removed, whether that one stays or not.
 
 As one match is enough, each line is first compared with the earliest line of each of its grams; only those without a
-match are compared with all other earlier lines. So many variants of one line cost a comparison each, not one a pair.
+match are compared with all other earlier lines, and that by semi-joins, which end at a line's first match: one by the filters
+and, for the lines that this leaves, one by Jaccard on the sets. So no step makes a row for each pair of a gram's lines.
 
 The words of a line stay in one array, which is sorted as numbers; grams are rows, exchanged once, and those of one line alone
 end there.
@@ -34,7 +35,7 @@ _SPACE = r"[\x20\x09-\x0D]+"
 _OTHER_SPACE = r"[\x09\x0B-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
 _BUCKETS = 1 << 16
-_HASH_BITS = 52
+_HASH_BITS = 58
 _PARTS = 2  # grams are exchanged in parts, so that the shuffle files of one are gone before the next
 _NEAR = 300_000  # rows of a few numbers that may be broadcast
 _DOC = ("id", "v")
@@ -67,12 +68,16 @@ def _words(line: Column) -> Column:
     return F.array_distinct(F.split(F.lower(_spaced(line)), " "))
 
 
-def _key(word: Column, ranks: Column) -> Column:
-    """A word's place in order of rarity: its bucket's rank, then the longer word first, then its hash."""
-    h = F.xxhash64(word)
-    rank = F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")).cast("long"), _HASH_BITS + 6)
-    size = F.shiftleft((63 - F.least(F.length(word), F.lit(63))).cast("long"), _HASH_BITS)
-    return rank.bitwiseOR(size).bitwiseOR(h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1)))
+def _hash(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
+
+
+def _ordered(line: Column, ranks: Column) -> Column:
+    """A line's distinct words as numbers, in order of rarity: a word's bucket's rank, then its hash. Each word is hashed once
+    and told from the others by its hash."""
+    hashes = F.array_distinct(F.transform(F.split(F.lower(_spaced(line)), " "), _hash))
+    rank = lambda h: F.get(ranks, h.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")).cast("long")
+    return F.sort_array(F.transform(F.array_remove(hashes, _hash(F.lit(""))), lambda h: F.shiftleft(rank(h), _HASH_BITS).bitwiseOR(h)))
 
 
 def _documents(docs: DataFrame, id_col: str, text: str, scratch: Scratch) -> DataFrame:
@@ -118,24 +123,55 @@ def _near_at_hand(kept: DataFrame, most: int = _NEAR) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= most else kept
 
 
+def _matches(percent: int, k: Column, other: Column) -> Column:
+    common = F.size(F.array_intersect(k, other))
+    return 100 * common >= percent * (F.size(k) + F.size(other) - common)
+
+
+def _sets(lids: DataFrame, source: DataFrame, firsts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(lid, k) with the distinct words of the lines."""
+    wanted = scratch.keep(lids.distinct().join(firsts, "lid"), "wanted")
+    sets = scratch.keep(_lines(source, wanted).select("lid", F.array_remove(_words(F.col("t")), "").alias("k")), "sets")
+    scratch.drop(wanted)
+    return sets
+
+
 def _verified(pairs: DataFrame, source: DataFrame, firsts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(lid) of the first lines of pairs (lid, other) whose Jaccard reaches the threshold."""
-    wanted = scratch.keep(pairs.select("lid").union(pairs.select("other")).distinct().join(firsts, "lid"), "wanted")
-    sets = scratch.keep(_lines(source, wanted).select("lid", F.array_remove(_words(F.col("t")), "").alias("k")), "sets")
+    sets = _sets(pairs.select("lid").union(pairs.select("other")), source, firsts, scratch)
     both = pairs.join(sets, "lid").join(sets.select(F.col("lid").alias("other"), F.col("k").alias("other_k")), "other")
-    common = F.size(F.array_intersect("k", "other_k"))
-    found = scratch.keep(both.where(100 * common >= percent * (F.size("k") + F.size("other_k") - common)).select("lid").distinct(), "gone")
-    scratch.drop(wanted)
+    found = scratch.keep(both.where(_matches(percent, F.col("k"), F.col("other_k"))).select("lid").distinct(), "gone")
     scratch.drop(sets)
     return found
 
 
+def _late(posts: DataFrame, source: DataFrame, firsts: DataFrame, gone: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(lid) of the lines with an earlier match in a gram, of those that `gone` has not and that have more earlier lines than the
+    earliest. Semi-joins give a row for a line and gram at most, however many earlier lines there are."""
+    a, b = _of("a."), _of("b.")
+    earlier = (a("token") == b("token")) & (b("lid") < a("lid")) & _may_match(percent, a, b)
+    rows = posts.select("token", "lid", "n", "s1", "s2")
+    open_ = posts.where("more").select(rows.columns).join(_near_at_hand(gone), "lid", "left_anti")
+    hits = scratch.keep(open_.alias("a").join(rows.alias("b"), earlier, "left_semi"), "hits")
+    met = scratch.keep(rows.join(_near_at_hand(hits.select("token").distinct()), "token", "left_semi"), "met")
+    sets = _sets(hits.select("lid").union(met.select("lid")), source, firsts, scratch)
+    same = earlier & _matches(percent, a("k"), b("k"))
+    with_sets = lambda x: x.join(sets, "lid")
+    found = scratch.keep(with_sets(hits).alias("a").join(with_sets(met).alias("b"), same, "left_semi").select("lid").distinct(), "gone")
+    for t in (hits, met, sets):
+        scratch.drop(t)
+    return found
+
+
 def _grams(held: DataFrame, ranks: Column, percent: int) -> DataFrame:
     """(token, lid, n, s1, s2) of the grams in each line's prefix; s1 and s2 are the parity map of its n words."""
-    keys = held.select("lid", F.sort_array(F.transform(F.array_remove(_words(F.col("t")), ""), lambda w: _key(w, ranks))).alias("k"))
-    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
-    half = lambda x: F.aggregate("k", F.lit(0).cast("long"), lambda s, k: F.when(k.bitwiseAND(F.lit(64)) == 64 * x, s.bitwiseXOR(bit(k))).otherwise(s))
-    lines = keys.select("lid", "k", F.size("k").alias("n"), half(0).alias("s1"), half(1).alias("s2"))
+    keys = held.select("lid", _ordered(F.col("t"), ranks).alias("k"))
+    bit = lambda x, k: F.call_function("shiftleft", x, k.bitwiseAND(F.lit(63)).cast("int"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    every = F.aggregate("k", zero, lambda s, k: s.bitwiseXOR(bit(one, k)))
+    upper = F.aggregate("k", zero, lambda s, k: s.bitwiseXOR(bit(F.shiftright(k, 6).bitwiseAND(one), k)))
+    lines = keys.select("lid", "k", F.size("k").alias("n"), every.alias("s"), upper.alias("s2"))
+    lines = lines.select("lid", "k", "n", F.col("s").bitwiseXOR(F.col("s2")).alias("s1"), "s2")
     line = ["lid", "n", "s1", "s2"]
     n = F.col("n").cast("long")
     if percent < 75:
@@ -192,16 +228,9 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", perc
     scratch.drop(pairs)
 
     # The lines that this left, against all other earlier lines of each of their grams.
-    a, b = _of("a."), _of("b.")
-    fits = (b("lid") < a("lid")) & _may_match(percent, a, b)
-    rows = posts.select("token", "lid", "n", "s1", "s2")
-    open_ = posts.where("more").select(rows.columns).join(_near_at_hand(gone), "lid", "left_anti")
-    found = open_.alias("a").join(rows.alias("b"), a("token") == b("token")).where(fits)
-    late = scratch.keep(found.select(a("lid").alias("lid"), b("lid").alias("other")).distinct(), "pairs")
+    gone = gone.union(_late(posts, source, firsts, gone, percent, scratch))
     for part in tables:
         scratch.drop(part)
-    gone = gone.union(_verified(late, source, firsts, percent, scratch))
-    scratch.drop(late)
     good = firsts.join(gone, "lid", "left_anti").groupBy(*_DOC).agg(F.collect_list("line").alias("good"))
     return source, scratch.keep(good, "good")
 

@@ -793,3 +793,28 @@ def test_byte_bpe_keeps_little():
     batch = pa.RecordBatch.from_pydict({"body": ["x" * 9_000] * 1_000})
     parts = [p.nbytes for p in B._parts(batch, "body")]
     assert sum(parts) >= 9_000_000 and max(parts) < 1_200_000
+
+
+def test_line_dedup_makes_no_pairs(spark, monkeypatch):
+    """Lines of one family that the first comparisons leave: no step has a row for each pair of them, and every match is found,
+    also one that is neither a gram's earliest line nor the one before."""
+    from gristmill.llm import line_dedup as L
+    from gristmill.llm._stage import Scratch
+
+    # Three families in turn that share the words of the prefix and no others: a third document makes those frequent.
+    shared, own = [f"shared{k}" for k in range(12)], [[f"family{j}x{k}" for k in range(15)] for j in range(3)]
+    rows = [(k, " ".join([*shared, *own[k % 3], f"own{k}"])) for k in range(300)]
+    rows.append((999, " ".join([w for x in own for w in x] * 1000)))
+    made = []
+
+    class Watched(Scratch):
+        def keep(self, df, name="t"):
+            made.append((name, df := super().keep(df, name)))
+            made[-1] = (name, df.count())
+            return df
+
+    monkeypatch.setattr(L, "Scratch", Watched)
+    got = {r.doc_id: r.text for r in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows)
+    assert max(n for _, n in made) <= 15 * len(rows)
+    assert dict(made)["hits"] > 0
